@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, alpha: float = ALP
     """Count both multinomials over all rows of ``docs``; a document is trusted if a label says quality 1."""
     small_batches(docs.sparkSession)
     good = only(labels, "doc_id", "quality").where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    texts = only(docs, "doc_id", "text").where(F.length("text") > 0).join(good, "doc_id", "left").select("text", F.col("trusted").isNotNull().alias("trusted"))
+    texts = only(docs, "doc_id", "text").where(F.length("text") > 0).join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.col("trusted").isNotNull().alias("trusted"))
     size = 1 << bits
 
     def add(total: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
