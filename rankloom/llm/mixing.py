@@ -111,5 +111,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     per = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
     measured = docs.withColumn(size, words_of(docs["text"]))
     match = measured["doc_id"].eqNullSafe(per["doc_id"]) & measured["source"].eqNullSafe(per["source"]) & (measured[size] == per["size"])
-    joined = measured.join(per, match).select(*[measured[c] for c in docs.columns], per[copies])
+    joined = measured.join(per.hint("shuffle_hash"), match).select(*[measured[c] for c in docs.columns], per[copies])
     return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
