@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import language_id, mixing, ngram_join, quality_classifier, quality_rules
+from rankloom.llm import html_text, language_id, mixing, ngram_join, quality_classifier, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
