@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, html_text, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_counts, token_files
+from rankloom.llm import byte_bpe, html_text, language_id, mixing, nearest, ngram_join, quality_classifier, quality_rules, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction, op8_token_counts, op9_token_files, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction, op7_nearest, op8_token_counts, op9_token_files, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
