@@ -15,7 +15,7 @@ A document's tokens are its distinct 4-word shingles, held as 64-bit hashes. Doc
    blocks, block pair by block pair, whatever their size; only a spanning forest of links leaves such a comparison.
    Every comparison is exact on whole token sets.
 
-Token sets travel only for classes that have a size-compatible candidate. No group is collected: entries are joined, families
+Token sets travel only for classes with a candidate whose size and parity bitmap (an exact bound on the overlap) allow a link. No group is collected: entries are joined, families
 are cut into blocks of bounded count and bytes.
 
 Cases: null text and text without words have no tokens and link with nothing; with fewer than four words the whole
@@ -50,8 +50,8 @@ PER_SUBCLASS = 4
 DENSE = 64
 BLOCK_CLASSES = 256
 BLOCK_BYTES = 16 << 20
-
-_ONE = np.uint64(1)
+#: 64-bit words of a class's parity bitmap.
+BITMAP_WORDS = 32
 
 
 def token_sets(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -114,6 +114,15 @@ def prefix_entries(tokens: np.ndarray, weight: np.ndarray, heavy: float, percent
     return np.concatenate(found)
 
 
+def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """One bit per hash place, set if an odd number of tokens fall there.
+
+    Two bitmaps differ in at most as many bits as their sets differ in tokens, which bounds the overlap from above.
+    """
+    odd = np.bincount((mix64(tokens + np.uint64(7)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -212,14 +221,15 @@ def index_entries(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -
             rows = []
             for tokens in token_sets(b.column(1).to_pylist()):
                 entries = prefix_entries(tokens, weight[(tokens >> shift).astype(np.int64)], heavy, percent) if len(tokens) else tokens
-                rows.append((next(ids), len(tokens), set_key(tokens), np.unique(entries).view(np.int64)))
+                rows.append((next(ids), len(tokens), set_key(tokens), np.unique(entries).view(np.int64), parity_bitmap(tokens)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32), np.concatenate([r[3] for r in rows] or [np.empty(0, np.int64)]))],
-                names=["doc_id", "n", "key", "entries"],
+                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32), np.concatenate([r[3] for r in rows] or [np.empty(0, np.int64)])),
+                 pa.ListArray.from_arrays((BITMAP_WORDS * np.arange(len(rows) + 1)).astype(np.int32), np.concatenate([r[4] for r in rows] or [np.empty(0, np.int64)]))],
+                names=["doc_id", "n", "key", "entries", "bitmap"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, entries array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, key long, entries array<long>, bitmap array<long>")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -233,6 +243,16 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, tokens binary")
 
 
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps leave room for enough overlap; no linked pair is lost."""
+    left = classes.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("bitmap").alias("x"))
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    most = F.floor((F.col("n") + F.col("m") - apart) / 2)
+    both = pairs.join(left, "a").join(right, "b")
+    return stash(both.where(100 * most >= percent * (F.col("n") + F.col("m") - most)).select("a", "b"), "pairs")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets link."""
 
@@ -273,18 +293,17 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     docs = only(docs, "doc_id", "text")
     table = stash(index_entries(docs, sketch(docs), percent), "entries")
     members = table.select("doc_id", "n", "key")
-    entries = table.where("n > 0").select(F.explode("entries").alias("entry"), "key", "n")
-    shared = entries.groupBy("entry").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("entry", F.col("low").alias("pivot"))
-    posted = stash(entries.join(shared, "entry").distinct(), "posted")
-    load = posted.groupBy("entry").agg(F.count(F.lit(1)).alias("load"))
-    posted = stash(posted.join(load, "entry"), "posted")
+    classes = stash(table.where("n > 0").dropDuplicates(["key"]).drop("doc_id"), "classes")
+    entries = classes.select(F.explode("entries").alias("entry"), "key", "n")
+    shared = entries.groupBy("entry").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("load")).where("load > 1")
+    posted = stash(entries.join(shared, "entry"), "posted")
     small, dense = posted.where(F.col("load") <= DENSE), posted.where(F.col("load") > DENSE)
     other = small.select("entry", F.col("key").alias("b"), F.col("n").alias("m"))
     near = (100 * F.least("n", "m")) >= (percent * F.greatest("n", "m"))
     pairs = small.join(other, "entry").where((F.col("key") < F.col("b")) & near).select(F.col("key").alias("a"), "b")
     pivots = dense.where("key = pivot").select("entry", F.col("n").alias("m"))
     starred = dense.join(pivots, "entry").where((F.col("key") != F.col("pivot")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-    pairs = stash(pairs.unionByName(starred).distinct(), "pairs")
+    pairs = _may_link(pairs.unionByName(starred).distinct(), classes, percent)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(dense.select("key")).distinct()
     first = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.where("doc_id IS NOT NULL").join(first.join(wanted, "key").hint("shuffle_hash"), "doc_id")
