@@ -101,23 +101,28 @@ class ByteBpe:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def encode_column(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, list[str]]:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and the names these columns got."""
-    names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256")
+def encode_column(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> tuple[DataFrame, list[str]]:
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256 and on demand ids, and the names these columns got."""
+    names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
     pieces = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def compute(lists: Iterator[list]) -> Iterator[list[pa.Array]]:
         bpe = None
         for texts in lists:
             bpe = bpe or ByteBpe(pieces.value)
-            rows = []
+            rows, held = [], []
             for text in texts:
                 packed = bpe.encode(text)
+                held += [packed] * with_ids
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(packed)).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
+            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32), np.frombuffer(b"".join(held), "<i4")))
+            yield arrays
 
-    fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.StringType())]
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
+    fields = [T.StructField(n, t) for n, t in zip(names, kinds, strict=False)]
     return append_columns(docs, "text", fields, compute), names
 
 
