@@ -156,7 +156,7 @@ def select_content(nodes: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
     held: dict[tuple[str, ...], int] = defaultdict(int)
     for p in content:
         for k in range(len(p) + 1):
-            if k < len(p) or p[-1] in ARTICLE:  # a root holds blocks, it is not a block itself
+            if k < len(p) or p and p[-1] in ARTICLE:  # a root holds blocks, it is not a block itself
                 held[p[:k]] += length[p]
     whole = held[()]
     named = [p for p in held if p and p[-1].split(".")[0] in ARTICLE and held[p] >= 0.2 * whole]
