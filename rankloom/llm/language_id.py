@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from rankloom.llm.frames import append_columns, fresh, only
 from rankloom.llm.sampling import remainder, stratified
 from rankloom.llm.storage import small_batches
-from rankloom.llm.textcore import WORD
+from rankloom.llm.textcore import WORD, chunked
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -42,6 +42,8 @@ MARK = "▁"
 SMOOTHING = 0.05
 #: Words whose log-probabilities a task keeps.
 CACHE_WORDS = 200_000
+#: New words of texts with about this many characters are scored together.
+GROUP_CHARS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,18 +140,23 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
             yield part
 
 
-def segments(text: str) -> list[str]:
-    """Marked words of a text; longer ones in segments."""
+def word_keys(text: str) -> list[str]:
+    """Words of a text; of a longer one its segments, which from the second on start with a newline."""
+    words = WORD.findall(text)
+    if max(map(len, words), default=0) < SEGMENT:
+        return words
     out = []
-    for word in WORD.findall(text):
-        word = MARK + word
-        if len(word) <= SEGMENT:
-            out.append(word)
-        else:
-            out += [word[k : k + SEGMENT] for k in range(0, len(word), SEGMENT)]
+    for word in words:
+        out.append(word[: SEGMENT - 1])
+        out += ["\n" + word[k : k + SEGMENT] for k in range(SEGMENT - 1, len(word), SEGMENT)]
     return out
 
 
+def spelled(key: str) -> str:
+    """What is segmented for a key: a word with its mark, or a later segment as it is."""
+    return key[1:] if key[0] == "\n" else MARK + key
+
+
 def expectation_maximisation(languages: list[str], counts: list[tuple[str, int, int]], pieces: list[str], rounds: int = ROUNDS) -> PieceModel:
     """Piece probabilities from (word, language index, count)."""
     lattice, n = Lattice(pieces), len(languages)
@@ -194,7 +201,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, vocabulary: str
         for b in batches:
             found: dict[tuple[str, str], int] = {}
             for text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for w in segments(text):
+                for w in map(spelled, word_keys(text)):
                     found[w, lang] = found.get((w, lang), 0) + 1
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found]), pa.array([lang for _, lang in found]), pa.array(found.values(), pa.int64())], names=["word", "lang", "n"])
@@ -217,26 +224,27 @@ def predict(docs: DataFrame, model: PieceModel) -> tuple[DataFrame, list[str]]:
         scores = np.empty((0, n))
         for texts in lists:
             languages, chances = [], []
-            for text in texts:
-                if not n or not text or not any(map(str.isalpha, text)):
-                    languages.append(UNKNOWN)
-                    chances.append(0.0)
-                    continue
-                words = segments(text)
-                new = [w for w in dict.fromkeys(words) if w not in slot]
+            for group in chunked(texts, GROUP_CHARS):
+                parts = [word_keys(t) if n and any(map(str.isalpha, t)) else None for t in group]
+                new = set().union(*filter(None, parts)) - slot.keys()
                 if len(slot) + len(new) > CACHE_WORDS:
                     slot.clear()
-                    new = list(dict.fromkeys(words))
+                    new = set().union(*filter(None, parts))
                 if new:
-                    base = len(slot)
-                    while len(scores) < base + len(new):
-                        scores = np.concatenate([scores, np.empty((max(4096, len(scores)), n))])
-                    scores[base : base + len(new)] = pieces.word_scores(lattice, new)
+                    base, new = len(slot), list(new)
+                    if len(scores) < base + len(new):
+                        scores = np.concatenate([scores[:base], np.empty((max(len(new), base), n))])
+                    scores[base : base + len(new)] = pieces.word_scores(lattice, list(map(spelled, new)))
                     slot.update(zip(new, range(base, base + len(new)), strict=True))
-                total = scores[np.fromiter(map(slot.__getitem__, words), np.int64, len(words))].sum(0)
-                best = int(total.argmax())
-                languages.append(pieces.languages[best])
-                chances.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                for words in parts:
+                    if not words:
+                        languages.append(UNKNOWN)
+                        chances.append(0.0)
+                        continue
+                    total = scores[np.fromiter(map(slot.__getitem__, words), np.int64, len(words))].sum(0)
+                    best = int(total.argmax())
+                    languages.append(pieces.languages[best])
+                    chances.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
             yield [pa.array(languages, pa.string()), pa.array(chances, pa.float64())]
 
     return append_columns(docs, "text", [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], compute), names

@@ -43,8 +43,9 @@ def test_expectation_maximisation_raises_the_likelihood():
 
 
 def test_long_words_are_cut_into_segments():
-    assert "".join(lid.segments("x" * 1000 + " y")) == "▁" + "x" * 1000 + "▁y"
-    assert max(map(len, lid.segments("x" * 1000))) <= lid.SEGMENT
+    parts = [lid.spelled(k) for k in lid.word_keys("x" * 1000 + " y")]
+    assert "".join(parts) == "▁" + "x" * 1000 + "▁y" and max(map(len, parts)) <= lid.SEGMENT
+    assert [lid.spelled(k) for k in lid.word_keys("ab c")] == ["▁ab", "▁c"]
 
 
 def test_held_out_accuracy(spark):
