@@ -41,7 +41,7 @@ MARK = "▁"
 #: Pseudo-count of every piece and language.
 SMOOTHING = 0.05
 #: Words whose log-probabilities a task keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: New words of texts with about this many characters are scored together.
 GROUP_CHARS = 1 << 20
 
