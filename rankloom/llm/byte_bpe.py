@@ -14,6 +14,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FIRST_CHARACTER = 0x100
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def load_ranks(path: str | None = None) -> list[bytes]:
     """Pieces of a rank file in rank order; ranks must run from 0 without gaps."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY)
-    with open(path, "rb") as f:
+    with open(path or default_path(), "rb") as f:
         rows = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f))
     if [r for r, _ in rows] != list(range(len(rows))):
         raise ValueError("ranks have gaps")
@@ -101,15 +104,20 @@ class ByteBpe:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def worker_bpe(path: str) -> ByteBpe:
+    """The encoder of a vocabulary file, kept by a Python worker between its tasks. The file is on every machine."""
+    return ByteBpe(load_ranks(path))
+
+
 def encode_column(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> tuple[DataFrame, list[str]]:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256 and on demand ids, and the names these columns got."""
     names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
-    pieces = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    path = path or default_path()
 
     def compute(lists: Iterator[list]) -> Iterator[list[pa.Array]]:
-        bpe = None
+        bpe = worker_bpe(path)
         for texts in lists:
-            bpe = bpe or ByteBpe(pieces.value)
             rows, held = [], []
             for text in texts:
                 packed = bpe.encode(text)

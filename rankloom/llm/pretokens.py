@@ -1,17 +1,19 @@
 """Byte-level BPE over a cache of pre-tokens.
 
 Byte-level BPE merges inside each match of the split pattern only, so a text's ids are the ids of its pre-tokens
-in order. Each distinct pre-token is encoded once per task by the library and kept as packed little-endian 32-bit ids.
+in order. Each distinct pre-token is encoded once by the library and kept as packed little-endian 32-bit ids, in a cache of
+bounded size that a Python worker keeps between its tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
-#: Pre-tokens a task keeps; then it starts anew.
-CACHE = 250_000
+#: Pre-tokens a worker keeps; then it starts anew.
+CACHE = 500_000
 
 
 class PackedEncoder:
@@ -30,7 +32,7 @@ class PackedEncoder:
             return b""
         parts = self.split(text)
         known = self.known
-        new = list({p for p in parts if p not in known})
+        new = list(set(parts).difference(known))
         if new:
             if len(known) + len(new) > CACHE:
                 known.clear()
@@ -42,6 +44,7 @@ class PackedEncoder:
         return b"".join(map(known.__getitem__, parts))
 
 
+@lru_cache(maxsize=2)
 def tokenizers_encoder(path: str) -> PackedEncoder:
     """For a byte-level tokenizer file of the tokenizers library; special tokens' strings in a text are ordinary text."""
     import os
