@@ -8,18 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.context import cut
+
 WEAK, NORMAL, STRONG = 1.0, 0.5, 0.25
 DECAY, VECTOR_WEIGHT = 0.6, 0.3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return df.checkpoint()
-
-
 def two_way(links: DataFrame, forward: str = "forward", backward: str = "backward") -> DataFrame:
     """Both directions of links (src, dst, forward, backward, weight) as distinct edges (src, dst, description, weight)."""
     out = links.select("src", "dst", F.col(forward).alias("description"), "weight").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(backward).alias("description"), "weight"))

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def in_all(frames: list[DataFrame], key: str) -> DataFrame:
@@ -98,7 +99,7 @@ def name_variations(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(parts))), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence over the longer length (1 for two empty texts)."""
 

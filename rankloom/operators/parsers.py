@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _signature(node: ast.AST) -> str:
@@ -76,19 +77,23 @@ def python_calls(source: str | None) -> Iterator[tuple[str, str, int]]:
     yield from walk(tree.body, "")
 
 
-@F.udtf(returnType="kind string, name string, signature string, start int, end int, doc string, text string")
+def _row(**kinds: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType() if k == "int" else T.StringType()) for n, k in kinds.items()])
+
+
+@F.udtf(returnType=_row(kind="string", name="string", signature="string", start="int", end="int", doc="string", text="string"))
 class PythonEntities:
     def eval(self, source: str, with_async: bool):
         yield from python_entities(source, with_async)
 
 
-@F.udtf(returnType="module string, name string, level int")
+@F.udtf(returnType=_row(module="string", name="string", level="int"))
 class PythonImports:
     def eval(self, source: str):
         yield from python_imports(source)
 
 
-@F.udtf(returnType="caller string, callee string, line int")
+@F.udtf(returnType=_row(caller="string", callee="string", line="int"))
 class PythonCalls:
     def eval(self, source: str):
         yield from python_calls(source)

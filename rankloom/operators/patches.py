@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.operators.intervals import innermost, point_in_interval
 
@@ -44,7 +45,10 @@ def diff_lines(text: str | None) -> Iterator[tuple[str, int, str, int | None, in
             old, new, left = old + 1, new + 1, [left[0] - 1, left[1] - 1]
 
 
-@F.udtf(returnType="file string, hunk int, op string, old_line int, new_line int, line string")
+LINE = T.StructType([T.StructField(n, T.StringType() if n in ("file", "op", "line") else T.IntegerType()) for n in ("file", "hunk", "op", "old_line", "new_line", "line")])
+
+
+@F.udtf(returnType=LINE)
 class DiffLines:
     def eval(self, text: str):
         yield from diff_lines(text)

@@ -41,7 +41,7 @@ def sign_flip(clusters: DataFrame, by: list[str], value: str, cluster: str, limi
     packed = clusters.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(cluster, value))), lambda x: x[value].cast("double")).alias("v"), F.count(F.lit(1)).alias("k"))
     packed = packed.withColumn("ok", F.assert_true(F.col("k") <= limit, "too many clusters for all assignments").isNull()).where("ok")
     observed = F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x))
-    flips = packed.select(*by, "v", "k", observed.alias("observed"), F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("k").cast("int")) - 1)).alias("mask"))
+    flips = packed.select(*by, "v", "k", observed.alias("observed"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, CAST(k AS INT)) - 1L"))).alias("mask"))
     signed = F.aggregate(F.transform("v", lambda x, i: x * (1 - 2 * F.getbit(F.col("mask"), i).cast("double"))), F.lit(0.0), lambda s, x: s + x)
     return flips.groupBy(*by).agg(F.max("k").alias("clusters"), F.round(F.max("observed"), 9).alias("observed"), F.round(F.avg((F.abs(signed) >= F.col("observed") - 1e-12).cast("double")), 9).alias("p"))
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rankloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ["retrieval"]
+MODULES = ["retrieval", "evaluation", "structure"]
 
 for _name in MODULES:
     import_module(f"rankloom.plans.{_name}")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream(spark: SparkSession, folder: str, schema, files: str = "*", files_per_trigger: int = 1) -> DataFrame:
+    """The Parquet files of a folder whose names match ``files``, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files).parquet(folder)
 
 
 def windowed(events: DataFrame, window: Column, keys: list[str], values: dict[str, Column], late: str | None = None, time: str = "ts") -> DataFrame:
