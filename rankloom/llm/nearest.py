@@ -30,7 +30,7 @@ PROJECTIONS = 48
 COLLISIONS = 0.65
 #: A block's search ends when a vector as far as the k-th best collides with at least this chance.
 CERTAIN = 0.85
-FIRST_WIDTH, WIDEN = 0.15, 1.35
+FIRST_WIDTH, WIDEN = 0.35, 1.35
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 1024
 QUERY_MODULUS = 50
@@ -43,30 +43,30 @@ class CollisionIndex:
     def __init__(self, unit: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
         self.directions = np.random.default_rng(seed).standard_normal((unit.shape[1], projections))
         values = unit @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(values.T, self.order, 1)
         self.size, self.projections = len(unit), projections
 
-    def candidates(self, unit_query: np.ndarray):
-        """Yields (half width, newly sufficient vectors) for ever wider windows; the last yield covers the block."""
-        place = unit_query @ self.directions
-        counts = np.zeros(self.size, np.int32)
+    def start(self, unit_queries: np.ndarray) -> None:
+        """Begin a search: every query's windows are empty, at its place in each array."""
+        self.places = unit_queries @ self.directions
+        self.low = np.column_stack([np.searchsorted(v, p) for v, p in zip(self.values, self.places.T, strict=True)])
+        self.high = self.low.copy()
+        self.counts = np.zeros((len(unit_queries), self.size), np.int16)
+        self.done = np.zeros((len(unit_queries), self.size), bool)
+
+    def widen(self, active: np.ndarray, width: float):
+        """Windows of the active queries grow to a half width; yields (query, vectors that now collide often enough)."""
         enough = math.ceil(COLLISIONS * self.projections)
-        low = high = np.array([np.searchsorted(v, p) for v, p in zip(self.values, place, strict=True)])
-        done = np.zeros(self.size, bool)
-        width = FIRST_WIDTH
-        while True:
-            new_low = np.array([np.searchsorted(v, p - width, "left") for v, p in zip(self.values, place, strict=True)])
-            new_high = np.array([np.searchsorted(v, p + width, "right") for v, p in zip(self.values, place, strict=True)])
-            ring = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
-            counts += np.bincount(np.concatenate(ring), minlength=self.size).astype(np.int32)
-            low, high = new_low, new_high
-            found = np.flatnonzero((counts >= enough) & ~done)
-            done[found] = True
-            yield width, found
-            if done.all():
-                return
-            width *= WIDEN
+        low = np.column_stack([np.searchsorted(v, p - width, "left") for v, p in zip(self.values, self.places[active].T, strict=True)])
+        high = np.column_stack([np.searchsorted(v, p + width, "right") for v, p in zip(self.values, self.places[active].T, strict=True)])
+        for k, q in enumerate(active):
+            ring = [o[a:b] for o, a, b in zip(self.order, low[k], self.low[q], strict=True)] + [o[a:b] for o, a, b in zip(self.order, self.high[q], high[k], strict=True)]
+            self.counts[q] += np.bincount(np.concatenate(ring), minlength=self.size).astype(np.int16)
+            found = np.flatnonzero((self.counts[q] >= enough) & ~self.done[q])
+            self.done[q, found] = True
+            yield q, found
+        self.low[active], self.high[active] = low, high
 
 
 def cosine(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray, query_length: float) -> np.ndarray:
@@ -78,22 +78,24 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     """The k nearest of a block for each query: (query id, vector id, cosine)."""
     lengths, query_lengths = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
     index = CollisionIndex(vectors / lengths[:, None])
-    out = []
-    for query, query_id, length in zip(queries, query_ids, query_lengths, strict=True):
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        for width, found in index.candidates(query / length):
-            found = found[ids[found] != query_id]
+    index.start(queries / query_lengths[:, None])
+    best = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
+    active, width = np.arange(len(queries)), FIRST_WIDTH
+    while len(active):
+        going = []
+        for q, found in index.widen(active, width):
+            scores, names = best[q]
+            found = found[ids[found] != query_ids[q]]
             if len(found):
-                best = np.concatenate([best, cosine(vectors[found], lengths[found], query, length)])
-                best_ids = np.concatenate([best_ids, ids[found]])
-                first = np.lexsort((best_ids, -best))[:k]
-                best, best_ids = best[first], best_ids[first]
-            if len(best) == k:
-                distance = math.sqrt(max(2 - 2 * best[-1], 1e-12))
-                if math.erf(width / distance / math.sqrt(2)) >= CERTAIN:
-                    break
-        out += [(int(query_id), int(i), float(s)) for i, s in zip(best_ids, best, strict=True)]
-    return out
+                scores = np.concatenate([scores, cosine(vectors[found], lengths[found], queries[q], query_lengths[q])])
+                names = np.concatenate([names, ids[found]])
+                first = np.lexsort((names, -scores))[:k]
+                best[q] = scores, names = scores[first], names[first]
+            distance = math.sqrt(max(2 - 2 * scores[-1], 1e-12)) if len(scores) == k else math.inf
+            if math.erf(width / distance / math.sqrt(2)) < CERTAIN and not index.done[q].all():
+                going.append(q)
+        active, width = np.array(going, np.int64), width * WIDEN
+    return [(int(query_ids[q]), int(i), float(s)) for q, (scores, names) in enumerate(best) for i, s in zip(names, scores, strict=True)]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
