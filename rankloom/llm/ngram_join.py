@@ -330,9 +330,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     members, links = class_links(docs, percent)
     roots = components(links).withColumnRenamed("node", "key")
-    named = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("name"))
-    out = named.join(names, "root", "left")
+    classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("name")), "root").select("key", F.lit(False).alias("empty"), "name")
+    out = members.withColumn("empty", F.col("n") == 0).join(named, ["key", "empty"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
