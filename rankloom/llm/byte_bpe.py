@@ -86,16 +86,13 @@ class ByteBpe:
         self.whole = {p: k for k, p in enumerate(pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.table = {b: FIRST_CHARACTER + b for b in range(256)}
-        self.encoder = PackedEncoder(self.encode_parts)
-
-    def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        raw = [p.encode("utf-8", "replace") for p in parts]
-        out: list[list[int] | None] = [[self.whole[r]] if r in self.whole else None for r in raw]
-        rest = [k for k, x in enumerate(out) if x is None]
-        found = self.model.encode([raw[k].decode("latin-1").translate(self.table) for k in rest], num_threads=1)
-        for k, ids in zip(rest, found, strict=True):
-            out[k] = ids
-        return out
+        self.encoder = PackedEncoder(self.encode_part)
+
+    def encode_part(self, part: str) -> list[int]:
+        raw = part.encode("utf-8", "replace")
+        if raw in self.whole:
+            return [self.whole[raw]]
+        return self.model.encode(raw.decode("latin-1").translate(self.table))
 
     def encode(self, text: str | None) -> bytes:
         return self.encoder(text)

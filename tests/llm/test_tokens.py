@@ -29,7 +29,22 @@ def tokenizer():
 def odd_texts():
     rnd = random.Random(4)
     letters = [chr(c) for c in [*range(1, 127), *range(0xA0, 0x250), 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x200D, 0x301, 0xFFFD, 0x85]]
-    return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(400)] + ["a" * 5000, " " * 3000, "\n" * 77 + "x", "''''s't're", "don't  DON'T \t\n x", "<|endoftext|> x"]
+    latin = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xC0, 0x250), *[32, 39, 115, 116] * 20]]
+    return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(400)] + ["".join(rnd.choice(latin) for _ in range(rnd.randrange(60))) for _ in range(400)] + ["a" * 5000, " " * 3000, "\n" * 77 + "x", "''''s't're", "don't  DON'T \t\n x", "<|endoftext|> x"]
+
+
+def test_spelled_out_pattern_finds_the_same_matches():
+    import public_tokenizers
+    import regex
+
+    from rankloom.llm.pretokens import public_split
+
+    whole = regex.compile(public_tokenizers.PATTERN).findall
+    for text in odd_texts():
+        assert public_split()(text) == whole(text)
+    for c in [*range(9, 14), *range(32, 127), *range(0xC0, 0x250)]:
+        for text in (chr(c), f" {chr(c)}", f"a{chr(c)}1", f"{chr(c)}{chr(c)} .", f"'{chr(c)}"):
+            assert public_split()(text) == whole(text)
 
 
 def test_token_files_hold_the_library_ids(spark, tokenizer):
