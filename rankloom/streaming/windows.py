@@ -11,9 +11,14 @@ def stream(spark: SparkSession, folder: str, schema, files: str = "*", files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files).parquet(folder)
 
 
+def watermarked(events: DataFrame, late: str, time: str = "ts") -> DataFrame:
+    """Watermarks need a zoned time; a time without zone is read in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed(events: DataFrame, window: Column, keys: list[str], values: dict[str, Column], late: str | None = None, time: str = "ts") -> DataFrame:
     """Aggregates per time window and key; with ``late``, rows later than that behind the watermark are dropped."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = watermarked(events, late, time) if late else events
     out = rows.groupBy(window.alias("w"), *keys).agg(*[v.alias(n) for n, v in values.items()])
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *values)
 
@@ -32,7 +37,7 @@ def sessions(events: DataFrame, gap: str, keys: list[str], values: dict[str, Col
 
 def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     """First of the rows with equal keys within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return watermarked(events, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
