@@ -28,10 +28,12 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
     df = found.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("df"))
     stats = df.join(totals, keys) if keys else df.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = found.join(stats, ["term", *keys]).join(wanted, "term")
-    return scored.groupBy("query", "doc_id", *keys).agg(F.sum(part * (F.col("qtf") if query_frequency else 1)).alias("score"))
+    stats = stats.select("term", *keys, idf.alias("idf"), F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
+    # a document's weight for a term is computed once, before queries that share the term multiply the rows
+    part = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    weights = found.join(stats, ["term", *keys]).select("term", "doc_id", *keys, part.alias("part"))
+    scored = weights.join(wanted, "term")
+    return scored.groupBy("query", "doc_id", *keys).agg(F.sum(F.col("part") * F.col("qtf") if query_frequency else F.col("part")).alias("score"))
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
