@@ -14,7 +14,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Pre-tokens a worker keeps; beyond that it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 
 # For texts of white space, printable ASCII and Latin letters alone, the classes of the public pattern can be spelled out, and the
 # standard library's matcher finds the same matches in a third of the time.
