@@ -41,11 +41,12 @@ MARK = "▁"
 #: Pseudo-count of every piece and language.
 SMOOTHING = 0.05
 #: Words whose log-probabilities a task keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: New words of texts with about this many characters are scored together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 3 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def load_pieces(path: str | None = None) -> list[str]:
@@ -76,8 +77,27 @@ class Lattice:
             for c in piece:
                 h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[k] = h
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        # hash tables of piece numbers, probed one after another; each holds what collided in those before
+        self.keys = np.append(keys, np.uint64(0))
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left, bits = np.arange(len(pieces)), 19
+        while len(left):
+            shift = np.uint64(64 - bits)
+            table = np.full(1 << bits, len(pieces), np.int32)
+            table[(keys[left] * _MIX) >> shift] = left
+            self.tables.append((shift, table))
+            left = left[table[(keys[left] * _MIX) >> shift] != left]
+            bits = max(bits - 3, 10)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece number of each hash, or -1."""
+        found = np.full(len(hashes), -1, np.int32)
+        spread = hashes * _MIX
+        for shift, table in self.tables:
+            at = table[spread >> shift]
+            found = np.where(self.keys[at] == hashes, at, found)
+        found[found == self.size] = -1
+        return found
 
     def edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """For words of equal length: (start, end, piece index or -1 per word) of every span that some word has as a piece.
@@ -95,8 +115,7 @@ class Lattice:
                 hashes[start] = hashes[start] * _BASE + last
             hashes[end - 1] = last.copy()
             for start, h in hashes.items():
-                at = np.minimum(np.searchsorted(self.keys, h), max(self.size - 1, 0))
-                piece = np.where(self.keys[at] == h, self.order[at], -1) if self.size else np.full(n, -1)
+                piece = self.find(h)
                 if end - start == 1 or (piece >= 0).any():
                     yield start, end, piece
 
