@@ -322,6 +322,7 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     placed = inside.join(size, "family").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("family", F.least("part", "with").alias("block_a"), F.greatest("part", "with").alias("block_b"), "part", "key", "label", "tokens")
+    spread = spread.repartition("family", "block_a", "block_b")  # else the blocks of a family would stay where the family is
     more = spread.groupBy("family", "block_a", "block_b").applyInArrow(_compare_blocks(percent), "a long, b long")
     return members, stash(links.unionByName(more), "links")
 
