@@ -13,8 +13,8 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-#: Pre-tokens a worker keeps; beyond that it starts anew.
-CACHE = 300_000
+#: Pre-tokens of one generation; a worker keeps the current and the last one.
+CACHE = 250_000
 
 # For texts of white space, printable ASCII and Latin letters alone, the classes of the public pattern can be spelled out, and the
 # standard library's matcher finds the same matches in a third of the time.
@@ -34,16 +34,23 @@ def public_split() -> Callable[[str], list[str]]:
 
 
 class Pieces(dict):
-    """Pre-token to packed ids; a new one is encoded when it is asked for."""
+    """Pre-token to packed ids. A new one comes from the last generation or is encoded when it is asked for."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.last = encode, {}
 
     def __missing__(self, part: str) -> bytes:
-        packed = self[part] = array("I", self.encode(part)).tobytes()
+        packed = self.last.get(part)
+        if packed is None:
+            packed = array("I", self.encode(part)).tobytes()
+        self[part] = packed
         return packed
 
+    def renew(self) -> None:
+        self.last = dict(self)
+        self.clear()
+
 
 class PackedEncoder:
     """Texts to packed ids, by an ``encode`` that maps a pre-token to its ids."""
@@ -56,7 +63,7 @@ class PackedEncoder:
         if not text:
             return b""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known.renew()
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
