@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder once and read it where it is used more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -132,4 +132,4 @@ def all_contrasts(frames: dict[str, DataFrame], key: str, value: str) -> DataFra
     long = reduce(DataFrame.unionByName, [df.select(key, F.col(value).alias("v"), F.lit(n).alias("variant")) for n, df in frames.items()])
     b = long.select(key, F.col("v").alias("w"), F.col("variant").alias("other"))
     both = long.join(b, key).where("variant < other")
-    return both.groupBy("variant", "other").agg(F.count_if("w > v").alias("wins"), F.count_if("w < v").alias("losses")).withColumn("p", F.round(mcnemar(F.col("wins"), F.col("losses")), 9))
+    return both.groupBy("variant", "other").agg(F.count_if(F.col("w") > F.col("v")).alias("wins"), F.count_if(F.col("w") < F.col("v")).alias("losses")).withColumn("p", F.round(mcnemar(F.col("wins"), F.col("losses")), 9))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.context import materialise
 from rankloom.operators import metrics, stats
 from rankloom.operators.audit import contained_passages
 from rankloom.plans.registry import query
@@ -15,7 +16,7 @@ def rankings(spark, sf, k: int = 20):
     """(approach, instance, rank, file, kind, name) of two rankings and their fusion by better rank."""
     from rankloom.operators.ranking import min_rank_union
 
-    a, b = lexical(spark, sf, 50), overlap(spark, sf, 50)
+    a, b = materialise(lexical(spark, sf, 50), "lexical"), materialise(overlap(spark, sf, 50), "overlap")  # each is used twice
     parts = {"lexical": a.select("query", "key", "rank"), "overlap": b.select("query", "key", "rank"), "union": min_rank_union(a, b).select("query", "key", "rank")}
     out = None
     for name, df in parts.items():
@@ -65,7 +66,7 @@ def bm25_metrics(spark, sf):
 
 
 def pairs(spark, sf):
-    return metrics.paired(evaluated(spark, sf), "lexical", "union")
+    return metrics.paired(materialise(evaluated(spark, sf), "evaluated"), "lexical", "union")
 
 
 @query(f"WITH {PAIRS} SELECT measure, count(*) AS n, round(100 * avg(treatment - baseline), 6) AS delta, count(*) FILTER (treatment - baseline > 1e-12) AS wins, count(*) FILTER (treatment - baseline < -1e-12) AS losses FROM pr GROUP BY measure")
