@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -28,8 +29,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(hadoop).deleteOnExit(where)
-    return path
+    system = where.getFileSystem(hadoop)
+    system.deleteOnExit(where)
+    # with its scheme, so that Spark and pyarrow mean the same store
+    return re.sub("^file:/+", "file:///", system.makeQualified(where).toString())
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -102,7 +102,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     """
     small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # ties by text, so that every attempt of a task writes the same file
+    ordered = only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
