@@ -7,7 +7,7 @@ above a threshold are content. The element that holds most of their text is the
 with short paragraphs and headings, other nodes only if their path stands out by itself.
 
 Elements that never hold article text (scripts, styles, navigation, forms and the like) and blocks whose class or id says
-so are left out before that. Character references are decoded, white space in a block becomes one space, and blocks are
+so are left out before that, unless the block holds the page's headline. Character references are decoded, white space in a block becomes one space, and blocks are
 joined by a newline in page order.
 
 Cases: null and empty html, and pages without content, give an empty text. Unclosed and misnested tags close as
@@ -40,6 +40,8 @@ ARTICLE = {"article", "main"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ENTRY = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story|content)[_-]", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 #: A path is content from this share of the page's mean ratio of text characters up.
@@ -54,7 +56,9 @@ MAX_LINKED = 0.5
 def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path of block tags, text, characters inside links) of every text node that no left-out element holds."""
     nodes: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, left out
+    doubts: list[tuple[int, ...]] = []  # of each node, the blocks around it that their names speak against
+    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, left out, number if its name speaks against it
+    cleared: set[int] = set()
     hidden = 0
     links = 0
     text: list[str] = []
@@ -65,6 +69,7 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             words = " ".join("".join(text).split())
             if words:
                 nodes.append((tuple(s[1] for s in stack), words, len(" ".join("".join(linked).split()))))
+                doubts.append(tuple(s[3] for s in stack if s[3]))
             text.clear()
             linked.clear()
 
@@ -127,11 +132,14 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         named = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes)) if attributes else ""
         inside = any(s[0] in ARTICLE for s in stack)
-        out = tag in LEFT_OUT or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and bool(named) and bool(NAMES_LEFT_OUT.search(named)))
+        out = tag in LEFT_OUT or (tag == "header" and not inside and not _ENTRY.search(named)) or bool(attributes and _UNSEEN.search(attributes))
         hidden += out
-        stack.append((tag, f"{tag}.{named}" if named and tag in ("div", "section", "span") else tag, out))
+        doubt = m.start() + 1 if named and tag not in ("html", "body", "article", "main") and NAMES_LEFT_OUT.search(named) else 0
+        if tag in ("h1", "main"):  # a block around the headline is a frame of the page, whatever its name
+            cleared.update(s[3] for s in stack)
+        stack.append((tag, f"{tag}.{named}" if named and tag in ("div", "section", "span") else tag, out, doubt))
     flush()
-    return nodes
+    return [n for n, d in zip(nodes, doubts, strict=True) if cleared.issuperset(d)]
 
 
 def select_content(nodes: list[tuple[tuple[str, ...], str, int]]) -> list[str]:

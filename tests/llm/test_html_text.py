@@ -20,6 +20,14 @@ def test_article_alone_is_kept():
     ]
 
 
+def test_frames_with_telling_names_and_hidden_blocks():
+    page = """<body><div class="content-sidebar-wrap"><header class="entry-header"><h1>Headline of it</h1></header><p>Some text, with a comma. And more of it.</p><p hidden>unseen, words.</p>
+    <p style="display: none">gone, words.</p><table><tr><td>cell one<td>cell two</table></div><div id="sidebar"><p>Side text, that is long. It goes on, and on.</p></div>
+    <ol class="comment-list"><li><article><p>A reader says this, and that.</p></article></ol></body>"""
+    assert main_text(page).split("\n") == ["Headline of it", "Some text, with a comma. And more of it.", "cell one", "cell two"]
+    assert main_text("<main><div role='navigation'><p>Menu, long text.</p></div><p>Body text, here.</p></main>") == "Body text, here."
+
+
 def test_articles_of_whole_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = page_texts(spark.read.parquet(f"{SF}/pages.parquet")).collect()
