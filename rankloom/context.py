@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that goes when the session's JVM ends."""
     path = f"{shared_folder(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(where)
+    # with its scheme, so that Spark and other readers mean the same store
+    return re.sub("^file:/+", "file:///", system.makeQualified(where).toString())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
