@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,34 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from rankloom.context import materialise, scratch  # noqa: F401
+
 #: Rows of an Arrow batch: texts can be long, so batches stay shorter than Spark's 10,000.
 BATCH_ROWS = 1000
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(hadoop)
-    system.deleteOnExit(where)
-    # with its scheme, so that Spark and pyarrow mean the same store
-    return re.sub("^file:/+", "file:///", system.makeQualified(where).toString())
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a cut of the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a table to the shared folder and read it again: a cut of the lineage that survives lost executors.
+stash = materialise
 
 
 def small_batches(spark: SparkSession) -> None:
