@@ -147,8 +147,9 @@ def annotate(docs: DataFrame, model: RatioModel, min_score: float = MIN_SCORE) -
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per document: doc_id, the measures, base_failed, score and kept."""
-    return annotate(only(docs, "doc_id", "text"), fit(docs, labels), min_score)[0].drop("text")
+    """One row per document: doc_id, the measures, base_failed, kept and score."""
+    marked, names = annotate(only(docs, "doc_id", "text"), fit(docs, labels), min_score)
+    return marked.select("doc_id", *names[:-2], "kept", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
