@@ -30,6 +30,8 @@ MAX_REPEATS = 3
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rank buckets of one source; the one with the cut is the only one ordered by rows.
 RANK_BUCKETS = 1 << 11
+#: Sources are few beside documents; their table is checked against this size before it is broadcast.
+MAX_SOURCES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -66,7 +68,9 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target (its source's) and copies of every document."""
     spark = docs.sparkSession
     base = sized(docs)
-    totals = [(r.source, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    totals = [(r.source, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()]
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: the table of targets is made on the driver and broadcast")
     size_of = dict(totals)
     plan = []
     for source, target in fill_targets(totals):
