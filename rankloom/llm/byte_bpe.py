@@ -27,6 +27,8 @@ from rankloom.llm.pretokens import PackedEncoder
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Byte b is written as this code point plus b: letters that no normaliser or white-space rule touches.
 FIRST_CHARACTER = 0x100
+#: Pre-tokens of one generation; smaller than elsewhere, since other operators share the worker in a pipeline.
+CACHE = 200_000
 
 
 def default_path() -> str:
@@ -86,7 +88,7 @@ class ByteBpe:
         self.whole = {p: k for k, p in enumerate(pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.table = {b: FIRST_CHARACTER + b for b in range(256)}
-        self.encoder = PackedEncoder(self.encode_part)
+        self.encoder = PackedEncoder(self.encode_part, CACHE)
 
     def encode_part(self, part: str) -> list[int]:
         raw = part.encode("utf-8", "replace")

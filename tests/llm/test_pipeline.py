@@ -25,3 +25,16 @@ def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_on_awkward_documents(spark, place):
+    from . import cases
+
+    docs = cases.documents(spark, clash=True)
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, docs, SF)
+    n = out.count()
+    assert place == 4 or out.columns == docs.columns, name
+    assert stage(spark, cases.empty(spark), SF).count() == 0
+    assert n == 13 if place == 4 else 0 < n <= 39
