@@ -25,7 +25,8 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
     totals = lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     found = words.select("doc_id", *keys, F.size("terms").cast("double").alias("length"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     found = found.groupBy("doc_id", *keys, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("df"))
+    # counted by way of tf, so that both uses of these rows have the same plan and share one shuffle
+    df = found.groupBy("term", *keys).agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     stats = df.join(totals, keys) if keys else df.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     stats = stats.select("term", *keys, idf.alias("idf"), F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")).alias("mean"))
