@@ -20,7 +20,7 @@ def con():
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "NaT":
+    if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
         return ""
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
