@@ -20,7 +20,8 @@ are cut into blocks of bounded count and bytes.
 
 Cases: null text and text without words have no tokens and link with nothing; with fewer than four words the whole
 sequence is the one token. Repeated rows are equal sets. A null doc_id is never a component's name unless
-alone. Empty tables give empty results.
+alone. A document is told by its id, which can be null, and a 64-bit digest of its text: one id with two texts is two
+documents, and documents without id differ by their texts. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
-from rankloom.llm.frames import only
+from rankloom.llm.frames import fresh, only
 from rankloom.llm.storage import small_batches, stash, sum_vectors
 from rankloom.llm.textcore import Words, chunked, mix64, shingle_hashes
 
@@ -66,6 +67,11 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else 0
 
 
+def text_digest(text: Column) -> Column:
+    """64-bit digest of a text; with the id, which need be neither there nor unique, it stands for the document."""
+    return F.xxhash64(text)
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """Least overlap of a set of ``n`` tokens with any partner."""
     return -(-percent * n // 100)
@@ -209,7 +215,7 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def index_entries(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Per document one row with its set's key and size, and index entries as packed 64-bit values."""
+    """Per document (doc_id, text, digest) one row with its set's key and size, and index entries as packed 64-bit values."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     heavy = max(FREQUENT, 2 * float(counts.mean()))
     shift = np.uint64(64 - (len(counts).bit_length() - 1))
@@ -217,28 +223,27 @@ def index_entries(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for b in batches:
-            ids = iter(b.column(0).to_pylist())
             rows = []
             for tokens in token_sets(b.column(1).to_pylist()):
                 entries = prefix_entries(tokens, weight[(tokens >> shift).astype(np.int64)], heavy, percent) if len(tokens) else tokens
-                rows.append((next(ids), len(tokens), set_key(tokens), np.unique(entries).view(np.int64), parity_bitmap(tokens)))
+                rows.append((len(tokens), set_key(tokens), np.unique(entries).view(np.int64), parity_bitmap(tokens)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32), np.concatenate([r[3] for r in rows] or [np.empty(0, np.int64)])),
-                 pa.ListArray.from_arrays((BITMAP_WORDS * np.arange(len(rows) + 1)).astype(np.int32), np.concatenate([r[4] for r in rows] or [np.empty(0, np.int64)]))],
-                names=["doc_id", "n", "key", "entries", "bitmap"],
+                [b.column(0).cast(pa.int64()), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32), np.concatenate([r[2] for r in rows] or [np.empty(0, np.int64)])),
+                 pa.ListArray.from_arrays((BITMAP_WORDS * np.arange(len(rows) + 1)).astype(np.int32), np.concatenate([r[3] for r in rows] or [np.empty(0, np.int64)]))],
+                names=["doc_id", "digest", "n", "key", "entries", "bitmap"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, entries array<long>, bitmap array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest long, n long, key long, entries array<long>, bitmap array<long>")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
-    """(key, tokens) of documents (key, text)."""
+    """(key, tokens) of documents (key, text), without those whose set has another key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [t.astype("<u8").tobytes() for t in token_sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "tokens"])
+            sets = zip(b.column(0).to_pylist(), token_sets(b.column(1).to_pylist()), strict=True)
+            yield _arrow([(key, t.astype("<u8").tobytes()) for key, t in sets if set_key(t) == key], [pa.int64(), pa.binary()], ["key", "tokens"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, tokens binary")
 
@@ -284,16 +289,21 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _least_document() -> Column:
+    """The least document of a group by id, nulls last, and text digest, as a struct with the fields doc_id and digest."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+
+
 def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their set's size and key (doc_id, n, key), and links (a, b) between different sets.
+    """Documents with their set's size and key (doc_id, digest, n, key), and links (a, b) between different sets.
 
     The links span the components of the similarity graph; within dense families not every link is returned.
     """
     small_batches(docs.sparkSession)
-    docs = only(docs, "doc_id", "text")
+    docs = only(docs, "doc_id", "text").withColumn("digest", text_digest(F.col("text")))
     table = stash(index_entries(docs, sketch(docs), percent), "entries")
-    members = table.select("doc_id", "n", "key")
-    classes = stash(table.where("n > 0").dropDuplicates(["key"]).drop("doc_id"), "classes")
+    members = table.select("doc_id", "digest", "n", "key")
+    classes = stash(table.where("n > 0").dropDuplicates(["key"]).drop("doc_id", "digest"), "classes")
     entries = classes.select(F.explode("entries").alias("entry"), "key", "n")
     shared = entries.groupBy("entry").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("load")).where("load > 1")
     posted = stash(entries.join(shared, "entry"), "posted")
@@ -305,8 +315,9 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     starred = dense.join(pivots, "entry").where((F.col("key") != F.col("pivot")) & near).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
     pairs = _may_link(pairs.unionByName(starred).distinct(), classes, percent)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(dense.select("key")).distinct()
-    first = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.where("doc_id IS NOT NULL").join(first.join(wanted, "key").hint("shuffle_hash"), "doc_id")
+    first = members.where("n > 0").groupBy("key").agg(_least_document().alias("first")).select("key", "first.doc_id", "first.digest")
+    first = first.join(wanted, "key").hint("shuffle_hash")
+    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]) & (docs["digest"] == first["digest"]))
     sets = stash(_sets_of(texts).dropDuplicates(["key"]), "sets")
     links = stash(_verify(pairs, sets, percent), "links")
     if dense.isEmpty():
@@ -338,7 +349,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id names their component, once each, with the columns they came with."""
-    keep = jaccard_components(docs, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The least document of each component by id, nulls last, and text digest, once, with the columns it came with.
+
+    Documents without words link with nothing: each stays, repeated rows (same id and text) once.
+    """
+    members, links = class_links(docs, percent)
+    roots = components(links).withColumnRenamed("node", "key")
+    rooted = members.where("n > 0").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    keep = rooted.groupBy("root").agg(_least_document().alias("first")).select("first.doc_id", "first.digest")
+    keep = keep.unionByName(members.where("n = 0").select("doc_id", "digest").distinct())
+    digest = fresh(docs, "digest")[0]
+    rows = docs.withColumn(digest, text_digest(docs["text"]))
+    kept = rows.join(keep.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows[digest] == keep["digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", digest]).drop(digest)

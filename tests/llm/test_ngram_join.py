@@ -122,3 +122,32 @@ def test_awkward_tables(spark):
     one = nj.one_of_each(docs)
     assert one.columns == docs.columns
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == [-50, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
+def test_documents_without_id_and_ids_with_two_texts(spark):
+    rnd = random.Random(9)
+    own = [[f"t{k}_{j}" for j in range(120)] for k in range(6)]
+    near = lambda k: " ".join(edited(rnd, own[k], 1))
+    plain = lambda k: " ".join(own[k])
+    rows = [(7, plain(0)), (None, near(0)), (None, near(1)), (None, near(1)), (None, plain(2)), (None, plain(2)), (5, plain(3)), (5, plain(4)), (9, near(3)), (3, near(4)), (None, ""), (None, None), (4, ""), (4, " "), (6, plain(5)), (6, plain(5))]
+    named = rows[:2] + rows[6:10] + rows[12:]
+    assert run(spark, named) == brute(named)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], cases.SCHEMA)
+    for digest in (None, "digest"):
+        docs = df.withColumn(digest, df["n_chars"]) if digest else df
+        one = nj.one_of_each(docs)
+        assert one.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+        ones = [r for r in got if r not in [(None, rows[2][1]), (None, rows[3][1])]]
+        assert len(got) == len(ones) + 1  # one of the two near copies without id
+        want = [(7, plain(0)), (None, plain(2)), (5, plain(3)), (3, rows[9][1]), (None, ""), (None, None), (4, ""), (4, " "), (6, plain(5))]
+        assert ones == sorted(want, key=str)
+
+
+def test_dense_family_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_CLASSES", 32)
+    rows = [(None, t) for _, t in near_copies(3)]
+    expected = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], cases.SCHEMA)
+    wordless = {t for _, t in rows if not (t or "").strip()}
+    assert nj.one_of_each(df).count() == len({c for _, n, c in expected if n}) + len(wordless)
