@@ -201,13 +201,13 @@ def ranked_file_seeds(spark, sf):
 
 
 def features(spark, sf):
-    """Entities are documents (first line: name and signature), files their sources; an item's first sentence is its title."""
+    """Entities are documents (first line: name and signature; the rest: source), files their sources; an item's first sentence is its title."""
     docs = corpus(spark, sf)
     line = F.split("text", "\n")
-    entities = docs.select(F.col("source").alias("file"), F.substring(F.element_at(line, 1), 1, 60).alias("name"), F.substring(F.element_at(line, 1), 1, 120).alias("signature"), F.array_join(F.slice(line, 2, 3), "\n").alias("source"), F.col("doc_id").cast("int").alias("start_line"))
-    parts = items(spark, sf).where("query < 10").select("query", F.substring_index("text", ".", 1).alias("title"), "text")
+    entities = docs.select(F.col("source").alias("file"), F.element_at(line, 1).alias("name"), F.element_at(line, 1).alias("signature"), F.array_join(F.slice(line, F.lit(2), F.size(line)), "\n").alias("source"), F.col("doc_id").cast("int").alias("start_line"))
+    parts = items(spark, sf).select("query", F.substring_index("text", ".", 1).alias("title"), "text")
     terms = tx.section_terms(tx.sections(parts, "query", F.col("title"), F.col("text")))
-    files = projection.ranked_file_seeds(with_file(lexical(spark, sf, 20), spark, sf), 5, 20).select("query", "file", F.col("file_rank").alias("best_rank")).where("query < 10")
+    files = projection.ranked_file_seeds(with_file(lexical(spark, sf, 20), spark, sf), 5, 20).select("query", "file", F.col("file_rank").alias("best_rank"))
     return projection.projection_features(entities, terms, files)
 
 
