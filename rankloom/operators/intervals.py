@@ -48,6 +48,20 @@ def gap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.greatest(F.lit(0).cast("long"), a_start - b_end, b_start - a_end)
 
 
+def least_gap(intervals: DataFrame, group: str, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """For each interval the distance to the nearest other one of its group, 0 when they overlap; none for one alone.
+
+    ``key`` tells a group's intervals apart; repeated rows count once. Of those that start no later only the latest end
+    matters, of those that start no earlier only the next: one running window, no pairs.
+    """
+    rows = intervals.select(group, key, start, end).distinct()
+    order = Window.partitionBy(group).orderBy(start, key)
+    before = F.col(start) - F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead(start).over(order) - F.col(end)
+    found = rows.withColumn("gap", F.least(before, after)).where("gap IS NOT NULL")
+    return found.select(group, key, F.greatest(F.lit(0).cast("long"), "gap").alias("gap"))
+
+
 def nearest(left: DataFrame, right: DataFrame, group: str, left_time: str, right_time: str, tie: str) -> DataFrame:
     """For each left row the right row of its group that is nearest in time, before or after; ties to the earlier, then ``tie``.
 

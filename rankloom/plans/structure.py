@@ -97,7 +97,7 @@ def page_link_closure(spark, sf):
 def spans(spark, sf):
     """Order intervals in days since 1992: from order date to the last shipment."""
     day = lambda c: F.datediff(F.col(c), F.lit("1992-01-01").cast("date"))
-    orders = table(spark, sf, "orders").where("o_custkey < 200").select("o_orderkey", "o_custkey", day("o_orderdate").alias("start"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("start"))
     last = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(day("l_shipdate")).alias("end"))
     return orders.join(last, "o_orderkey").where("end >= start")
 
@@ -137,10 +137,7 @@ def line_islands(spark, sf):
 
 @query(f"""WITH {SPANS_SQL} SELECT a.o_orderkey AS o_orderkey, min(greatest(0, b.start - a."end", a.start - b."end"))::BIGINT AS gap FROM sp a JOIN sp b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey GROUP BY 1""")
 def interval_gap(spark, sf):
-    a = spans(spark, sf)
-    b = a.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
-    pairs = a.join(b, "o_custkey").where("o_orderkey <> other")
-    return pairs.groupBy("o_orderkey").agg(F.min(intervals.gap(F.col("start"), F.col("end"), F.col("s"), F.col("e"))).cast("long").alias("gap"))
+    return intervals.least_gap(spans(spark, sf), "o_custkey", "o_orderkey").select("o_orderkey", F.col("gap").cast("long").alias("gap"))
 
 
 @query("""WITH c AS (SELECT user_id, quantile_disc(epoch_us(ts), 0.5) AS cutoff FROM events GROUP BY user_id) SELECT event_id, epoch_us(ts) <= cutoff AS created_visible, (epoch_us(ts) <= cutoff AND coalesce(epoch_us(ts) + (value * 1000000)::BIGINT <= cutoff, false)) AS content_visible FROM events JOIN c USING (user_id)""")

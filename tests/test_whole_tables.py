@@ -29,3 +29,32 @@ def test_projection_of_every_item_over_whole_documents(spark, tmp_path):
     assert all(got[k, k] == (0, 1) for k in range(30)) and got[30, 30] == (1, 0)
     assert ids(run(spark, "selector_variants", sf), "query") == set(range(31))
     assert len(ids(run(spark, "entity_projection"), "query")) == 40
+
+
+def test_intervals_of_every_customer(spark):
+    from rankloom.plans.structure import spans
+
+    customers = ids(spark.read.parquet(f"{SF}/orders.parquet"), "o_custkey")
+    assert ids(run(spark, "innermost_interval"), "o_custkey") == customers
+    orders = ids(spans(spark, SF), "o_orderkey")
+    assert ids(run(spark, "enclosing_interval"), "o_orderkey") == orders
+
+
+def test_intervals_of_customers_with_high_keys(spark, tmp_path):
+    from datetime import date
+
+    days = [(1, 250, 1, 4), (2, 250, 2, 3), (3, 250, 9, 12), (4, 900, 1, 2), (5, 199, 1, 9), (6, 199, 14, 20)]
+    sf = tables(spark, tmp_path, orders=([(k, c, date(1992, 3, s)) for k, c, s, _ in days], "o_orderkey long, o_custkey long, o_orderdate date"), lineitem=([(k, date(1992, 3, e)) for k, _, _, e in days], "l_orderkey long, l_shipdate date"))
+    assert {(r.o_orderkey, r.gap) for r in run(spark, "interval_gap", sf).collect()} == {(1, 0), (2, 0), (3, 5), (5, 5), (6, 5)}
+
+
+def test_least_gap_matches_all_pairs(spark):
+    import random
+
+    from rankloom.operators.intervals import least_gap
+
+    rnd = random.Random(4)
+    rows = [(g, k, s, s + rnd.randrange(8)) for k in range(150) for g, s in [(rnd.choice("abcd"), rnd.randrange(300))]]
+    want = {(g, k): min(max(0, s - f, t - e) for h, j, t, f in rows if h == g and j != k) for g, k, s, e in rows}
+    got = least_gap(spark.createDataFrame(rows + rows[:9] + [("alone", 999, 1, 2)], "g string, k long, start int, end int"), "g", "k").collect()
+    assert {(r.g, r.k): r.gap for r in got} == want and len(got) == len(want)
