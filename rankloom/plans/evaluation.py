@@ -97,7 +97,7 @@ SOURCE_VALUES = "v AS (SELECT source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.
 )
 def signflip_exact(spark, sf):
     rows = corpus(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    v = rows.groupBy("source").agg((F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)) - F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)) - 0.7).alias("d")).orderBy("source").limit(12)
+    v = rows.groupBy("source").agg((F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)) - F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)) - 0.7).alias("d"))
     return stats.sign_flip(v.withColumn("endpoint", F.lit("labels")), ["endpoint"], "d", "source")
 
 

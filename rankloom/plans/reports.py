@@ -202,16 +202,16 @@ def python_entities(spark, sf):
 
 @query()
 def diff_lines(spark, sf):
-    """Lines of generated diffs, one per order of a customer."""
+    """Lines of generated diffs, one per order."""
     k = F.col("o_orderkey").cast("string")
     patch = F.concat(F.lit("--- a/f"), k, F.lit(".py\n+++ b/f"), k, F.lit(".py\n@@ -3,2 +3,3 @@\n keep\n-old\n+new\n+more\n"))
-    df = table(spark, sf, "orders").where("o_custkey < 50").select("o_orderkey", patch.alias("patch"))
+    df = table(spark, sf, "orders").select("o_orderkey", patch.alias("patch"))
     return patches.patch_lines(df, "o_orderkey", "patch")
 
 
 @query()
 def fuzzy_best(spark, sf):
     """Best match by longest common subsequence of part names within a brand."""
-    part = table(spark, sf, "part").where("p_size <= 5")
+    part = table(spark, sf, "part")
     left, right = part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1")
     return joins.fuzzy_best(left.select("p_brand", F.col("p_name").alias("a")).distinct(), right.select("p_brand", F.col("p_name").alias("b")).distinct(), "p_brand", "a", "b")

@@ -101,7 +101,7 @@ def bm25_query_tf(spark, sf):
 
 def vectors(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return rows.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label"), rows.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return rows.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label"), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
 DENSE = """dense AS (SELECT q.vec_id AS query, e.vec_id AS key, e.label AS file, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)"""

@@ -58,3 +58,25 @@ def test_least_gap_matches_all_pairs(spark):
     want = {(g, k): min(max(0, s - f, t - e) for h, j, t, f in rows if h == g and j != k) for g, k, s, e in rows}
     got = least_gap(spark.createDataFrame(rows + rows[:9] + [("alone", 999, 1, 2)], "g string, k long, start int, end int"), "g", "k").collect()
     assert {(r.g, r.k): r.gap for r in got} == want and len(got) == len(want)
+
+
+def test_fuzzy_best_over_all_parts(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    right = part.where("p_partkey % 2 = 1").select("p_brand").distinct()
+    want = part.where("p_partkey % 2 = 0").join(right, "p_brand").select("p_brand", "p_name").distinct()
+    assert sorted(run(spark, "fuzzy_best").select("p_brand", "a").collect()) == sorted(want.collect())
+
+
+def test_diffs_of_all_orders(spark):
+    assert ids(run(spark, "diff_lines"), "o_orderkey") == ids(spark.read.parquet(f"{SF}/orders.parquet"), "o_orderkey")
+
+
+def test_signs_of_all_sources(spark):
+    sources = ids(spark.read.parquet(f"{SF}/documents.parquet"), "source")
+    assert len(sources) > 12 and run(spark, "signflip_exact").first().clusters == len(sources)
+
+
+def test_dense_queries_grow_with_the_table(spark):
+    asked = {k for k in ids(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id") if k % 100 == 0}
+    for name in ("dense_top20", "dense_filefirst"):
+        assert ids(run(spark, name), "query") == asked
