@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.predicates import created_by, is_historical, visible_at
 
@@ -56,13 +60,40 @@ def digest_manifest(df: DataFrame, name: str, content: str) -> DataFrame:
     return df.select(name, F.length(F.col(content).cast("binary")).alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
-def contained_passages(docs: DataFrame, passages: DataFrame, width: int = 60, most: int = 20_000) -> DataFrame:
-    """(doc_id, item_id) where a document holds the first ``width`` characters of a passage.
+#: Characters of a passage's head that candidates share with it, at most.
+HEAD = 32
+
+
+def _windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, digest, window): the distinct substrings of the given sizes of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in enumerate(b.column("text").to_pylist()):
+                found = list({text[i : i + n] for n in sizes for i in range(len(text) - n + 1)})
+                at = pa.array([k] * len(found), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("digest").take(at), pa.array(found, pa.string())], names=["doc_id", "digest", "window"])
+
+    rows = docs.select("doc_id", "digest", "text").where("text IS NOT NULL")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["digest"], T.StructField("window", T.StringType())]))
+
+
+def contained_passages(docs: DataFrame, passages: DataFrame, most: int = 20_000, most_chars: int = 16_000_000) -> DataFrame:
+    """(doc_id, item_id) where a document holds the whole of a passage, of whatever length but 0.
 
-    Every document is read once against all heads. Their number is checked: beyond ``most`` this is not the way.
+    Up to ``most`` passages of ``most_chars`` characters in all are tested one by one. Of more, a passage's head (as many
+    characters as the greatest power of two within its length and ``HEAD``) must be a window of the document: an equi-join
+    on hashes finds candidates, which are tested whole.
     """
-    heads = passages.select("item_id", F.substring("text", 1, width).alias("head")).where(F.length("head") == width)
-    n = heads.count()
-    if n > most:
-        raise ValueError(f"{n} passages are too many to test one by one")
-    return docs.select("doc_id", "text").join(F.broadcast(heads), F.contains(F.col("text"), F.col("head"))).select("doc_id", "item_id").distinct()
+    texts = passages.select("item_id", F.col("text").alias("passage")).where("length(passage) > 0")
+    docs = docs.select("doc_id", "text")
+    n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
+    if n <= most and chars <= most_chars:
+        return docs.join(F.broadcast(texts), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()
+    texts = texts.withColumn("size", F.least(F.lit(HEAD), F.expr("shiftleft(1, CAST(floor(log2(length(passage))) AS INT))")))
+    sizes = sorted(r[0] for r in texts.select("size").distinct().collect())
+    docs = docs.withColumn("digest", F.xxhash64("text"))  # with the id, which can repeat or be null, it tells the documents
+    heads = texts.select(F.xxhash64(F.expr("left(passage, size)")).alias("head"), "item_id", "passage")
+    found = _windows(docs, sizes).select(F.col("doc_id").alias("id"), F.col("digest").alias("at"), F.xxhash64("window").alias("head")).join(heads, "head").drop("head").distinct()
+    same = docs["doc_id"].eqNullSafe(found["id"]) & (docs["digest"] == found["at"])
+    return docs.join(found, same).where(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()

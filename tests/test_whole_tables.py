@@ -80,3 +80,17 @@ def test_dense_queries_grow_with_the_table(spark):
     asked = {k for k in ids(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id") if k % 100 == 0}
     for name in ("dense_top20", "dense_filefirst"):
         assert ids(run(spark, name), "query") == asked
+
+
+def test_passages_are_contained_as_a_whole(spark):
+    from rankloom.operators.audit import contained_passages
+
+    long = "passage " * 12 + "end"
+    docs = [(1, "x" + long), (2, long[:-1] + "X"), (3, "the short one"), (None, "😀 short"), (4, None), (5, ""), (3, long + "."), (6, "ab" * 40)]
+    items = [(1, long), (2, "short"), (3, ""), (4, None), (5, "😀"), (6, "b" + "ab" * 20), (7, "the short one and more")]
+    want = {(d, i) for d, t in docs for i, p in items if t and p and p in t}
+    assert {(1, 1), (3, 1), (3, 2), (None, 2), (None, 5), (6, 6)} == want
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (20_000, 1):
+        got = contained_passages(*frames, most=most).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
