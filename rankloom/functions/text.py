@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import keyword
 
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Stop words of the identifier splitter; language keywords are stop words as well.
 STOP_WORDS = (
@@ -189,11 +191,37 @@ def sequence_hash(values: Column) -> Column:
     return F.sha2(F.array_join(values, "\n"), 256)
 
 
-def levenshtein_similarity(a: Column, b: Column, limit: int = 2000) -> Column:
-    """1 - distance / longer length, on the first ``limit`` characters of each (the distance is quadratic)."""
-    a, b = F.substring(a, 1, limit), F.substring(b, 1, limit)
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance in linear memory: a column of the table is held as the bits of two integers."""
+    if a == b or not a or not b:
+        return 0 if a == b else len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # where a cell is one more, or one less, than the cell above it
+    for c in b:
+        same = places.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(level | up)), up & level
+        distance += 1 if right & last else -1 if left & last else 0
+        right, left = right << 1 | 1, left << 1
+        same |= down
+        up, down = (left | ~(same | right)) & full, right & same & full
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def levenshtein_similarity(a: Column, b: Column, limit: int | None = None) -> Column:
+    """1 - distance / longer length, of the whole texts or of the first ``limit`` characters of each (the distance is quadratic)."""
+    if limit is not None:
+        a, b = F.substring(a, 1, limit), F.substring(b, 1, limit)
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, 1.0).otherwise(1 - _distance(a, b) / longer)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -257,7 +257,7 @@ def selector_variants(spark, sf):
 
 @query(f"SELECT doc_id, array_to_string({split_terms_sql('left(text, 400)')}, ' ') AS terms, array_to_string(list_sort({exact_terms_sql('left(text, 400)')}), ' ') AS exact FROM documents")
 def identifier_terms(spark, sf):
-    t = F.substring("text", 1, 400)
+    t = F.col("text")
     return corpus(spark, sf).select("doc_id", F.array_join(tx.split_terms(t), " ").alias("terms"), F.array_join(F.array_sort(tx.exact_terms(t)), " ").alias("exact"))
 
 

@@ -218,12 +218,12 @@ def html_strip_links(spark, sf):
     length(CASE WHEN length(t) > 80 THEN rtrim(left(t, 77)) || '...' ELSE t END) AS compacted FROM (SELECT *, trim(regexp_replace(left(text, 300), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS t FROM documents)""")
 def text_budgets(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", tx.token_proxy(t).alias("tokens"), tx.truncate_keep_ends(t, 200).alias("ends"), F.length(tx.compact(F.substring(t, 1, 300), 80)).cast("long").alias("compacted"))
+    return table(spark, sf, "documents").select("doc_id", tx.token_proxy(t).alias("tokens"), tx.truncate_keep_ends(t, 200).alias("ends"), F.length(tx.compact(t, 80)).cast("long").alias("compacted"))
 
 
 @query("""SELECT a.doc_id AS doc_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS likeness FROM (SELECT doc_id, regexp_replace(left(text, 60), '[^ -~]', '', 'g') AS t FROM documents) a JOIN (SELECT doc_id, regexp_replace(left(text, 60), '[^ -~]', '', 'g') AS t FROM documents) b ON b.doc_id = a.doc_id + 1""")
 def levenshtein_similarity(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "").alias("t"))
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return docs.join(after, "doc_id").select("doc_id", F.round(tx.levenshtein_similarity(F.col("t"), F.col("u")), 6).alias("likeness"))
 

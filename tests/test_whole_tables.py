@@ -94,3 +94,33 @@ def test_passages_are_contained_as_a_whole(spark):
     for most in (20_000, 1):
         got = contained_passages(*frames, most=most).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_whole_texts(spark, tmp_path):
+    spaced = "a" + " " * 400 + "b" * 100
+    docs = [(1, "x" * 3000), (2, "x" * 2999 + "y"), (3, "pad " * 200 + "lateTerm"), (4, spaced), (5, None)]
+    sf = tables(spark, tmp_path, documents=([(k, t, "s", "en") for k, t in docs], "doc_id long, text string, source string, lang string"))
+    likeness = {r.doc_id: r.likeness for r in run(spark, "levenshtein_similarity", sf).collect()}
+    assert likeness[1] == round(1 - 1 / 3000, 6) and likeness[4] is None
+    terms = {r.doc_id: (r.terms, r.exact) for r in run(spark, "identifier_terms", sf).collect()}
+    assert terms[3][0].endswith("late term") and "lateterm" in terms[3][1]
+    assert {r.doc_id: r.compacted for r in run(spark, "text_budgets", sf).collect()}[4] == 80
+
+
+def test_edit_distance_matches_the_table():
+    import random
+
+    from rankloom.functions.text import edit_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for k, d in enumerate(b, 1):
+                before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (c != d))
+        return row[-1]
+
+    rnd = random.Random(8)
+    for trial in range(400):
+        a, b = ("".join(rnd.choices("abc😀"[: rnd.randrange(1, 5)], k=rnd.randrange(0, 90))) for _ in range(2))
+        assert edit_distance(a, b) == table(a, b)
