@@ -1,24 +1,36 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a list of text nodes, one for each run of text between block boundaries, each with its root-to-leaf path of
-block tags. Per path the text length outside links and the punctuation are aggregated over its nodes; a path's
-ratio is their product per node. Ratios are smoothed over neighbouring nodes and fused with the path's own; paths
-above a threshold are content. The element that holds most of their text is the content root: its nodes are the article,
-with short paragraphs and headings, other nodes only if their path stands out by itself.
+block tags (and the names of ``div``, ``section`` and ``span``). Per path the text length outside links and the punctuation are
+aggregated over its nodes; a path's ratio is the root of their product per node. A node's ratio is its path's, weighted down
+where a name around it speaks against it. Node ratios are smoothed over their neighbours in page order and fused with
+themselves, and each path gets the mean of its nodes' fused values. Thresholds on these, as shares of the page's mean, decide:
 
-Elements that never hold article text (scripts, styles, navigation, forms and the like) and blocks whose class or id says
-so are left out before that, unless the block holds the page's headline. Character references are decoded, white space in a block becomes one space, and blocks are
-joined by a newline in page order.
+* a path from ``CONTENT_SHARE`` up is content, wherever it is, for choosing the root: the deepest element that holds
+  ``ROOT_SHARE`` of the content's text, or an ``article`` or ``main`` element that holds ``ARTICLE_SHARE`` of it;
+* in the root, paths that are content stay, and paths of headings, items, cells and short paragraphs (in an article element: all
+  paths) from ``INSIDE_SHARE`` up, where content stands beside them; so lists of nothing but links, whose ratio is 0, go;
+* outside the root, and in blocks whose names speak against them, only paths from ``OUTSIDE_SHARE`` up stay, and a
+  headline shortly before the first text that stays.
+
+Elements that never hold article text (scripts, styles, navigation, footers, asides, forms and the like) and hidden ones are
+left out before that. A block around the headline is a frame of the page, whatever its name.
+
+Character references are decoded, white space in a block becomes one space, and blocks are joined by a newline in page order.
 
 Cases: null and empty html, and pages without content, give an empty text. Unclosed and misnested tags close as
-browsers close them; an unclosed script hides the rest of the page. Nothing is capped: long pages are read whole.
+browsers close them; an unclosed script hides the rest of the page. Nothing is capped: long and deeply nested pages are read
+whole in linear time. Ties cannot arise: a value at a threshold stays, of equally deep roots the first is taken. Repeated rows
+and rows with null ids or urls are extracted each. Empty tables give empty results. Columns of the table that are called like the
+result's are ignored by ``page_texts`` and kept by ``extract``, whose own get an underscore.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -29,38 +41,107 @@ from rankloom.llm.frames import append_columns, fresh, only
 
 # Element names of HTML and usual names of page parts.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
-LEFT_OUT = {"head", "script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "nav", "menu", "footer", "aside", "form", "button", "select", "option", "dialog", "audio", "video", "noframes", "noembed", "xmp"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+LEFT_OUT = {
+    "head", "script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "nav", "menu", "footer",
+    "aside", "form", "button", "select", "option", "dialog", "audio", "video", "noframes", "noembed", "xmp",
+}
+INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr",
+    "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+}
+VOID_INLINE = {"area", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr", "base", "col"}
+CLOSES_P = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul",
+}
+P_SCOPE = {"article", "section", "div", "td", "th", "li", "button", "table", "blockquote"}
+SIBLINGS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+    "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
+}
 SCOPE = {"ul", "ol", "menu", "dl", "table", "select"}
-NAMES_LEFT_OUT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|reply|replies|respond|disqus|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?\w*|consent|notice|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popular|pagination|pager|widget|toolbar|popup|modal|copyright|legal)(?:$|[\s_-])", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SHORT_BLOCKS = HEADINGS | {"p", "li", "td", "th", "dt", "dd", "pre", "blockquote", "figcaption", "caption", "summary", "address"}
+#: Elements that group short blocks; the container of a node is its nearest block of another kind.
+GROUPS = SHORT_BLOCKS | {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "hgroup", "details", "header"}
 ARTICLE = {"article", "main"}
+_PARTS = (
+    r"ads?|advert\w*|sponsor(?:ed)?|promos?|promotions?|comments?|commentlist|replies|respond|disqus|sidebars?|nav|navbar|navigation|menus?|breadcrumbs?|"
+    r"footer|masthead|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|social|pagination|pager|toolbar|popup|modal|banner"
+)
+_TAILS = r"list|lists|area|section|box|wrap\w*|container|notice|bar|block|widget|form|links?|inner|content|top|bottom|left|right|thread|policy|\d+"
+#: Names that speak strongly against a block, and names that speak weakly against it.
+AGAINST = re.compile(rf"(?!(?:has|no|with|without|is)[-_])(?:\w+[-_])*?(?:{_PARTS})(?:[-_](?:{_TAILS}))*", re.I)
+DOUBTFUL = re.compile(rf"(?:{_PARTS}|side|related|recommended|popular|notice|copyright|legal|widget|reply)(?:[-_](?:{_TAILS}|posts?|articles?|stories|items?))*", re.I)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _ENTRY = re.compile(r"(?:^|[\s_-])(?:entry|post|article|story|content)[_-]", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 #: A path is content from this share of the page's mean ratio of text characters up.
-CONTENT_SHARE = 0.25
-#: Outside the content root only from this share up.
+CONTENT_SHARE = 0.35
+#: In the root, paths of short blocks stay from this share up, or from a ratio of ``INSIDE_LEAST`` (one character outside links).
+INSIDE_SHARE, INSIDE_LEAST = 0.004, 0.5
+#: Outside the content root a path stays only from this share up.
 OUTSIDE_SHARE = 0.8
-#: Least share of content that the root holds.
-ROOT_SHARE = 0.6
-MAX_LINKED = 0.5
-
-
-def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path of block tags, text, characters inside links) of every text node that no left-out element holds."""
-    nodes: list[tuple[tuple[str, ...], str, int]] = []
-    doubts: list[tuple[int, ...]] = []  # of each node, the blocks around it that their names speak against
-    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, left out, number if its name speaks against it
-    cleared: set[int] = set()
-    hidden = 0
-    links = 0
+#: Least share of content that the root holds; that an article element must hold to be the root.
+ROOT_SHARE, ARTICLE_SHARE = 0.8, 0.2
+#: What a name that speaks strongly, or weakly, against a block leaves of its ratios.
+STRONGLY, WEAKLY = 0.05, 0.3
+#: A headline stays if at most this many nodes lie between it and the first text that stays.
+HEADLINE_GAP = 2
+
+
+@dataclass
+class Node:
+    """A run of text: its path and element by number, its words, and its characters inside links."""
+
+    path: int
+    element: int
+    words: str
+    linked: int
+
+
+@dataclass
+class Page:
+    """Text nodes, the elements (parent, tag) they stand in, and the paths' last steps. Element 0 and path 0 are the page."""
+
+    nodes: list[Node] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [-1])
+    tags: list[str] = field(default_factory=lambda: [""])
+    priors: list[float] = field(default_factory=lambda: [1.0])
+    steps: dict[tuple[int, str], int] = field(default_factory=dict)
+
+
+@dataclass
+class _Open:
+    tag: str
+    element: int
+    path: int
+    out: bool
+    link: bool
+    inline: bool
+
+
+def prior_of(named: str) -> float:
+    """What the names of a block leave of its ratios."""
+    tokens = named.lower().split()
+    if any(AGAINST.fullmatch(t) for t in tokens):
+        return STRONGLY
+    return WEAKLY if any(DOUBTFUL.fullmatch(t) for t in tokens) else 1.0
+
+
+def parse(html: str) -> Page:
+    """The text nodes of a page that no left-out or hidden element holds. Linear in the page, however deep it nests."""
+    page = Page()
+    stack: list[_Open] = [_Open("", 0, 0, False, False, False)]
+    open_: Counter[str] = Counter()
+    hidden = links = 0
     text: list[str] = []
     linked: list[str] = []
 
@@ -68,22 +149,34 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                nodes.append((tuple(s[1] for s in stack), words, len(" ".join("".join(linked).split()))))
-                doubts.append(tuple(s[3] for s in stack if s[3]))
+                top = stack[-1]
+                page.nodes.append(Node(top.path, top.element, words, len(" ".join("".join(linked).split()))))
             text.clear()
             linked.clear()
 
+    def push(tag: str, element: int, path: int, out: bool, link: bool, inline: bool) -> None:
+        nonlocal hidden, links
+        stack.append(_Open(tag, element, path, out, link, inline))
+        open_[tag] += 1
+        hidden += out
+        links += link
+
     def pop() -> None:
-        nonlocal hidden
-        hidden -= stack.pop()[2]
+        nonlocal hidden, links
+        top = stack.pop()
+        open_[top.tag] -= 1
+        hidden -= top.out
+        links -= top.link
 
-    def close(names: set[str], within: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+    def close(names: set[str], within: set[str], inline: bool = False) -> None:
+        if not any(open_[n] for n in names):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in names:
                 while len(stack) > k:
                     pop()
                 return
-            if stack[k][0] in within:
+            if stack[k].tag in within or inline and not stack[k].inline:
                 return
 
     def say(raw: str) -> None:
@@ -102,86 +195,142 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         say(html[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if not tag or tag in VOID_INLINE:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if closing else 1
-            continue
         if tag == "br":
             if not hidden:
                 text.append("\n")
             continue
+        if tag in INLINE:
+            if closing or tag == "a":
+                close({tag}, set(), inline=True)
+            if not closing:
+                unseen = bool(attributes) and bool(_UNSEEN.search(attributes) or prior_of(_names(attributes)) == STRONGLY)
+                push(tag, stack[-1].element, stack[-1].path, unseen, tag == "a" and bool(_HREF.search(attributes)), True)
+            continue
         if closing:
-            if any(s[0] == tag for s in stack):
+            if open_[tag]:
                 flush()
                 close({tag}, set())
-                links = 0
             continue
         flush()
         if tag in CLOSES_P:
-            close({"p"}, {"article", "section", "div", "td", "th", "li", "button", "table", "blockquote"})
+            close({"p"}, P_SCOPE)
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPE)
-        if tag in VOID or attributes.endswith("/") and tag not in RAW and tag not in CLOSES_P:
+        if tag == "hr" or attributes.endswith("/") and tag not in RAW and tag not in CLOSES_P:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = html.find(">", stop.end()) + 1 or end if stop else end
             continue
-        named = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes)) if attributes else ""
-        inside = any(s[0] in ARTICLE for s in stack)
-        out = tag in LEFT_OUT or (tag == "header" and not inside and not _ENTRY.search(named)) or bool(attributes and _UNSEEN.search(attributes))
-        hidden += out
-        doubt = m.start() + 1 if named and tag not in ("html", "body", "article", "main") and NAMES_LEFT_OUT.search(named) else 0
+        named = _names(attributes) if attributes else ""
+        out = tag in LEFT_OUT or (tag == "header" and not any(open_[t] for t in ARTICLE) and not _ENTRY.search(named)) or bool(attributes and _UNSEEN.search(attributes))
+        prior = prior_of(named) if named and tag not in ("html", "body", "article", "main") else 1.0
+        step = f"{tag}.{named}" if named and (tag in ("div", "section") or prior < 1) else tag
+        path = page.steps.setdefault((stack[-1].path, step), len(page.steps) + 1)
+        page.parents.append(stack[-1].element)
+        page.tags.append(tag)
+        page.priors.append(prior)
         if tag in ("h1", "main"):  # a block around the headline is a frame of the page, whatever its name
-            cleared.update(s[3] for s in stack)
-        stack.append((tag, f"{tag}.{named}" if named and tag in ("div", "section", "span") else tag, out, doubt))
+            above = page.parents[-1]
+            while above > 0 and page.priors[above] >= 0:
+                page.priors[above] = -1.0  # no name of it counts, and its own frames are known
+                above = page.parents[above]
+        push(tag, len(page.tags) - 1, path, out, False, False)
     flush()
-    return [n for n, d in zip(nodes, doubts, strict=True) if cleared.issuperset(d)]
+    page.priors = [1.0 if p < 0 else p for p in page.priors]
+    return page
+
+
+def _names(attributes: str) -> str:
+    return " ".join(x.strip("\"'") for x in _NAMED.findall(attributes))
+
 
+def path_ratios(nodes: list[Node]) -> dict[int, float]:
+    """Root of (characters outside links per node) times (one and punctuation marks per node), of each path."""
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for n in nodes:
+        length[n.path] += len(n.words) - min(n.linked, len(n.words))
+        marks[n.path] += len(_PUNCTUATION.findall(n.words))
+        count[n.path] += 1
+    return {p: (length[p] / count[p] * (1 + marks[p] / count[p])) ** 0.5 for p in count}
 
-def select_content(nodes: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
+
+def smoothed(values: list[float]) -> list[float]:
+    """Weighted means of neighbours (1, 2, 1); the ends count themselves again."""
+    last = len(values) - 1
+    return [(values[max(k - 1, 0)] + 2 * values[k] + values[min(k + 1, last)]) / 4 for k in range(len(values))]
+
+
+def select_content(page: Page) -> list[str]:
     """Texts of the nodes that are content, in page order."""
+    nodes, parents, tags = page.nodes, page.parents, page.tags
     if not nodes:
         return []
-    length, marks, count, linked = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, words, in_links in nodes:
-        length[path] += len(words) - min(in_links, len(words))
-        linked[path] += in_links
-        marks[path] += len(_PUNCTUATION.findall(words))
-        count[path] += 1
-    ratio = {p: (length[p] / count[p] * (1 + marks[p] / count[p])) ** 0.5 for p in count}
-    own = [ratio[p] for p, _, _ in nodes]
-    smooth = [(own[max(k - 1, 0)] + 2 * own[k] + own[min(k + 1, len(own) - 1)]) / 4 for k in range(len(own))]
-    fused: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, _, _), a, b in zip(nodes, own, smooth, strict=True):
-        fused[path] += (a * b) ** 0.5 / count[path]
-    total = sum(length.values())
-    mean = sum(fused[p] * length[p] for p in fused) / total if total else 0.0
-    content = {p for p in fused if fused[p] >= CONTENT_SHARE * mean and linked[p] <= MAX_LINKED * (length[p] + linked[p])}
-    held: dict[tuple[str, ...], int] = defaultdict(int)
-    for p in content:
-        for k in range(len(p) + 1):
-            if k < len(p) or p and p[-1] in ARTICLE:  # a root holds blocks, it is not a block itself
-                held[p[:k]] += length[p]
-    whole = held[()]
-    named = [p for p in held if p and p[-1].split(".")[0] in ARTICLE and held[p] >= 0.2 * whole]
-    roots = named or [p for p in held if held[p] >= ROOT_SHARE * whole]
-    root = max(roots, key=lambda p: (held[p], -len(p)) if named else (len(p), held[p])) if roots else ()
-    out = []
-    for path, words, in_links in nodes:
-        if path[: len(root)] == root:
-            if linked[path] <= MAX_LINKED * (length[path] + linked[path]) or in_links <= MAX_LINKED * len(words):
-                out.append(words)
-        elif path in content and fused[path] >= OUTSIDE_SHARE * mean:
-            out.append(words)
-    return out
+    weight, strong, container = [1.0] * len(tags), [-1] * len(tags), list(range(len(tags)))
+    for e in range(1, len(tags)):  # parents come first
+        weight[e] = min(weight[parents[e]], page.priors[e])
+        strong[e] = e if page.priors[e] == STRONGLY else strong[parents[e]]  # nearest block that its name speaks strongly against
+        container[e] = container[parents[e]] if tags[e] in GROUPS else e
+    ratio = path_ratios(nodes)
+    own = [ratio[n.path] * weight[n.element] for n in nodes]
+    fused: dict[int, float] = defaultdict(float)
+    times = Counter(n.path for n in nodes)
+    for n, a, b in zip(nodes, own, smoothed(own), strict=True):
+        fused[n.path] += (a * b) ** 0.5 / times[n.path]
+    chars = [(len(n.words) - min(n.linked, len(n.words))) * weight[n.element] for n in nodes]
+    total = sum(chars)
+    mean = sum(fused[n.path] * c for n, c in zip(nodes, chars, strict=True)) / total if total else 0.0
+    if not mean:
+        return []
+    content = [fused[n.path] >= CONTENT_SHARE * mean for n in nodes]
+    roots, named = content_roots(page, [c if keep else 0.0 for c, keep in zip(chars, content, strict=True)])
+    root = [-1] * len(tags)
+    for e in range(len(tags)):
+        root[e] = e if e in roots else root[parents[e]] if e else -1
+    beside = {container[n.element] for n, is_content in zip(nodes, content, strict=True) if is_content}
+    least = min(INSIDE_SHARE * mean, INSIDE_LEAST)
+    kept = []
+    for n, is_content in zip(nodes, content, strict=True):
+        e, value = n.element, fused[n.path]
+        if root[e] >= 0 and strong[e] == strong[root[e]]:
+            short = named or tags[e] in SHORT_BLOCKS and container[e] in beside
+            kept.append(is_content or short and value >= least)
+        else:
+            kept.append(value >= OUTSIDE_SHARE * mean)
+    first = kept.index(True) if any(kept) else len(nodes)
+    if first < len(nodes) and not any(tags[n.element] == "h1" for n, keep in zip(nodes, kept, strict=True) if keep):
+        for k in range(first - 1, max(first - 2 - HEADLINE_GAP, -1), -1):
+            if tags[nodes[k].element] == "h1" and weight[nodes[k].element] == 1 and nodes[k].linked < len(nodes[k].words):
+                kept[k] = True
+                break
+    return [n.words for n, keep in zip(nodes, kept, strict=True) if keep]
+
+
+def content_roots(page: Page, chars: list[float]) -> tuple[set[int], bool]:
+    """The elements that hold the content, and whether they are article elements; ``chars`` are content characters of nodes.
+
+    Article elements side by side that all hold enough are parts of one article; any other root is one element.
+    """
+    held, depth = [0.0] * len(page.tags), [0] * len(page.tags)
+    for n, c in zip(page.nodes, chars, strict=True):
+        held[n.element] += c
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+    for e in range(1, len(held)):
+        depth[e] = depth[page.parents[e]] + 1
+    articles = [e for e in range(len(held)) if page.tags[e] in ARTICLE and held[e] >= ARTICLE_SHARE * held[0] and held[e] > 0]
+    if articles:
+        most = max(articles, key=lambda e: (held[e], depth[e], -e))
+        return {e for e in articles if page.parents[e] == page.parents[most]}, True
+    roots = [e for e in range(len(held)) if held[e] >= ROOT_SHARE * held[0] and (page.tags[e] not in GROUPS or page.tags[e] == "td")]
+    return {max(roots, key=lambda e: (depth[e], -e))}, False
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(select_content(text_nodes(html or "")))
+    return "\n".join(select_content(parse(html or "")))
 
 
 def extract(pages: DataFrame) -> tuple[DataFrame, list[str]]:
