@@ -54,3 +54,18 @@ def test_ties_and_awkward_vectors(spark):
     assert got[50][:4] == [0, 1, 2, 3] and got[0][:4] == [1, 2, 3, 4]
     assert got[400] == [-50] and got[-50] == [400] and set(got) == {0, 50, 400, -50, 450}
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_queries_and_versions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in np.float32(v)], 0) for k, v in enumerate(rng.standard_normal((120, 8)))]
+    want = brute([r[:2] for r in rows], 5, 50)
+    assert found(ann.nearest(spark.createDataFrame(rows + [rows[50], rows[50]], SCHEMA)))[50] == want[50]
+    other = (50, [float(x) for x in np.float32(rng.standard_normal(8))], 0)  # another vector of the same query
+    apart = {r[0]: (max(-s for s in (_score(rows[50][1], r[1]), _score(other[1], r[1])))) for r in rows if r[0] != 50}
+    assert found(ann.nearest(spark.createDataFrame([*rows, other], SCHEMA)))[50] == sorted(apart, key=lambda i: (-apart[i], i))[:5]
+
+
+def _score(a, b):
+    a, b = np.array(a), np.array(b)
+    return -float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
