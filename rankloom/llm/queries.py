@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, html_text, language_id, mixing, nearest, ngram_join, quality_classifier, quality_rules, token_counts, token_files
+from rankloom.llm import byte_bpe, html_text, language_id, mixing, nearest, ngram_join, oracles, quality_classifier, quality_rules, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Counts by 64-bit hashes, expectation-maximisation, descent, merges, tag paths and files have no SQL; the others do."""
+    return oracles.oracle_sql()
