@@ -5,13 +5,16 @@ piece). The probability of a word is the sum over *all* its segmentations into p
 algorithm gives; a text's log-probability is the sum over its words. Piece probabilities come from
 expectation-maximisation on word counts of a bounded sample of documents whose language is known.
 
-A word is segmented with a word-start mark before it. Runs longer than ``SEGMENT`` characters are cut into segments of
-that length, so any text is scored whole in bounded memory. Word log-probabilities are computed once per distinct word
-of a batch.
+A word is segmented with a word-start mark before it. Word log-probabilities are computed once per distinct word of a batch, words
+of one length together. A run of more than ``LONG`` characters is first cut where no piece of the vocabulary spans the cut: there
+the sum over all segmentations is the product of the sums of both sides, so nothing is lost. A stretch without such a cut goes
+through a forward pass of its own, whatever its length.
 
-Cases: null texts and texts without a letter get ``und`` and score 0, as does every text when no language was learned.
+Cases: null and empty texts and texts without a letter get ``und`` and score 0, as does every text when no language was learned.
 The score is the posterior of the winning language under equal priors. Ties go to the language that sorts first.
-Repeated rows are scored alike. lang, source and doc_id never enter a prediction: lang teaches on training rows only.
+Repeated rows are scored alike; rows without an id are predicted, and teach nothing. lang, source and doc_id never enter a
+prediction: lang teaches on training rows only. Empty tables give empty results. Columns that are called like the result's are ignored by
+``languages`` and kept by ``predict`` and ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -34,9 +37,12 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: The model is fitted on about this many documents of each language; the bound does not grow with the corpus.
 TRAIN_PER_LANGUAGE = 300
+#: Their texts have no more than about this many characters in all, of each language.
+TRAIN_CHARS = 4_000_000
 VOCABULARY = "piece_bpe_32k.model"
 ROUNDS = 4
-SEGMENT = 48
+#: Longer runs are cut where no piece spans the cut.
+LONG = 48
 MARK = "▁"
 #: Pseudo-count of every piece and language.
 SMOOTHING = 0.05
@@ -120,6 +126,46 @@ class Lattice:
                     yield start, end, piece
 
 
+    def spans(self, word: str) -> list[np.ndarray]:
+        """For every length from 1, the piece that starts at each place of one word, or -1."""
+        chars = _codes(word) + np.uint64(1)
+        out, hashes = [], chars
+        for size in range(1, min(self.longest, len(word)) + 1):
+            if size > 1:
+                hashes = hashes[:-1] * _BASE + chars[size - 1 :]
+            out.append(self.find(hashes))
+        return out
+
+    def cuts(self, word: str) -> np.ndarray:
+        """Places inside a word that no piece spans."""
+        covered = np.zeros(len(word) + 1, np.int64)
+        for size, found in enumerate(self.spans(word), 1):
+            at = np.flatnonzero(found >= 0)
+            if size > 1 and len(at):
+                np.add.at(covered, at + 1, 1)
+                np.add.at(covered, at + size, -1)
+        return np.flatnonzero(np.cumsum(covered)[1:-1] == 0) + 1
+
+    def ends(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces of one word by growing end: start, piece (-1 is the floor of a character), first of each end."""
+        starts, ends, pieces = [], [], []
+        for size, found in enumerate(self.spans(word), 1):
+            at = np.arange(len(found)) if size == 1 else np.flatnonzero(found >= 0)
+            starts.append(at)
+            ends.append(at + size)
+            pieces.append(found[at])
+        start, end, piece = map(np.concatenate, (starts, ends, pieces))
+        order = np.argsort(end, kind="stable")
+        return start[order], piece[order], np.searchsorted(end[order], np.arange(1, len(word) + 2))
+
+
+def _log_sum(parts: np.ndarray) -> np.ndarray:
+    if len(parts) == 1:
+        return parts[0]
+    top = parts.max(0)
+    return top + np.log(np.exp(parts - top).sum(0))
+
+
 @dataclass(frozen=True)
 class PieceModel:
     """log_prob[piece, language]; its last row is the floor of a character that is no piece."""
@@ -143,9 +189,17 @@ class PieceModel:
             np.logaddexp(alpha[end], alpha[start] + step, out=alpha[end])
         return alpha[length]
 
+    def forward_long(self, lattice: Lattice, word: str) -> np.ndarray:
+        """The same of one word of any length."""
+        return _forward_long(lattice.ends(word), self.log_prob)[-1]
+
     def word_scores(self, lattice: Lattice, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)))
         for at in by_length(words):
+            if len(words[at[0]]) > LONG:
+                for k in at:
+                    out[k] = self.forward_long(lattice, words[k])
+                continue
             for k in range(0, len(at), 2048):
                 out[at[k : k + 2048]] = self.forward(lattice, [words[i] for i in at[k : k + 2048]])
         return out
@@ -159,21 +213,51 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
             yield part
 
 
-def word_keys(text: str) -> list[str]:
-    """Words of a text; of a longer one its segments, which from the second on start with a newline."""
+def _forward_long(ends: tuple[np.ndarray, np.ndarray, np.ndarray], log_prob: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all beginnings of a word, from ``Lattice.ends``."""
+    start, piece, first = ends
+    steps = log_prob[piece]
+    alpha = np.zeros((len(first), log_prob.shape[1]))
+    for end, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), 1):
+        alpha[end] = _log_sum(alpha[start[a:b]] + steps[a:b])
+    return alpha
+
+
+def _backward_long(ends: tuple[np.ndarray, np.ndarray, np.ndarray], log_prob: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all remainders of a word."""
+    start, piece, first = ends
+    beta = np.full((len(first), log_prob.shape[1]), -np.inf)
+    beta[-1] = 0
+    for end in range(len(first) - 1, 0, -1):
+        a, b = first[end - 1], first[end]
+        at = start[a:b]  # distinct: pieces with one end differ in length
+        beta[at] = np.logaddexp(beta[at], log_prob[piece[a:b]] + beta[end])
+    return beta
+
+
+def word_keys(text: str, lattice: Lattice) -> list[str]:
+    """Words of a text; of a long one its parts between cuts, which from the second on start with a newline."""
     words = WORD.findall(text)
-    if max(map(len, words), default=0) < SEGMENT:
+    if max(map(len, words), default=0) < LONG:
         return words
     out = []
     for word in words:
-        out.append(word[: SEGMENT - 1])
-        out += ["\n" + word[k : k + SEGMENT] for k in range(SEGMENT - 1, len(word), SEGMENT)]
+        if len(word) < LONG:
+            out.append(word)
+            continue
+        whole = MARK + word
+        at, free = 0, lattice.cuts(whole)
+        while at < len(whole):  # as far as LONG allows, or to the next cut
+            k = np.searchsorted(free, at + LONG, "right")
+            end = len(whole) if len(whole) - at <= LONG else int(free[k - 1]) if k and free[k - 1] > at else int(free[k]) if k < len(free) else len(whole)
+            out.append("\n" + whole[at:end] if at else whole[1:end])
+            at = end
     return out
 
 
 def spelled(key: str) -> str:
-    """What is segmented for a key: a word with its mark, or a later segment as it is."""
-    return key[1:] if key[0] == "\n" else MARK + key
+    """What is segmented for a key: a word with its mark, or a later part as it is."""
+    return key[1:] if key.startswith("\n") else MARK + key
 
 
 def expectation_maximisation(languages: list[str], counts: list[tuple[str, int, int]], pieces: list[str], rounds: int = ROUNDS) -> PieceModel:
@@ -187,8 +271,9 @@ def expectation_maximisation(languages: list[str], counts: list[tuple[str, int,
     lengths = np.array([len(p) for p in pieces] + [1.0])
     log_prob = np.repeat((-1.5 * lengths - np.log(len(pieces) + 1))[:, None], n, 1)
     groups = [(at, [words[i] for i in at]) for whole in by_length(words) for at in np.split(whole, range(4096, len(whole), 4096))]
+    long = [(k, lattice.ends(words[k])) for at, group in groups if len(group[0]) > LONG for k in at]
+    groups = [(at, group) for at, group in groups if len(group[0]) <= LONG]
     for _ in range(rounds):
-        model = PieceModel(languages, pieces, log_prob)
         expected = np.full((len(pieces) + 1, n), SMOOTHING)
         for at, group in groups:
             edges = list(lattice.edges(group))
@@ -205,8 +290,13 @@ def expectation_maximisation(languages: list[str], counts: list[tuple[str, int,
                 part = np.exp(alpha[s] + step + beta[e] - alpha[length]) * weight[at]
                 for k in range(n):
                     expected[:, k] += np.bincount(np.where(p >= 0, p, len(pieces)), part[:, k], len(pieces) + 1)
+        for k, ends in long:
+            alpha, beta, (start, piece, first) = _forward_long(ends, log_prob), _backward_long(ends, log_prob), ends
+            end = np.repeat(np.arange(1, len(first)), np.diff(first))
+            part = np.exp(alpha[start] + log_prob[piece] + beta[end] - alpha[-1]) * weight[k]
+            for language in range(n):
+                expected[:, language] += np.bincount(np.where(piece >= 0, piece, len(pieces)), part[:, language], len(pieces) + 1)
         log_prob = np.log(expected) - np.log(expected.sum(0))
-    del model
     return PieceModel(languages, pieces, log_prob)
 
 
@@ -214,13 +304,16 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, vocabulary: str
     """Fit on about ``per_language`` documents of each known language that are not held out."""
     small_batches(docs.sparkSession)
     known = only(docs, "doc_id", "text", "lang").where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").isNotNull())
-    sample = stratified(known, "lang", per_language).select("text", "lang")
+    sample = stratified(known, "lang", per_language, TRAIN_CHARS).select("text", "lang")
+    pieces = load_pieces(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary: its size does not depend on the data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
         for b in batches:
             found: dict[tuple[str, str], int] = {}
             for text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for w in map(spelled, word_keys(text)):
+                for w in map(spelled, word_keys(text, lattice)):
                     found[w, lang] = found.get((w, lang), 0) + 1
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found]), pa.array([lang for _, lang in found]), pa.array(found.values(), pa.int64())], names=["word", "lang", "n"])
@@ -228,7 +321,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, vocabulary: str
     rows = sample.mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).toArrow()
     words, langs, times = (rows.column(k).to_pylist() for k in range(3))
     languages = sorted(set(langs))
-    return expectation_maximisation(languages, [(w, languages.index(x), n) for w, x, n in zip(words, langs, times, strict=True)], load_pieces(vocabulary))
+    return expectation_maximisation(languages, [(w, languages.index(x), n) for w, x, n in zip(words, langs, times, strict=True)], pieces)
 
 
 def predict(docs: DataFrame, model: PieceModel) -> tuple[DataFrame, list[str]]:
@@ -244,7 +337,7 @@ def predict(docs: DataFrame, model: PieceModel) -> tuple[DataFrame, list[str]]:
         for texts in lists:
             languages, chances = [], []
             for group in chunked(texts, GROUP_CHARS):
-                parts = [word_keys(t) if n and any(map(str.isalpha, t)) else None for t in group]
+                parts = [word_keys(t, lattice) if n and any(map(str.isalpha, t)) else None for t in group]
                 new = set().union(*filter(None, parts)) - slot.keys()
                 if len(slot) + len(new) > CACHE_WORDS:
                     slot.clear()

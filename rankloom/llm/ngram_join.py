@@ -277,18 +277,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _compare_blocks(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        keys, labels, parts = (rows.column(c).to_pylist() for c in ("key", "label", "part"))
+        keys, labels, parts = (rows.column(c).to_pylist() for c in ("key", "label", "block"))
         sets = [np.frombuffer(t.as_buffer(), "<u8") for t in rows.column("tokens")]
         first, second = rows["block_a"][0].as_py(), rows["block_b"][0].as_py()
         at = [[k for k, p in enumerate(parts) if p == block] for block in (first, second)]
         hit = link_matrix([sets[k] for k in at[0]], [sets[k] for k in at[1]], percent)
-        found = ((at[0][i], at[1][j]) for i, j in zip(*np.nonzero(hit), strict=True) if at[0][i] != at[1][j])
+        named = np.array([labels[k] for k in at[0]])[:, None] != np.array([labels[k] for k in at[1]])[None, :]
+        found = ((at[0][i], at[1][j]) for i, j in zip(*np.nonzero(hit & named), strict=True) if at[0][i] != at[1][j])
         links = [(keys[a], keys[b]) for a, b in spanning_links(len(keys), found, labels)]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
+def _blocks(inside: DataFrame, percent: int) -> DataFrame:
+    """Families (family, key, label, tokens) cut into blocks of bounded count and bytes: family, band, pure, block, key, label, tokens.
+
+    A block holds sets of one size band, and either of one label alone (``pure``, for labels with more sets than fit a block) or
+    of the other labels, each whole in one block.
+    """
+    band_of = F.floor(F.log(F.length("tokens") / 8) / math.log(100 / percent) + F.lit(1e-9)).cast("int")
+    inside = inside.withColumn("band", band_of)
+    count, size = F.count(F.lit(1)).alias("c"), F.sum(F.length("tokens")).alias("bytes")
+    blocks = F.greatest(F.ceil(F.sum("c") / BLOCK_CLASSES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    per_label = inside.groupBy("family", "band", "label").agg(count, size)
+    large = (F.col("c") > BLOCK_CLASSES) | (F.col("bytes") > BLOCK_BYTES)
+    pure = per_label.where(large).groupBy("family", "band", "label").agg(blocks.alias("own"))
+    mixed = per_label.where(~large).groupBy("family", "band").agg(blocks.alias("shared"))
+    placed = inside.join(pure, ["family", "band", "label"], "left").join(mixed, ["family", "band"], "left")
+    part = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("key"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("shared")))
+    pure_label = F.when(F.col("own").isNotNull(), F.col("label"))
+    block = F.concat_ws("/", "family", "band", F.coalesce(pure_label.cast("string"), F.lit("-")), part)
+    return placed.select("family", "band", pure_label.alias("pure"), block.alias("block"), "key", "label", "tokens")
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of a family's blocks (block_a, block_b) that can hold a link between labels: not of one label, bands at most one apart."""
+    ids = placed.select("family", "band", "pure", "block").distinct()
+    left, right = (ids.withColumnsRenamed({c: f"{c}_{x}" for c in ("band", "pure", "block")}) for x in "ab")
+    apart = (F.col("block_a") <= F.col("block_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1)
+    return left.join(right, "family").where(apart & ~F.coalesce(F.col("pure_a") == F.col("pure_b"), F.lit(False))).select("block_a", "block_b")
+
+
 def _least_document() -> Column:
     """The least document of a group by id, nulls last, and text digest, as a struct with the fields doc_id and digest."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
@@ -328,13 +358,12 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     parts = components(links)
     inside = family.select(F.col("node").alias("key"), F.col("root").alias("family")).join(parts.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left")
     inside = inside.withColumn("label", F.coalesce("label", "key")).join(sets, "key")
-    size = inside.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("tokens")).alias("bytes"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    size = size.select("family", F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = inside.join(size, "family").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("family", F.least("part", "with").alias("block_a"), F.greatest("part", "with").alias("block_b"), "part", "key", "label", "tokens")
-    spread = spread.repartition("family", "block_a", "block_b")  # else the blocks of a family would stay where the family is
-    more = spread.groupBy("family", "block_a", "block_b").applyInArrow(_compare_blocks(percent), "a long, b long")
+    open_ = inside.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family")
+    placed = stash(_blocks(inside.join(open_, "family"), percent), "blocks")
+    pairs = _block_pairs(placed)
+    ends = pairs.select(F.col("block_a").alias("block"), "*").unionByName(pairs.where("block_a <> block_b").select(F.col("block_b").alias("block"), "*"))
+    spread = placed.select("block", "key", "label", "tokens").join(ends, "block").repartition("block_a", "block_b")
+    more = spread.groupBy("block_a", "block_b").applyInArrow(_compare_blocks(percent), "a long, b long")
     return members, stash(links.unionByName(more), "links")
 
 

@@ -42,10 +42,34 @@ def test_expectation_maximisation_raises_the_likelihood():
         last = total
 
 
-def test_long_words_are_cut_into_segments():
-    parts = [lid.spelled(k) for k in lid.word_keys("x" * 1000 + " y")]
-    assert "".join(parts) == "▁" + "x" * 1000 + "▁y" and max(map(len, parts)) <= lid.SEGMENT
-    assert [lid.spelled(k) for k in lid.word_keys("ab c")] == ["▁ab", "▁c"]
+def whole_forward(word, pieces, log_prob):
+    """Sum over all segmentations of a whole word, place by place."""
+    index, alpha = {p: k for k, p in enumerate(pieces)}, [np.zeros(log_prob.shape[1])]
+    for end in range(1, len(word) + 1):
+        ways = [alpha[s] + log_prob[index.get(word[s:end], len(pieces))] for s in range(end) if end - s == 1 or word[s:end] in index]
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+@pytest.mark.parametrize("word", ["x" * 1000, "abc/de" * 60, "ab" * 30 + "/" * 100 + "ba" * 200, "/" * 300, "é" * 47 + "ab", "ab" * 23 + "a", "ab" * 24])
+def test_long_words_sum_all_segmentations(word):
+    pieces = sorted(["a", "b", "ab", "ba", "bab", "x", "xx", "xxxx", "▁", "▁a", "c/d", "e"])
+    log_prob = np.log(np.random.default_rng(2).uniform(0.01, 0.2, (len(pieces) + 1, 3)))
+    model = lid.PieceModel(["x", "y", "z"], pieces, log_prob)
+    lattice = model.lattice()
+    keys = lid.word_keys(word + " y", lattice)
+    parts = [lid.spelled(k) for k in keys]
+    assert "".join(parts) == "▁" + word + "▁y"
+    assert model.word_scores(lattice, parts[:-1]).sum(0) == pytest.approx(whole_forward("▁" + word, pieces, log_prob))
+    assert lid.word_keys("ab c", lattice) == ["ab", "c"]
+
+
+def test_long_words_teach_as_short_ones_do(monkeypatch):
+    pieces = sorted(["a", "b", "ab", "ba", "bab", "▁", "▁a"])
+    counts = [("▁" + "ab" * 12, 0, 3), ("▁" + "ba" * 10 + "b", 1, 2), ("▁ab", 0, 1)]
+    short = lid.expectation_maximisation(["x", "y"], counts, pieces, 3)
+    monkeypatch.setattr(lid, "LONG", 4)
+    assert lid.expectation_maximisation(["x", "y"], counts, pieces, 3).log_prob == pytest.approx(short.log_prob)
 
 
 def test_held_out_accuracy(spark):
