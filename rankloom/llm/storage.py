@@ -20,9 +20,12 @@ stash = materialise
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts short, unless the session has a setting of its own."""
+    """Keep the session's Arrow batches of texts short, unless someone has set their size.
+
+    The setting counts when a plan runs, so it has to outlast the call that makes the plan.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
 
 

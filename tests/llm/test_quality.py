@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from rankloom.llm import quality_classifier, quality_rules
 from rankloom.llm.textcore import Words, mix64
@@ -54,18 +55,20 @@ def test_ratio_matches_brute_force(spark):
         pairs = [int(mix64(np.array([a], np.uint64) * np.uint64(3) + np.uint64(b))[0]) for a, b in zip(ws, ws[1:])]
         return Counter(h >> (64 - bits) for h in ws + pairs)
 
-    raw, target = Counter(), Counter()
+    fold = {text: xxhash.xxh3_64_intdigest(Words([text]).hashes.tobytes()) % 4 for _, text, *_ in rows}
+    raw, target = Counter(), [Counter() for _ in range(4)]
     for k, text, *_ in rows:
         raw += buckets(text)
         if k < 10 and k % 3:
-            target += buckets(text)
+            target[fold[text]] += buckets(text)
     model = quality_rules.fit(docs, labels, bits)
-    assert {k: int(v) for k, v in enumerate(model.raw) if v} == dict(raw) and {k: int(v) for k, v in enumerate(model.target) if v} == dict(target)
+    counted = lambda v: {k: int(x) for k, x in enumerate(v) if x}
+    assert counted(model.raw) == dict(raw) and [counted(t) for t in model.target] == [dict(t) for t in target]
     for _, text, *_ in rows[:8]:
-        own = buckets(text)
-        n, share = sum(own.values()), sum(target.values()) / (sum(raw.values()) - sum(own.values()))
-        want = sum(c * np.log((target[b] + 20 * share) / (share * (raw[b] - c + 20))) for b, c in own.items()) / n
-        assert model.score(quality_rules.ngram_buckets(Words([text]).hashes, bits)) == pytest.approx(want)
+        own, others = buckets(text), sum((t for f, t in enumerate(target) if f != fold[text]), Counter())
+        n, share = sum(own.values()), sum(others.values()) / (sum(raw.values()) - sum(own.values()))
+        want = sum(c * np.log((others[b] + 20 * share) / (share * (raw[b] - c + 20))) for b, c in own.items()) / n
+        assert model.score(quality_rules.ngram_buckets(Words([text]).hashes, bits), fold[text], model.others(), sum(raw.values())) == pytest.approx(want)
 
 
 def test_rules_on_awkward_tables(spark):
