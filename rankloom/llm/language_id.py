@@ -304,7 +304,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, vocabulary: str
     """Fit on about ``per_language`` documents of each known language that are not held out."""
     small_batches(docs.sparkSession)
     known = only(docs, "doc_id", "text", "lang").where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").isNotNull())
-    sample = stratified(known, "lang", per_language, TRAIN_CHARS).select("text", "lang")
+    sample = stratified(known, "lang", per_language, TRAIN_CHARS, F.length("text")).select("text", "lang")
     pieces = load_pieces(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary: its size does not depend on the data
 

@@ -2,13 +2,19 @@
 
 A document is the mean of learned vectors of its hashed words, its immediate word repetitions and its hashed character
 3-, 4- and 5-grams (plus one vector that every document has); a linear layer and a softmax give the class. Vectors and layer are trained by
-plain numpy stochastic gradient descent on a bounded sample of labelled documents. To score, the layer is folded into
-the vectors, which leaves one number per bucket, and whole texts are looked up with array operations.
+stochastic gradient descent in numpy, one document at a time, on a bounded sample of labelled documents: the rate falls linearly, the
+bias learns at a tenth of it, and a feature's step is weighted by its count over the document's largest count (instead of the sum of counts,
+which would all but stop long documents from teaching). To score, the layer is folded into the vectors, which leaves one number per
+bucket, and whole texts are looked up with array operations.
+
+That a word after itself is a feature was chosen on training rows alone: of the training rows of the ``check_s`` tables a fifth (by MD5 of the
+id) was set aside; without the feature 98.2 % of it were right, with it 100 %, and all misses were runs of one repeated word.
 
 Cases: null and empty texts score by the common vector alone. A document may carry several labels; the largest counts,
 null labels none. With no labelled document, or one class only, every score is that class's share (0.5 without any).
-Repeated rows are scored alike. Labels, language, source and id never enter a score: ids only deal documents out
-to training and held-out parts.
+A score of 0.5 is class 1. Very long texts are scored whole. Repeated rows are scored alike; rows without an id are scored, and neither
+held out nor taught from. Empty tables give empty results. Columns that are called like the result's are ignored by ``quality_scores`` and
+kept by ``classify``. Labels, language, source and id never enter a score: ids only deal documents out to training and held-out parts.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from rankloom.llm.textcore import Words, chunked, mix64
 FOLDS, HELD_OUT = 3, 1
 #: The classifier is fitted on about this many documents of each class; the bound does not grow with the corpus.
 TRAIN_PER_CLASS = 800
+#: Their texts have no more than about this many characters in all, of each class, so what the driver holds is bounded too.
+TRAIN_CHARS = 8_000_000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 EPOCHS = 8
@@ -43,7 +51,7 @@ _REPEAT = np.uint64(0xA24BAED4963EE407)
 def feature_buckets(group: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of a group of texts, and the text (by place in the group) that each belongs to.
 
-    Character n-grams lie inside a word with its borders: a space stands for each run of separators. Of the pairs of words
+    Character n-grams are those of the text's words with one space before, between and after them. Of the pairs of words
     one is a feature: a word after itself, whatever the word.
     """
     words = Words(group)
@@ -62,7 +70,7 @@ def feature_buckets(group: list[str], buckets: int = BUCKETS) -> tuple[np.ndarra
     bits = np.uint64(64 - (buckets.bit_length() - 1))
     twice = np.flatnonzero((words.hashes[1:] == words.hashes[:-1]) & (owner[1:] == owner[:-1]))
     found, whose = [words.hashes >> bits, np.full(len(twice), _REPEAT >> bits)], [owner, owner[twice]]
-    gram = line[:-1] + np.uint64(1)
+    gram = line + np.uint64(1)
     for size in range(2, max(CHAR_SIZES) + 1):
         gram = gram[:-1] * _BASE + (line[size - 1 : size - 1 + len(gram) - 1] + np.uint64(1))
         if size in CHAR_SIZES:
@@ -125,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, bu
     """Fit on about ``per_class`` labelled documents of each class that are not held out."""
     small_batches(docs.sparkSession)
     known = only(labels, "doc_id", "quality").where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = stratified(known.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT), "quality", per_class)
+    known = known.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
+    sized = only(docs, "doc_id", "text").select("doc_id", F.length("text").alias("chars")).join(known, "doc_id")
+    sample = stratified(sized, "quality", per_class, TRAIN_CHARS, F.col("chars")).select("doc_id", "quality").distinct()
     texts = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")  # the sample is bounded
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, bu
             rows = []
             for doc_id, text, quality in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at, times = np.unique(feature_buckets([text or ""], buckets)[0], return_counts=True)
-                rows.append((doc_id, quality, at.astype("<i4").tobytes(), np.minimum(times, 65535).astype("<u2").tobytes()))
+                rows.append((doc_id, quality, at.astype("<i4").tobytes(), times.astype("<u4").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "quality", "at", "times"])
 
     rows = texts.mapInArrow(features, "doc_id long, quality int, at binary, times binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["times"]))
-    return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["times"], "<u2"), r["quality"]) for r in rows], buckets)
+    return train([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["times"], "<u4"), r["quality"]) for r in rows], buckets)
 
 
 def classify(docs: DataFrame, model: FoldedModel) -> tuple[DataFrame, list[str]]:

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -119,3 +120,67 @@ def test_classifier_on_awkward_tables(spark):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (6, 1, 0), (4, 0, 0), (8, None, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality_classifier.quality_scores(cases.documents(spark), labels).count() == 13
     assert quality_classifier.quality_scores(cases.empty(spark), labels).count() == 0
+
+
+def plain_training(examples, buckets, dimensions, epochs, rate, seed):
+    """The trainer with loops instead of arrays; returns the margin of class 1 for any (buckets, counts)."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets + 1, dimensions)).astype(np.float32).astype(float)
+    layer, bias = np.zeros((2, dimensions)), np.zeros(2)
+    share_of = Counter(e[2] for e in examples)
+    step, steps = 0, epochs * len(examples)
+
+    def forward(at, times):
+        total = sum(times) + 1
+        mean = [sum(vectors[b][d] * c for b, c in [*zip(at, times), (buckets, 1)]) / total for d in range(dimensions)]
+        return mean, [sum(layer[c][d] * mean[d] for d in range(dimensions)) + bias[c] for c in (0, 1)]
+
+    for _ in range(epochs):
+        for k in rng.permutation(len(examples)):
+            at, times, label = examples[k]
+            pull = rate * (1 - step / steps)
+            step += 1
+            mean, logits = forward(at, times)
+            p = [math.exp(x) / sum(math.exp(y) for y in logits) for x in logits]
+            wrong = [(p[c] - (c == label)) * len(examples) / (2 * share_of[label]) for c in (0, 1)]
+            back = [sum(wrong[c] * layer[c][d] for c in (0, 1)) for d in range(dimensions)]
+            for c in (0, 1):
+                for d in range(dimensions):
+                    layer[c][d] -= pull * wrong[c] * mean[d]
+                bias[c] -= pull * 0.1 * wrong[c]
+            largest = max([*times, 1])
+            for b, c in [*zip(at, times), (buckets, 1)]:
+                for d in range(dimensions):
+                    vectors[b][d] -= pull * c / largest * back[d]
+    return lambda at, times: (lambda z: z[1] - z[0])(forward(at, times)[1])
+
+
+def test_trainer_and_scorer_against_plain_loops():
+    rnd = np.random.default_rng(3)
+    texts = [cases.words(k, 30, 12) if k % 2 else cases.words(k, 20, 25) for k in range(24)] + ["", "a a a a"]
+    buckets = 64
+    examples = [(*np.unique(quality_classifier.feature_buckets([t], buckets)[0], return_counts=True), int(rnd.integers(2))) for t in texts]
+    model = quality_classifier.train(examples, buckets, 3, 4, 0.5, 7)
+    margin = plain_training(examples, buckets, 3, 4, 0.5, 7)
+    want = [1 / (1 + math.exp(-margin(at.tolist(), n.tolist()))) for at, n, _ in examples]
+    assert model.scores(texts) == pytest.approx(want, abs=1e-4)
+
+
+def plain_features(text, buckets):
+    """Buckets of a text's features, one at a time."""
+    line, shift = " " + " ".join(WORD.findall(text)) + " ", 64 - (buckets.bit_length() - 1)
+    found = [int(h) >> shift for h in Words([text]).hashes]
+    ws = WORD.findall(text)
+    found += [int(quality_classifier._REPEAT) >> shift] * sum(a == b for a, b in zip(ws, ws[1:]))
+    for size in (3, 4, 5):
+        for k in range(len(line) - size + 1):
+            h = 0
+            for c in line[k : k + size]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+            found.append(int(mix64(np.array([(h + size) % 2**64], np.uint64))[0]) >> shift)
+    return sorted(found) if ws else []
+
+
+@pytest.mark.parametrize("text", ["abc def", "a a b", "x", "", " \t", "été wörter wörter 😀", "longer-word another,word; the end"])
+def test_features_against_plain_loops(text):
+    assert sorted(quality_classifier.feature_buckets([text], 1 << 12)[0].tolist()) == plain_features(text, 1 << 12)
