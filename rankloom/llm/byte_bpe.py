@@ -5,7 +5,10 @@ character, a piece's score is its negative rank, and normalisation does nothing.
 then merging the pair of lowest rank, as rank-based byte-level BPE does. Each match of the split pattern is
 encoded by itself; a match that is a piece as a whole is that piece. Ids are decoded by the inverse mapping.
 
-Cases: null and empty texts have no ids and decode to nothing. Repeated rows are encoded alike. Whole texts are encoded.
+Cases: null and empty texts have no ids and decode to nothing. Whole texts are encoded, however long. Repeated rows and rows without an id
+are encoded alike. Of two pairs of one rank the left one merges first, as everywhere. Which characters are letters, numbers and white space
+is asked of the library whose ids these are. Empty tables give empty results. Columns that are called like the result's are ignored by
+``encode_documents`` and kept by ``encode_column``.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rankloom.llm.frames import append_columns, fresh, only
-from rankloom.llm.pretokens import PackedEncoder
+from rankloom.llm.pretokens import PackedEncoder, tiktoken_members
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Byte b is written as this code point plus b: letters that no normaliser or white-space rule touches.
@@ -88,7 +91,7 @@ class ByteBpe:
         self.whole = {p: k for k, p in enumerate(pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(pieces))
         self.table = {b: FIRST_CHARACTER + b for b in range(256)}
-        self.encoder = PackedEncoder(self.encode_part, CACHE)
+        self.encoder = PackedEncoder(self.encode_part, tiktoken_members, CACHE)
 
     def encode_part(self, part: str) -> list[int]:
         raw = part.encode("utf-8", "replace")

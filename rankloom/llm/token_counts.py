@@ -3,10 +3,12 @@
 A flat file is nothing but 16- or 32-bit ids, documents divided by an end-of-document id, with no index. It is cut into
 blocks of equal size that are read and searched for the separator independently, by array comparison. A document may
 span blocks: a prefix scan over the blocks of a file (the last separator so far, the number of separators so far)
-joins the ends of one block to the starts of the next, and one over the files numbers the corpus.
+joins the ends of one block to the starts of the next. Starts and places count from 0 in each file.
 
 Cases: tokens after a file's last separator are a document without an end. Two separators in a row enclose an empty
-document. An empty file has none. Null and empty texts are empty documents. Repeated rows are counted each.
+document. An empty file has none. Null and empty texts are empty documents; very long ones span as many blocks as they need. Repeated
+rows, and rows without an id, are counted each. Ids that do not fit the width are refused. Empty tables give empty results. Columns that are
+called like the result's are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +59,10 @@ def write_flat(docs: DataFrame, folder: str, path: str, separator: int = END_OF_
             encoder = encoder or tokenizers_encoder(path)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                held.append(np.frombuffer(encoder(text), "<u4").astype(f"<u{width}").tobytes() + end)
+                found = np.frombuffer(encoder(text), "<u4")
+                if width < 4 and len(found) and found.max() >= 1 << 8 * width:
+                    raise ValueError(f"an id does not fit {width} bytes")
+                held.append(found.astype(f"<u{width}").tobytes() + end)
                 size += len(held[-1])
                 if size >= width * FILE_TOKENS:
                     yield flush()

@@ -3,13 +3,15 @@
 An id is split into 8-bit chunks, lowest first. Level 1 holds the first chunk of every id and a bitmap that says
 whether the id goes on; level 2 holds the second chunks of those that do, with a bitmap of its own, and so on. A rank
 directory counts the set bits before every block of 512, so the place of an id's next chunk is one directory entry
-and the bits of one block: any token is read without decoding its neighbours.
+and the bits of one block: any token is read without decoding its neighbours. A run of tokens, such as a document, is one slice of
+each level, which the directories locate; ``StoredTokens`` reads single tokens from a stored file by byte ranges.
 
 File: magic, number of documents, tokens and levels; per level its size, chunks, bitmap and directory; then
 the documents' ids and ends. All numbers are little-endian. A file holds at most about ``FILE_TOKENS`` ids.
 
-Cases: null and empty texts give the end id alone. Documents with the same id follow each other; a null id sorts
-first. Empty tables give empty results. Very long texts are one document of a file of their own size.
+Cases: null and empty texts give the end id alone. Documents with the same id follow each other, by text; a null id sorts
+first. Repeated rows are documents each. Empty tables give empty results. Very long texts are one document of a file of their own size.
+Columns that are called like the result's are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.frames import only
@@ -31,6 +33,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 FILE_TOKENS = 1 << 22
 RANK_BITS = 512
+#: Bytes of the table (as estimated) of a range of ids that one task writes; most tasks that read.
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 200_000
 MAGIC = b"RLDAC001"
 
 
@@ -70,29 +75,72 @@ class TokenFile:
         self.doc_ids = np.frombuffer(data, "<i8", self.n_docs, at)
         self.ends = np.frombuffer(data, "<u8", self.n_docs, at + 8 * self.n_docs).astype(np.int64)
 
+    def rank(self, level: int, k: int) -> int:
+        """Number of ids that go on before place ``k`` of a level: one directory entry and one block of bits."""
+        _, bits, rank = self.levels[level]
+        block = k // RANK_BITS
+        inside = bits[block * RANK_BITS // 8 : k >> 3]
+        rest = int(bits[k >> 3] & ((1 << (k & 7)) - 1)).bit_count() if k & 7 else 0
+        return int(rank[block]) + int(np.bitwise_count(inside).sum()) + rest
+
     def token(self, k: int) -> int:
-        """The id at place ``k``, by one directory entry and one block of bits per level."""
+        """The id at place ``k``."""
         value = 0
-        for shift, (chunks, bits, rank) in enumerate(self.levels):
-            value |= int(chunks[k]) << (8 * shift)
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            value |= int(chunks[k]) << (8 * level)
             if not bits[k >> 3] >> (k & 7) & 1:
                 return value
-            block = k // RANK_BITS
-            inside = bits[block * RANK_BITS // 8 : k >> 3]
-            k = int(rank[block]) + int(np.bitwise_count(inside).sum()) + int(bits[k >> 3] & ((1 << (k & 7)) - 1)).bit_count()
+            k = self.rank(level, k)
         raise ValueError("id without an end")
 
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """The ids from place ``start`` to before ``end``, from the slices of the levels that hold them."""
+        value, places = np.zeros(end - start, np.uint32), np.arange(end - start)
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            value[places] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(bits[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 : (start & 7) + end - start].astype(bool)
+            places = places[more]
+            if not len(places):
+                break
+            start = self.rank(level, start)
+            end = start + len(places)
+        return value
+
     def tokens(self) -> np.ndarray:
         """All ids."""
-        value, places = np.zeros(self.n_tokens, np.uint32), None
-        for shift, (chunks, bits, _) in enumerate(self.levels):
-            part = chunks.astype(np.uint32) << np.uint32(8 * shift)
-            if places is None:
-                value, places = part, np.arange(len(part))
-            else:
-                value[places] |= part
-            places = places[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
-        return value
+        return self.ids(0, self.n_tokens)
+
+
+class StoredTokens:
+    """A stored file of which only the byte ranges that a token needs are read."""
+
+    def __init__(self, uri: str, name: str):
+        self.uri, self.name = uri, name
+        head = self._read(0, 32)
+        if head[:8] != MAGIC:
+            raise ValueError("not a token-id file")
+        self.n_docs, self.n_tokens, n_levels = (int(x) for x in np.frombuffer(head, "<u8", 3, 8))
+        at, self.levels = 32, []  # size, and first bytes of chunks, bitmap and directory
+        for _ in range(n_levels):
+            n = int.from_bytes(self._read(at, 8), "little")
+            blocks = -(-n // RANK_BITS)
+            self.levels.append((n, at + 8, at + 8 + n, at + 8 + n + blocks * RANK_BITS // 8))
+            at = self.levels[-1][3] + 8 * (blocks + 1)
+
+    def _read(self, start: int, length: int) -> bytes:
+        return read_range(self.uri, self.name, start, length)
+
+    def token(self, k: int) -> int:
+        """The id at place ``k``: of every level a chunk, a block of bits and a directory entry."""
+        value = 0
+        for shift, (_, chunks, bitmap, directory) in enumerate(self.levels):
+            value |= self._read(chunks + k, 1)[0] << (8 * shift)
+            block, inside = divmod(k, RANK_BITS)
+            bits = int.from_bytes(self._read(bitmap + block * RANK_BITS // 8, RANK_BITS // 8), "little")
+            if not bits >> inside & 1:
+                return value
+            k = int.from_bytes(self._read(directory + 8 * block, 8), "little") + (bits & ((1 << inside) - 1)).bit_count()
+        raise ValueError("id without an end")
 
 
 def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
@@ -101,7 +149,10 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     Documents without an id are in files of their own, whose has_ids is false.
     """
     small_batches(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the session's setting, or more for tables that would overfill them; tables of unknown size get the setting
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = MOST_PARTITIONS * PARTITION_BYTES
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES) if size <= most else 0)
     # ties by text, so that every attempt of a task writes the same file
     ordered = only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
@@ -143,23 +194,23 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32. Files follow each other by part and number."""
-    spark = files.sparkSession
-    start, listed = 0, []
-    for r in files.orderBy("part", "number").collect():  # one row per file
-        listed.append((r.name, start, r.has_ids))
-        start += r.n_tokens
+    # a running sum over the parts, which are as many as tasks wrote, and one over the files of each
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("part").orderBy("number"))), F.lit(0))
+    listed = files.withColumn("inside", inside).join(parts, "part").select("name", (F.col("before") + F.col("inside")).alias("first"), "has_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, first, has_ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 f = TokenFile(read_range(folder, name))
-                packed = memoryview(f.tokens().astype("<u4").tobytes())
                 begins = np.concatenate([[0], f.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(packed[4 * a : 4 * e]) for a, e in zip(begins.tolist(), f.ends.tolist(), strict=True)]
+                crc = [zlib.crc32(f.ids(a, e).astype("<u4").tobytes()) for a, e in zip(begins.tolist(), f.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64(), mask=np.full(f.n_docs, not has_ids)), pa.array(begins + first, pa.int64()), pa.array(f.ends - begins, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    source = spark.createDataFrame(listed, "name string, first long, has_ids boolean").repartition(max(1, len(listed)))
-    return source.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    listed = listed.repartition(max(1, min(files.count(), MOST_PARTITIONS)), "name")
+    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:

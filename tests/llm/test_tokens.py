@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import byte_bpe, token_counts, token_files
+from rankloom.llm import byte_bpe, pretokens, token_counts, token_files
 from rankloom.llm.shared_files import put, read_range
 from rankloom.llm.storage import scratch
 
@@ -37,14 +37,34 @@ def test_spelled_out_pattern_finds_the_same_matches():
     import public_tokenizers
     import regex
 
-    from rankloom.llm.pretokens import public_split
-
     whole = regex.compile(public_tokenizers.PATTERN).findall
-    for text in odd_texts():
-        assert public_split()(text) == whole(text)
-    for c in [*range(9, 14), *range(32, 127), *range(0xC0, 0x250)]:
-        for text in (chr(c), f" {chr(c)}", f"a{chr(c)}1", f"{chr(c)}{chr(c)} .", f"'{chr(c)}"):
-            assert public_split()(text) == whole(text)
+    for members in (pretokens.tiktoken_members, pretokens.tokenizers_members):
+        split = pretokens.public_split(members)
+        for text in odd_texts():
+            assert split(text) == whole(text)
+        for c in [*range(9, 14), *range(32, 127), *range(0xC0, 0x250)]:
+            for text in (chr(c), f" {chr(c)}", f"a{chr(c)}1", f"{chr(c)}{chr(c)} .", f"'{chr(c)}"):
+                assert split(text) == whole(text)
+
+
+def any_texts(seed, n=4000):
+    """Texts of random code points of all planes, letters and numbers of new scripts among them."""
+    rnd = random.Random(seed)
+    planes = [range(0x20, 0xD800), range(0xE000, 0x10000), range(0x10000, 0x20000), range(0x20000, 0x110000), range(0x20, 0x80), range(0x1C, 0xA1)]
+    return ["".join(chr(rnd.choice(rnd.choice(planes[:3] + planes))) for _ in range(rnd.randrange(1, 30))) for _ in range(n)]
+
+
+def test_random_code_points_are_split_as_each_library_splits_them(tokenizer):
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours, theirs = byte_bpe.worker_bpe(byte_bpe.default_path()), pretokens.tokenizers_encoder(P.path("byte_bpe_50k.json"))
+    for text in any_texts(1):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == encoding.encode_ordinary(text)
+        assert np.frombuffer(theirs(text), "<u4").tolist() == tokenizer(text)
 
 
 def test_token_files_hold_the_library_ids(spark, tokenizer):
@@ -61,6 +81,14 @@ def test_token_files_hold_the_library_ids(spark, tokenizer):
         start += len(ids)
 
 
+def test_stored_tokens_are_read_by_ranges(spark):
+    folder, ids = scratch(spark, "stored"), np.random.default_rng(2).integers(0, 2**20, 3000).astype(np.uint32)
+    put(folder, "x", token_files.encode_file(np.array([7, 8]), np.array([1000, 3000]), ids))
+    stored = token_files.StoredTokens(folder, "x")
+    assert (stored.n_docs, stored.n_tokens) == (2, 3000)
+    assert all(stored.token(k) == ids[k] for k in [0, 1, 511, 512, 513, 1023, 1024, 2999, *range(1500, 1540)])
+
+
 def test_any_token_is_read_directly():
     rng = np.random.default_rng(1)
     for n, top in ((1, 1), (5000, 300), (5000, 70000), (3000, 2**32 - 1), (0, 1)):
@@ -68,6 +96,16 @@ def test_any_token_is_read_directly():
         f = token_files.TokenFile(b"".join(token_files.encode_file(np.array([7]), np.array([n]), ids)))
         assert (f.tokens() == ids).all() and f.doc_ids.tolist() == [7] and f.ends.tolist() == [n]
         assert all(f.token(k) == ids[k] for k in rng.integers(0, max(n, 1), 200) if n)
+        for a, b in np.sort(rng.integers(0, n + 1, (100, 2)), 1).tolist():
+            assert (f.ids(a, b) == ids[a:b]).all()
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "some words", None, None, None)], cases.SCHEMA)
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_flat(docs, scratch(spark, "narrow"), public_tokenizers.path("byte_bpe_50k.json"), 9, 1).collect()
 
 
 def test_token_files_on_awkward_tables(spark, monkeypatch):
