@@ -88,12 +88,12 @@ def cluster_bootstrap_ci(spark, sf):
     return stats.paired_table(p, ["measure"], "cluster", 2000)
 
 
-SOURCE_VALUES = "v AS (SELECT source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) - 0.7 AS d FROM documents JOIN labels USING (doc_id) GROUP BY source ORDER BY source LIMIT 12)"
+SOURCE_VALUES = "v AS (SELECT source, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) - 0.7 AS d FROM documents JOIN labels USING (doc_id) GROUP BY source)"
 
 
 @query(
-    f"""WITH {SOURCE_VALUES}, n AS (SELECT d, row_number() OVER (ORDER BY source) - 1 AS i FROM v), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -d ELSE d END) AS t FROM (SELECT unnest(range(4096)) AS m) CROSS JOIN n GROUP BY m)
-    SELECT 'labels' AS endpoint, 12::BIGINT AS clusters, round(abs((SELECT sum(d) FROM n)), 9)::DOUBLE AS observed, round(avg((abs(t) >= abs((SELECT sum(d) FROM n)) - 1e-12)::INT), 9) AS p FROM s"""
+    f"""WITH {SOURCE_VALUES}, n AS (SELECT d, row_number() OVER (ORDER BY source) - 1 AS i FROM v), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -d ELSE d END) AS t FROM (SELECT unnest(range(1::BIGINT << (SELECT count(*) FROM v))) AS m) CROSS JOIN n GROUP BY m)
+    SELECT 'labels' AS endpoint, (SELECT count(*) FROM v) AS clusters, round(abs((SELECT sum(d) FROM n)), 9)::DOUBLE AS observed, round(avg((abs(t) >= abs((SELECT sum(d) FROM n)) - 1e-12)::INT), 9) AS p FROM s"""
 )
 def signflip_exact(spark, sf):
     rows = corpus(spark, sf).join(table(spark, sf, "labels"), "doc_id")

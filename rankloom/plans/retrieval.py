@@ -104,7 +104,7 @@ def vectors(spark, sf):
     return rows.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label"), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
-DENSE = """dense AS (SELECT q.vec_id AS query, e.vec_id AS key, e.label AS file, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)"""
+DENSE = """dense AS (SELECT q.vec_id AS query, e.vec_id AS key, e.label AS file, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"""
 
 
 @query(f"WITH {DENSE} SELECT query, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM dense) WHERE rank <= 20")
@@ -216,10 +216,10 @@ def _sx(e: str) -> str:
 
 
 FEATURES_SQL = f"""{bm25_sql(20)},
-    files AS (SELECT query, file, file_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY first_rank, file)::INT AS file_rank FROM (SELECT query, source AS file, min(rank) AS first_rank FROM bm JOIN documents ON doc_id = key GROUP BY ALL)) WHERE file_rank <= 5 AND query < 10),
-    ent AS (SELECT source AS file, left(string_split(text, chr(10))[1], 60) AS name, left(string_split(text, chr(10))[1], 120) AS signature, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS src, doc_id::INT AS start_line FROM documents),
+    files AS (SELECT query, file, file_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY first_rank, file)::INT AS file_rank FROM (SELECT query, source AS file, min(rank) AS first_rank FROM bm JOIN documents ON doc_id = key GROUP BY ALL)) WHERE file_rank <= 5),
+    ent AS (SELECT source AS file, string_split(text, chr(10))[1] AS name, string_split(text, chr(10))[1] AS signature, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS src, doc_id::INT AS start_line FROM documents),
     des AS (SELECT *, list_distinct({_sx("concat_ws(chr(10), name, signature, file)")}) AS symbol_terms, {exact_terms_sql("concat_ws(chr(10), name, signature, file)")} AS symbol_exact, list_distinct({_sx('src')}) AS source_terms, {exact_terms_sql('src')} AS source_exact FROM ent WHERE file IN (SELECT file FROM files)),
-    it AS (SELECT item_id AS query, split_part(text, '.', 1) AS title, text FROM benchmark WHERE item_id < 10),
+    it AS (SELECT item_id AS query, split_part(text, '.', 1) AS title, text FROM benchmark),
     raw AS (SELECT *, array_to_string(regexp_extract_all(concat_ws(chr(10), title, text), '`([^`]+)`', 1), ' ') AS spans, array_to_string(regexp_extract_all(text, '[''"]([A-Za-z_][A-Za-z0-9_.-]+)[''"]', 1), ' ') AS quoted FROM it),
     terms AS (SELECT query, list_distinct({_sx('title')}) AS title_terms, list_distinct({_sx('text')}) AS narrative_terms, list_distinct(list_concat(list_concat({_sx('title')}, {_sx('text')}), list_concat({_sx('spans')}, {_sx('quoted')}))) AS issue_terms,
       list_distinct(list_concat(list_concat({exact_terms_sql('title')}, {exact_terms_sql('spans')}), list_concat({exact_terms_sql('quoted')}, list_filter({exact_terms_sql('text')}, lambda t: contains(t, '_') OR contains(t, '.'))))) AS exact_terms FROM raw),
@@ -255,7 +255,7 @@ def selector_variants(spark, sf):
     return projection.selector_variants(df).where("rank <= 20").select("query", "key", "variant", "rank")
 
 
-@query(f"SELECT doc_id, array_to_string({split_terms_sql('left(text, 400)')}, ' ') AS terms, array_to_string(list_sort({exact_terms_sql('left(text, 400)')}), ' ') AS exact FROM documents")
+@query(f"SELECT doc_id, array_to_string({split_terms_sql('text')}, ' ') AS terms, array_to_string(list_sort({exact_terms_sql('text')}), ' ') AS exact FROM documents")
 def identifier_terms(spark, sf):
     t = F.col("text")
     return corpus(spark, sf).select("doc_id", F.array_join(tx.split_terms(t), " ").alias("terms"), F.array_join(F.array_sort(tx.exact_terms(t)), " ").alias("exact"))
