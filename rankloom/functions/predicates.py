@@ -5,12 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Folders that hold no production code, and words that are no code reference.
-NON_PRODUCTION = ["test", "tests", "testing", "doc", "docs", "example", "examples", "benchmark", "benchmarks", "vendor", "third_party"]
+# Folders that hold no production code, stems of boilerplate documents, and folders that Java candidates skip.
+NON_PRODUCTION = ["test", "tests", "__tests__", "test_suite", "docs", "doc", "examples", "example", "tutorial", "tutorials", "benchmarks", "benchmark"]
+BOILERPLATE_DOCS = ["code_of_conduct", "contributing", "license", "security", "issue_template", "pull_request_template"]
 JAVA_EXCLUDED = [".gradle", ".idea", "build", "generated", "node_modules", "target"]
-BOILERPLATE_DOCS = ["license", "licence", "copying", "authors", "contributors", "code_of_conduct", "security", "maintainers"]
 SOURCE_EXTENSIONS = ("py", "java", "c", "cc", "cpp", "h", "hpp")
-COMMON_WORDS = ["true", "false", "none", "null", "self", "this", "that", "test", "tests", "error", "warning", "issue", "version", "python", "import", "return", "print"]
+
+# Fixed values of the code-reference filter: common words, dunder names, base names, extensions, prefixes and last parts.
+COMMON_WORDS = (
+    "actual behavior behaviour comparing description difference expected extension problem reproduce result sometimes traceback version warning begin "
+    "end signature pgp gnupg com org net edu gov html http https value values comment comments keyword keywords gz array collect copy data file files "
+    "header headers hdf5 keyerror name ndarray none open pytables true false attributeerror indexerror importerror modulenotfounderror notimplemented "
+    "notimplementederror runtimeerror typeerror valueerror platform format lower append count txt fr amd64 arm64 darwin linux macos ubuntu win32 win64 "
+    "windows x64 x86 x86_64"
+).split()
+DUNDER_NAMES = "__call__ __class__ __dict__ __getattr__ __init__ __iter__ __len__ __module__ __name__ __repr__ __setattr__ __str__ __version__".split()
+GENERIC_BASENAMES = "__init__ base common compat conf config conftest core io test tests ui utils".split()
+NON_SOURCE_EXTENSIONS = ".cfg .csv .html .ini .json .md .rst .toml .txt .xml .yaml .yml".split()
+LOCAL_PREFIXES = "c cls df filepath np numpy os pd platform self sys tbl u".split()
+GENERIC_TARGETS = (
+    "add append clear close compareto contains count equals format get hashcode lower now open platform put read remove set size tostring transform "
+    "version write"
+).split()
+TOP_LEVEL_DOMAINS = "com org net edu gov io dev ai fr".split()
+
+# Words of upkeep and of repair in commit messages, as patterns.
+MAINTENANCE_WORDS = (
+    r"pyupgrade pre-commit precommit black isort ruff flake8 pylint format(?:ting)? style lint whitespace typo spelling docstring sphinx warning codestyle "
+    r"D\d{3,4} B\d{3,4} SIM\d{3,4} RUF\d{3,4} E\d{3,4} W\d{3,4} F\d{3,4} dependabot bump changelog"
+).split() + ["release notes"]
+REPAIR_WORDS = (
+    r"fix(?:e[sd])? bug(?:fix)? error fail(?:ed|s|ure)? regression incorrect(?:ly)? wrong crash(?:es|ed)? exception broken repair resolve(?:[sd])? invalid"
+).split()
+
+# What messages and answers of failed attempts say.
+NO_OP_ERRORS = ["no effective edit commands", "no changes were made"]
+SEARCH_MARK = "<<<<<<< search"
+CONTEXT_MARKERS = ["need more context", "provided context only", "provided context alone", "cannot produce a valid patch", "no edit commands found"]
+REFUSAL_MARKERS = [
+    "cannot provide a valid patch", "without access to the actual source files", "relevant source files", "the context is insufficient",
+    "need more files", "need access to", "not included in the provided context",
+]
+INFRASTRUCTURE_MARKERS = [
+    "insufficient_balance", "insufficient account balance", "connection error", "rate limit", "service unavailable", "gateway timeout",
+    "request timed out", "repository path not found",
+]
 
 
 def drop_leaks(df: DataFrame, names: tuple[str, ...] = ("hint_text", "hints_text")) -> DataFrame:
@@ -19,15 +58,19 @@ def drop_leaks(df: DataFrame, names: tuple[str, ...] = ("hint_text", "hints_text
 
 
 def path_parts(path: Column) -> Column:
-    return F.split(F.lower(F.coalesce(path, F.lit(""))), "/")
+    return F.split(F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))), "/")
 
 
 def is_boilerplate_doc(path: Column) -> Column:
-    stem = F.regexp_replace(F.element_at(path_parts(path), -1), r"\.[^.]*$", "")
-    return stem.isin(BOILERPLATE_DOCS)
+    """The file's stem is a boilerplate name, or a folder below another one is called so."""
+    parts = path_parts(path)
+    stem = F.regexp_replace(F.element_at(parts, -1), r"^(\.*[^.].*)\.[^.]*$", "$1")
+    folders = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    return stem.isin(BOILERPLATE_DOCS) | F.arrays_overlap(folders, F.array(*map(F.lit, BOILERPLATE_DOCS)))
 
 
 def skips_production(path: Column) -> Column:
+    """A step of the path, relative to its repository, is called like a folder that holds no production code."""
     return F.arrays_overlap(path_parts(path), F.array(*map(F.lit, NON_PRODUCTION)))
 
 
@@ -50,22 +93,50 @@ def has_test_word(name: Column, words: tuple[str, ...] = ("test", "tests", "e2e"
     return F.arrays_overlap(F.split(F.lower(F.coalesce(name, F.lit(""))), r" |_|/|\."), F.array(*map(F.lit, words)))
 
 
-def is_code_reference(reference: Column) -> Column:
-    """Looks like a symbol: dotted, snake or camel case, no address, no dunder, no common word, no test."""
-    low = F.lower(reference)
-    address = low.rlike(r"@|://|^www\.|\.(?:com|org|net|io)$")
-    shape = reference.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$") | reference.rlike(r"^[a-z0-9]+_[a-z0-9_]+$") | reference.rlike(r"^[A-Z]?[a-z0-9]+[A-Z]\w*$")
-    return shape & ~address & ~reference.rlike(r"^__.*__$") & ~low.isin(COMMON_WORDS) & ~is_test_name(reference) & (F.length(reference) >= 3)
+ADDRESS = rf"(?i)(?:^|[\s<])[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b|\b(?:https?://|www\.)?\w[\w.-]*\.(?:{'|'.join(TOP_LEVEL_DOMAINS)})\b"
+TEST_PART = r"^(?i:test_)|^(?i:tests?)$|^test[A-Z]"
+
+
+def is_code_reference(reference: Column, source_extensions: tuple[str, ...] = (".py",), repository: tuple[str, ...] = ()) -> Column:
+    """Likely a reference to code: a qualified or symbol-shaped name, no address, no document, no common word and no test.
+
+    ``repository`` are the lower-case names of the repository, which a qualified name with a generic last part may start with.
+    """
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(reference, F.lit("")), r"^\s+|\s+$", ""), "^[`'\"]+|[`'\"]+$", "")
+    dots = F.split(name, r"\.")
+    leaf = F.element_at(F.split(name, r"[/\\]"), -1)
+    parts = F.filter(F.split(name, r"[./\\]+"), lambda p: p != "")
+    target = F.when((F.element_at(dots, -1) == "py") & (F.size(dots) > 1), F.try_element_at(dots, F.lit(-2))).otherwise(F.element_at(dots, -1))
+    low, first = F.lower(target), F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))
+    separated = name.rlike(r"[/\\]")
+    qualified = name.rlike(r"[./\\]")
+    extension = F.concat(F.lit("."), F.lower(F.substring_index(leaf, ".", -1)))
+    document = leaf.contains(".") & extension.isin([e for e in NON_SOURCE_EXTENSIONS if e not in source_extensions])
+    generic_file = leaf.endswith(".py") & ~separated & F.lower(F.regexp_replace(leaf, r"\.py$", "")).isin(GENERIC_BASENAMES)
+    out = (name == "") | name.rlike(ADDRESS) | ((F.length(name) > 80) & ~separated) | document | generic_file
+    out = out | low.startswith("assert") | low.startswith("assume") | low.isin(COMMON_WORDS + DUNDER_NAMES) | F.exists(parts, lambda p: p.rlike(TEST_PART))
+    class_like = r"[A-Z][a-z]+"
+    local = F.lower(first).isin(LOCAL_PREFIXES) & ~target.rlike(class_like) & ~target.contains("_")
+    generic = low.isin(GENERIC_TARGETS) & ~F.lower(first).isin(list(repository)) & ~first.rlike(class_like)
+    whole = (F.length(target) > 1) & ~local & ~generic
+    capitals = (F.upper(target) == target) & (F.lower(target) != target) & F.length(target).between(2, 12)
+    symbol = target.contains("_") | capitals | target.rlike(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
+    return F.when(out, F.lit(False)).when(qualified, whole).otherwise(symbol)
+
+
+def _first_lines(message: Column, n: int) -> Column:
+    text = F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+|\s+$", "")
+    return F.array_join(F.slice(F.split(text, "\r\n|\n|\r"), 1, n), "\n")
 
 
 def is_maintenance(message: Column) -> Column:
-    """First line speaks of upkeep: merges, releases, version bumps, typos, formatting."""
-    return F.element_at(F.split(message, "\n"), 1).rlike(r"(?i)\b(?:merge|release|bump|version|changelog|typo|whitespace|lint|format(?:ting)?|pep8)\b")
+    """The first line speaks of upkeep: formatters, lint codes, style, spelling, bumps."""
+    return _first_lines(message, 1).rlike(rf"(?i)\b(?:{'|'.join(MAINTENANCE_WORDS)})\b")
 
 
 def is_repair(message: Column) -> Column:
     """One of the first three lines speaks of a repair."""
-    return F.array_join(F.slice(F.split(message, "\n"), 1, 3), "\n").rlike(r"(?i)\b(?:fix(?:e[sd])?|bug|regression|repair(?:s|ed)?|close[sd]?|resolve[sd]?)\b")
+    return _first_lines(message, 3).rlike(rf"(?i)\b(?:{'|'.join(REPAIR_WORDS)})\b")
 
 
 def epoch(*candidates: Column) -> Column:
@@ -87,15 +158,36 @@ def is_target_issue(issue: Column, targets: Column, created: Column, cutoff: Col
     return F.coalesce(F.array_contains(targets, issue), F.lit(False)) | F.coalesce(F.abs(created - cutoff) <= window, F.lit(False))
 
 
-def failure_class(answer: Column) -> Column:
-    """no_op, needs_context, refusal or other."""
-    low = F.lower(F.coalesce(answer, F.lit("")))
-    return (
-        F.when(low.rlike(r"no (?:changes?|edits?) (?:were|was|are|is)? ?(?:needed|required|made)|already (?:correct|fixed)|^\s*$"), "no_op")
-        .when(low.rlike(r"need (?:more|additional) (?:context|information|code)|(?:not|isn't) (?:shown|provided|included)|cannot see"), "needs_context")
-        .when(low.rlike(r"i (?:can't|cannot|won't|am unable to|'m unable to) (?:help|assist|comply|provide|do)"), "refusal")
-        .otherwise("other")
-    )
+def _messages(errors: Column) -> Column:
+    return F.lower(F.array_join(F.filter(F.coalesce(errors, F.array().cast("array<string>")), lambda e: e.isNotNull() & (e != "")), " | "))
+
+
+def _any_of(text: Column, markers: list[str]) -> Column:
+    found = F.lit(False)
+    for m in markers:
+        found = found | text.contains(m)
+    return found
+
+
+def is_no_op(errors: Column, answer: Column, applied: Column, processed: Column) -> Column:
+    """Nothing was applied, and messages say so or the answer holds an edit that was not processed (both counts of files)."""
+    said = _any_of(_messages(errors), NO_OP_ERRORS)
+    lost = F.lower(F.coalesce(answer, F.lit(""))).contains(SEARCH_MARK) & (F.coalesce(processed, F.lit(0)) == 0)
+    return (F.coalesce(applied, F.lit(0)) == 0) & (said | lost)
+
+
+def _said(errors: Column, answer: Column) -> Column:
+    return F.concat(F.lower(F.coalesce(answer, F.lit(""))), F.lit("\n"), _messages(errors))
+
+
+def needs_context(errors: Column, answer: Column) -> Column:
+    """The answer or a message asks for more context."""
+    return _any_of(_said(errors, answer), CONTEXT_MARKERS)
+
+
+def is_refusal(errors: Column, answer: Column) -> Column:
+    """The answer or a message refuses for want of files."""
+    return _any_of(_said(errors, answer), REFUSAL_MARKERS)
 
 
 def target_stratum(entities: Column, files: Column) -> Column:
@@ -112,8 +204,9 @@ def directional_alignment(stratum: Column, preferred: Column) -> Column:
 
 
 def is_infrastructure_failure(errors: Column) -> Column:
-    """Any message of an array of errors speaks of connection, quota or time limits."""
-    return F.exists(F.coalesce(errors, F.array().cast("array<string>")), lambda e: e.rlike(r"(?i)timed? ?out|connection|rate limit|quota|unavailable|502|503|504"))
+    """A message of an array of errors speaks of balance, connection, limits or a missing repository."""
+    texts = F.transform(F.coalesce(errors, F.array().cast("array<string>")), lambda e: F.coalesce(e, F.lit("")))
+    return _any_of(F.lower(F.array_join(texts, "\n")), INFRASTRUCTURE_MARKERS)
 
 
 def is_historical(node: Column, label: Column, root: str = "root") -> Column:

@@ -113,24 +113,44 @@ def context_score(tokens: Column, text: Column) -> Column:
 
 
 def clean_issue(text: Column) -> Column:
-    """Without HTML comments and signature blocks; runs of blank lines become one."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?s)-----BEGIN PGP.*?-----END PGP[^\n]*-----", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    """HTML comments and signature blocks become line breaks, runs of blank lines one, white space at the ends nothing."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "\n")
+    text = F.regexp_replace(text, r"(?si)-----BEGIN PGP SIGNATURE-----.*?-----END PGP SIGNATURE-----", "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+#: What a masked reference becomes, and what stands before and after the number in the families of references (fixed values).
+MASK = "[target fixing reference removed]"
+REST_OF_LINK = r"(?:[#?][^\s<>)\]]*)?"
+REFERENCE_FORMS = [
+    (r"(?i)https?://github\.com/[^\s<>)\]]+/(?:pull|pulls|issues)/", REST_OF_LINK),
+    (r"(?i)https?://code\.djangoproject\.com/ticket/", REST_OF_LINK),
+    (r"(?i)\b(?:pr|pull\s+request|pull|issue)\s*#?\s*", r"\b"),
+    (r"(?i)(?<![\w/])#\s*", r"\b"),
+]
 
 
 def redact_reference(text: Column, number: Column) -> Column:
-    """Mask references to one issue number: #n, issue or pull links, and 'issue n' phrases."""
-    n = number.cast("string")
-    for before, after in ((r"https?://\S+/(?:issues|pull)/", r"\b\S*"), (r"(?i)\b(?:issue|pull request|pr|ticket)\s*#?\s*", r"\b"), (r"#", r"\b"), (r"(?i)\b(?:closes|fixes|resolves)\s+#?", r"\b")):
-        text = F.regexp_replace(text, F.concat(F.lit(before), n, F.lit(after)), F.lit("[reference]"))
-    return text
+    """Mask references to one issue number: links to it, 'issue n' phrases, and #n. Without a number the text stays."""
+    n = F.concat(F.lit(r"\Q"), number.cast("string"), F.lit(r"\E"))
+    masked = F.coalesce(text, F.lit(""))
+    for before, after in REFERENCE_FORMS:
+        masked = F.regexp_replace(masked, F.concat(F.lit(before), n, F.lit(after)), F.lit(MASK))
+    return F.when(F.coalesce(number.cast("string"), F.lit("")) == "", F.coalesce(text, F.lit(""))).otherwise(masked)
+
 
+def reference_ids(text: Column, repository: Column) -> Column:
+    """Distinct issue numbers that a text refers to: a closing word and #n, #n by itself, or a link to the repository.
 
-def reference_ids(text: Column) -> Column:
-    """Distinct issue numbers that a text refers to by #n, by a closing word or by a link."""
-    pattern = r"(?i)(?:\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+#?|(?<![A-Za-z0-9_&])#|/(?:issues|pull|ticket)/)(\d+)"
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda x: x.cast("long")))
+    The one repository whose tickets are elsewhere (a fixed value) has links to tickets as well.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = lambda pattern: F.regexp_extract_all(text, pattern, F.lit(1))
+    closed = found(F.lit(r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+#(\d+)"))
+    named = found(F.lit(r"(?<!\w)#(\d+)(?![\w-])"))
+    linked = found(F.concat(F.lit(r"https://github\.com/\Q"), F.coalesce(repository, F.lit("")), F.lit(r"\E/(?:issues|pull)/(\d+)")))
+    tickets = F.when(repository == "django/django", found(F.lit(r"https://code\.djangoproject\.com/ticket/(\d+)"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(closed, named, linked, tickets), lambda x: x.cast("long")))
 
 
 def file_mentions(text: Column, extensions: tuple[str, ...] = ("py", "java", "cpp", "c", "h", "js", "ts", "go", "rs")) -> Column:

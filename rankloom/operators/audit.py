@@ -21,6 +21,49 @@ def leak_flags(df: DataFrame, text: Column, target_id: Column, patch_markers: tu
     return df.withColumn("mentions_target", number).withColumn("holds_diff", diff).withColumn("leaks", F.col("mentions_target") | F.col("holds_diff"))
 
 
+def _flags(*named: tuple[str, Column]) -> Column:
+    return F.filter(F.array(*[F.when(F.coalesce(found, F.lit(False)), F.lit(name)) for name, found in named]), lambda f: f.isNotNull())
+
+
+def content_flags(text: Column, target: Column) -> Column:
+    """What a lower-cased export says about its target (a number as text): references, links, traces, comments."""
+    n = F.concat(F.lit(r"\Q"), target, F.lit(r"\E"))
+    found = lambda before, after: F.rlike(text, F.concat(F.lit(before), n, F.lit(after))) & (target != "")
+    return _flags(
+        ("target_pr_reference", found(r"(?<![a-z0-9_])pr#", r"(?![a-z0-9_])")),
+        ("target_fix_reference_url", found(r"github\.com/[^\s\"'<>]+/(?:pull|pulls|issues)/", r"(?!\d)") | found(r"code\.djangoproject\.com/ticket/", r"(?!\d)")),
+        ("target_fix_reference_text", found(r"\b(?:pr|pull\s+request|pull|issue)\s*#?\s*", r"\b")),
+        ("target_fix_trace", found(r"\b(?:fix(?:e[ds])?|close[sd]?|resolve[sd]?)\s+#\s*", r"\b") | found(r"revision=[\"'][0-9a-f]{12,}[\"'][^{}]{0,240}#\s*", r"\b")),
+        ("exported_issue_comment", text.rlike(r"###\s+comment\s*:")),
+    )
+
+
+def metadata_flags(params: Column) -> Column:
+    """Run parameters (a struct) that a valid export does not have."""
+    return _flags(
+        ("uses_discussion_comments", F.coalesce(params["uses_discussion_comments"], F.lit(False))),
+        ("uses_embeddings", F.coalesce(params["uses_embeddings"], F.lit(False))),
+        ("has_tunable_retrieval_parameters", F.size(F.coalesce(params["tunable_retrieval_parameters"], F.array().cast("array<string>"))) > 0),
+    )
+
+
+def structure_flags(issues: Column, methods: Column, classes: Column, others: Column, target: Column) -> Column:
+    """The target among the related issues (structs of issue_id, name), or on a path; of the path groups the first that holds it is named."""
+    label = F.concat(F.lit("pr#"), target)
+    on = lambda paths: F.exists(paths, lambda p: F.contains(F.lower(p), label)) & (target != "")
+    entity = F.exists(issues, lambda i: F.coalesce(i["issue_id"] == target, F.lit(False)) | F.coalesce(i["name"] == label, F.lit(False))) & (target != "")
+    return _flags(("target_pr_entity", entity), ("target_pr_in_any_path", on(methods) | on(classes) | on(others)), ("target_pr_in_method_path", on(methods)), ("target_pr_in_class_path", ~on(methods) & on(classes)))
+
+
+def export_flags(exports: DataFrame, target: Column) -> DataFrame:
+    """Exports (exported, params, issues, methods, classes, others) with content, metadata, structure, warned and clean."""
+    text, number = F.lower("exported"), F.when(target.rlike(r"^\d+$"), target).otherwise("")
+    found = exports.withColumn("content", content_flags(text, number)).withColumn("metadata", metadata_flags(F.col("params")))
+    found = found.withColumn("structure", structure_flags(F.col("issues"), F.col("methods"), F.col("classes"), F.col("others"), number))
+    found = found.withColumn("warned", text.rlike(r"\bfix(?:e[ds])?\s+#\s*\d+\b"))
+    return found.withColumn("clean", F.size("content") + F.size("metadata") + F.size("structure") == 0)
+
+
 def cutoff_audit(expected: DataFrame, actual: DataFrame, key: str, time: str) -> DataFrame:
     """Counts of matching, mismatched, missing and unexpected times."""
     e, a = expected.select(key, F.col(time).alias("e"), F.lit(1).alias("in_e")), actual.select(key, F.col(time).alias("a"), F.lit(1).alias("in_a"))

@@ -17,7 +17,7 @@ MAX_MENTIONS, MAX_DEFINITIONS = 20, 10
 
 def issue_references(issues: DataFrame, known: DataFrame) -> DataFrame:
     """(src, dst) where an issue's text names another known issue of its repository by number."""
-    named = issues.select("repo", F.col("issue").alias("src"), F.explode(tx.reference_ids(F.col("text"))).alias("dst")).where("src <> dst").distinct()
+    named = issues.select("repo", F.col("issue").alias("src"), F.explode(tx.reference_ids(F.col("text"), F.col("repo").cast("string"))).alias("dst")).where("src <> dst").distinct()
     return named.join(known.select("repo", F.col("issue").alias("dst")).distinct(), ["repo", "dst"]).select("repo", "src", "dst")
 
 

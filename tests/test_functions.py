@@ -46,9 +46,11 @@ def test_sections_carry_a_traceback(spark):
 
 
 def test_text_clean_up(one):
-    assert one(tx.clean_issue(lit("a<!-- x\ny -->b\n\n\n\nc"))) == "ab\n\nc"
-    assert one(tx.redact_reference(lit("see #12, issue 12 and #123"), lit(12))) == "see [reference], [reference] and #123"
-    assert one(tx.reference_ids(lit("Fixes #3, see /pull/44 and x#5 or #6"))) == [3, 44, 6]
+    assert one(tx.clean_issue(lit("a<!-- x\ny -->b\n\n\n\nc"))) == "a\nb\n\nc"
+    assert one(tx.redact_reference(lit("see #12, issue 12 and #123"), lit(12))) == "see [target fixing reference removed], [target fixing reference removed] and #123"
+    assert one(tx.redact_reference(lit("https://github.com/a/b/pull/12#x, fixes 12, a/#12, PR 12."), lit("12"))) == "[target fixing reference removed] fixes 12, a/#12, [target fixing reference removed]."
+    assert one(tx.reference_ids(lit("Fixes #3, closes 9, https://github.com/a/b/pull/44 https://github.com/c/d/pull/45 and x#5 or #6, #7-x"), lit("a/b"))) == [3, 6, 44]
+    assert one(tx.reference_ids(lit("https://code.djangoproject.com/ticket/77"), lit("a/b"))) == [] and one(tx.reference_ids(lit("https://code.djangoproject.com/ticket/77"), lit("django/django"))) == [77]
     assert one(tx.file_mentions(lit("in a/b.py and c.rst, D.java"))) == ["a/b.py", "D.java"]
     assert one(tx.code_blocks(lit("x\n```py\na\nb\n```\ny"))) == ["a\nb\n"]
     assert one(tx.diff_of_answer(lit("<patch>\nabc</patch>"))) == "abc" and one(tx.json_of_answer(lit('t ```json\n{"a":1}\n```'))) == '{"a":1}'
@@ -89,10 +91,21 @@ def test_predicates(one):
     assert one(pred.is_java_candidate(lit("src/A.java"))) and not one(pred.is_java_candidate(lit("build/A.java")))
     assert one(pred.is_code_reference(lit("pkg.func"))) and one(pred.is_code_reference(lit("my_func"))) and not one(pred.is_code_reference(lit("word"))) and not one(pred.is_code_reference(lit("me@x.org")))
     assert one(pred.is_maintenance(lit("Bump version\n\nfix"))) and one(pred.is_repair(lit("x\nFixes bug"))) and not one(pred.is_repair(lit("a\nb\nc\nfix")))
-    assert one(pred.failure_class(lit("I cannot help with that"))) == "refusal" and one(pred.failure_class(lit("No changes needed"))) == "no_op"
+    none, errors = F.lit(None).cast("array<string>"), lambda *e: F.array(*map(lit, e))
+    assert one(pred.is_no_op(errors("x", "No changes were made"), lit(""), lit(0), lit(0))) and not one(pred.is_no_op(errors("No changes were made"), lit(""), lit(1), lit(0)))
+    assert one(pred.is_no_op(none, lit("<<<<<<< SEARCH\na"), lit(0), lit(0))) and not one(pred.is_no_op(none, lit("<<<<<<< SEARCH\na"), lit(0), lit(1)))
+    assert one(pred.needs_context(none, lit("I need more context here"))) and one(pred.needs_context(errors("No edit commands found"), F.lit(None).cast("string"))) and not one(pred.needs_context(none, lit("fine")))
+    assert one(pred.is_refusal(none, lit("We Need access to x"))) and not one(pred.is_refusal(none, lit("I cannot help with that")))
+    for name, want in (("np.array_x", True), ("np.zeros", False), ("np.Matrix", True), ("np.Array", False), ("pkg.write", False), ("Pkg.write", True), ("Pkg.append", False), ("tests.a_b", False), ("a/testFoo.py", False), ("contest.func", True), ("x.rst", False), ("utils.py", False), ("a/utils.py", True), ("URL", True), ("ABCDEFGHIJKLM", False), ("CamelCase", True), ("Word", False), ("__init__", False), ("assert_x", False), ("`my_func`", True), ("x.org", False), ("a.b", False), ("", False), (None, False)):
+        assert one(pred.is_code_reference(F.lit(name).cast("string"))) is want, name
+    for path, want in (("a/LICENSE.txt", True), ("license", True), ("a/security/x.md", True), ("security/x.md", False), ("a/.github/ISSUE_TEMPLATE/x.md", True), ("authors.md", False), ("a\\contributing\\b", True)):
+        assert one(pred.is_boilerplate_doc(lit(path))) is want, path
+    assert one(pred.skips_production(lit("a/__tests__/b"))) and not one(pred.skips_production(lit("vendor/b.py")))
+    assert one(pred.is_maintenance(lit("\n Apply RUF100"))) and one(pred.is_maintenance(lit("release notes"))) and not one(pred.is_maintenance(lit("merge branch\nblack")))
+    assert one(pred.is_repair(lit("a\nb\nraises an Exception"))) and not one(pred.is_repair(lit("closes it")))
     assert one(pred.target_stratum(lit(1), lit(0))) == "entity_only" and one(pred.hit_stratum(lit(1), lit(0))) == "only_a"
     assert one(pred.directional_alignment(lit("only_b"), lit("b"))) is True and one(pred.directional_alignment(lit("both"), lit("b"))) is None
-    assert one(pred.is_infrastructure_failure(F.array(lit("Connection reset")))) and one(pred.has_test_word(lit("foo_test.py")))
+    assert one(pred.is_infrastructure_failure(F.array(lit("x"), lit("Connection Error: y")))) and one(pred.has_test_word(lit("foo_test.py")))
 
 
 def test_cutoff_truth_table(spark):
