@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.text import cosine, identifier_tokens
 from rankloom.operators.ranking import rank_by, reciprocal_rank_fusion, top_k
@@ -37,10 +43,176 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
     return scored.groupBy("query", "doc_id", *keys).agg(F.sum(F.col("part") * F.col("qtf") if query_frequency else F.col("part")).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
-    """(query, doc_id, score, rank): the k best by score rounded to 6 places, then by id."""
-    scored = bm25(docs, queries, **options).withColumn("score", F.round("score", 6))
-    return top_k(scored, "query", k, F.col("score").desc(), "doc_id")
+#: Query terms (one row per query and term) that fit a broadcast, and their statistics by pool; beyond that terms are joined.
+MOST_WANTED, MOST_STATISTICS = 1_000_000, 2_000_000
+#: Scores (documents times queries) that a task holds at once.
+SCORE_CELLS = 1 << 22
+
+
+class Wanted:
+    """The queries' terms: their numbers, and for each the queries that hold it and how often."""
+
+    def __init__(self, rows: list[tuple]):
+        self.queries = sorted({r[0] for r in rows})
+        number = {q: k for k, q in enumerate(self.queries)}
+        self.terms = {t: k for k, t in enumerate(sorted({r[1] for r in rows}))}
+        held: list[list[tuple[int, int]]] = [[] for _ in self.terms]
+        for query, term, times in rows:
+            held[self.terms[term]].append((number[query], times))
+        self.at = [np.array([q for q, _ in h], np.int64) for h in held]
+        self.times = [np.array([n for _, n in h], float) for h in held]
+
+    def counts(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times in the row) of a batch's term lists, for wanted terms alone, and all lists' lengths."""
+        lengths = np.diff(column.offsets.to_numpy())
+        coded = column.flatten().dictionary_encode()
+        number = np.array([self.terms.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)
+        term = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        known = term >= 0
+        cells, times = np.unique(row[known] * max(len(self.terms), 1) + term[known], return_counts=True)
+        return cells // max(len(self.terms), 1), cells % max(len(self.terms), 1), times, lengths
+
+
+def _wanted(queries: DataFrame, tokens: Callable) -> tuple[DataFrame, Wanted | None]:
+    """(query, term, qtf), and the same for a broadcast if it fits one."""
+    rows = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    found = rows.limit(MOST_WANTED + 1).collect()
+    return rows, Wanted([tuple(r) for r in found]) if len(found) <= MOST_WANTED else None
+
+
+def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, weigh: Callable) -> DataFrame:
+    """(query, doc_id, pool, score): of every chunk of documents (doc_id, terms, pool) the k best for each query (and pool).
+
+    ``weigh(term, times, length, pool)`` gives the weight of terms in documents. Scores are compared at 6 places, then by id.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    schema = T.StructType([T.StructField("query_number", T.LongType()), docs.schema["doc_id"], *([docs.schema[pool]] if pool else []), T.StructField("score", T.DoubleType())])
+    names = [f.name for f in schema.fields]
+
+    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
+        asked = shared.value
+        pools = batch.column(pool).to_numpy(zero_copy_only=False) if pool else None
+        row, term, times, lengths = asked.counts(batch.column("terms"))
+        part = weigh(term, times, lengths[row].astype(float), pools[row] if pool else None)
+        order = np.argsort(term, kind="stable")
+        row, term, part = row[order], term[order], part[order]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1, [len(term)]]) if len(term) else np.zeros(1, np.int64)
+        scores = np.zeros((batch.num_rows, len(asked.queries)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            t = int(term[a])
+            scores[row[a:b, None], asked.at[t]] += part[a:b, None] * asked.times[t]
+        ids = batch.column("doc_id")
+        by_id = np.asarray(pc.array_sort_indices(ids))
+        groups = [by_id] if pools is None else [by_id[g] for g in _groups(pools[by_id])]
+        found_row, found_query = [], []
+        for rows in groups:
+            first = np.argsort(-np.round(scores[rows], 6), axis=0, kind="stable")[:k]
+            at = rows[first]
+            hit = scores[at, np.arange(scores.shape[1])] > 0
+            found_row.append(at[hit])
+            found_query.append(np.broadcast_to(np.arange(scores.shape[1]), at.shape)[hit])
+        at, query = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_row, found_query))
+        picked = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), ids.take(picked), *([batch.column(pool).take(picked)] if pool else []), pa.array(scores[at, query])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(SCORE_CELLS // max(len(shared.value.queries), 1), 1)
+        for b in batches:
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                yield best(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names))
+
+    found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, schema)
+    names_of = docs.sparkSession.createDataFrame(list(enumerate(wanted.queries)), "query_number long, query long")
+    return found.join(F.broadcast(names_of), "query_number").drop("query_number")  # one row per query of the broadcast
+
+
+def _groups(values: np.ndarray) -> list[np.ndarray]:
+    places: dict = {}
+    for k, v in enumerate(values.tolist()):
+        places.setdefault(v, []).append(k)
+    return [np.array(p) for p in places.values()]
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_tokens, k1: float = CORPUS_K1, b: float = B, query_frequency: bool = False, pool: str | None = None) -> DataFrame:
+    """(query, doc_id, score, rank): the k best by score rounded to 6 places, then by id; with a ``pool`` the k best of each value.
+
+    Where the queries' terms fit a broadcast, documents are scored where they are read, and only each chunk's best for
+    every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers; documents without an id are left out.
+    """
+    keys = ["query", *([pool] if pool else [])]
+    rows, wanted = _wanted(queries, tokens)
+    if wanted is None:
+        scored = bm25(docs.where(F.col("doc_id").isNotNull()), queries, tokens, k1, b, query_frequency, pool)
+    else:
+        words = docs.select("doc_id", *([pool] if pool else []), tokens(F.col("text")).alias("terms"))
+        statistics = _statistics(words, wanted, pool)
+        if statistics is None:
+            scored = bm25(docs.where(F.col("doc_id").isNotNull()), queries, tokens, k1, b, query_frequency, pool)
+        else:
+            if not query_frequency:
+                wanted.times = [np.ones(len(n)) for n in wanted.times]
+            shared = docs.sparkSession.sparkContext.broadcast(statistics)
+
+            def weigh(term: np.ndarray, times: np.ndarray, length: np.ndarray, pools: np.ndarray | None) -> np.ndarray:
+                known = shared.value
+                number = np.array([known["pools"][p] for p in pools.tolist()], np.int64) if pools is not None else np.zeros(len(term), np.int64)
+                n, mean = known["n"][number], known["mean"][number]
+                df = known["df"][number, term]
+                return np.log(1 + (n - df + 0.5) / (df + 0.5)) * (times * (k1 + 1)) / (times + k1 * (1 - b + b * length / mean))
+
+            scored = _best_of_chunks(words, wanted, k, pool, weigh)
+    return top_k(scored.withColumn("score", F.round("score", 6)), keys if pool else "query", k, F.col("score").desc(), "doc_id")
+
+
+def _statistics(words: DataFrame, wanted: Wanted, pool: str | None) -> dict | None:
+    """Documents, mean length and document counts of the wanted terms, of every pool; none if they do not fit a broadcast."""
+    shared = words.sparkSession.sparkContext.broadcast(wanted)
+    kind = [words.schema[pool]] if pool else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, term, _, lengths = shared.value.counts(b.column("terms"))
+            pools = b.column(pool).to_pylist() if pool else [None] * b.num_rows
+            names = {p: k for k, p in enumerate(dict.fromkeys(pools))}
+            number, size = np.array([names[p] for p in pools], np.int64), max(len(shared.value.terms), 1)
+            cells, times = np.unique(number[row] * size + term, return_counts=True)
+            whole, total = np.bincount(number, minlength=len(names)), np.bincount(number, lengths, len(names)).astype(np.int64)
+            which = np.concatenate([cells // size, np.arange(len(names)), np.arange(len(names))])
+            code = np.concatenate([cells % size, np.full(len(names), -1), np.full(len(names), -2)])
+            listed = list(names)
+            parts = [pa.array([listed[w] for w in which.tolist()], b.column(pool).type)] if pool else []
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(code, pa.int64()), pa.array(np.concatenate([times, whole, total]), pa.int64())], names=[*([pool] if pool else []), "code", "n"])
+
+    schema = T.StructType([*kind, T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    counted = words.mapInArrow(run, schema).groupBy(*([pool] if pool else []), "code").agg(F.sum("n").alias("n"))
+    found = counted.limit(MOST_STATISTICS + 1).collect()
+    pools = {p: k for k, p in enumerate(sorted({r[0] for r in found}, key=str) if pool else [None])}
+    if len(found) > MOST_STATISTICS or len(pools) * len(wanted.terms) > 8 * MOST_STATISTICS:
+        return None
+    df, n, total = np.zeros((len(pools), max(len(wanted.terms), 1))), np.zeros(len(pools)), np.zeros(len(pools))
+    for r in found:
+        at = pools[r[0] if pool else None]
+        if r["code"] >= 0:
+            df[at, r["code"]] = r["n"]
+        else:
+            (n if r["code"] == -1 else total)[at] = r["n"]
+    mean = np.where(total > 0, total / np.maximum(n, 1), 1.0)
+    return {"pools": pools, "df": df, "n": n, "mean": mean}
+
+
+def overlap_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_tokens) -> DataFrame:
+    """(query, doc_id, score, rank): the k documents that share the most distinct terms with a query, then by id."""
+    distinct = lambda text: F.array_distinct(tokens(text))
+    rows, wanted = _wanted(queries, distinct)
+    words = docs.select("doc_id", distinct(F.col("text")).alias("terms"))
+    if wanted is None:
+        listed = words.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode("terms").alias("term"))
+        scored = listed.join(rows, "term").groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    else:
+        scored = _best_of_chunks(words, wanted, k, None, lambda term, times, length, pools: np.ones(len(term)))
+    return top_k(scored.withColumn("score", F.col("score").cast("long")), "query", k, F.col("score").desc(), "doc_id")
 
 
 def dense(items: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:

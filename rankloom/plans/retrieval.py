@@ -26,11 +26,9 @@ def lexical(spark: SparkSession, sf: str, k: int) -> DataFrame:
 
 
 def overlap(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """Documents by number of shared distinct tokens: the inverted index again, without weights."""
-    wanted = items(spark, sf).select("query", F.explode(F.array_distinct(tx.identifier_tokens(F.col("text")))).alias("term"))
-    words = corpus(spark, sf).select("doc_id", F.explode(F.array_distinct(tx.identifier_tokens(F.col("text")))).alias("term"))
-    n = words.join(wanted, "term").groupBy("query", F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("score"))
-    return ranking.top_k(n, "query", k, F.col("score").desc(), "key").select("query", "key", "rank", "score")
+    """Documents by number of shared distinct tokens."""
+    top = retrieval.overlap_top(corpus(spark, sf), items(spark, sf), k)
+    return top.select("query", F.col("doc_id").alias("key"), "rank", "score")
 
 
 def with_file(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +93,8 @@ def bm25_top20(spark, sf):
     SELECT query, source, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc_id)::INT AS rank FROM scored) WHERE rank <= 3"""
 )
 def bm25_query_tf(spark, sf):
-    scored = retrieval.bm25(corpus(spark, sf), items(spark, sf), tx.split_terms, retrieval.SELECTOR_K1, query_frequency=True, pool="source").withColumn("score", F.round("score", 6))
-    return ranking.top_k(scored, ["query", "source"], 3, F.col("score").desc(), "doc_id").select("query", "source", "doc_id", "score", "rank")
+    top = retrieval.bm25_top(corpus(spark, sf), items(spark, sf), 3, tx.split_terms, retrieval.SELECTOR_K1, query_frequency=True, pool="source")
+    return top.select("query", "source", "doc_id", "score", "rank")
 
 
 def vectors(spark, sf):
