@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs on one machine, as tests do.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -37,14 +37,15 @@ def project(edges: DataFrame, nodes: DataFrame | None = None, labels: list[str]
     return out.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, bound: float, most_rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame, bound: float) -> DataFrame:
     """Cheapest path from each root to every node within a cost bound: root, node, cost, path (array of nodes).
 
-    Frontier relaxation: only nodes whose cost fell in the last round are expanded. Of equal costs the smaller path wins.
+    Frontier relaxation until nothing changes: only nodes whose cost fell in the last round are expanded. Of equal costs the
+    smaller path wins. Weights must not be negative.
     """
     best = cut(roots.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost"), F.array(F.col("root")).alias("path")))
     frontier = best
-    for _ in range(most_rounds):
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("weight"), 9).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
         step = step.where(F.col("cost") <= bound).groupBy("root", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("root", "node", "b.cost", "b.path")
         old = best.select("root", "node", F.struct("cost", "path").alias("was"))
@@ -53,7 +54,6 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, bound: float, most_rounds
             return best
         best = cut(best.unionByName(better).groupBy("root", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("root", "node", "b.cost", "b.path"))
         frontier = better
-    return best
 
 
 def path_details(paths: DataFrame, edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
@@ -144,17 +144,17 @@ def rank_scores(edges: DataFrame, root: str, alpha: float = 0.85, rounds: int =
     return score.crossJoin(F.broadcast(top)).select("node", F.round(F.col("score") / F.col("top"), 9).alias("score"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All nodes reachable from each root, the root included: root, node, depth. Semi-naive: only new pairs are expanded."""
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    new = seen
-    for depth in range(1, most_rounds + 1):
+    new, depth = seen, 0
+    while True:
+        depth += 1
         step = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(new))
-    return seen
 
 
 def expand_neighbours(seeds: DataFrame, edges: DataFrame, decay: float = 0.55) -> DataFrame:

@@ -1,7 +1,8 @@
 """Joins of points and intervals: innermost, enclosing, overlapping, nearest; islands of consecutive numbers.
 
-All of them are equi-joins on a group plus a range. Where groups are large, positions are cut into bins of a given width
-so that the range turns into an equi-join as well: an interval is listed in every bin it touches, a point in one.
+Joins are equi-joins on a group plus a range. Where groups are large, positions are cut into bins of a given ``width``
+so that the range turns into an equi-join as well: an interval is listed in every bin it touches, a point in one. Without a width all pairs
+of a group are made.
 """
 
 from __future__ import annotations
@@ -29,18 +30,23 @@ def innermost(points: DataFrame, intervals: DataFrame, group: str, point: str =
     return found.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def enclosing(inner: DataFrame, outer: DataFrame, group: str, key: str, start: str = "start", end: str = "end", prefix: str = "outer_") -> DataFrame:
+def enclosing(inner: DataFrame, outer: DataFrame, group: str, key: str, start: str = "start", end: str = "end", prefix: str = "outer_", width: int | None = None) -> DataFrame:
     """For each inner interval the smallest outer one of its group that contains it; of equal spans the first by position."""
     o = outer.select(group, *[F.col(c).alias(prefix + c) for c in outer.columns if c != group])
-    held = inner.join(o, group).where((F.col(prefix + start) <= F.col(start)) & (F.col(end) <= F.col(prefix + end)))
+    held = point_in_interval(inner, o, group, start, prefix + start, prefix + end, width).where(F.col(end) <= F.col(prefix + end))
     order = Window.partitionBy(group, key).orderBy(F.col(prefix + end) - F.col(prefix + start), prefix + start, prefix + "name")
     return held.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def overlapping(left: DataFrame, right: DataFrame, group: str, prefix: str = "other_") -> DataFrame:
-    """Pairs of intervals (start, end) of one group that share a point."""
+def overlapping(left: DataFrame, right: DataFrame, group: str, prefix: str = "other_", width: int | None = None) -> DataFrame:
+    """Pairs of intervals (start, end) of one group that share a point. In bins a pair counts where the later of both starts."""
     o = right.select(group, *[F.col(c).alias(prefix + c) for c in right.columns if c != group])
-    return left.join(o, group).where((F.col("start") <= F.col(prefix + "end")) & (F.col(prefix + "start") <= F.col("end")))
+    share = (F.col("start") <= F.col(prefix + "end")) & (F.col(prefix + "start") <= F.col("end"))
+    if width is None:
+        return left.join(o, group).where(share)
+    binned = left.where("start <= end").withColumn("bin", _bins(F.col("start"), F.col("end"), width))
+    other = o.where(F.col(prefix + "start") <= F.col(prefix + "end")).withColumn("bin", _bins(F.col(prefix + "start"), F.col(prefix + "end"), width))
+    return binned.join(other, [group, "bin"]).where(share & (F.col("bin") == F.floor(F.greatest("start", prefix + "start") / width))).drop("bin")
 
 
 def gap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

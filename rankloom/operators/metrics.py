@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEASURES = ["file_hit", "target_coverage", "hit", "mrr", "complete"]
@@ -128,11 +128,14 @@ def flag_counts(df: DataFrame, column: str, separator: str = r"\+") -> DataFrame
 
 def percentiles(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """Three percentiles that differ: interpolated, nearest rank, and the element at the truncated index n * q."""
-    ordered = F.sort_array(F.collect_list(value))
-    return df.groupBy(*by).agg(
-        F.percentile(value, q).alias("interpolated"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("nearest_rank"),
-        F.element_at(ordered, (F.least(F.count(value) - 1, F.floor(F.count(value) * F.lit(q))) + 1).cast("int")).alias("truncated_index"),
-    )
+    # values are counted before a window runs over the distinct ones
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("truncated_index")).agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*by)
+    upto, n = F.sum("c").over(group.orderBy("truncated_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("c").over(group)
+    place = F.least(n - 1, F.floor(n * F.lit(q))) + 1
+    at = counts.withColumn("upto", upto).withColumn("place", place).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place")))
+    both = df.groupBy(*by).agg(F.percentile(value, q).alias("interpolated"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("nearest_rank"))
+    return both.join(at.select(*by, "truncated_index"), by, "left")
 
 
 def sum_maps(df: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.context import materialise
 from rankloom.functions.text import cosine, identifier_tokens
 from rankloom.operators.ranking import rank_by, reciprocal_rank_fusion, top_k
 
@@ -45,6 +46,8 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
 
 #: Query terms (one row per query and term) that fit a broadcast, and their statistics by pool; beyond that terms are joined.
 MOST_WANTED, MOST_STATISTICS = 1_000_000, 2_000_000
+#: Components of query vectors that a broadcast holds.
+DENSE_CELLS = 8_000_000
 #: Scores (documents times queries) that a task holds at once.
 SCORE_CELLS = 1 << 22
 
@@ -216,12 +219,44 @@ def overlap_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_t
 
 
 def dense(items: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:
-    """(query, key, score): cosine of every item with every query. The queries must fit a broadcast of 64 MB."""
+    """(query, key, score): cosine of every item with every query, all pairs by definition.
+
+    Queries of up to 64 MB are broadcast; more are dealt into blocks that every item visits.
+    """
     n = queries.agg(F.sum(F.size("vector")).alias("cells")).first().cells or 0
-    if n > 8_000_000:
-        raise ValueError("too many query vectors for a broadcast; search them in blocks")
-    q = queries.select("query", F.col("vector").alias("qv"))
-    return items.crossJoin(F.broadcast(q)).select("query", "key", F.round(cosine(F.col("vector"), F.col("qv")), places).alias("score"))
+    q, blocks = queries.select("query", F.col("vector").alias("qv")), -(-n // DENSE_CELLS)
+    if blocks <= 1:
+        pairs = items.crossJoin(F.broadcast(q))
+    else:
+        dealt = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        pairs = items.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1)))).join(dealt, "block")
+    return pairs.select("query", "key", F.round(cosine(F.col("vector"), F.col("qv")), places).alias("score"))
+
+
+def nearest_values(items: DataFrame, queries: DataFrame, k: int, width: int = 64) -> DataFrame:
+    """(query, key, rank): the k items (key, value) nearest each query (query, value) by whole-number value, then by key.
+
+    Of items with equal values only the first k matter. The rest is a join on bins of a width that grows, eightfold
+    a round, for the queries that have not found k items within it.
+    """
+    kept = materialise(top_k(items.where("value IS NOT NULL"), "value", k, "key").select("key", "value"), "nearest-values")
+    left = queries.where("value IS NOT NULL").select("query", F.col("value").alias("wanted"))
+    low, high = kept.agg(F.min("value"), F.max("value")).first()
+    near, far = left.agg(F.min("wanted"), F.max("wanted")).first()
+    found = None
+    while True:
+        last = low is None or near is None or width >= max(high, far) - min(low, near)
+        bins = F.explode(F.sequence(F.floor(F.col("wanted") / width) - 1, F.floor(F.col("wanted") / width) + 1))
+        pairs = left.withColumn("bin", bins).join(kept.withColumn("bin", F.floor(F.col("value") / width)), "bin")
+        pairs = pairs.withColumn("distance", F.abs(F.col("value") - F.col("wanted"))).where(F.col("distance") <= width)
+        best = materialise(top_k(pairs, "query", k, "distance", "key").select("query", "wanted", "key", "rank"), "nearest-values")
+        done = best.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.lit(last) | (F.col("n") >= k)).select("query")
+        part = best.join(done, "query", "left_semi").select("query", "key", "rank")
+        found = part if found is None else found.unionByName(part)
+        left = left.join(done, "query", "left_anti")
+        if last or left.isEmpty():
+            return found
+        width *= 8
 
 
 def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:

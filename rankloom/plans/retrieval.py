@@ -142,9 +142,8 @@ def hybrid_rrf(spark, sf):
     SELECT query, key, round(score, 9) AS score, present, best_rank, first_source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, present DESC, best_rank, first_source, key)::INT AS rank FROM fused) WHERE rank <= 20"""
 )
 def multi_rrf_weighted(spark, sf):
-    near = items(spark, sf).select("query", F.length("text").alias("n"))
-    third = corpus(spark, sf).select(F.col("doc_id").alias("key"), F.length("text").alias("m")).crossJoin(F.broadcast(near))
-    third = ranking.top_k(third, "query", 50, F.abs(F.col("m") - F.col("n")), "key")
+    lengths = corpus(spark, sf).select(F.col("doc_id").alias("key"), F.length("text").alias("value"))
+    third = retrieval.nearest_values(lengths, items(spark, sf).select("query", F.length("text").alias("value")), 50)
     fused = ranking.reciprocal_rank_fusion([("lexical", lexical(spark, sf, 50)), ("overlap", overlap(spark, sf, 50)), ("length", third)], {"lexical": 1.0, "overlap": 0.5, "length": 0.25}, limit=20)
     return fused.select("query", "key", F.round("score", 9).alias("score"), "present", "best_rank", "first_source", "rank")
 

@@ -117,7 +117,7 @@ def innermost_interval(spark, sf):
 def enclosing_interval(spark, sf):
     sp = spans(spark, sf).withColumn("name", F.col("o_orderkey"))
     inner = sp.select("o_orderkey", "o_custkey", (F.col("start") + 5).alias("start"), (F.col("start") + 6).alias("end"))
-    return intervals.enclosing(inner, sp, "o_custkey", "o_orderkey").select("o_orderkey", "outer_o_orderkey")
+    return intervals.enclosing(inner, sp, "o_custkey", "o_orderkey", width=64).select("o_orderkey", "outer_o_orderkey")
 
 
 @query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS near_id, user_id, ts AS near_ts FROM events WHERE event_type = 'view')
@@ -253,14 +253,13 @@ def event_values():
 
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS window_start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, sf):
-    """Run as a stream: the folder's file is read, aggregated by window in complete state, and written once."""
+    """Run as a stream: the folder's file is read, aggregated by window in complete state, and each batch replaces the table written."""
     events = table(spark, sf, "events")
-    out = scratch(spark, "events-tumbling")
-    stream = windows.stream(spark, sf, events.schema, "events.parquet")
-    name = f"tumbling_{out[-32:]}"
-    sink = windows.tumbling(stream, "6 hours", ["event_type"], event_values()).writeStream.format("memory").queryName(name).outputMode("complete")
-    sink.option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    state, out = scratch(spark, "events-state"), scratch(spark, "events-tumbling")
+    stream = windows.tumbling(windows.stream(spark, sf, events.schema, "events.parquet"), "6 hours", ["event_type"], event_values())
+    sink = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out))
+    sink.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("SELECT s AS window_start, s + INTERVAL 12 HOURS AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 6 HOURS, ts), time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 6 HOURS]) AS s FROM events) GROUP BY ALL")
