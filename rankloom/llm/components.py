@@ -13,7 +13,7 @@ def _summary(edges: DataFrame) -> tuple[int, int]:
     return row.n, int(row.h or 0)
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every end of ``links`` (columns a, b): root is the least node that links reach.
 
     Each round is two aggregations and two joins on the links, written to the shared folder; rounds grow with the
@@ -22,9 +22,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stash(edges, "links")
     state = _summary(edges)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
