@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.context import cut
+from rankloom.functions.text import cosine, levenshtein_similarity
 
 WEAK, NORMAL, STRONG = 1.0, 0.5, 0.25
 DECAY, VECTOR_WEIGHT = 0.6, 0.3
@@ -68,28 +69,53 @@ def path_details(paths: DataFrame, edges: DataFrame, nodes: DataFrame, key: list
     return steps.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("details"))
 
 
-def component_score(is_issue: Column, vector: Column, text: Column, cost: Column, decay: float = DECAY, weight: float = VECTOR_WEIGHT) -> Column:
+#: What the root's own row scores, which comes before all others.
+ROOT_SCORE = 2.0
+SCORED_LABELS = ("Method", "Class", "Issue")
+
+
+def component_score(is_issue: Column, vector: Column, text: Column, cost: Column, decay: Column | float = DECAY, weight: Column | float = VECTOR_WEIGHT) -> Column:
     """Issues: vector similarity decayed by cost; others: a mix of vector and text similarity, decayed."""
-    fade = F.pow(F.lit(decay), cost)
+    decay, weight = (x if isinstance(x, Column) else F.lit(x) for x in (decay, weight))
+    fade = F.pow(decay, cost)
     return F.when(is_issue, vector * fade).otherwise((weight * vector + (1 - weight) * text) * fade)
 
 
-def rerank_components(components: DataFrame, parameters: list[tuple[float, float]]) -> DataFrame:
-    """Scores and ranks under every (decay, weight)."""
+def components(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Raw similarities of what shortest paths (root, node, cost) reach: root, node, label, name, file_path, root_text, cosine, likeness, cost.
+
+    ``nodes``: node, label, name, file_path, vector, text. Methods, classes and issues with a vector count, but neither the root nor
+    methods that are tests.
+    """
+    root = nodes.select(F.col("node").alias("root"), F.col("vector").alias("root_vector"), F.col("text").alias("root_text"))
+    held = paths.select("root", "node", "cost").where("node <> root").join(nodes, "node").join(root, "root")
+    test = (F.col("label") == "Method") & F.col("name").contains("test") & ~F.col("name").contains("pytest")
+    held = held.where(F.col("label").isin(*SCORED_LABELS) & F.col("vector").isNotNull() & ~F.coalesce(test, F.lit(False)))
+    likeness = levenshtein_similarity(F.col("root_text"), F.coalesce("text", F.lit("")))
+    return held.select("root", "node", "label", "name", "file_path", "root_text", cosine(F.col("root_vector"), F.col("vector")).alias("cosine"), likeness.alias("likeness"), "cost")
+
+
+def rerank_components(found: DataFrame, parameters: list[tuple[float, float]], boost: float = 0.0) -> DataFrame:
+    """Scores and ranks of ``components`` under every (decay, weight), the root first, with a boost for named identifiers."""
     from rankloom.operators.ranking import rank_by
 
-    spark = components.sparkSession
+    spark = found.sparkSession
     p = spark.createDataFrame([(float(d), float(w)) for d, w in parameters], "decay double, weight double")
-    fade = F.pow("decay", "cost")
-    score = F.when(F.col("label") == "Issue", F.col("vector") * fade).otherwise((F.col("weight") * F.col("vector") + (1 - F.col("weight")) * F.col("text")) * fade)
-    return rank_by(components.crossJoin(F.broadcast(p)).withColumn("score", F.round(score, 9)), ["root", "decay", "weight"], F.col("score").desc(), "node")
+    issue = F.col("label") == "Issue"
+    score = component_score(issue, F.col("cosine"), F.col("likeness"), F.col("cost"), F.col("decay"), F.col("weight"))
+    score = score + F.when(issue, 0.0).otherwise(boost * identifier_boost(F.col("name"), F.col("file_path"), F.col("root_text")))
+    scored = found.crossJoin(F.broadcast(p)).select("root", "node", "label", score.alias("score"), "decay", "weight")
+    pinned = found.select("root").distinct().crossJoin(F.broadcast(p)).select("root", F.col("root").alias("node"), F.lit("Issue").alias("label"), F.lit(ROOT_SCORE).alias("score"), "decay", "weight")
+    both = scored.unionByName(pinned).withColumn("score", F.round("score", 9)).withColumn("other", (F.col("node") != F.col("root")).cast("int"))
+    return rank_by(both, ["root", "decay", "weight"], "other", F.col("score").desc(), "node").drop("other")
 
 
-def identifier_boost(name: Column, text: Column) -> Column:
-    """1 when a name of more than 3 letters stands in the text, a half when only its last part does."""
-    base = F.element_at(F.split(name, r"\."), -1)
+def identifier_boost(name: Column, path: Column, text: Column) -> Column:
+    """1 when a name of more than 3 letters stands in the text, and a half when the path's last step does."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when((F.length(name) > 3) & F.contains(low, F.lower(name)), 1.0).when((F.length(base) > 3) & F.contains(low, F.lower(base)), 0.5).otherwise(0.0)
+    named = (F.length(name) > 3) & F.contains(low, F.lower(name))
+    filed = F.contains(low, F.lower(F.element_at(F.split(path, "/"), -1)))
+    return F.when(named, 1.0).otherwise(0.0) + F.when(filed, 0.5).otherwise(0.0)
 
 
 def evidence_paths(edges: DataFrame, nodes: DataFrame, root: str, first_not: list[str], middle_not: list[str], targets: list[str], hops: int = 4) -> DataFrame:

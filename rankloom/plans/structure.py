@@ -41,18 +41,51 @@ def graph_sssp_cost(spark, sf):
     return graph.shortest_paths(graph.project(edges), roots, 2.5).select("root", "node", F.round("cost", 6).alias("cost"))
 
 
-@query(
-    f"""WITH RECURSIVE {LINKS_SQL}, w AS (SELECT 's1' AS node, 0.0::DOUBLE AS cost, ['s1'] AS path UNION ALL SELECT e.dst, w.cost + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON w.node = e.src WHERE w.cost + e.weight <= 2.5 AND NOT list_contains(w.path, e.dst)),
+def described(spark, sf):
+    """The world's nodes with a name, a path, a text and the vector of their number: suppliers are issues, customers methods, nations classes."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").alias("vector"))
+
+    def part(name, letter, label, key, text, path):
+        rows = table(spark, sf, name).select(F.col(key).cast("long").alias("k"), text.alias("text"), path.alias("file_path"))
+        return rows.join(vectors, "k", "left").select(F.concat(F.lit(letter), F.col("k")).alias("node"), F.lit(label).alias("label"), F.substring_index("text", " ", 1).alias("name"), "file_path", "vector", "text")
+
+    c, n = F.col("c_name"), F.col("n_name")
+    parts = [part("supplier", "s", "Issue", "s_suppkey", F.concat(F.col("s_name"), F.lit(" in nation x.building and customer#000000001")), F.lit(None).cast("string"))]
+    parts.append(part("customer", "c", "Method", "c_custkey", F.concat(c, F.lit(" "), F.col("c_mktsegment")), F.concat(F.lit("src/x."), F.lower("c_mktsegment"))))
+    parts.append(part("nation", "n", "Class", "n_nationkey", F.lower(n), F.concat(F.lit("src/"), F.lower(n))))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+SCORED_SQL = f"""{LINKS_SQL}, w AS (SELECT 's1' AS node, 0.0::DOUBLE AS cost, ['s1'] AS path UNION ALL SELECT e.dst, w.cost + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON w.node = e.src WHERE w.cost + e.weight <= 2.5 AND NOT list_contains(w.path, e.dst)),
     best AS (SELECT node, min(cost) AS cost FROM w GROUP BY node),
-    v AS (SELECT node, cost, (1 + hash_) AS x FROM (SELECT node, cost, length(node) / 10.0 AS hash_ FROM best))
-    SELECT node, decay, weight, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY decay, weight ORDER BY round(score, 9) DESC, node)::INT AS rank FROM (SELECT node, decay, weight, (weight * (length(node) / 10.0) + (1 - weight) * 0.5) * pow(decay, cost) AS score FROM best CROSS JOIN (SELECT unnest([0.6, 0.8])::DOUBLE AS decay) CROSS JOIN (SELECT 0.3::DOUBLE AS weight))) WHERE rank <= 50"""
+    raw AS (SELECT 's' || s_suppkey AS node, 'Issue' AS label, s_suppkey AS k, s_name || ' in nation x.building and customer#000000001' AS text, NULL AS file_path FROM supplier
+      UNION ALL SELECT 'c' || c_custkey, 'Method', c_custkey, c_name || ' ' || c_mktsegment, 'src/x.' || lower(c_mktsegment) FROM customer UNION ALL SELECT 'n' || n_nationkey, 'Class', n_nationkey, lower(n_name), 'src/' || lower(n_name) FROM nation),
+    nodes AS (SELECT raw.*, split_part(text, ' ', 1) AS name, embedding::DOUBLE[] AS v FROM raw JOIN embeddings ON vec_id = k),
+    parts AS (SELECT n.node, n.label, n.name, n.file_path, r.text AS root_text, list_dot_product(r.v, n.v) / (sqrt(list_dot_product(r.v, r.v)) * sqrt(list_dot_product(n.v, n.v))) AS cosine, 1 - levenshtein(r.text, n.text)::DOUBLE / greatest(length(r.text), length(n.text)) AS likeness, cost
+      FROM best JOIN nodes n USING (node) JOIN nodes r ON r.node = 's1' WHERE n.node <> 's1' AND NOT (n.label = 'Method' AND contains(n.name, 'test') AND NOT contains(n.name, 'pytest')))"""
+
+
+@query(f"WITH RECURSIVE {SCORED_SQL} SELECT node, label, round(cosine, 6) AS cosine, round(likeness, 6) AS likeness, round(cost, 6) AS cost FROM parts")
+def graph_components(spark, sf):
+    found = graph.components(reached(spark, sf), described(spark, sf))
+    return found.select("node", "label", *[F.round(c, 6).alias(c) for c in ("cosine", "likeness", "cost")])
+
+
+def reached(spark, sf):
+    _, edges = world(spark, sf)
+    return graph.shortest_paths(graph.project(edges), spark.createDataFrame([("s1",)], "root string"), 2.5)
+
+
+@query(
+    f"""WITH RECURSIVE {SCORED_SQL}, grid AS (SELECT unnest([0.6, 0.8])::DOUBLE AS decay, 0.3::DOUBLE AS weight),
+    scored AS (SELECT node, decay, weight, round(CASE WHEN label = 'Issue' THEN cosine * pow(decay, cost) ELSE (weight * cosine + (1 - weight) * likeness) * pow(decay, cost)
+        + 0.1 * (CASE WHEN length(name) > 3 AND contains(lower(root_text), lower(name)) THEN 1 ELSE 0 END + CASE WHEN contains(lower(root_text), lower(string_split(file_path, '/')[-1])) THEN 0.5 ELSE 0 END) END, 9) AS score, 1 AS other FROM parts CROSS JOIN grid
+      UNION ALL SELECT 's1', decay, weight, 2.0, 0 FROM grid)
+    SELECT node, decay, weight, round(score, 6)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY decay, weight ORDER BY other, score DESC, node)::INT AS rank FROM scored)"""
 )
 def graph_scored_retrieval(spark, sf):
-    _, edges = world(spark, sf)
-    paths = graph.shortest_paths(graph.project(edges), spark.createDataFrame([("s1",)], "root string"), 2.5)
-    parts = paths.withColumn("label", F.lit("Entity")).withColumn("vector", F.length("node") / 10).withColumn("text", F.lit(0.5))
-    ranked = graph.rerank_components(parts, [(0.6, 0.3), (0.8, 0.3)])
-    return ranked.where("rank <= 50").select("node", "decay", "weight", F.round("score", 6).alias("score"), "rank")
+    ranked = graph.rerank_components(graph.components(reached(spark, sf), described(spark, sf)), [(0.6, 0.3), (0.8, 0.3)], boost=0.1)
+    return ranked.select("node", "decay", "weight", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
