@@ -142,17 +142,20 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_toke
     """(query, doc_id, score, rank): the k best by score rounded to 6 places, then by id; with a ``pool`` the k best of each value.
 
     Where the queries' terms fit a broadcast, documents are scored where they are read, and only each chunk's best for
-    every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers; documents without an id are left out.
+    every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers; documents without an id or a pool
+    are left out, of the statistics too.
     """
+    for c in ["doc_id", *([pool] if pool else [])]:
+        docs = docs.where(F.col(c).isNotNull())
     keys = ["query", *([pool] if pool else [])]
     rows, wanted = _wanted(queries, tokens)
     if wanted is None:
-        scored = bm25(docs.where(F.col("doc_id").isNotNull()), queries, tokens, k1, b, query_frequency, pool)
+        scored = bm25(docs, queries, tokens, k1, b, query_frequency, pool)
     else:
         words = docs.select("doc_id", *([pool] if pool else []), tokens(F.col("text")).alias("terms"))
         statistics = _statistics(words, wanted, pool)
         if statistics is None:
-            scored = bm25(docs.where(F.col("doc_id").isNotNull()), queries, tokens, k1, b, query_frequency, pool)
+            scored = bm25(docs, queries, tokens, k1, b, query_frequency, pool)
         else:
             if not query_frequency:
                 wanted.times = [np.ones(len(n)) for n in wanted.times]

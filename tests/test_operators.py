@@ -350,3 +350,65 @@ def test_audits(spark):
     kept = frame(spark, "id int, details array<struct<dst:string,dst_label:string>>", (1, [("root", "Issue"), ("f", "File")]), (2, [("issue#4", "Issue")]), (3, None))
     assert sorted(r.id for r in audit.history_free(kept).collect()) == [1, 3]
     assert audit.reuse_rate(frame(spark, "g int, a string, b string", (1, "x", "x"), (1, "x", "y")), ["g"], "a", "b").first().reuse == 0.5
+
+
+def word_rows(spark, n, seed):
+    rnd = random.Random(seed)
+    text = lambda k: " ".join(f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(k))
+    docs = [(k, text(rnd.randrange(0, 40)) if rnd.random() < 0.95 else None, rnd.choice(["a", "b", "c", None])) for k in range(n)] + [(None, "w1 w2", "a")]
+    return spark.createDataFrame(docs, "doc_id long, text string, pool string"), spark.createDataFrame([(k, text(6)) for k in range(7)] + [(90, "zzz"), (91, None)], "query long, text string")
+
+
+@pytest.mark.parametrize("options", [{}, {"pool": "pool", "query_frequency": True, "k1": 1.2}])
+def test_ranking_in_chunks_is_ranking_by_joins(spark, monkeypatch, options):
+    docs, queries = word_rows(spark, 300, 1)
+    got = lambda: sorted(map(str, retrieval.bm25_top(docs, queries, 4, **options).select("query", "doc_id", *options.keys() & {"pool"}, "score", "rank").collect()))
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 100)
+    chunks = got()
+    monkeypatch.setattr(retrieval, "MOST_WANTED", 3)
+    assert len(chunks) > 10 and chunks == got()
+
+
+def test_overlap_in_chunks_is_overlap_by_joins(spark, monkeypatch):
+    docs, queries = word_rows(spark, 200, 2)
+    got = lambda: sorted(map(tuple, retrieval.overlap_top(docs, queries, 5).select("query", "doc_id", "score", "rank").collect()))
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 60)
+    chunks = got()
+    monkeypatch.setattr(retrieval, "MOST_WANTED", 3)
+    assert chunks == got()
+
+
+def test_nearest_values_against_all_pairs(spark):
+    rnd = random.Random(3)
+    items = [(k, rnd.choice([5, 100, 100, rnd.randrange(30000), None])) for k in range(400)]
+    queries = [(k, rnd.choice([0, 7, 100, 29000, 10**6])) for k in range(9)] + [(50, None)]
+    got = retrieval.nearest_values(spark.createDataFrame(items, "key long, value int"), spark.createDataFrame(queries, "query long, value int"), 6)
+    want = [(q, key, r) for q, v in queries if v is not None for r, (_, key) in enumerate(sorted((abs(x - v), key) for key, x in items if x is not None)[:6], 1)]
+    assert sorted((r.query, r.key, r["rank"]) for r in got.collect()) == sorted(want)
+    empty = spark.createDataFrame([], "key long, value int")
+    assert retrieval.nearest_values(empty, spark.createDataFrame(queries, "query long, value int"), 6).count() == 0
+
+
+def test_dense_queries_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    vector = lambda: [rnd.random() for _ in range(4)]
+    items = spark.createDataFrame([(k, vector()) for k in range(20)], "key long, vector array<double>")
+    queries = spark.createDataFrame([(k, vector()) for k in range(6)], "query long, vector array<double>")
+    whole = sorted(map(tuple, retrieval.dense(items, queries).collect()))
+    monkeypatch.setattr(retrieval, "DENSE_CELLS", 5)
+    assert len(whole) == 120 and whole == sorted(map(tuple, retrieval.dense(items, queries).collect()))
+
+
+def test_binned_intervals_are_all_pairs(spark):
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice("ab"), s, s + rnd.randrange(-2, 40)) for k in range(60) for s in [rnd.randrange(-50, 100)]]
+    df = spark.createDataFrame(rows, "name long, f string, start int, end int")
+    inner = df.select("name", "f", (F.col("start") + 3).alias("start"), (F.col("start") + 5).alias("end"))
+    for make in (lambda **w: intervals.overlapping(df.where("start <= end"), df.where("start <= end"), "f", **w).select("name", "other_name"), lambda **w: intervals.enclosing(inner, df, "f", "name", **w).select("name", "outer_name")):
+        assert sorted(map(tuple, make().collect())) == sorted(map(tuple, make(width=7).collect())) != []
+
+
+def test_percentiles_without_collecting(spark):
+    rows = spark.createDataFrame([("a", v) for v in (3, 1, 2, 2, None)] + [("b", 9), ("c", None)], "g string, v int")
+    got = {r.g: (r.interpolated, r.nearest_rank, r.truncated_index) for r in metrics.percentiles(rows, ["g"], "v", 0.5).collect()}
+    assert got["a"] == (2.0, 2, 2) and got["b"] == (9.0, 9, 9) and got["c"] == (None, None, None)
