@@ -2,6 +2,11 @@
 
 Every stage takes what its predecessor kept, and returns it with the columns of ``documents``; the last
 returns the encoded documents. Stages carry extra columns along, whatever their names.
+
+Cases, the same in every stage: rows with a null text or a text without words do not pass the rules, and rows without an id, source or
+language are documents like others. Repeated rows pass the rules and the language test each; of rows that agree in id and text one
+stays after the near copies. Ties are broken by id and text. Very long texts are read whole. Empty tables give empty results; without
+labels the rules judge by length and repetition alone.
 """
 
 from __future__ import annotations
