@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from functools import reduce
 
 import pandas as pd
@@ -106,12 +108,15 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str, y: str) -> float:
         if not x or not y:
             return 1.0 if not x and not y else 0.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            diagonal = 0
-            for k, d in enumerate(y, 1):
-                diagonal, row[k] = row[k], diagonal + 1 if c == d else max(row[k], row[k - 1])
-        return row[-1] / max(len(x), len(y))
+        # a row of the table is held as the bits of one integer: a zero bit where the length grows
+        places: dict[str, int] = {}
+        for k, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << k
+        full = row = (1 << len(x)) - 1
+        for c in y:
+            same = row & places.get(c, 0)
+            row = ((row + same) | (row - same)) & full
+        return (len(x) - row.bit_count()) / max(len(x), len(y))
 
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -123,6 +128,39 @@ def fuzzy_best(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
     return scored.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+#: Least score of a resolved path, and what the same folder and a name that starts alike add (fixed values).
+LEAST_PATH_SCORE, SAME_FOLDER, SAME_START = 0.72, 0.15, 0.1
+
+
+@F.pandas_udf(T.DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, as the standard library's sequence matcher counts them."""
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+def resolve_paths(wanted: DataFrame, files: DataFrame, group: str) -> DataFrame:
+    """(group, wanted, path, score) of wanted paths: the path itself where the group has it, else the most similar one.
+
+    Candidates have the wanted extension, if there is one. Only pairs whose lengths can reach the least score are compared; of
+    equal scores the path that sorts last wins.
+    """
+    extension = lambda c: F.regexp_extract(c, r"[^/.][^/]*(\.[^./]*)$", 1)
+    folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    w, p = F.col("wanted"), F.col("path")
+    asked = wanted.select(group, F.replace(w, F.lit("\\"), F.lit("/")).alias("wanted")).distinct()
+    exact = asked.join(files.select(group, p.alias("wanted")).distinct(), [group, "wanted"]).select(group, "wanted", w.alias("path"), F.lit(1.0).alias("score"))
+    rest = asked.join(exact.select(group, "wanted"), [group, "wanted"], "left_anti").withColumn("ext", extension(w))
+    known = files.select(group, "path").distinct()
+    typed = rest.where("ext <> ''").join(known.withColumn("ext", extension(p)), [group, "ext"]).unionByName(rest.where("ext = ''").join(known, group).select(group, "ext", "wanted", "path"))
+    stem = F.regexp_replace(F.element_at(F.split(w, "/"), -1), r"(?<=[^.])\.[^.]*$", "")
+    bonus = F.when((folder(w) != "") & (folder(w) == folder(p)), SAME_FOLDER).otherwise(0.0)
+    bonus = bonus + F.when((F.element_at(F.split(w, "/"), -1) != "") & F.startswith(F.element_at(F.split(p, "/"), -1), stem), SAME_START).otherwise(0.0)
+    most = 2 * F.least(F.length(w), F.length(p)) / (F.length(w) + F.length(p))
+    scored = typed.withColumn("bonus", bonus).where(most + F.col("bonus") >= LEAST_PATH_SCORE).withColumn("score", matching_ratio(w, p) + F.col("bonus"))
+    best = scored.where(F.col("score") >= LEAST_PATH_SCORE).groupBy(group, "wanted").agg(F.max(F.struct("score", "path")).alias("b"))
+    return exact.unionByName(best.select(group, "wanted", "b.path", "b.score"))
+
+
 def path_similarity(a: Column, b: Column) -> Column:
     """2000 for the same folder, up to 300 for the file name, 10 per shared part and 1 per ordered pair of neighbours."""
     pa, pb = F.split(a, "/"), F.split(b, "/")

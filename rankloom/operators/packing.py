@@ -57,31 +57,69 @@ def packable(df: DataFrame, cap: int = 50, query: str = "query", key: str = "key
     return dedupe_in_order(df.where(F.length(F.trim("text")) > 0), query, key).where(F.col("rank") <= cap)
 
 
-def rank_bands(df: DataFrame, split: int = PRIMARY_SPLIT, per_band: int = PER_BAND, per_file: int = PER_FILE, query: str = "query") -> DataFrame:
-    """Primary band (rank up to ``split``) and tail, each with at most ``per_file`` rows of a file and ``per_band`` rows.
+def pack_greedy(df: DataFrame, budget: int, render, count, query: str = "query") -> DataFrame:
+    """Rows in rank order, each taken if the rendered context with it stays within the budget; the first always is.
 
-    A key taken in the first band is not taken again in the second. Few rows per query reach the Python task: the
-    most that bands can use are cut by a window first.
+    ``df``: query, rank, key, text; as many rows as ``packable`` leaves. Returns query, key, rank, used.
     """
     kind = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], set()
-        ordered = rows.sort_values("rank")
-        for band, part in (("primary", ordered[ordered["rank"] <= split]), ("tail", ordered[ordered["rank"] > split])):
-            taken, files = 0, {}
-            for r in part.itertuples():
-                if taken == per_band:
-                    break
-                if r.key in seen or files.get(r.file, 0) == per_file:
-                    continue
-                seen.add(r.key)
-                files[r.file] = files.get(r.file, 0) + 1
-                taken += 1
-                out.append((getattr(r, query), r.key, r.file, r.rank, band, taken))
-        return pd.DataFrame(out, columns=[query, "key", "file", "rank", "band", "position"])
-
-    return df.select(query, "key", "file", "rank").groupBy(query).applyInPandas(run, f"{query} {kind[query]}, key {kind['key']}, file {kind['file']}, rank int, band string, position int")
+        taken: list[dict] = []
+        for item in rows.sort_values("rank").to_dict("records"):
+            if not taken or count(render([*taken, item])) <= budget:
+                taken.append(item)
+        used = count(render(taken)) if taken else 0
+        return pd.DataFrame([(r[query], r["key"], r["rank"], used) for r in taken], columns=[query, "key", "rank", "used"])
+
+    return df.groupBy(query).applyInPandas(run, f"{query} {kind[query]}, key {kind['key']}, rank int, used long")
+
+
+def demote_and_drop(df: DataFrame, budget: int, render, count, query: str = "query") -> DataFrame:
+    """The bands' rows made to fit: sources become metadata from the end, then metadata go from the end, band by band.
+
+    ``df``: query, rank, key, band (primary or tail), text. ``render`` gets rows with a ``mode``, source or metadata. In a step the last
+    source of each band that has more than one is demoted, the tail's first; when no band has, the last metadata row of
+    each goes. A context that never fits is empty. Returns query, key, rank, band, mode, used; a query has a few rows.
+    """
+    kind = dict(df.dtypes)
+
+    def step(items: list[dict]) -> bool:
+        last = lambda band, mode: [r for r in items if r["band"] == band and r["mode"] == mode]
+        sources = [found for band in ("tail", "primary") if len(found := last(band, "source")) > 1]
+        for found in sources:
+            found[-1]["mode"] = "metadata"
+        gone = [] if sources else [found[-1] for band in ("tail", "primary") if (found := last(band, "metadata"))]
+        for r in gone:
+            items.remove(r)
+        return bool(sources or gone)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        items = [r | {"mode": "source"} for r in rows.sort_values("rank").to_dict("records")]
+        while items and count(render(items)) > budget:
+            if not step(items):
+                items = []
+        used = count(render(items)) if items else 0
+        return pd.DataFrame([(r[query], r["key"], r["rank"], r["band"], r["mode"], used) for r in items], columns=[query, "key", "rank", "band", "mode", "used"])
+
+    return df.groupBy(query).applyInPandas(run, f"{query} {kind[query]}, key {kind['key']}, rank int, band string, mode string, used long")
+
+
+def rank_bands(df: DataFrame, split: int = PRIMARY_SPLIT, per_band: int = PER_BAND, per_file: int = PER_FILE, query: str = "query") -> DataFrame:
+    """Primary band (rank up to ``split``) and tail, each with at most ``per_file`` rows of a file and ``per_band`` rows.
+
+    A key counts at its first rank in a band, and one taken in the first band is not taken again in the second.
+    """
+    rows = df.select(query, "key", "file", F.col("rank").cast("int").alias("rank"))
+
+    def band(part: DataFrame, name: str) -> DataFrame:
+        for by, most, column in ((["key"], 1, "nth"), (["file"], per_file, "nth"), ([], per_band, "position")):
+            part = part.withColumn(column, F.row_number().over(Window.partitionBy(query, *by).orderBy("rank"))).where(F.col(column) <= most)
+        return part.select(query, "key", "file", "rank", F.lit(name).alias("band"), "position")
+
+    first = band(rows.where(F.col("rank") <= split), "primary")
+    later = rows.where(F.col("rank") > split).join(first.select(query, "key"), [query, "key"], "left_anti")
+    return first.unionByName(band(later, "tail"))
 
 
 def diverse_order(df: DataFrame, query: str = "query") -> DataFrame:

@@ -284,7 +284,11 @@ def pack_prefix(spark, sf):
     return packing.pack_summary(packing.pack_prefix(ranked, budgets), ranked, budgets).select("query", "budget", "candidates", "selected", "used", "fill")
 
 
-@query()
+@query(
+    f"""WITH {bm25_sql(40)}, r AS (SELECT query, key, source AS file, rank, CASE WHEN rank <= 10 THEN 'primary' ELSE 'tail' END AS band FROM bm JOIN documents ON doc_id = key),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query, band, file ORDER BY rank) AS nth FROM r)
+    SELECT query, key, file, rank, band, position FROM (SELECT *, row_number() OVER (PARTITION BY query, band ORDER BY rank)::INT AS position FROM f WHERE nth <= 2) WHERE position <= 4"""
+)
 def rank_banded(spark, sf):
     return packing.rank_bands(with_file(lexical(spark, sf, 40), spark, sf).select("query", "key", "file", "rank"))
 

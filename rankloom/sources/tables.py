@@ -137,6 +137,46 @@ def cache_key(model: Column | str, revision: str, text: Column) -> Column:
     return F.sha2(F.concat(model, F.lit("@" + revision), F.decode(F.lit(b"\x00"), "UTF-8"), text), 256)
 
 
+def cached_vectors(rows: DataFrame, path: str, embed, model: str, revision: str, text: str = "text") -> DataFrame:
+    """``rows`` with a ``vector`` from the cache at ``path``; texts that it lacks are embedded once and appended to it.
+
+    The cache is a Parquet table (key, vector). ``embed`` maps a DataFrame (key, text) to (key, vector). Null texts have no vector.
+    """
+    spark = rows.sparkSession
+    schema = "key string, vector array<double>"
+    known = lambda: spark.read.schema(schema).parquet(path)
+    if not known_path(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+    keyed = rows.withColumn("key", cache_key(model, revision, F.col(text)))
+    new = missing(keyed.where(F.col(text).isNotNull()).select("key", F.col(text).alias("text")).dropDuplicates(["key"]), known(), ["key"])
+    embed(new).select("key", F.col("vector").cast("array<double>").alias("vector")).write.mode("append").parquet(path)
+    return keyed.join(known().dropDuplicates(["key"]), "key", "left").select(*rows.columns, "vector")
+
+
+def known_path(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def arrow_streams(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tables from Arrow IPC streams or files, one or more below ``path``: the columns of ``schema``, file by file on the executors."""
+    import pyarrow as pa
+
+    kind = T._parse_datatype_string(schema)
+    names = [f.name for f in kind.fields]
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_buffer()
+                whole = data.slice(0, 6).to_pybytes() == b"ARROW1"
+                table = (pa.ipc.open_file(data) if whole else pa.ipc.open_stream(data)).read_all().select(names)
+                yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
+
+
 def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys no earlier output holds: what a resumed run still has to do."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")

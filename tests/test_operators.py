@@ -1,4 +1,6 @@
+import difflib
 import math
+import os
 import random
 import statistics
 
@@ -412,3 +414,70 @@ def test_percentiles_without_collecting(spark):
     rows = spark.createDataFrame([("a", v) for v in (3, 1, 2, 2, None)] + [("b", 9), ("c", None)], "g string, v int")
     got = {r.g: (r.interpolated, r.nearest_rank, r.truncated_index) for r in metrics.percentiles(rows, ["g"], "v", 0.5).collect()}
     assert got["a"] == (2.0, 2, 2) and got["b"] == (9.0, 9, 9) and got["c"] == (None, None, None)
+
+
+def test_greedy_and_demoting_builders(spark):
+    rows = [(1, k, f"k{k}", "primary" if k <= 3 else "tail", "x" * size) for k, size in enumerate([50, 30, 40, 30, 10], 1)]
+    df = spark.createDataFrame(rows, "query int, rank int, key string, band string, text string")
+    render = lambda items: "".join(r["text"] if r.get("mode", "source") == "source" else "m" for r in items)
+    greedy = lambda budget: [r.key for r in packing.pack_greedy(df, budget, render, len).orderBy("rank").collect()]
+    assert greedy(95) == ["k1", "k2", "k5"] and greedy(10) == ["k1"]
+    fit = lambda budget: [(r.key, r["mode"]) for r in packing.demote_and_drop(df, budget, render, len).orderBy("rank").collect()]
+    s, m = "source", "metadata"
+    assert fit(200) == [("k1", s), ("k2", s), ("k3", s), ("k4", s), ("k5", s)]
+    assert fit(115) == [("k1", s), ("k2", s), ("k3", m), ("k4", s), ("k5", m)]
+    assert fit(83) == [("k1", s), ("k2", m), ("k3", m), ("k4", s), ("k5", m)]
+    assert fit(81) == [("k1", s), ("k2", m), ("k4", s)] and fit(80) == [("k1", s), ("k4", s)] and fit(79) == []
+
+
+def test_bands_by_windows(spark):
+    rows = [(1, f"k{k % 17}", f"f{k % 3}", k) for k in range(1, 40)]
+    got = packing.rank_bands(spark.createDataFrame(rows, "query int, key string, file string, rank int"))
+    want, seen = [], set()
+    for band, part in (("primary", rows[:10]), ("tail", rows[10:])):
+        files, taken, first = {}, 0, set()
+        for _, key, file, rank in part:
+            if taken == 4 or key in seen or key in first:
+                continue
+            first.add(key)
+            if files.get(file, 0) == 2:
+                continue
+            files[file] = files.get(file, 0) + 1
+            taken += 1
+            want.append((key, rank, band, taken))
+        seen |= {w[0] for w in want}
+    assert sorted((r.key, r["rank"], r.band, r.position) for r in got.collect()) == sorted(want)
+
+
+def test_resolved_paths(spark):
+    files = ["pkg/core/parser.py", "pkg/core/parsers.py", "pkg/util.py", "docs/parser.rst", "pkg/core/parser.pyx"]
+    wanted = ["pkg/core/parser.py", "pkg/core/parse.py", "pkg\\\\utils.py".replace("\\\\", "\\"), "zzz.py", "docs/parse.rst", "none.java"]
+    df = spark.createDataFrame([("r", w) for w in wanted], "repo string, wanted string")
+    known = spark.createDataFrame([("r", f) for f in files] + [("q", "zzz.py")], "repo string, path string")
+    got = {r.wanted: (r.path, r.score) for r in joins.resolve_paths(df, known, "repo").collect()}
+    for w in (x.replace("\\", "/") for x in wanted):
+        scored = []
+        for f in files:
+            if os.path.splitext(w)[1] and os.path.splitext(f)[1] != os.path.splitext(w)[1]:
+                continue
+            score = difflib.SequenceMatcher(None, w, f).ratio() + 0.15 * (os.path.dirname(w) != "" and os.path.dirname(w) == os.path.dirname(f))
+            scored.append((score + 0.1 * os.path.basename(f).startswith(os.path.splitext(os.path.basename(w))[0]), f))
+        best = (1.0, w) if w in files else max((x for x in scored if x[0] >= 0.72), default=None)
+        assert got.get(w) == (best and (best[1], pytest.approx(best[0]))), w
+    assert got["pkg/core/parse.py"][0] == "pkg/core/parser.py" and "none.java" not in got
+
+
+def test_subsequence_ratio_against_the_table(spark):
+    rnd = random.Random(9)
+    pairs = [("".join(rnd.choice("abc") for _ in range(rnd.randrange(9))), "".join(rnd.choice("abc") for _ in range(rnd.randrange(90)))) for _ in range(40)]
+
+    def length(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = row[:]
+            for k, d in enumerate(y, 1):
+                row[k] = last[k - 1] + 1 if c == d else max(last[k], row[k - 1])
+        return row[-1]
+
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", joins.sequence_ratio("a", "b").alias("v")).collect():
+        assert r.v == (1.0 if not r.a and not r.b else length(r.a, r.b) / max(len(r.a), len(r.b)))

@@ -95,3 +95,32 @@ def test_streams_equal_batches(spark, tmp_path):
     seen = []
     windows.upkeep(windows.stream(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "c3"), lambda df, i: seen.append(df.count()))
     assert sum(seen) == events.count() and len(seen) == 3
+
+
+def test_vectors_are_cached(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    asked = []
+
+    def embed(new):
+        asked.append(sorted(r.text for r in new.collect()))
+        return new.select("key", F.array(F.length("text").cast("double")).alias("vector"))
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
+    for _ in range(2):
+        got = {r.id: r.vector for r in src.cached_vectors(rows, f"{tmp_path}/cache", embed, "m", "r1").collect()}
+        assert got == {1: [1.0], 2: [2.0], 3: [1.0], 4: None}
+    src.cached_vectors(rows, f"{tmp_path}/cache", embed, "m", "r2").collect()
+    assert asked == [["a", "bb"], [], ["a", "bb"]]
+
+
+def test_arrow_streams_and_files(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"id": pa.array([1, 2], pa.int64()), "other": ["x", "y"], "text": ["a", None]})
+    with pa.OSFile(f"{tmp_path}/one.arrow", "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+        w.write_table(table)
+    with pa.OSFile(f"{tmp_path}/two.arrow", "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        w.write_table(table)
+    rows = src.arrow_streams(spark, str(tmp_path), "text string, id long").collect()
+    assert sorted((r.id, r.text) for r in rows) == [(1, "a"), (1, "a"), (2, None), (2, None)]
