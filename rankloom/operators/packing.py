@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIMARY_SPLIT, PER_BAND, PER_FILE = 10, 4, 2
+#: Lines of a class that a context takes at most (fixed value).
+MOST_SCOPE = 180
 
 
 def pack_prefix(df: DataFrame, budgets: list[int], query: str = "query", rank: str = "rank", tokens: str = "tokens") -> DataFrame:
@@ -122,6 +124,30 @@ def rank_bands(df: DataFrame, split: int = PRIMARY_SPLIT, per_band: int = PER_BA
     return first.unionByName(band(later, "tail"))
 
 
+def class_scope(items: DataFrame, classes: DataFrame, contents: DataFrame, most: int = MOST_SCOPE, query: str = "query") -> DataFrame:
+    """Items widened to the class around them: the columns they came with, start_line, end_line and text replaced, and context_class.
+
+    ``items``: query, key, file, signature, start_line, end_line, text. ``classes``: file, name (simple), start, end. ``contents``: file, content.
+    The class is the smallest of those that the signature names last before its own name, else of those that hold the start line. An
+    item with a text in a class of more than ``most`` lines stays as it is; without one, or outside the named class, the
+    first ``most`` lines are taken.
+    """
+    parts = F.filter(F.split(F.trim(F.regexp_extract(F.coalesce("signature", F.lit("")), "^([^(:]*)", 1)), r"\."), lambda x: x != "")
+    named = items.select(query, "key", "file", F.col("start_line").alias("at"), F.posexplode_outer(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("place", "name"))
+    by_name = named.join(classes, ["file", "name"]).withColumn("way", F.lit(0))
+    around = items.select(query, "key", "file", F.col("start_line").alias("at")).join(classes, "file").where("start <= at AND at <= end AND at > 0").withColumn("way", F.lit(1)).withColumn("place", F.lit(0))
+    found = by_name.unionByName(around).groupBy(query, "key", "file").agg(F.min(F.struct("way", (-F.col("place")).alias("last"), (F.col("end") - F.col("start")).alias("span"), "start", "end", "name")).alias("c"))
+    rows = items.join(found, [query, "key", "file"], "left").join(contents.select("file", F.split("content", "\r\n|\n|\r").alias("lines")), "file", "left")
+    long = F.col("c.span") >= most
+    inside = F.col("start_line").between(F.col("c.start"), F.col("c.end"))
+    widened = F.col("c").isNotNull() & F.col("lines").isNotNull() & ~(long & inside & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    last = F.least(F.col("c.end"), F.col("c.start") + most - 1)
+    excerpt = F.array_join(F.slice("lines", F.col("c.start"), last - F.col("c.start") + 1), "\n")
+    new = {"start_line": F.col("c.start"), "end_line": last, "text": excerpt}
+    picked = [F.when(widened, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns]
+    return rows.select(*picked, F.when(widened, F.col("c.name")).alias("context_class"))
+
+
 def diverse_order(df: DataFrame, query: str = "query") -> DataFrame:
     """Files first: the best row of each leading file (1, 3 or 6 files by pool size), then all others in rank order."""
     from rankloom.operators.ranking import rank_by

@@ -481,3 +481,12 @@ def test_subsequence_ratio_against_the_table(spark):
 
     for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", joins.sequence_ratio("a", "b").alias("v")).collect():
         assert r.v == (1.0 if not r.a and not r.b else length(r.a, r.b) / max(len(r.a), len(r.b)))
+
+
+def test_items_widen_to_their_class(spark):
+    content = "\n".join(f"line {k}" for k in range(1, 401))
+    classes = spark.createDataFrame([("a.py", "Small", 10, 20), ("a.py", "Inner", 12, 15), ("a.py", "Large", 100, 350)], "file string, name string, start int, end int")
+    items = [("k1", "Small.f(x)", 13, "t"), ("k2", "f", 13, "t"), ("k3", "Large.g", 120, "t"), ("k4", "Large.g", 120, " "), ("k5", "Large.g", 5, "t"), ("k6", "top", 50, "t"), ("k7", "Small.Inner.f: y", 300, "t"), ("k8", None, None, "t")]
+    df = spark.createDataFrame([(1, k, "a.py", s, at, at, t) for k, s, at, t in items], "query int, key string, file string, signature string, start_line int, end_line int, text string")
+    got = {r.key: (r.context_class, r.start_line, r.end_line, r.text.count("line")) for r in packing.class_scope(df, classes, spark.createDataFrame([("a.py", content)], "file string, content string")).collect()}
+    assert got == {"k1": ("Small", 10, 20, 11), "k2": ("Inner", 12, 15, 4), "k3": (None, 120, 120, 0), "k4": ("Large", 100, 279, 180), "k5": ("Large", 100, 279, 180), "k6": (None, 50, 50, 0), "k7": ("Inner", 12, 15, 4), "k8": (None, None, None, 0)}
