@@ -1,8 +1,11 @@
 import gzip
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from rankloom import context
 from rankloom.sources import tables as src
 from rankloom.streaming import windows
 
@@ -124,3 +127,14 @@ def test_arrow_streams_and_files(spark, tmp_path):
         w.write_table(table)
     rows = src.arrow_streams(spark, str(tmp_path), "text string, id long").collect()
     assert sorted((r.id, r.text) for r in rows) == [(1, "a"), (1, "a"), (2, None), (2, None)]
+
+
+@pytest.mark.parametrize("master, named, want", [("local[4]", None, context.LOCAL_CHECKPOINTS), ("local", None, context.LOCAL_CHECKPOINTS), ("local-cluster[3,2,1000]", None, None), ("spark://x:7077", None, None), ("yarn", "hdfs://x/y/", "hdfs://x/y")])
+def test_a_shared_folder_is_asked_for_on_clusters(master, named, want):
+    get = SimpleNamespace(get=lambda *_: named)
+    session = SimpleNamespace(conf=get, sparkContext=SimpleNamespace(master=master, getConf=lambda: get))
+    if want is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            context.shared_folder(session)
+    else:
+        assert context.shared_folder(session) == want
