@@ -100,10 +100,16 @@ def candidate_terms(*fields: Column) -> Column:
     return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.filter(F.split(t, r"\."), lambda p: F.length(p) >= 3)))))
 
 
+# Words that say nothing about a context.
+CONTEXT_STOP_WORDS = "the and for with from this that when should would could error issue using".split()
+
+
 def context_tokens(text: Column) -> Column:
-    """Distinct words of three letters or more, and version numbers."""
+    """Distinct lower-cased identifiers of three characters or more, without common words, and version numbers."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_distinct(F.concat(evidence_terms(text), F.regexp_extract_all(text, F.lit(r"\d+\.\d+(?:\.\d+)*"), F.lit(0))))
+    names = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), F.lower)
+    versions = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bv?\d+(?:\.\d+){1,4}\b"), F.lit(0)), F.lower)
+    return F.array_distinct(F.concat(F.filter(names, lambda t: ~t.isin(CONTEXT_STOP_WORDS)), versions))
 
 
 def context_score(tokens: Column, text: Column) -> Column:

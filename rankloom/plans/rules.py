@@ -23,12 +23,13 @@ MESSAGE_FORMS = ["X", "Add X\n\nmore", "  X: change\nb", "a\nX it", "a\nb\nX", "
 def _words(spark: SparkSession, sf: str, fixed: list[str]) -> DataFrame:
     """Distinct words of part types and names, and fixed ones."""
     parts = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_type", "p_name", "p_brand"), " ")).alias("word"))
-    return parts.unionByName(parts.select(F.initcap("word").alias("word"))).unionByName(spark.createDataFrame([(w,) for w in fixed], "word string")).distinct()
+    named = spark.createDataFrame([(w,) for w in fixed], "word string")
+    return parts.unionByName(parts.select(F.initcap("word").alias("word"))).unionByName(named).distinct()
 
 
 def _words_sql(fixed: list[str]) -> str:
     return f"""raw AS (SELECT unnest(string_split(concat_ws(' ', p_type, p_name, p_brand), ' ')) AS word FROM part),
-    w AS (SELECT word FROM raw UNION SELECT upper(left(word, 1)) || lower(substr(word, 2)) FROM raw UNION SELECT unnest([{sql_list(fixed)}]))"""
+    w AS (SELECT word FROM raw UNION SELECT upper(left(word, 1)) || lower(substr(word, 2)) FROM raw UNION SELECT unnest([{sql_list(fixed)}]::VARCHAR[]))"""
 
 
 def _probes(words: DataFrame, forms: list[str]) -> DataFrame:
