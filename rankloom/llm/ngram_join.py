@@ -51,6 +51,8 @@ PER_SUBCLASS = 4
 DENSE = 64
 BLOCK_CLASSES = 256
 BLOCK_BYTES = 16 << 20
+#: Parts of a family that joins on it are dealt by.
+SALTS = 64
 #: 64-bit words of a class's parity bitmap.
 BITMAP_WORDS = 32
 
@@ -290,8 +292,13 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """One row per group and salt: joined on both, a large group's rows spread over as many partitions."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _blocks(inside: DataFrame, percent: int) -> DataFrame:
-    """Families (family, key, label, tokens) cut into blocks of bounded count and bytes: family, band, pure, block, key, label, tokens.
+    """Families (family, salt, key, label, tokens) cut into blocks of bounded count and bytes: family, band, pure, block, key, label, tokens.
 
     A block holds sets of one size band, and either of one label alone (``pure``, for labels with more sets than fit a block) or
     of the other labels, each whole in one block.
@@ -304,7 +311,7 @@ def _blocks(inside: DataFrame, percent: int) -> DataFrame:
     large = (F.col("c") > BLOCK_CLASSES) | (F.col("bytes") > BLOCK_BYTES)
     pure = per_label.where(large).groupBy("family", "band", "label").agg(blocks.alias("own"))
     mixed = per_label.where(~large).groupBy("family", "band").agg(blocks.alias("shared"))
-    placed = inside.join(pure, ["family", "band", "label"], "left").join(mixed, ["family", "band"], "left")
+    placed = inside.join(_salted(pure), ["family", "band", "label", "salt"], "left").join(_salted(mixed), ["family", "band", "salt"], "left")
     part = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("key"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("shared")))
     pure_label = F.when(F.col("own").isNotNull(), F.col("label"))
     block = F.concat_ws("/", "family", "band", F.coalesce(pure_label.cast("string"), F.lit("-")), part)
@@ -359,7 +366,8 @@ def class_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     inside = family.select(F.col("node").alias("key"), F.col("root").alias("family")).join(parts.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left")
     inside = inside.withColumn("label", F.coalesce("label", "key")).join(sets, "key")
     open_ = inside.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family")
-    placed = stash(_blocks(inside.join(open_, "family"), percent), "blocks")
+    inside = inside.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    placed = stash(_blocks(inside.join(_salted(open_), ["family", "salt"]), percent), "blocks")
     pairs = _block_pairs(placed)
     ends = pairs.select(F.col("block_a").alias("block"), "*").unionByName(pairs.where("block_a <> block_b").select(F.col("block_b").alias("block"), "*"))
     spread = placed.select("block", "key", "label", "tokens").join(ends, "block").repartition("block_a", "block_b")
