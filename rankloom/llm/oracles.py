@@ -60,6 +60,30 @@ scored AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / (
   FROM long_ q JOIN long_ e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored) WHERE rank <= 5"""
 
+#: Every order carried out on the documents' failures; Shapley values as plain sums over all orders.
+FILTER_AUDIT = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+judged AS (SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM worded),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM judged LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+orders(filter_order, used) AS (
+  SELECT '', 0::BIGINT
+  UNION ALL SELECT filter_order || chr(65 + k::INT), used + (1 << k) FROM orders, range(5) r(k) WHERE (used >> k) % 2 = 0),
+steps AS (SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda j: 1 << (ascii(filter_order[j]) - 65))), 0)::BIGINT AS earlier
+  FROM orders, range(1, 6) s(step) WHERE length(filter_order) = 5),
+counted AS (SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": MIXING, "op5_ngram_join": NGRAM_JOIN, "op7_nearest": NEAREST}
+    return {"op4_mixing": MIXING, "op5_ngram_join": NGRAM_JOIN, "op7_nearest": NEAREST, "op12_filter_audit": FILTER_AUDIT}

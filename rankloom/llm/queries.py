@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import byte_bpe, html_text, language_id, mixing, nearest, ngram_join, oracles, quality_classifier, quality_rules, token_counts, token_files
+from rankloom.llm import (
+    byte_bpe,
+    filter_audit,
+    html_text,
+    language_id,
+    mixing,
+    nearest,
+    ngram_join,
+    oracles,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    token_files,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +66,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction, op7_nearest, op8_token_counts, op9_token_files, op10_byte_bpe)}
+    registered = (
+        op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction, op7_nearest, op8_token_counts,
+        op9_token_files, op10_byte_bpe, op12_filter_audit,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
