@@ -17,6 +17,7 @@ from rankloom.llm import (
     oracles,
     quality_classifier,
     quality_rules,
+    repeated_spans,
     spelling,
     token_counts,
     token_files,
@@ -75,10 +76,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.removals(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_quality_rules, op2_quality_classifier, op3_language_id, op4_mixing, op5_ngram_join, op6_html_extraction, op7_nearest, op8_token_counts,
-        op9_token_files, op10_byte_bpe, op11_spelling_variants, op12_filter_audit,
+        op9_token_files, op10_byte_bpe, op11_spelling_variants, op12_filter_audit, op13_repeated_spans,
     )
     return {f.__name__: f for f in registered}
 
