@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.context import materialise
 from rankloom.functions.identity import is_boilerplate, is_boilerplate_evidence
 from rankloom.functions.text import anchor_terms, candidate_terms, evidence_terms, exact_terms, split_terms
-from rankloom.operators.ranking import bucket_round_robin, rank_by
+from rankloom.operators.ranking import bucket_round_robin, rank_by, top_k
 
 NO_RANK = 999
 
@@ -36,37 +37,110 @@ def graph_file_seeds(ranked: DataFrame, query: str = "query") -> DataFrame:
     return rank_by(files, query, F.col("anchor").desc(), "distance", F.col("support").desc(), "first_rank", "file", name="file_rank")
 
 
-def shared(a: str | Column, b: str | Column) -> Column:
-    return F.size(F.array_intersect(a if isinstance(a, Column) else F.col(a), b if isinstance(b, Column) else F.col(b)))
+#: Roles of an issue's terms, and sides of an entity on which a term is found, as bits.
+ROLES = {"title": 1, "exact": 2, "narrative": 4, "diagnostic": 8, "issue": 16}
+SYMBOL, SOURCE, BOTH, SYMBOL_EXACT, SOURCE_EXACT = 1, 2, 4, 8, 16
+COUNTS = ["title_symbol", "title_source", "exact_symbol", "exact_source", "narrative_symbol", "narrative_source", "diagnostic_symbol", "source_only"]
+ENTITY = ["file", "name", "signature", "start_line"]
+#: Rows (query, file, term) that fit a broadcast; beyond that they are joined by a shuffle.
+MOST_ASKED = 1_000_000
 
 
-def projection_features(entities: DataFrame, terms: DataFrame, files: DataFrame, query: str = "query") -> DataFrame:
-    """Entities of ranked files with their overlap counts.
+def _marked(terms: Column, bit: int, name: str) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(bit).alias(name)))
+
+
+def asked_terms(terms: DataFrame, query: str = "query") -> DataFrame:
+    """(query, term, roles): the distinct terms of each issue, with the sets that hold them as bits."""
+    roles = [_marked(F.col(f"{name}_terms"), bit, "role") for name, bit in ROLES.items()]
+    listed = terms.select(query, F.explode(F.concat(*roles)).alias("t")).select(query, "t.term", "t.role")
+    return listed.groupBy(query, "term").agg(F.bit_or("role").alias("roles"))
+
 
-    ``entities``: file, name, signature, source, start_line. ``terms``: a query's term sets. ``files``: query, file, best_rank.
+def postings(entities: DataFrame) -> DataFrame:
+    """(file, name, signature, start_line, term, side): every distinct term of an entity on every side that it has.
+
+    A term of both symbol and source gives a SYMBOL and a BOTH row, so that sources alone are told apart without looking back.
     """
-    lexical, exact = split_terms, exact_terms
     symbol = F.concat_ws("\n", "name", "signature", "file")
-    described = entities.select(
-        "*", F.array_distinct(lexical(symbol)).alias("symbol_terms"), exact(symbol).alias("symbol_exact"), F.array_distinct(lexical(F.col("source"))).alias("source_terms"), exact(F.col("source")).alias("source_exact")
-    )
-    rows = files.select(query, "file", F.coalesce(F.when(F.col("best_rank") != 0, F.col("best_rank")), F.lit(NO_RANK)).alias("file_rank")).join(described, "file").join(terms, query)
-    return rows.select(
-        query, "file", "file_rank", "name", "signature", "start_line",
-        shared("title_terms", "symbol_terms").alias("title_symbol"), shared("title_terms", "source_terms").alias("title_source"), shared("exact_terms", "symbol_exact").alias("exact_symbol"),
-        shared("exact_terms", "source_exact").alias("exact_source"), shared("narrative_terms", "symbol_terms").alias("narrative_symbol"), shared("narrative_terms", "source_terms").alias("narrative_source"),
-        shared("diagnostic_terms", "symbol_exact").alias("diagnostic_symbol"),
-        F.size(F.array_except(F.array_intersect("issue_terms", "source_terms"), F.array_intersect("issue_terms", "symbol_terms"))).alias("source_only"),
-        is_boilerplate(F.col("name")).cast("int").alias("is_boilerplate"),
+    sets = entities.select(
+        *ENTITY, F.array_distinct(split_terms(symbol)).alias("symbol"), exact_terms(symbol).alias("symbol_exact"), F.array_distinct(split_terms(F.col("source"))).alias("source"),
+        exact_terms(F.col("source")).alias("source_exact"),
+    )
+    sides = F.concat(
+        _marked(F.col("symbol"), SYMBOL, "side"), _marked(F.array_except("source", "symbol"), SOURCE, "side"), _marked(F.array_intersect("symbol", "source"), BOTH, "side"),
+        _marked(F.col("symbol_exact"), SYMBOL_EXACT, "side"), _marked(F.col("source_exact"), SOURCE_EXACT, "side"),
+    )
+    return sets.select(*ENTITY, F.explode(sides).alias("p")).select(*ENTITY, "p.term", "p.side")
+
+
+def _ranks(files: DataFrame, query: str) -> DataFrame:
+    return files.select(query, "file", F.coalesce(F.when(F.col("best_rank") != 0, F.col("best_rank")), F.lit(NO_RANK)).alias("file_rank"))
+
+
+def overlap_counts(entities: DataFrame, terms: DataFrame, files: DataFrame, query: str = "query") -> DataFrame:
+    """(query, file_rank, entity, counts): what entities of a query's files share with it, one row per pair that shares a term.
+
+    An inverted count: the few terms of issues, with the files they look at, meet the entities' postings by (file, term), and
+    pairs are counted where the postings are made. Neither term lists nor entities without a shared term are paired with queries.
+    """
+    asked = asked_terms(terms, query).join(_ranks(files, query), query)
+    found = postings(entities)
+    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        asked = F.broadcast(asked)
+    else:  # the vocabulary of the issues cuts the postings before they are shuffled
+        found = found.join(asked.select("file", "term").distinct(), ["file", "term"], "left_semi")
+    met = found.join(asked, ["file", "term"])
+    has = lambda role, sides: F.sum((F.col("roles").bitwiseAND(ROLES[role]) > 0).cast("int") * (F.col("side").bitwiseAND(sides) > 0).cast("int"))
+    return met.groupBy(query, "file_rank", *ENTITY).agg(
+        has("title", SYMBOL).alias("title_symbol"), has("title", SOURCE | BOTH).alias("title_source"), has("exact", SYMBOL_EXACT).alias("exact_symbol"), has("exact", SOURCE_EXACT).alias("exact_source"),
+        has("narrative", SYMBOL).alias("narrative_symbol"), has("narrative", SOURCE | BOTH).alias("narrative_source"), has("diagnostic", SYMBOL_EXACT).alias("diagnostic_symbol"),
+        has("issue", SOURCE).alias("source_only"),
     )
 
 
+def _with_pairs(counts: DataFrame, pairs: DataFrame, query: str) -> DataFrame:
+    """The counts, and zeros for the pairs that share nothing."""
+    both = counts.unionByName(pairs.select(query, "file_rank", *ENTITY, *[F.lit(0).cast("long").alias(c) for c in COUNTS]))
+    rows = both.groupBy(query, "file_rank", *ENTITY).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return rows.withColumn("is_boilerplate", is_boilerplate(F.col("name")).cast("int"))
+
+
+def projection_features(entities: DataFrame, terms: DataFrame, files: DataFrame, query: str = "query") -> DataFrame:
+    """Every entity of a query's ranked files with its overlap counts, for orders that need all of them.
+
+    ``entities``: file, name, signature, start_line (which tell them apart) and source. ``terms``: a query's term sets. ``files``:
+    query, file, best_rank.
+    """
+    pairs = _ranks(files, query).join(entities.select(*ENTITY), "file")
+    return _with_pairs(overlap_counts(entities, terms, files, query), pairs, query)
+
+
+def best_projected(entities: DataFrame, terms: DataFrame, files: DataFrame, k: int, key: str, query: str = "query") -> DataFrame:
+    """The ``k`` first of ``project_entities`` over all features, without making a row for every entity of a file.
+
+    An entity that shares nothing comes after those that share something, unless these share diagnostic terms alone, and in the
+    order of its file. So of a file, only its first k and as many more as share diagnostic terms alone with a query can fill up.
+    """
+    counts = materialise(overlap_counts(entities, terms, files, query), "overlap-counts")
+    demoted = counts.where(_only_diagnostic()).groupBy(query, "file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # copies of a key count once, so the first of each key stands for them
+    spot = F.struct(is_boilerplate(F.col("name")).alias("o1"), F.coalesce("start_line", F.lit(0)).alias("o2"), F.coalesce("name", F.lit("")).alias("o3"), *[F.col(c) for c in ENTITY[1:]])
+    first = entities.groupBy("file", F.col(key).alias("of_key")).agg(F.min(spot).alias("e")).select("file", "e.*")
+    first = top_k(first, "file", k + demoted, "o1", "o2", "o3").select(*ENTITY)
+    rows = _with_pairs(counts, _ranks(files, query).join(first, "file"), query)
+    return project_entities(rows, key, query).where(F.col("rank") <= k)
+
+
+def _only_diagnostic() -> Column:
+    return (F.col("diagnostic_symbol") > 0) & (F.col("title_symbol") + F.col("exact_symbol") + F.col("narrative_symbol") + F.col("source_only") == 0)
+
+
 def projection_key() -> Column:
     """Eight parts, smaller first: title and exact overlaps with symbol and source, boilerplate, file rank, line, name."""
-    only_diagnostic = (F.col("diagnostic_symbol") > 0) & (F.col("title_symbol") + F.col("exact_symbol") + F.col("narrative_symbol") + F.col("source_only") == 0)
     return F.struct(
         (-F.col("title_symbol")).alias("k1"), (-F.col("title_source")).alias("k2"), (-F.col("exact_symbol")).alias("k3"), (-F.col("exact_source")).alias("k4"),
-        (F.col("is_boilerplate") + only_diagnostic.cast("int")).alias("k5"), F.col("file_rank").alias("k6"), F.coalesce("start_line", F.lit(0)).alias("k7"), F.coalesce("name", F.lit("")).alias("k8"),
+        (F.col("is_boilerplate") + _only_diagnostic().cast("int")).alias("k5"), F.col("file_rank").alias("k6"), F.coalesce("start_line", F.lit(0)).alias("k7"), F.coalesce("name", F.lit("")).alias("k8"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.context import materialise
 from rankloom.functions import text as tx
 from rankloom.functions.text import PROJECTION_STOP_WORDS
 from rankloom.operators import packing, projection, ranking, retrieval
@@ -197,15 +198,17 @@ def ranked_file_seeds(spark, sf):
     return projection.ranked_file_seeds(with_file(lexical(spark, sf, 50), spark, sf), 10, 50).select("query", "file", "first_rank", "support", "file_rank")
 
 
-def features(spark, sf):
-    """Entities are documents (first line: name and signature; the rest: source), files their sources; an item's first sentence is its title."""
+def described(spark, sf):
+    """Entities, issue terms and ranked files: entities are documents (first line: name and signature; the rest: source), files their
+    sources; an item's first sentence is its title."""
     docs = corpus(spark, sf)
     line = F.split("text", "\n")
-    entities = docs.select(F.col("source").alias("file"), F.element_at(line, 1).alias("name"), F.element_at(line, 1).alias("signature"), F.array_join(F.slice(line, F.lit(2), F.size(line)), "\n").alias("source"), F.col("doc_id").cast("int").alias("start_line"))
+    head, rest = F.element_at(line, 1), F.array_join(F.slice(line, F.lit(2), F.size(line)), "\n")
+    entities = docs.select(F.col("source").alias("file"), head.alias("name"), head.alias("signature"), rest.alias("source"), F.col("doc_id").cast("int").alias("start_line"))
     parts = items(spark, sf).select("query", F.substring_index("text", ".", 1).alias("title"), "text")
     terms = tx.section_terms(tx.sections(parts, "query", F.col("title"), F.col("text")))
     files = projection.ranked_file_seeds(with_file(lexical(spark, sf, 20), spark, sf), 5, 20).select("query", "file", F.col("file_rank").alias("best_rank"))
-    return projection.projection_features(entities, terms, files)
+    return entities, terms, materialise(files, "ranked-files")
 
 
 def _sx(e: str) -> str:
@@ -230,9 +233,9 @@ FEATURES_SQL = f"""{bm25_sql(20)},
     SELECT query, start_line, title_symbol, title_source, exact_symbol, exact_source, file_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY title_symbol DESC, title_source DESC, exact_symbol DESC, exact_source DESC, file_rank, start_line, name)::INT AS rank FROM feat) WHERE rank <= 20"""
 )
 def entity_projection(spark, sf):
-    ranked = projection.project_entities(features(spark, sf), "start_line")
+    ranked = projection.best_projected(*described(spark, sf), 20, "start_line")
     counts = ["title_symbol", "title_source", "exact_symbol", "exact_source"]
-    return ranked.where("rank <= 20").select("query", "start_line", *[F.col(c).cast("long").alias(c) for c in counts], "file_rank", "rank")
+    return ranked.select("query", "start_line", *[F.col(c).cast("long").alias(c) for c in counts], "file_rank", "rank")
 
 
 @query(
@@ -247,7 +250,7 @@ def entity_projection(spark, sf):
     SELECT query, key, variant, rank FROM r WHERE rank <= 20"""
 )
 def selector_variants(spark, sf):
-    df = features(spark, sf).withColumn("key", F.col("start_line")).withColumn("end_line", F.col("start_line"))
+    df = projection.projection_features(*described(spark, sf)).withColumn("key", F.col("start_line")).withColumn("end_line", F.col("start_line"))
     df = df.withColumn("overlap", F.col("title_symbol") + F.col("narrative_symbol")).withColumn("bm25", F.col("title_source") + F.col("narrative_source"))
     return projection.selector_variants(df).where("rank <= 20").select("query", "key", "variant", "rank")
 
