@@ -50,13 +50,13 @@ LENGTH = 50
 class Sizes:
     """How work is cut; results do not depend on it."""
 
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     #: Window starts whose anchors are found at a time.
     piece: int = 1 << 18
     #: Bytes of text behind one range of k-gram hashes.
-    range_bytes: int = 32 << 20
+    range_bytes: int = 8 << 20
     #: K-grams of two documents behind one bucket of suffixes.
-    bucket_grams: int = 100_000
+    bucket_grams: int = 50_000
     #: A k-gram with so many occurrences sends its windows one by one.
     hot: int = 20_000
 
@@ -145,11 +145,11 @@ class Block:
 
     def open_starts(self, length: int) -> np.ndarray:
         """Which window starts lie, to their end, in one document with an id."""
-        marks = np.zeros(len(self.data) + 1, np.int32)
-        ok = (np.diff(self.bounds) >= length) & (self.rank >= 0)
-        np.add.at(marks, self.bounds[:-1][ok], 1)
-        np.add.at(marks, self.bounds[1:][ok] - length + 1, -1)
-        return np.cumsum(marks[: max(len(self.data) - length + 1, 0)]) > 0
+        found = np.zeros(max(len(self.data) - length + 1, 0), bool)
+        for a, b, rank in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), self.rank.tolist(), strict=True):
+            if rank >= 0 and b - a >= length:
+                found[a : b - length + 1] = True
+        return found
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, "right") - 1
@@ -423,10 +423,10 @@ def covered(block: Block, kept: dict[str, np.ndarray], number: np.ndarray, place
         fits = (at - block.bounds[document] >= o) & (block.bounds[document + 1] - at >= shape.length - o)
         starts[at[fits & (later | (own >> o & 1 == 1))] - o] = True
     first = np.flatnonzero(starts)
-    depth = np.zeros(len(block.data) + 1, np.int32)
+    depth = np.zeros(len(block.data) + 1, np.int16)
     depth[first] += 1
     depth[first + shape.length] -= 1
-    return np.cumsum(depth[:-1]) > 0
+    return np.cumsum(depth[:-1], dtype=np.int16) > 0
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()) -> DataFrame:
