@@ -35,14 +35,15 @@ def identifier_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z_][a-z0-9_]*"), F.lit(0))
 
 
-def _known(token: Column, stop: list[str]) -> Column:
+def known(token: Column, stop: list[str] = PROJECTION_STOP_WORDS) -> Column:
+    """Whether a lower-cased token counts as a term."""
     return (F.length(token) >= 3) & ~token.isin(stop)
 
 
 def split_terms(text: Column, stop: list[str] = PROJECTION_STOP_WORDS, stem: bool = True) -> Column:
     """Camel-case and separator split, stop words out; each word followed by its light stems (ing, ies to y, s)."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
-    tokens = F.filter(F.transform(F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower), lambda t: _known(t, stop))
+    tokens = F.filter(F.transform(F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower), lambda t: known(t, stop))
     if not stem:
         return tokens
 
@@ -52,7 +53,7 @@ def split_terms(text: Column, stop: list[str] = PROJECTION_STOP_WORDS, stem: boo
             F.when(t.endswith("ies") & (F.length(t) > 5), F.concat(F.substring(t, 1, F.length(t) - 3), F.lit("y"))),
             F.when(t.endswith("s") & (F.length(t) > 4), F.substring(t, 1, F.length(t) - 1)),
         )
-        return F.concat(F.array(t), F.filter(stems, lambda s: s.isNotNull() & _known(s, stop)))
+        return F.concat(F.array(t), F.filter(stems, lambda s: s.isNotNull() & known(s, stop)))
 
     return F.flatten(F.transform(tokens, forms))
 
@@ -67,20 +68,20 @@ def evidence_terms(text: Column) -> Column:
 
 def exact_terms(text: Column, stop: list[str] = PROJECTION_STOP_WORDS) -> Column:
     """Distinct lower-cased dotted identifiers and their parts."""
-    tokens = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOTTED), F.lit(0)), F.lower), lambda t: _known(t, stop))
-    parts = F.flatten(F.transform(tokens, lambda t: F.filter(F.split(t, "[._]+"), lambda p: _known(p, stop))))
+    tokens = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOTTED), F.lit(0)), F.lower), lambda t: known(t, stop))
+    parts = F.flatten(F.transform(tokens, lambda t: F.filter(F.split(t, "[._]+"), lambda p: known(p, stop))))
     return F.array_distinct(F.concat(tokens, parts))
 
 
 def code_like_terms(text: Column, stop: list[str] = PROJECTION_STOP_WORDS) -> Column:
     """Exact terms that look like symbols: with an underscore, a dot, a camel-case step or a digit."""
     raw = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOTTED), F.lit(0)), lambda t: t.rlike(r"[_.0-9]|[a-z][A-Z]"))
-    tokens = F.filter(F.transform(raw, F.lower), lambda t: _known(t, stop))
+    tokens = F.filter(F.transform(raw, F.lower), lambda t: known(t, stop))
 
     def parts(t: Column) -> Column:
         return F.when(t.contains("."), F.array(F.element_at(F.split(t, r"\."), -1))).otherwise(F.split(t, "_+"))
 
-    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.filter(parts(t), lambda p: _known(p, stop))))))
+    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.filter(parts(t), lambda p: known(p, stop))))))
 
 
 def anchor_terms(text: Column) -> Column:
@@ -90,7 +91,7 @@ def anchor_terms(text: Column) -> Column:
     spans = F.filter(spans, lambda t: F.length(t) >= 3)
     parts = F.flatten(F.transform(spans, lambda t: F.filter(F.split(t, r"\."), lambda p: F.length(p) >= 3)))
     loose = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda t: t.rlike("_|[a-z][A-Z]"))
-    loose = F.filter(F.transform(loose, F.lower), lambda t: _known(t, EVIDENCE_STOP_WORDS))
+    loose = F.filter(F.transform(loose, F.lower), lambda t: known(t, EVIDENCE_STOP_WORDS))
     return F.array_distinct(F.concat(spans, parts, loose))
 
 

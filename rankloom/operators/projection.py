@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.context import materialise
 from rankloom.functions.identity import is_boilerplate, is_boilerplate_evidence
-from rankloom.functions.text import anchor_terms, candidate_terms, evidence_terms, exact_terms, split_terms
+from rankloom.functions.text import DOTTED, anchor_terms, candidate_terms, evidence_terms, known
 from rankloom.operators.ranking import bucket_round_robin, rank_by, top_k
 
 NO_RANK = 999
@@ -39,7 +39,7 @@ def graph_file_seeds(ranked: DataFrame, query: str = "query") -> DataFrame:
 
 #: Roles of an issue's terms, and sides of an entity on which a term is found, as bits.
 ROLES = {"title": 1, "exact": 2, "narrative": 4, "diagnostic": 8, "issue": 16}
-SYMBOL, SOURCE, BOTH, SYMBOL_EXACT, SOURCE_EXACT = 1, 2, 4, 8, 16
+SYMBOL, SOURCE, SYMBOL_EXACT, SOURCE_EXACT = 1, 2, 4, 8
 COUNTS = ["title_symbol", "title_source", "exact_symbol", "exact_source", "narrative_symbol", "narrative_source", "diagnostic_symbol", "source_only"]
 ENTITY = ["file", "name", "signature", "start_line"]
 #: Rows (query, file, term) that fit a broadcast; beyond that they are joined by a shuffle.
@@ -57,21 +57,36 @@ def asked_terms(terms: DataFrame, query: str = "query") -> DataFrame:
     return listed.groupBy(query, "term").agg(F.bit_or("role").alias("roles"))
 
 
-def postings(entities: DataFrame) -> DataFrame:
-    """(file, name, signature, start_line, term, side): every distinct term of an entity on every side that it has.
+def _lexical_rows(texts: DataFrame) -> DataFrame:
+    """One row per token and per stem of it, as ``split_terms`` makes them; stop words that stems may be are left to the join."""
+    spaced = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
+    t = F.col("t")
+    stems = [
+        F.when(t.endswith("ing") & (F.length(t) > 5), F.substring(t, 1, F.length(t) - 3)),
+        F.when(t.endswith("ies") & (F.length(t) > 5), F.concat(F.substring(t, 1, F.length(t) - 3), F.lit("y"))),
+        F.when(t.endswith("s") & (F.length(t) > 4), F.substring(t, 1, F.length(t) - 1)),
+    ]
+    rows = texts.select(*ENTITY, "side", F.explode(F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("t")).withColumn("t", F.lower("t"))
+    return rows.where(known(t)).select(*ENTITY, "side", F.explode(F.array(t, *stems)).alias("term")).where("term IS NOT NULL")
 
-    A term of both symbol and source gives a SYMBOL and a BOTH row, so that sources alone are told apart without looking back.
+
+def _exact_rows(texts: DataFrame) -> DataFrame:
+    """One row per dotted identifier and per part of it, as ``exact_terms`` makes them; short parts are left to the join."""
+    rows = texts.select(*ENTITY, "side", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DOTTED), F.lit(0))).alias("t")).withColumn("t", F.lower("t"))
+    parts = F.concat(F.array("t"), F.split("t", "[._]+"))
+    return rows.where(known(F.col("t"))).select(*ENTITY, (F.col("side") * SYMBOL_EXACT).alias("side"), F.explode(parts).alias("term"))
+
+
+def postings(entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, name, signature, start_line, term, sides): the terms of each entity that are ``wanted`` (file, term) of it, once each.
+
+    Tokens are rows from the start, so that all of it is generated code, and all but wanted terms end where they are made.
     """
     symbol = F.concat_ws("\n", "name", "signature", "file")
-    sets = entities.select(
-        *ENTITY, F.array_distinct(split_terms(symbol)).alias("symbol"), exact_terms(symbol).alias("symbol_exact"), F.array_distinct(split_terms(F.col("source"))).alias("source"),
-        exact_terms(F.col("source")).alias("source_exact"),
-    )
-    sides = F.concat(
-        _marked(F.col("symbol"), SYMBOL, "side"), _marked(F.array_except("source", "symbol"), SOURCE, "side"), _marked(F.array_intersect("symbol", "source"), BOTH, "side"),
-        _marked(F.col("symbol_exact"), SYMBOL_EXACT, "side"), _marked(F.col("source_exact"), SOURCE_EXACT, "side"),
-    )
-    return sets.select(*ENTITY, F.explode(sides).alias("p")).select(*ENTITY, "p.term", "p.side")
+    texts = F.array(F.struct(symbol.alias("text"), F.lit(SYMBOL).alias("side")), F.struct(F.col("source").alias("text"), F.lit(SOURCE).alias("side")))
+    texts = entities.select(*ENTITY, F.explode(texts).alias("x")).select(*ENTITY, "x.text", "x.side")
+    rows = _lexical_rows(texts).unionByName(_exact_rows(texts)).join(wanted, ["file", "term"], "left_semi")
+    return rows.groupBy(*ENTITY, "term").agg(F.bit_or("side").alias("sides"))
 
 
 def _ranks(files: DataFrame, query: str) -> DataFrame:
@@ -81,21 +96,23 @@ def _ranks(files: DataFrame, query: str) -> DataFrame:
 def overlap_counts(entities: DataFrame, terms: DataFrame, files: DataFrame, query: str = "query") -> DataFrame:
     """(query, file_rank, entity, counts): what entities of a query's files share with it, one row per pair that shares a term.
 
-    An inverted count: the few terms of issues, with the files they look at, meet the entities' postings by (file, term), and
-    pairs are counted where the postings are made. Neither term lists nor entities without a shared term are paired with queries.
+    An inverted count: the few terms of issues, with the files they look at, meet the entities' tokens by (file, term), where texts are
+    read. Neither term lists nor entities without a shared term are paired with queries.
     """
-    asked = asked_terms(terms, query).join(_ranks(files, query), query)
-    found = postings(entities)
+    asked = materialise(asked_terms(terms, query).join(_ranks(files, query), query), "asked-terms")
+    wanted = asked.select("file", "term").distinct()
     if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
-        asked = F.broadcast(asked)
-    else:  # the vocabulary of the issues cuts the postings before they are shuffled
-        found = found.join(asked.select("file", "term").distinct(), ["file", "term"], "left_semi")
-    met = found.join(asked, ["file", "term"])
-    has = lambda role, sides: F.sum((F.col("roles").bitwiseAND(ROLES[role]) > 0).cast("int") * (F.col("side").bitwiseAND(sides) > 0).cast("int"))
+        asked, wanted = F.broadcast(asked), F.broadcast(wanted)
+    met = postings(entities, wanted).join(asked, ["file", "term"])
+
+    def has(role: str, side: int, without: int = 0) -> Column:
+        on = (F.col("roles").bitwiseAND(ROLES[role]) > 0) & (F.col("sides").bitwiseAND(side) > 0) & (F.col("sides").bitwiseAND(without) == 0)
+        return F.sum(on.cast("int"))
+
     return met.groupBy(query, "file_rank", *ENTITY).agg(
-        has("title", SYMBOL).alias("title_symbol"), has("title", SOURCE | BOTH).alias("title_source"), has("exact", SYMBOL_EXACT).alias("exact_symbol"), has("exact", SOURCE_EXACT).alias("exact_source"),
-        has("narrative", SYMBOL).alias("narrative_symbol"), has("narrative", SOURCE | BOTH).alias("narrative_source"), has("diagnostic", SYMBOL_EXACT).alias("diagnostic_symbol"),
-        has("issue", SOURCE).alias("source_only"),
+        has("title", SYMBOL).alias("title_symbol"), has("title", SOURCE).alias("title_source"), has("exact", SYMBOL_EXACT).alias("exact_symbol"), has("exact", SOURCE_EXACT).alias("exact_source"),
+        has("narrative", SYMBOL).alias("narrative_symbol"), has("narrative", SOURCE).alias("narrative_source"), has("diagnostic", SYMBOL_EXACT).alias("diagnostic_symbol"),
+        has("issue", SOURCE, SYMBOL).alias("source_only"),
     )
 
 
