@@ -312,8 +312,8 @@ def _least(kind: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
     return low
 
 
-def block_sides(block: Block, judged: pa.Table, shape: Shape) -> tuple[pa.Table, dict[str, np.ndarray]]:
-    """What a block sends to the buckets, and what it keeps to understand the answers."""
+def block_sides(block: Block, judged: pa.Table, shape: Shape, buckets: int) -> tuple[pa.Table, dict[str, np.ndarray]]:
+    """What a block sends, one row for each bucket, and what it keeps to understand the answers."""
     at, number, grams, _, _ = _grams(block, shape)
     judged = judged.sort_by("part")
     bits = {
@@ -348,9 +348,20 @@ def block_sides(block: Block, judged: pa.Table, shape: Shape) -> tuple[pa.Table,
     holder = np.zeros(max(int(block.rank.max(initial=-1)) + 1, 1), np.int64)
     known = np.flatnonzero(block.rank >= 0)
     holder[block.rank[known]] = known
-    width = sent.shape[1]
-    body = pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer(np.arange(0, (len(sent) + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(sent).tobytes())])
-    return pa.table({"key": pa.array(sent_key.view(np.int64)), "sides": body, "low": block.ids.take(pa.array(holder[sent_low])), "number": pa.array(np.arange(len(sent)))}), kept
+    bucket = (mix64(sent_key) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    parts = [order[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    low_ids = block.ids.take(pa.array(holder[sent_low][order]))
+    lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values.cast(kind))
+    packed = pa.array([_squeeze(sent[p]) for p in parts], pa.binary())
+    return pa.table({
+        "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "sides": packed, "low": lists(low_ids, low_ids.type), "number": lists(pa.array(order), pa.int64()),
+    }), kept
+
+
+def _squeeze(rows: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(rows).tobytes(), 1)
 
 
 def later_windows(rows: np.ndarray, low: np.ndarray, shape: Shape) -> np.ndarray:
@@ -390,15 +401,19 @@ def later_windows(rows: np.ndarray, low: np.ndarray, shape: Shape) -> np.ndarray
 
 def _bucket(shape: Shape) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
-        body = rows.column("sides").combine_chunks()
         width = shape.left + shape.right
-        sides_ = np.frombuffer(b"".join(body.to_pylist()), np.uint8).reshape(-1, width)
-        coded = rows.column("low").combine_chunks().dictionary_encode()
-        rank = np.empty(len(coded.dictionary), np.int64)
-        rank[np.asarray(pc.array_sort_indices(coded.dictionary))] = np.arange(len(rank))
-        places = later_windows(sides_, rank[np.asarray(coded.indices)], shape)
-        some = pa.array(np.flatnonzero(places))
-        return pa.table({"block": rows.column("block").combine_chunks().take(some), "number": rows.column("number").combine_chunks().take(some), "places": pa.array(places[places != 0])})
+        sides_ = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in rows.column("sides")), np.uint8).reshape(-1, width)
+        numbers = [np.asarray(x.values) for x in rows.column("number")]
+        ids = pa.concat_arrays([x.values for x in rows.column("low")]).dictionary_encode()
+        rank = np.empty(len(ids.dictionary), np.int64)
+        rank[np.asarray(pc.array_sort_indices(ids.dictionary))] = np.arange(len(rank))
+        places = later_windows(sides_, rank[np.asarray(ids.indices)], shape)
+        cuts = np.cumsum([0, *map(len, numbers)]).tolist()
+        parts = [places[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        kind = pa.list_(pa.int64())
+        return pa.table({
+            "block": rows.column("block").combine_chunks(), "number": pa.array([n[p != 0] for n, p in zip(numbers, parts, strict=True)], kind), "places": pa.array([p[p != 0] for p in parts], kind),
+        })
 
     return run
 
@@ -441,24 +456,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
     marked = judged.agg(F.sum("marked")).first()[0] or 0
     buckets = int(max(1, -(-marked // sizes.bucket_grams)))
     id_field = docs.schema["doc_id"]
-    id_type = T.StructField("low", id_field.dataType)
+    low = T.StructField("low", T.ArrayType(id_field.dataType))
 
     def send(rows: pa.Table) -> pa.Table:
         name = rows.column("block")[0].as_py()
-        sent, kept = block_sides(_load(folder, name), rows, shape)
+        sent, kept = block_sides(_load(folder, name), rows, shape, buckets)
         put(folder, f"{name}-kept", [_pack(pa.table({c: [v] for c, v in kept.items()}))])
         return sent.append_column("block", pa.array([name] * sent.num_rows, pa.string()))
 
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("sides", T.BinaryType()), id_type, T.StructField("number", T.LongType()), T.StructField("block", T.StringType())])
-    sent = judged.groupBy("block").applyInArrow(send, schema).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    answers = stash(sent.groupBy("bucket").applyInArrow(_bucket(shape), "block string, number long, places long"), "later-windows")
+    numbers = T.StructField("number", T.ArrayType(T.LongType()))
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("sides", T.BinaryType()), low, numbers, T.StructField("block", T.StringType())])
+    sent = judged.groupBy("block").applyInArrow(send, schema)
+    answers = stash(sent.groupBy("bucket").applyInArrow(_bucket(shape), "block string, number array<long>, places array<long>"), "later-windows")
 
     def finish(rows: pa.Table) -> pa.Table:
         name = rows.column("block")[0].as_py()
         block = _load(folder, name)
         kept = {c: np.asarray(v.chunk(0).values) for c, v in zip(*(lambda t: (t.column_names, t.columns))(_unpack(folder, f"{name}-kept")), strict=True)}
-        some = rows.filter(pc.is_valid(rows.column("number")))
-        gone = covered(block, kept, some.column("number").to_numpy(), some.column("places").to_numpy(), shape)
+        number, places = (np.concatenate([np.empty(0, np.int64), *[np.asarray(x.values) for x in rows.column(c) if x.is_valid]]) for c in ("number", "places"))
+        gone = covered(block, kept, number, places, shape)
         edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
         spans, left = [], []
         cuts = block.bounds[1:-1]
@@ -475,7 +491,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
         return pa.table({"doc_id": block.ids, "n_bytes": pa.array(np.diff(block.bounds)), "spans": pa.array(spans, kind), "kept": pa.array(left, pa.binary())})
 
     out = T.StructType([id_field, *T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields])
-    every = judged.select("block").distinct().selectExpr("block", "CAST(NULL AS long) AS number", "CAST(NULL AS long) AS places")
+    every = judged.select("block").distinct().selectExpr("block", "CAST(NULL AS array<long>) AS number", "CAST(NULL AS array<long>) AS places")
     return answers.unionByName(every).groupBy("block").applyInArrow(finish, out)
 
 
