@@ -5,10 +5,13 @@ Iterations cut their lineage by writing the frontier to the checkpoint folder; e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.context import cut
+from rankloom.context import cut, materialise
 from rankloom.functions.text import cosine, levenshtein_similarity
 
 WEAK, NORMAL, STRONG = 1.0, 0.5, 0.25
@@ -118,25 +121,42 @@ def identifier_boost(name: Column, path: Column, text: Column) -> Column:
     return F.when(named, 1.0).otherwise(0.0) + F.when(filed, 0.5).otherwise(0.0)
 
 
-def evidence_paths(edges: DataFrame, nodes: DataFrame, root: str, first_not: list[str], middle_not: list[str], targets: list[str], hops: int = 4) -> DataFrame:
-    """Shortest label-restricted paths of 1 to ``hops`` edges from a root to target nodes.
+def evidence_paths(edges: DataFrame, nodes: DataFrame, roots: str | DataFrame, first_not: list[str], middle_not: list[str], targets: list[str], hops: int = 4) -> DataFrame:
+    """Shortest label-restricted paths of 1 to ``hops`` edges from a root, or from each root of a table, to target nodes.
 
     The first inner node must not have a label of ``first_not``, later inner ones none of ``middle_not``. Returns node, distance,
-    support (distinct first nodes of shortest paths) and path (the smallest).
+    support (distinct first nodes of shortest paths) and path (the smallest), and root where a table was given.
+
+    A search by layers: a layer holds each node once, with the smallest path to it, so work grows with nodes and edges and not with walks.
+    A shortest walk that does not come back to its root is simple: leaving out a loop moves later nodes nearer, where the same
+    labels are barred. Support is counted by going back through the layers from the targets, as distinct pairs of target and node.
     """
+    many = isinstance(roots, DataFrame)
     e = edges.select("src", "dst").distinct()
     label = nodes.select(F.col("node").alias("dst"), "label").dropDuplicates(["dst"])
-    step = e.join(label, "dst")
-    walk = step.where(F.col("src") == root).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), "label", F.lit(1).alias("distance"))
-    found = walk.where(F.col("label").isin(targets))
-    for n in range(2, hops + 1):
-        walk = walk.where(~F.col("label").isin(first_not if n == 2 else middle_not))
-        walk = walk.drop("label").join(step.withColumnRenamed("src", "at"), "at").where(~F.array_contains("path", F.col("dst")))
-        walk = walk.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "label", F.lit(n).alias("distance"))
-        found = found.unionByName(walk.where(F.col("label").isin(targets)))
-    shortest = found.groupBy("at").agg(F.min("distance").alias("distance"))
-    best = found.join(shortest, ["at", "distance"])
-    return best.groupBy(F.col("at").alias("node"), "distance").agg(F.count_distinct(F.element_at("path", 2)).alias("support"), F.min("path").alias("path"))
+    step = materialise(e.join(label, "dst").select("src", "dst", "label"), "evidence-edges")
+    start = roots.select("root").distinct() if many else edges.sparkSession.createDataFrame([(roots,)], T.StructType([T.StructField("root", edges.schema["src"].dataType)]))
+    inner = lambda n: ~F.col("label").isin(first_not if n == 1 else middle_not)
+    layers = []
+    front = start.select("root", F.col("root").alias("src"), F.array("root").alias("path"))
+    for n in range(1, hops + 1):
+        met = front.join(step, "src").where("dst <> root")
+        layer = met.groupBy("root", F.col("dst").alias("at"), "label").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        layers.append(materialise(layer, "evidence-layer"))
+        front = layers[-1].where(inner(n)).select("root", F.col("at").alias("src"), "path")
+    known = reduce(DataFrame.unionByName, [layer.where(F.col("label").isin(targets)).select("root", "at", "path", F.lit(n).alias("distance")) for n, layer in enumerate(layers, 1)])
+    best = materialise(known.groupBy("root", "at").agg(F.min_by("path", "distance").alias("path"), F.min("distance").alias("distance")), "evidence-best")
+    pairs = None
+    for n in range(hops, 0, -1):
+        here = best.where(F.col("distance") == n).select("root", F.col("at").alias("target"), F.col("at"))
+        pairs = here if pairs is None else here.unionByName(pairs)
+        if n > 1:  # one layer back: predecessors that may be inner there
+            before = layers[n - 2].where(inner(n - 1)).select("root", F.col("at").alias("src"))
+            back = pairs.join(step.select("src", F.col("dst").alias("at")), "at").join(before, ["root", "src"], "left_semi")
+            pairs = materialise(back.select("root", "target", F.col("src").alias("at")).distinct(), "evidence-back")
+    support = pairs.groupBy("root", F.col("target").alias("at")).agg(F.count_distinct("at").alias("support"))
+    found = best.join(support, ["root", "at"]).select(*(["root"] if many else []), F.col("at").alias("node"), "distance", "support", "path")
+    return found
 
 
 def evidence_files(edges: DataFrame, nodes: DataFrame, root: str, through: str = "Issue", target: str = "File", hops: int = 3) -> DataFrame:

@@ -59,13 +59,58 @@ def prefix_match(left: DataFrame, right: DataFrame, group: str, name: str, prefi
 
 
 def suffix_match(left: DataFrame, right: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Paths of a group where one ends with the other."""
-    return left.join(right, group).where(F.col(a).endswith(F.col(b)) | F.col(b).endswith(F.col(a)))
+    """Paths of a group where one ends with the other.
+
+    Every ending of a path, as long as some path of the other side, is a key that the other side's whole paths are looked up by: rows
+    grow with the lengths of paths, not with pairs of a group.
+    """
+
+    def endings(paths: DataFrame, name: str, others: DataFrame, other: str) -> DataFrame:
+        sizes = others.select(group, F.length(other).alias("size")).distinct()  # of every group, only lengths that it has
+        sized = sizes.groupBy(group).agg(F.collect_set("size").alias("sizes"))
+        fits = F.filter("sizes", lambda n: n <= F.length(name))
+        return paths.join(sized, group).withColumn(other, F.explode(F.transform(fits, lambda n: F.substring(F.col(name), F.length(name) - n + 1, n)))).drop("sizes")
+
+    out = [group, *[c for c in left.columns if c != group], *[c for c in right.columns if c != group]]
+    ends = endings(left, a, right, b).join(right, [group, b]).select(*out)
+    # equal paths are there already
+    ended = endings(right, b, left, a).where(F.length(a) < F.length(b)).join(left, [group, a]).select(*out)
+    return ends.unionByName(ended)
+
+
+#: Characters of the pieces by which substrings are looked up.
+PIECE = 3
+
+
+def _holders(texts: DataFrame, group: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of both where the text of a group holds the part.
+
+    A part is looked up by its rarest piece among the texts of its group (by itself, where it is shorter than a piece); texts are posted under
+    the pieces that some part is looked up by, and what meets is compared in full.
+    """
+    n = F.length(F.col(text))
+    every = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col(text), i, F.lit(size)))
+    none = F.array().cast("array<string>")
+    pieces = F.concat(F.array(F.lit("")), *[F.when(n >= size, every(size)).otherwise(none) for size in range(1, PIECE + 1)])
+    distinct = texts.select(group, text).distinct()
+    posted = distinct.select(group, text, F.explode(F.array_distinct(pieces)).alias("piece"))
+    counted = posted.groupBy(group, "piece").agg(F.count(F.lit(1)).alias("n"))
+    m = F.length(F.col(part))
+    own = F.when(m < PIECE, F.array(F.col(part))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(m - PIECE + 1, F.lit(1))), lambda i: F.substring(F.col(part), i, F.lit(PIECE))))
+    asked = parts.where(F.col(part).isNotNull()).select(group, part).distinct().withColumn("pieces", F.array_distinct(own))
+    held = asked.select(group, part, F.size("pieces").alias("size"), F.explode("pieces").alias("piece")).join(counted, [group, "piece"])
+    # a part with a piece that no text has is in none
+    rarest = held.groupBy(group, part).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count(F.lit(1)).alias("known"), F.max("size").alias("size")).where("known = size")
+    met = posted.join(rarest.select(group, part, "piece"), [group, "piece"]).where(F.contains(F.col(text), F.col(part))).select(group, text, part)
+    return met.join(texts, [group, text]).join(parts, [group, part])
 
 
 def contains_match(left: DataFrame, right: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Paths of a group where one holds the other."""
-    return left.join(right, group).where(F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
+    out = [group, *[c for c in left.columns if c != group], *[c for c in right.columns if c != group]]
+    held = _holders(left, group, a, right, b).select(*out)
+    holding = _holders(right, group, b, left, a).where(F.col(a) != F.col(b)).select(*out)
+    return held.unionByName(holding)
 
 
 def longest_prefix(left: DataFrame, right: DataFrame, name: str, prefix: str) -> DataFrame:

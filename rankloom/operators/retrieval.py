@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.context import materialise
-from rankloom.functions.text import cosine, identifier_tokens
+from rankloom.functions.text import identifier_tokens
 from rankloom.operators.ranking import rank_by, reciprocal_rank_fusion, top_k
 
 CORPUS_K1, SELECTOR_K1, B = 1.5, 1.2, 0.75
@@ -26,7 +27,7 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
     index is cut to the queries' vocabulary before anything is shuffled by term.
     """
     keys = [pool] if pool else []
-    wanted = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = queries.where("query IS NOT NULL").select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     words = docs.select("doc_id", *keys, tokens(F.col("text")).alias("terms"))
     lengths = words.select("doc_id", *keys, F.size("terms").cast("double").alias("length"))
     totals = lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
@@ -79,7 +80,7 @@ class Wanted:
 
 def _wanted(queries: DataFrame, tokens: Callable) -> tuple[DataFrame, Wanted | None]:
     """(query, term, qtf), and the same for a broadcast if it fits one."""
-    rows = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    rows = queries.where("query IS NOT NULL").select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     found = rows.limit(MOST_WANTED + 1).collect()
     return rows, Wanted([tuple(r) for r in found]) if len(found) <= MOST_WANTED else None
 
@@ -142,8 +143,8 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_toke
     """(query, doc_id, score, rank): the k best by score rounded to 6 places, then by id; with a ``pool`` the k best of each value.
 
     Where the queries' terms fit a broadcast, documents are scored where they are read, and only each chunk's best for
-    every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers; documents without an id or a pool
-    are left out, of the statistics too.
+    every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers, and queries without one are left
+    out; documents without an id or a pool are left out, of the statistics too.
     """
     for c in ["doc_id", *([pool] if pool else [])]:
         docs = docs.where(F.col(c).isNotNull())
@@ -221,19 +222,95 @@ def overlap_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_t
     return top_k(scored.withColumn("score", F.col("score").cast("long")), "query", k, F.col("score").desc(), "doc_id")
 
 
-def dense(items: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:
-    """(query, key, score): cosine of every item with every query, all pairs by definition.
+class Asked:
+    """Query vectors of one length as rows of a matrix, with their lengths (norms)."""
 
-    Queries of up to 64 MB are broadcast; more are dealt into blocks that every item visits.
+    def __init__(self, rows: list[tuple]):
+        self.ids = [r[0] for r in rows]
+        self.matrices: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({len(r[1]) for r in rows}):
+            at = np.array([k for k, r in enumerate(rows) if len(r[1]) == size])
+            m = np.array([rows[k][1] for k in at], float).reshape(len(at), size)
+            self.matrices[size] = (at, m, np.sqrt((m * m).sum(1)))
+
+    def scores(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, queries, cosines at 6 places) of a batch, block by block of vectors of one length."""
+        sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        for size, (at, m, norms) in self.matrices.items():
+            rows = np.flatnonzero(sizes == size)
+            if not len(rows):
+                continue
+            flat = vectors.take(pa.array(rows)).flatten()
+            v = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
+            length = np.sqrt((v * v).sum(1))[:, None] * norms[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                yield rows, at, np.round(np.where(length == 0, 0.0, v @ m.T / length), 6)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[Asked]:
+    """The queries in blocks of at most 64 MB, as a number of blocks that follows from their count."""
+    asked = queries.where("query IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)").select("query", "vector")
+    cells = asked.agg(F.sum(F.size("vector")).alias("cells")).first().cells or 0
+    blocks = max(1, -(-cells // DENSE_CELLS))
+    for k in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        yield Asked([(r.query, r.vector) for r in part.collect()])
+
+
+def _keep_best(held: tuple | None, query: np.ndarray, score: np.ndarray, keys: pa.Array, k: int) -> tuple:
+    """The k best rows of every query so far, by score and then key."""
+    if held is not None:
+        query, score, keys = np.concatenate([held[0], query]), np.concatenate([held[1], score]), pa.concat_arrays([held[2], keys])
+    by_key = np.empty(len(keys), np.int64)
+    by_key[np.asarray(pc.array_sort_indices(keys))] = np.arange(len(keys))
+    order = np.lexsort((by_key, -score, query))
+    first = np.searchsorted(query[order], query[order], "left")
+    kept = order[np.arange(len(order)) - first < k]
+    return query[kept], score[kept], keys.take(pa.array(kept))
+
+
+def _candidates(scores: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all scores that can be among a column's k best, ties at the edge included."""
+    if allowed is not None:
+        scores = np.where(allowed, scores, -np.inf)
+    edge = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+    return np.nonzero((scores >= edge) & (scores > -np.inf))
+
+
+def _best_of_tasks(items: DataFrame, asked: Asked, k: int, open_files: dict | None = None) -> DataFrame:
+    """(number, key, score): a running top k of every query per task, as a product of blocks; rows shuffled are tasks x queries x k.
+
+    ``open_files`` holds, by file, the numbers of the queries that may look into it; without it all items are open.
     """
-    n = queries.agg(F.sum(F.size("vector")).alias("cells")).first().cells or 0
-    q, blocks = queries.select("query", F.col("vector").alias("qv")), -(-n // DENSE_CELLS)
-    if blocks <= 1:
-        pairs = items.crossJoin(F.broadcast(q))
-    else:
-        dealt = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-        pairs = items.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1)))).join(dealt, "block")
-    return pairs.select("query", "key", F.round(cosine(F.col("vector"), F.col("qv")), places).alias("score"))
+    shared = items.sparkSession.sparkContext.broadcast((asked, open_files))
+    schema = T.StructType([T.StructField("number", T.LongType()), items.schema["key"], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, open_files = shared.value
+        held = None
+        for batch in batches:
+            keys, vectors = batch.column("key"), batch.column("vector")
+            files = batch.column("file").to_pylist() if open_files is not None else None
+            for rows, at, scores in asked.scores(vectors):
+                allowed = None
+                if files is not None:
+                    allowed = np.zeros((len(rows), len(asked.ids)), bool)
+                    for r, i in enumerate(rows.tolist()):
+                        allowed[r, open_files.get(files[i], [])] = True
+                    allowed = allowed[:, at]
+                row, column = _candidates(scores, allowed, k)
+                held = _keep_best(held, at[column], scores[row, column], keys.take(pa.array(rows[row])), k)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), held[2], pa.array(held[1])], names=["number", "key", "score"])
+
+    usable = items.where("key IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
+    return usable.select("key", "vector", *(["file"] if open_files is not None else [])).mapInArrow(run, schema)
+
+
+def _named(found: DataFrame, asked: Asked, kind: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("query", kind)])
+    names = found.sparkSession.createDataFrame(list(enumerate(asked.ids)), schema)  # one row per query of a block
+    return found.join(F.broadcast(names), "number").drop("number")
 
 
 def nearest_values(items: DataFrame, queries: DataFrame, k: int, width: int = 64) -> DataFrame:
@@ -263,18 +340,75 @@ def nearest_values(items: DataFrame, queries: DataFrame, k: int, width: int = 64
 
 
 def dense_top(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(dense(items, queries), "query", k, F.col("score").desc(), "key")
+    """(query, key, score, rank): the k items (key, vector) of largest cosine, at 6 places, then by key.
+
+    Items meet queries as matrix products where they are read; more queries than a broadcast holds take as many passes as blocks. Rows
+    without a key or vector, vectors with a null and vectors of another length than a query's are not scored.
+    """
+    parts = [_named(_best_of_tasks(items, asked, k), asked, queries.schema["query"].dataType) for asked in _query_blocks(queries)]
+    return top_k(reduce(DataFrame.unionByName, parts), "query", k, F.col("score").desc(), "key")
+
+
+def _file_maxima(items: DataFrame, asked: Asked) -> DataFrame:
+    """(number, file, score, members): every task's best score and number of items, by query and file."""
+    shared = items.sparkSession.sparkContext.broadcast(asked)
+    schema = T.StructType([T.StructField("number", T.LongType()), items.schema["file"], T.StructField("score", T.DoubleType()), T.StructField("members", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            for rows, at, scores in shared.value.scores(batch.column("vector")):
+                places = _groups(np.array([names[i] for i in rows.tolist()], object))
+                for group in places:
+                    file = names[rows[group[0]]]
+                    score, members = best.setdefault(file, (np.full(len(shared.value.ids), -np.inf), np.zeros(len(shared.value.ids), np.int64)))
+                    score[at] = np.maximum(score[at], scores[group].max(0))
+                    members[at] += len(group)
+        for file, (score, members) in best.items():
+            at = np.flatnonzero(members)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), pa.array([file] * len(at), batch.schema.field("file").type), pa.array(score[at]), pa.array(members[at])],
+                names=["number", "file", "score", "members"],
+            )
+
+    usable = items.where("key IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
+    found = usable.select("file", "vector").mapInArrow(run, schema)
+    return found.groupBy("number", "file").agg(F.max("score").alias("score"), F.sum("members").alias("members"))
+
+
+def taken_files(files: DataFrame, k: int, min_files: int, query: str = "query") -> DataFrame:
+    """Of ranked files (query, file, score, members) those taken until at least ``min_files`` and ``k`` members are in, with their rank."""
+    ranked = rank_by(files, query, F.col("score").desc(), "file", name="file_rank")
+    earlier = F.sum("members").over(Window.partitionBy(query).orderBy("file_rank").rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("before", F.coalesce(earlier, F.lit(0))).where((F.col("before") < k) | (F.col("file_rank") <= min_files))
+
+
+def dense_file_first(items: DataFrame, queries: DataFrame, k: int, min_files: int) -> DataFrame:
+    """query, file, key, score, file_rank, rank: files by their best item, taken as ``taken_files`` does, then the k best items in them.
+
+    ``items``: key, vector, file. One pass reduces the blocks to file maxima, a second keeps a running top k in the files that a
+    query has taken, which are at most max(k, min_files) each.
+    """
+    parts = []
+    for asked in _query_blocks(queries):
+        taken = materialise(taken_files(_file_maxima(items, asked), k, min_files, "number").select("number", "file", "file_rank"), "taken-files")
+        open_files: dict = {}
+        for r in taken.select("number", "file").toLocalIterator():  # queries of one block times the files each has taken
+            open_files.setdefault(r.file, []).append(r.number)
+        best = top_k(_best_of_tasks(items, asked, k, open_files), "number", k, F.col("score").desc(), "key")
+        best = best.join(items.select("key", "file"), "key").join(taken, ["number", "file"])
+        parts.append(_named(best, asked, queries.schema["query"].dataType))
+    return reduce(DataFrame.unionByName, parts).select("query", "file", "key", "score", "file_rank", "rank")
 
 
 def file_first(files: DataFrame, members: DataFrame, k: int, min_files: int) -> DataFrame:
-    """Rank files by score, take them until at least ``min_files`` and ``k`` members are in, then rank the members.
+    """``dense_file_first`` over scores that are there already.
 
     ``files``: query, file, score. ``members``: query, file, key, score. Returns query, file, key, score, file_rank, rank.
     """
     sizes = members.groupBy("query", "file").agg(F.count(F.lit(1)).alias("members"))
-    ranked = rank_by(files.join(sizes, ["query", "file"], "left").na.fill(0, ["members"]), "query", F.col("score").desc(), "file", name="file_rank")
-    earlier = F.sum("members").over(Window.partitionBy("query").orderBy("file_rank").rowsBetween(Window.unboundedPreceding, -1))
-    taken = ranked.withColumn("before", F.coalesce(earlier, F.lit(0))).where((F.col("before") < k) | (F.col("file_rank") <= min_files))
+    taken = taken_files(files.join(sizes, ["query", "file"], "left").na.fill(0, ["members"]), k, min_files)
     inside = members.join(taken.select("query", "file", "file_rank"), ["query", "file"])
     return top_k(inside, "query", k, F.col("score").desc(), "key")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESAMPLES, SEED = 10_000, 7
 
@@ -33,17 +34,46 @@ def mcnemar(wins: Column, losses: Column, no_discordance: float | None = 1.0) ->
     return F.when(n == 0, F.lit(no_discordance)).otherwise(F.least(F.lit(1.0), 2 * running))
 
 
-def sign_flip(clusters: DataFrame, by: list[str], value: str, cluster: str, limit: int = 20) -> DataFrame:
-    """Exact cluster sign-flip test: share of all sign assignments whose absolute sum reaches the observed one.
+#: Clusters whose signs one row takes in full, as two sorted halves of 2^20 sums; the signs of the others are dealt out as rows.
+MIDDLE = 40
 
-    ``clusters`` has one row per cluster; 2^k assignments are made in the cluster rows' table, k at most ``limit``.
+
+def _signed_sums(values: np.ndarray) -> np.ndarray:
+    """All 2^n sums of the values with either sign, in order: two sorted lists are merged per value."""
+    sums = np.zeros(1)
+    for x in values:
+        sums = np.sort(np.concatenate([sums - x, sums + x]), kind="stable")
+    return sums
+
+
+@F.pandas_udf(T.DoubleType())
+def share_of_signs(values: pd.Series, offset: pd.Series, reach: pd.Series) -> pd.Series:
+    """Share of the sign assignments of ``values`` whose sum with ``offset`` is at least ``reach`` from zero."""
+
+    def one(v: np.ndarray, c: float, t: float) -> float:
+        low, high = _signed_sums(v[: len(v) // 2]), _signed_sums(v[len(v) // 2 :])
+        above = len(low) * len(high) - int(np.searchsorted(low, t - c - high, "left").sum())  # sums of a half against the other's
+        below = int(np.searchsorted(low, -t - c - high, "right").sum())
+        return (above + below) / (len(low) * len(high)) if t > 0 else 1.0
+
+    return pd.Series([one(np.asarray(v, float), c, t) for v, c, t in zip(values, offset, reach, strict=True)])
+
+
+def sign_flip(clusters: DataFrame, by: list[str], value: str, cluster: str) -> DataFrame:
+    """Exact cluster sign-flip test: share of all sign assignments whose absolute sum reaches the observed one (less 1e-12).
+
+    ``clusters`` has one row per cluster. Up to 40 clusters meet in the middle: the sums of both halves are sorted, and for every sum of
+    one the other's that complete it are counted by their place, 2^20 steps for 2^40 assignments. Of more clusters, the signs beyond
+    the fortieth are rows that tasks share.
     """
     packed = clusters.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(cluster, value))), lambda x: x[value].cast("double")).alias("v"), F.count(F.lit(1)).alias("k"))
-    packed = packed.withColumn("ok", F.assert_true(F.col("k") <= limit, "too many clusters for all assignments").isNull()).where("ok")
     observed = F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x))
-    flips = packed.select(*by, "v", "k", observed.alias("observed"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, CAST(k AS INT)) - 1L"))).alias("mask"))
-    signed = F.aggregate(F.transform("v", lambda x, i: x * (1 - 2 * F.getbit(F.col("mask"), i).cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return flips.groupBy(*by).agg(F.max("k").alias("clusters"), F.round(F.max("observed"), 9).alias("observed"), F.round(F.avg((F.abs(signed) >= F.col("observed") - 1e-12).cast("double")), 9).alias("p"))
+    more = F.greatest(F.col("k") - MIDDLE, F.lit(0)).cast("int")
+    rows = packed.select(*by, "k", observed.alias("observed"), F.slice("v", F.lit(1), F.lit(MIDDLE)).alias("inner"), F.slice("v", F.lit(MIDDLE + 1), F.greatest(more, F.lit(0))).alias("outer"), more.alias("more"))
+    rows = rows.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, more) - 1L"))))
+    offset = F.aggregate(F.transform("outer", lambda x, i: x * (1 - 2 * F.getbit(F.col("mask"), i).cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("p", share_of_signs(F.col("inner"), offset, F.col("observed") - 1e-12))
+    return rows.groupBy(*by).agg(F.max("k").alias("clusters"), F.round(F.max("observed"), 9).alias("observed"), F.round(F.avg("p"), 9).alias("p"))
 
 
 def percentile_linear(values: list[float], q: float) -> float:

@@ -172,6 +172,20 @@ def suffix_match(spark, sf):
     return joins.suffix_match(files, tails, "host", "path", "tail").select("host", "path", "tail")
 
 
+@query(
+    """WITH f AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages),
+    t AS (SELECT DISTINCT host, left(path, 1 + length(path) // 2) AS part FROM f UNION SELECT host, right(path, length(path) // 3) || 'x' FROM f UNION SELECT host, right(path, 2) FROM f)
+    SELECT f.host, path, part FROM f JOIN t ON f.host = t.host AND (contains(path, part) OR contains(part, path))"""
+)
+def contains_match(spark, sf):
+    """Paths of a host against halves, endings and last two characters of its paths."""
+    files = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1).alias("path")).distinct()
+    third = F.expr("right(path, CAST(length(path) DIV 3 AS INT))")
+    parts = [F.expr("left(path, CAST(1 + length(path) DIV 2 AS INT))"), F.concat(third, F.lit("x")), F.expr("right(path, 2)")]
+    parts = files.select("host", F.explode(F.array(*parts)).alias("part")).distinct()
+    return joins.contains_match(files, parts, "host", "path", "part").select("host", "path", "part")
+
+
 @query("SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END)::BIGINT AS firsts FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY l_orderkey")
 def keys_in_all(spark, sf):
     lines = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")

@@ -120,9 +120,7 @@ def dense_top20(spark, sf):
 )
 def dense_filefirst(spark, sf):
     data, asked = vectors(spark, sf)
-    members = retrieval.dense(data, asked).join(data.select("key", F.col("label").alias("file")), "key")
-    files = members.groupBy("query", "file").agg(F.max("score").alias("score"))
-    return retrieval.file_first(files, members, 20, 2).select("query", "file", "key", "score", "file_rank", "rank")
+    return retrieval.dense_file_first(data.withColumnRenamed("label", "file"), asked, 20, 2).select("query", "file", "key", "score", "file_rank", "rank")
 
 
 RRF2 = """united AS (SELECT query, key, 0 AS spot, rank, 1.0::DOUBLE / (60 + rank) AS part FROM bm UNION ALL SELECT query, key, 1, rank, {w}::DOUBLE / (60 + rank) FROM ov),

@@ -393,12 +393,31 @@ def test_nearest_values_against_all_pairs(spark):
 
 def test_dense_queries_in_blocks(spark, monkeypatch):
     rnd = random.Random(4)
-    vector = lambda: [rnd.random() for _ in range(4)]
-    items = spark.createDataFrame([(k, vector()) for k in range(20)], "key long, vector array<double>")
-    queries = spark.createDataFrame([(k, vector()) for k in range(6)], "query long, vector array<double>")
-    whole = sorted(map(tuple, retrieval.dense(items, queries).collect()))
-    monkeypatch.setattr(retrieval, "DENSE_CELLS", 5)
-    assert len(whole) == 120 and whole == sorted(map(tuple, retrieval.dense(items, queries).collect()))
+    vector = lambda: [rnd.randrange(-3, 4) / 2 for _ in range(4)]
+    rows = [(k, vector(), f"f{k % 7}") for k in range(60)]
+    items = spark.createDataFrame([*rows, (60, None, "f1"), (61, [1.0], "f2"), (62, [None, 1.0, 1.0, 1.0], "f3"), (63, [0.0] * 4, "f4")], "key long, vector array<double>, file string").repartition(3)
+    asked = [(k, vector()) for k in range(6)]
+    queries = spark.createDataFrame([*asked, (9, None), (10, [0.0] * 4)], "query long, vector array<double>")
+
+    def cosine(v, w):
+        n = math.sqrt(sum(x * x for x in v) * sum(x * x for x in w))
+        return round(sum(x * y for x, y in zip(v, w)) / n, 6) if n else 0.0
+
+    scores = {q: sorted((-cosine(v, w), k, f) for k, v, f in [*rows, (63, [0.0] * 4, "f4")]) for q, w in [*asked, (10, [0.0] * 4)]}
+    want = {(q, k, n + 1) for q, s in scores.items() for n, (_, k, _) in enumerate(s[:5])}
+    first = set()
+    for q, s in scores.items():
+        files = sorted({f: min(x[0] for x in s if x[2] == f) for f in {x[2] for x in s}}.items(), key=lambda x: (x[1], x[0]))
+        taken, members = [], 0
+        for n, (f, _) in enumerate(files):
+            if members < 12 or n < 2:
+                taken.append(f)
+            members += sum(x[2] == f for x in s)
+        first |= {(q, k, n + 1, taken.index(f) + 1) for n, (_, k, f) in enumerate([x for x in s if x[2] in taken][:12])}
+    for cells in (retrieval.DENSE_CELLS, 8):
+        monkeypatch.setattr(retrieval, "DENSE_CELLS", cells)
+        assert {(r.query, r.key, r.rank) for r in retrieval.dense_top(items, queries, 5).collect()} == want
+        assert {(r.query, r.key, r.rank, r.file_rank) for r in retrieval.dense_file_first(items, queries, 12, 2).collect()} == first
 
 
 def test_binned_intervals_are_all_pairs(spark):
