@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.context import materialise
+from rankloom.context import materialise, spread
 from rankloom.functions.identity import is_boilerplate, is_boilerplate_evidence
 from rankloom.functions.text import DOTTED, anchor_terms, candidate_terms, evidence_terms, known
 from rankloom.operators.ranking import bucket_round_robin, rank_by, top_k
@@ -73,7 +73,7 @@ def _lexical_rows(texts: DataFrame) -> DataFrame:
 def _exact_rows(texts: DataFrame) -> DataFrame:
     """One row per dotted identifier and per part of it, as ``exact_terms`` makes them; short parts are left to the join."""
     rows = texts.select(*ENTITY, "side", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DOTTED), F.lit(0))).alias("t")).withColumn("t", F.lower("t"))
-    parts = F.concat(F.array("t"), F.split("t", "[._]+"))
+    parts = F.when(F.contains("t", F.lit(".")) | F.contains("t", F.lit("_")), F.concat(F.array("t"), F.split("t", "[._]+"))).otherwise(F.array("t"))
     return rows.where(known(F.col("t"))).select(*ENTITY, (F.col("side") * SYMBOL_EXACT).alias("side"), F.explode(parts).alias("term"))
 
 
@@ -84,7 +84,7 @@ def postings(entities: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     symbol = F.concat_ws("\n", "name", "signature", "file")
     texts = F.array(F.struct(symbol.alias("text"), F.lit(SYMBOL).alias("side")), F.struct(F.col("source").alias("text"), F.lit(SOURCE).alias("side")))
-    texts = entities.select(*ENTITY, F.explode(texts).alias("x")).select(*ENTITY, "x.text", "x.side")
+    texts = spread(entities.select(*ENTITY, "source")).select(*ENTITY, F.explode(texts).alias("x")).select(*ENTITY, "x.text", "x.side")
     rows = _lexical_rows(texts).unionByName(_exact_rows(texts)).join(wanted, ["file", "term"], "left_semi")
     return rows.groupBy(*ENTITY, "term").agg(F.bit_or("side").alias("sides"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.context import materialise
+from rankloom.context import materialise, spread
 from rankloom.functions.text import identifier_tokens
 from rankloom.operators.ranking import rank_by, reciprocal_rank_fusion, top_k
 
@@ -28,7 +28,7 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens=identifier_tokens, k1: floa
     """
     keys = [pool] if pool else []
     wanted = queries.where("query IS NOT NULL").select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    words = docs.select("doc_id", *keys, tokens(F.col("text")).alias("terms"))
+    words = spread(docs.select("doc_id", *keys, "text")).select("doc_id", *keys, tokens(F.col("text")).alias("terms"))
     lengths = words.select("doc_id", *keys, F.size("terms").cast("double").alias("length"))
     totals = lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     found = words.select("doc_id", *keys, F.size("terms").cast("double").alias("length"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
@@ -86,7 +86,7 @@ def _wanted(queries: DataFrame, tokens: Callable) -> tuple[DataFrame, Wanted | N
 
 
 def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, weigh: Callable) -> DataFrame:
-    """(query, doc_id, pool, score): of every chunk of documents (doc_id, terms, pool) the k best for each query (and pool).
+    """(query, doc_id, pool, score): of every task's documents (doc_id, terms, pool) the k best for each query (and pool).
 
     ``weigh(term, times, length, pool)`` gives the weight of terms in documents. Scores are compared at 6 places, then by id.
     """
@@ -94,7 +94,8 @@ def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, w
     schema = T.StructType([T.StructField("query_number", T.LongType()), docs.schema["doc_id"], *([docs.schema[pool]] if pool else []), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
-    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def scored(batch: pa.RecordBatch) -> np.ndarray:
+        """Scores of the batch's documents (rows) for all queries (columns)."""
         asked = shared.value
         pools = batch.column(pool).to_numpy(zero_copy_only=False) if pool else None
         row, term, times, lengths = asked.counts(batch.column("terms"))
@@ -106,26 +107,27 @@ def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, w
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             t = int(term[a])
             scores[row[a:b, None], asked.at[t]] += part[a:b, None] * asked.times[t]
-        ids = batch.column("doc_id")
-        by_id = np.asarray(pc.array_sort_indices(ids))
-        groups = [by_id] if pools is None else [by_id[g] for g in _groups(pools[by_id])]
-        found_row, found_query = [], []
-        for rows in groups:
-            first = np.argsort(-np.round(scores[rows], 6), axis=0, kind="stable")[:k]
-            at = rows[first]
-            hit = scores[at, np.arange(scores.shape[1])] > 0
-            found_row.append(at[hit])
-            found_query.append(np.broadcast_to(np.arange(scores.shape[1]), at.shape)[hit])
-        at, query = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_row, found_query))
-        picked = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), ids.take(picked), *([batch.column(pool).take(picked)] if pool else []), pa.array(scores[at, query])], names=names)
+        return scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(SCORE_CELLS // max(len(shared.value.queries), 1), 1)
-        for b in batches:
-            for k in range(0, b.num_rows, step):
-                part = b.slice(k, step)
-                yield best(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names))
+        n = max(len(shared.value.queries), 1)
+        step = max(SCORE_CELLS // n, 1)
+        held, names_of_pools = None, {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                part = whole.slice(start, step)
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
+                scores, ids = scored(batch), batch.column("doc_id")
+                rounded = np.where(scores > 0, np.round(scores, 6), -np.inf)
+                groups = [np.arange(batch.num_rows)] if pool is None else _groups(batch.column(pool).to_numpy(zero_copy_only=False))
+                for rows in groups:
+                    number = names_of_pools.setdefault(batch.column(pool)[int(rows[0])].as_py() if pool else None, len(names_of_pools))
+                    row, query = _candidates(rounded[rows], None, k)
+                    held = _keep_best(held, number * n + query, scores[rows[row], query], ids.take(pa.array(rows[row])), k)
+        if held is not None:
+            listed = list(names_of_pools)
+            pools = [pa.array([listed[g] for g in (held[0] // n).tolist()], batch.column(pool).type)] if pool else []
+            yield pa.RecordBatch.from_arrays([pa.array(held[0] % n, pa.int64()), held[2], *pools, pa.array(held[1])], names=names)
 
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, schema)
     names_of = docs.sparkSession.createDataFrame(list(enumerate(wanted.queries)), "query_number long, query long")
@@ -142,7 +144,7 @@ def _groups(values: np.ndarray) -> list[np.ndarray]:
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_tokens, k1: float = CORPUS_K1, b: float = B, query_frequency: bool = False, pool: str | None = None) -> DataFrame:
     """(query, doc_id, score, rank): the k best by score rounded to 6 places, then by id; with a ``pool`` the k best of each value.
 
-    Where the queries' terms fit a broadcast, documents are scored where they are read, and only each chunk's best for
+    Where the queries' terms fit a broadcast, documents are scored where they are read, and only each task's best for
     every query are shuffled. Beyond that, terms are joined (``bm25``). Query ids are integers, and queries without one are left
     out; documents without an id or a pool are left out, of the statistics too.
     """
@@ -153,7 +155,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_toke
     if wanted is None:
         scored = bm25(docs, queries, tokens, k1, b, query_frequency, pool)
     else:
-        words = docs.select("doc_id", *([pool] if pool else []), tokens(F.col("text")).alias("terms"))
+        words = spread(docs.select("doc_id", *([pool] if pool else []), "text")).select("doc_id", *([pool] if pool else []), tokens(F.col("text")).alias("terms"))
         statistics = _statistics(words, wanted, pool)
         if statistics is None:
             scored = bm25(docs, queries, tokens, k1, b, query_frequency, pool)
@@ -213,7 +215,7 @@ def overlap_top(docs: DataFrame, queries: DataFrame, k: int, tokens=identifier_t
     """(query, doc_id, score, rank): the k documents that share the most distinct terms with a query, then by id."""
     distinct = lambda text: F.array_distinct(tokens(text))
     rows, wanted = _wanted(queries, distinct)
-    words = docs.select("doc_id", distinct(F.col("text")).alias("terms"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", distinct(F.col("text")).alias("terms"))
     if wanted is None:
         listed = words.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode("terms").alias("term"))
         scored = listed.join(rows, "term").groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("score"))
@@ -257,13 +259,13 @@ def _query_blocks(queries: DataFrame) -> Iterator[Asked]:
         yield Asked([(r.query, r.vector) for r in part.collect()])
 
 
-def _keep_best(held: tuple | None, query: np.ndarray, score: np.ndarray, keys: pa.Array, k: int) -> tuple:
-    """The k best rows of every query so far, by score and then key."""
+def _keep_best(held: tuple | None, query: np.ndarray, score: np.ndarray, keys: pa.Array, k: int, places: int = 6) -> tuple:
+    """The k best rows of every query so far, by rounded score and then key."""
     if held is not None:
         query, score, keys = np.concatenate([held[0], query]), np.concatenate([held[1], score]), pa.concat_arrays([held[2], keys])
     by_key = np.empty(len(keys), np.int64)
     by_key[np.asarray(pc.array_sort_indices(keys))] = np.arange(len(keys))
-    order = np.lexsort((by_key, -score, query))
+    order = np.lexsort((by_key, -np.round(score, places), query))
     first = np.searchsorted(query[order], query[order], "left")
     kept = order[np.arange(len(order)) - first < k]
     return query[kept], score[kept], keys.take(pa.array(kept))

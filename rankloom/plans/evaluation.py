@@ -43,7 +43,7 @@ def evaluated(spark, sf):
 EVAL_SQL = f"""{bm25_sql(50)}, {overlap_sql(50)},
     un AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY least(coalesce(a, 9999), coalesce(b, 9999)), a IS NULL, coalesce(a, 9999), coalesce(b, 9999), key)::INT AS rank FROM (SELECT coalesce(bm.query, ov.query) AS query, coalesce(bm.key, ov.key) AS key, bm.rank AS a, ov.rank AS b FROM bm FULL JOIN ov ON bm.query = ov.query AND bm.key = ov.key)),
     rk AS (SELECT approach, query AS instance, rank, key, source AS file FROM (SELECT 'lexical' AS approach, query, key, rank FROM bm UNION ALL SELECT 'overlap', query, key, rank FROM ov UNION ALL SELECT 'union', query, key, rank FROM un) JOIN documents ON doc_id = key WHERE rank <= 20),
-    held AS (SELECT DISTINCT doc_id, item_id, source FROM documents d JOIN benchmark b ON length(b.text) >= 60 AND contains(d.text, left(b.text, 60))),
+    held AS (SELECT DISTINCT doc_id, item_id, source FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)),
     tg AS (SELECT item_id AS instance, doc_id::VARCHAR AS target, source AS file, doc_id AS key FROM held UNION ALL SELECT item_id, 'file:' || min(source), min(source), NULL FROM held WHERE item_id % 5 = 0 GROUP BY item_id),
     mt AS (SELECT approach, rk.instance, rank, target FROM rk JOIN tg ON rk.instance = tg.instance AND rk.file = tg.file AND (tg.key IS NULL OR tg.key = rk.key)),
     ev AS (SELECT approach, instance, coalesce(candidate_count, 0) AS candidate_count, target_count, coalesce(matched, 0) AS matched_target_count, coalesce(first_rank, 0) AS first_rank, coalesce(file_hit, 0)::INT AS file_hit, coalesce(matched, 0) / target_count AS target_coverage, (coalesce(matched, 0) > 0)::INT AS hit, coalesce(1.0 / first_rank, 0)::DOUBLE AS mrr, (coalesce(matched, 0) = target_count)::INT AS complete
