@@ -86,10 +86,15 @@ class Pieces(dict):
 
 
 class PackedEncoder:
-    """Texts to packed ids, by an ``encode`` that maps a pre-token to its ids."""
+    """Texts to packed ids, by an ``encode`` that maps a pre-token to its ids.
 
-    def __init__(self, encode: Callable[[str], list[int]], members: Callable[[str], str], cache: int = CACHE):
+    ``special`` maps strings to ids of their own: a text is cut at them first, the longest of those that start at a place.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], members: Callable[[str], str], cache: int = CACHE, special: dict[str, int] | None = None):
         self.split, self.known, self.cache = public_split(members), Pieces(encode), cache
+        self.special = {s: k.to_bytes(4, "little") for s, k in (special or {}).items()}
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if special else None
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian unsigned 32-bit integers."""
@@ -97,15 +102,24 @@ class PackedEncoder:
             return b""
         if len(self.known) > self.cache:
             self.known.renew()
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+        if self.cut is None or not self.cut.search(text):
+            return b"".join(map(self.known.__getitem__, self.split(text)))
+        parts = self.cut.split(text)  # every second one is special
+        return b"".join(self.special[p] if k % 2 else b"".join(map(self.known.__getitem__, self.split(p))) for k, p in enumerate(parts) if p)
 
 
-@lru_cache(maxsize=2)
-def tokenizers_encoder(path: str) -> PackedEncoder:
-    """For a byte-level tokenizer file of the tokenizers library; special tokens' strings in a text are ordinary text."""
+@lru_cache(maxsize=4)
+def tokenizers_encoder(path: str, ordinary: bool = False) -> PackedEncoder:
+    """For a byte-level tokenizer file of the tokenizers library, as it encodes without adding special tokens.
+
+    Strings of special tokens in a text get their ids, as the library gives them; with ``ordinary`` they are text like any other.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PackedEncoder(lambda part: tokenizer.encode(part, add_special_tokens=False).ids, tokenizers_members)
+    added = {} if ordinary else tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError("special tokens that take characters around them are not supported")
+    tokenizer.encode_special_tokens = True  # within the parts
+    return PackedEncoder(lambda part: tokenizer.encode(part, add_special_tokens=False).ids, tokenizers_members, special={t.content: k for k, t in added.items()})

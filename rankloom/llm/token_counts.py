@@ -56,7 +56,7 @@ def write_flat(docs: DataFrame, folder: str, path: str, separator: int = END_OF_
             return out
 
         for b in batches:
-            encoder = encoder or tokenizers_encoder(path)
+            encoder = encoder or tokenizers_encoder(path, ordinary=True)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 found = np.frombuffer(encoder(text), "<u4")

@@ -9,8 +9,8 @@ each level, which the directories locate; ``StoredTokens`` reads single tokens f
 File: magic, number of documents, tokens and levels; per level its size, chunks, bitmap and directory; then
 the documents' ids and ends. All numbers are little-endian. A file holds at most about ``FILE_TOKENS`` ids.
 
-Cases: null and empty texts give the end id alone. Documents with the same id follow each other, by text; a null id sorts
-first. Repeated rows are documents each. Empty tables give empty results. Very long texts are one document of a file of their own size.
+Cases: null and empty texts give the end id alone. Documents with the same id follow each other, by a hash of
+their text and the text; a null id sorts first. The strings of special tokens get their ids, as the library gives them. Repeated rows are documents each. Empty tables give empty results. Very long texts are one document of a file of their own size.
 Columns that are called like the result's are ignored.
 """
 
@@ -153,8 +153,9 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = MOST_PARTITIONS * PARTITION_BYTES
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES) if size <= most else 0)
-    # ties by text, so that every attempt of a task writes the same file
-    ordered = only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or of none, are dealt out by a hash of their text; ties by text, so that every attempt of a task writes the same file
+    tie = F.xxhash64("text")
+    ordered = only(docs, "doc_id", "text").repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -185,3 +184,31 @@ def test_ranges_of_files(spark):
     put(folder, "x", [b"abc", b"def"])
     put(folder, "x", [b"abcdef"])
     assert read_range(folder, "x") == b"abcdef" and read_range(folder, "x", 2, 3) == b"cde" and read_range(folder, "x", 4) == b"ef"
+
+
+def test_strings_of_special_tokens(spark, tokenizer):
+    import zlib
+
+    import numpy as np
+
+    texts = ["<|endoftext|> hi", "a<|endoftext|><|endoftext|>", " <|endoftext|>\n x", "<|endoftext", "<|endoftext|>" * 3, "é <|endoftext|>é"]
+    assert tokenizer(texts[0]) == [50256, 23105]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.token_ids(df).collect()}
+    for k, t in enumerate(texts):
+        ids = np.array([*tokenizer(t), 2], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+    import public_tokenizers
+
+    plain = pretokens.tokenizers_encoder(public_tokenizers.path("byte_bpe_50k.json"), ordinary=True)
+    assert 50256 not in np.frombuffer(plain(texts[1]), "<u4")
+
+
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.createDataFrame([(None if k % 2 else 7, f"text {k}") for k in range(400)], "doc_id long, text string")
+    from rankloom.llm.storage import scratch
+
+    import public_tokenizers
+
+    files = token_files.write_files(df, scratch(spark, "spread"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert max(r.n for r in files.groupBy("part").agg({"n_docs": "sum"}).toDF("part", "n").collect()) < 200
