@@ -13,8 +13,10 @@ themselves, and each path gets the mean of its nodes' fused values. Thresholds o
 * outside the root, and in blocks whose names speak against them, only paths from ``OUTSIDE_SHARE`` up stay, and a
   headline shortly before the first text that stays.
 
-Elements that never hold article text (scripts, styles, navigation, footers, asides, forms and the like) and hidden ones are
-left out before that. A block around the headline is a frame of the page, whatever its name.
+Elements that never hold article text (scripts, styles, navigation, footers, asides and the like), forms and hidden ones are
+left out before that; a form around most of the page's text is a frame of the page. A block around the headline is one too, whatever
+its name. Buttons, drawings and the like do not end the line they stand in, and an inline element's name counts only where its block
+holds nothing else, but for adverts, which go from sentences too.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined by a newline in page order.
 
@@ -28,6 +30,7 @@ result's are ignored by ``page_texts`` and kept by ``extract``, whose own get an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,8 +46,10 @@ from rankloom.llm.frames import append_columns, fresh, only
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 LEFT_OUT = {
     "head", "script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "nav", "menu", "footer",
-    "aside", "form", "button", "select", "option", "dialog", "audio", "video", "noframes", "noembed", "xmp",
+    "aside", "button", "select", "option", "dialog", "audio", "video", "noframes", "noembed", "xmp",
 }
+#: Of these, the ones that stand in a line of text, which goes on after them.
+LEFT_OUT_INLINE = {"iframe", "object", "svg", "math", "canvas", "button", "select", "audio", "video"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr",
     "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
@@ -54,7 +59,7 @@ CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul",
 }
-P_SCOPE = {"article", "section", "div", "td", "th", "li", "button", "table", "blockquote"}
+P_SCOPE = {"article", "section", "div", "td", "th", "li", "table", "blockquote"} | LEFT_OUT_INLINE
 SIBLINGS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -65,18 +70,19 @@ SHORT_BLOCKS = HEADINGS | {"p", "li", "td", "th", "dt", "dd", "pre", "blockquote
 #: Elements that group short blocks; the container of a node is its nearest block of another kind.
 GROUPS = SHORT_BLOCKS | {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "hgroup", "details", "header"}
 ARTICLE = {"article", "main"}
+_ADVERTS = r"ads?|advert\w*|sponsor(?:ed)?|promos?|promotions?"
 _PARTS = (
-    r"ads?|advert\w*|sponsor(?:ed)?|promos?|promotions?|comments?|commentlist|replies|respond|disqus|sidebars?|nav|navbar|navigation|menus?|breadcrumbs?|"
+    rf"{_ADVERTS}|comments?|commentlist|replies|respond|disqus|discussions?|feedback|reactions|responses|sidebars?|nav|navbar|navigation|menus?|breadcrumbs?|"
     r"footer|masthead|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|social|pagination|pager|toolbar|popup|modal|banner"
 )
 _TAILS = r"list|lists|area|section|box|wrap\w*|container|notice|bar|block|widget|form|links?|inner|content|top|bottom|left|right|thread|policy|\d+"
 #: Names that speak strongly against a block, and names that speak weakly against it.
 AGAINST = re.compile(rf"(?!(?:has|no|with|without|is)[-_])(?:\w+[-_])*?(?:{_PARTS})(?:[-_](?:{_TAILS}))*", re.I)
+ADVERT = re.compile(rf"(?:\w+[-_])*?(?:{_ADVERTS})(?:[-_](?:{_TAILS}))*", re.I)
 DOUBTFUL = re.compile(rf"(?:{_PARTS}|side|related|recommended|popular|notice|copyright|legal|widget|reply)(?:[-_](?:{_TAILS}|posts?|articles?|stories|items?))*", re.I)
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_MARK = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
@@ -91,6 +97,8 @@ INSIDE_SHARE, INSIDE_LEAST = 0.004, 0.5
 OUTSIDE_SHARE = 0.8
 #: Least share of content that the root holds; that an article element must hold to be the root.
 ROOT_SHARE, ARTICLE_SHARE = 0.8, 0.2
+#: A form that holds this share of the page's text, a headline or a paragraph in it, is the page's frame and not a form to fill in.
+FORM_SHARE = 0.5
 #: What a name that speaks strongly, or weakly, against a block leaves of its ratios.
 STRONGLY, WEAKLY = 0.05, 0.3
 #: A headline stays if at most this many nodes lie between it and the first text that stays.
@@ -126,6 +134,38 @@ class _Open:
     out: bool
     link: bool
     inline: bool
+    quiet: bool = False
+    against: bool = False
+
+
+class _TagEnds:
+    """Where tags end: at the first > outside quotes, or at the first > at all where a quote stays open.
+
+    A search that fails has seen the rest of the page; later ones that start between the quotes it saw would fail alike and are
+    not made, so the work stays linear in the page.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.failed = html, []
+
+    def find(self, at: int) -> int:
+        """The place of the >, or -1."""
+        for first, opened, closed in self.failed:
+            k = bisect_right(opened, at) - 1
+            if at >= first and (k < 0 or at > closed[k]):
+                return self.html.find(">", at)
+        opened, closed, place = [], [], at
+        while m := _MARK.search(self.html, place):
+            if m[0] == ">":
+                return m.start()
+            end = self.html.find(m[0], m.end())
+            if end < 0:
+                break
+            opened.append(m.start())
+            closed.append(end)
+            place = end + 1
+        self.failed.append((at, opened, closed))
+        return self.html.find(">", at)
 
 
 def prior_of(named: str) -> float:
@@ -141,32 +181,43 @@ def parse(html: str) -> Page:
     page = Page()
     stack: list[_Open] = [_Open("", 0, 0, False, False, False)]
     open_: Counter[str] = Counter()
-    hidden = links = 0
+    hidden = links = quiet = doubted = 0
     text: list[str] = []
     linked: list[str] = []
+    plain = False  # whether the block has text outside inline elements whose names speak against them
 
     def flush() -> None:
+        nonlocal plain
+        if quiet:  # inside an element that stands in a line: the line goes on after it
+            return
         if text:
+            if not plain:
+                text.clear()
             words = " ".join("".join(text).split())
             if words:
                 top = stack[-1]
                 page.nodes.append(Node(top.path, top.element, words, len(" ".join("".join(linked).split()))))
             text.clear()
             linked.clear()
+        plain = False
 
-    def push(tag: str, element: int, path: int, out: bool, link: bool, inline: bool) -> None:
-        nonlocal hidden, links
-        stack.append(_Open(tag, element, path, out, link, inline))
+    def push(tag: str, element: int, path: int, out: bool, link: bool, inline: bool, still: bool = False, against: bool = False) -> None:
+        nonlocal hidden, links, quiet, doubted
+        stack.append(_Open(tag, element, path, out, link, inline, still, against))
         open_[tag] += 1
         hidden += out
         links += link
+        quiet += still
+        doubted += against
 
     def pop() -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, quiet, doubted
         top = stack.pop()
         open_[top.tag] -= 1
         hidden -= top.out
         links -= top.link
+        quiet -= top.quiet
+        doubted -= top.against
 
     def close(names: set[str], within: set[str], inline: bool = False) -> None:
         if not any(open_[n] for n in names):
@@ -180,24 +231,32 @@ def parse(html: str) -> Page:
                 return
 
     def say(raw: str) -> None:
+        nonlocal plain
         if raw and not hidden:
             words = unescape(raw)
             text.append(words)
+            plain = plain or not doubted and not words.isspace()
             if links:
                 linked.append(words)
 
-    at, end = 0, len(html)
+    at, end, ends = 0, len(html), _TagEnds(html)
     while at < end:
-        m = _TAG.search(html, at)
+        m = _START.search(html, at)
         if not m:
             say(html[at:])
             break
         say(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag or tag in VOID_INLINE:
+        if m[1] or m[2]:
+            stop = html.find("-->", m.end()) if m[1] else html.find(">", m.end())
+            at = end if stop < 0 else stop + (3 if m[1] else 1)
+            continue
+        stop = ends.find(m.end())
+        if stop < 0:  # no tag ends any more
+            say(html[m.start() :].partition("<!--")[0])
+            break
+        at, tag, closing, attributes = stop + 1, m[4].lower(), m[3], html[m.end() : stop]
+        if tag in VOID_INLINE:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             if not hidden:
                 text.append("\n")
@@ -206,11 +265,23 @@ def parse(html: str) -> Page:
             if closing or tag == "a":
                 close({tag}, set(), inline=True)
             if not closing:
-                unseen = bool(attributes) and bool(_UNSEEN.search(attributes) or prior_of(_names(attributes)) == STRONGLY)
-                push(tag, stack[-1].element, stack[-1].path, unseen, tag == "a" and bool(_HREF.search(attributes)), True)
+                named = _names(attributes) if attributes else ""
+                against = bool(named) and prior_of(named) == STRONGLY
+                unseen = bool(attributes and _UNSEEN.search(attributes)) or against and any(ADVERT.fullmatch(t) for t in named.split())
+                push(tag, stack[-1].element, stack[-1].path, unseen, tag == "a" and bool(_HREF.search(attributes)), True, against=against)
+            continue
+        if tag in LEFT_OUT_INLINE and tag not in RAW:
+            if closing and open_[tag]:
+                close({tag}, set())
+            elif not closing and not attributes.endswith("/"):
+                if tag == "button":
+                    close({tag}, SCOPE)
+                push(tag, stack[-1].element, stack[-1].path, True, False, False, True)
             continue
         if closing:
             if open_[tag]:
+                while quiet and not any(o.tag == tag for o in stack[next(k for k, o in enumerate(stack) if o.quiet) :]):
+                    pop()  # elements in a line end with its block
                 flush()
                 close({tag}, set())
             continue
@@ -239,11 +310,32 @@ def parse(html: str) -> Page:
                 page.priors[above] = -1.0  # no name of it counts, and its own frames are known
                 above = page.parents[above]
         push(tag, len(page.tags) - 1, path, out, False, False)
+    while quiet:
+        pop()
     flush()
     page.priors = [1.0 if p < 0 else p for p in page.priors]
+    _drop_forms(page)
     return page
 
 
+def _drop_forms(page: Page) -> None:
+    """Leave out what is in forms, but for a form that holds most of the page's text."""
+    if "form" not in page.tags:
+        return
+    form, held = [-1] * len(page.tags), [0] * len(page.tags)
+    told = [t in ("h1", "p", *ARTICLE) for t in page.tags]
+    for n in page.nodes:
+        held[n.element] += len(n.words)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+        told[page.parents[e]] |= told[e]
+    for e in range(1, len(held)):  # parents come first
+        above = form[page.parents[e]]
+        own = page.tags[e] == "form" and not (told[e] and held[e] >= FORM_SHARE * held[0])
+        form[e] = e if own else above
+    page.nodes = [n for n in page.nodes if form[n.element] < 0]
+
+
 def _names(attributes: str) -> str:
     return " ".join(x.strip("\"'") for x in _NAMED.findall(attributes))
 

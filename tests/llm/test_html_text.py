@@ -154,3 +154,31 @@ def random_page(seed):
 def test_selection_against_brute_force(seed):
     page = ht.parse(random_page(seed))
     assert ht.select_content(page) == brute_select(page)
+
+
+def test_a_form_around_the_page_is_its_frame():
+    article = f"<h1>Head</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH} Twice.</p>"
+    assert ht.main_text(f"<body><form action=x>{article}<select><option>a</select><input></form></body>").split("\n") == ["Head", PARAGRAPH, PARAGRAPH + " Twice."]
+    assert ht.main_text(f"<body><form><div>{article}<form><p>Your name, please.</p></form></div></form></body>").split("\n")[:3] == ["Head", PARAGRAPH, PARAGRAPH + " Twice."]
+    small = f"<body><article>{article}</article><form><p>Your name, please. Send it.</p></form></body>"
+    assert ht.main_text(small).split("\n") == ["Head", PARAGRAPH, PARAGRAPH + " Twice."]
+
+
+def test_elements_in_a_line_do_not_end_it():
+    for inner in ("<button>Go</button>", "<svg><g><title>x</title><path d='1'/></g></svg>", "<select><option>a<option>b</select>", "<button><div>Go</div></button>", "<object><p>no</object>"):
+        assert ht.main_text(f"<article><p>Press {inner} now, {PARAGRAPH}</p></article>") == f"Press now, {PARAGRAPH}"
+    assert ht.main_text(f"<article><p>Press <button>Go now, {PARAGRAPH}</p><p>{PARAGRAPH}</p></article>").split("\n") == ["Press", PARAGRAPH]
+
+
+def test_inline_names_count_alone():
+    page = f"<article><p>Use <span class=social>networks</span> well. {PARAGRAPH}</p><p>{PARAGRAPH}</p><p><span class=share>Share this.</span></p></article>"
+    assert ht.main_text(page).split("\n") == [f"Use networks well. {PARAGRAPH}", PARAGRAPH]
+
+
+@pytest.mark.parametrize("piece", ["<p class='", "<a ", "<a \">\" \"<b \" ", "<p class='>", "<svg>", "<button>", "<!-", "<a '\"", "<a \"'>"])
+def test_broken_tags_take_linear_time(piece):
+    import time
+
+    start = time.time()
+    ht.main_text(piece * 20_000)
+    assert time.time() - start < 2
