@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.context import materialise
 from rankloom.functions.predicates import created_by, is_historical, visible_at
+from rankloom.functions.text import token_proxy
+from rankloom.operators import metrics, reports
+from rankloom.operators.ranking import dedupe_in_order, reciprocal_rank_fusion
 
 
 def leak_flags(df: DataFrame, text: Column, target_id: Column, patch_markers: tuple[str, ...] = ("diff --git ", "@@ -", "+++ b/")) -> DataFrame:
@@ -88,6 +92,59 @@ def same_sequences(a: DataFrame, b: DataFrame, query: str = "query", key: str =
     return line(a, "digest_a").join(line(b, "digest_b"), query, "full_outer").withColumn("same", F.coalesce(F.col("digest_a") == F.col("digest_b"), F.lit(False)))
 
 
+def temporal_provenance(structural: DataFrame, artifacts: DataFrame, cutoffs: DataFrame, before: list, after: list, tops: tuple[int, int] = (20, 50), k: int = 60) -> DataFrame:
+    """Whether a fused ranking depends on history that its cutoff forbids: filter by metadata, fuse again, compare, in one plan.
+
+    ``structural``: query, key, rank, nodes (the artifacts on a row's path). ``artifacts``: artifact, created, modified. ``cutoffs``: query,
+    cutoff. ``before`` and ``after``: (name, ranking) fused ahead of and behind the structural one. A row is ineligible if one of its
+    artifacts is unknown, or created or modified after the cutoff, or at no known time; the others are ranked anew. Returns per
+    query of ``cutoffs``: history_rows, ineligible_rows, history_only (keys with ineligible rows alone), for both depths whether the
+    fused keys stay the same, and the digests at the first.
+    """
+    rows = structural.select("query", "key", "rank", F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes")).join(cutoffs, "query")
+    known = artifacts.groupBy(F.col("artifact").alias("node")).agg(F.max("created").alias("created"), F.max("modified").alias("modified"))
+    on_path = rows.select("query", "key", "rank", "cutoff", F.explode("nodes").alias("node")).join(known, "node", "left")
+    allowed = F.coalesce((F.col("created") <= F.col("cutoff")) & (F.col("modified") <= F.col("cutoff")), F.lit(False))
+    judged = on_path.groupBy("query", "key", "rank").agg(F.max((~allowed).cast("int")).alias("barred"))
+    rows = materialise(rows.join(judged, ["query", "key", "rank"], "left").na.fill(0, ["barred"]), "provenance-rows")
+    kept = dedupe_in_order(rows.where("barred = 0").select("query", "key", "rank"))
+    fuse = lambda df: reciprocal_rank_fusion([*before, ("structural", df), *after], None, k, max(tops)).select("query", "key", "rank")
+    current, strict = (materialise(fuse(df), "provenance-fused") for df in (rows.select("query", "key", "rank"), kept))
+    own = rows.groupBy("query").agg(F.count_if(F.size("nodes") > 0).alias("history_rows"), F.sum("barred").alias("ineligible_rows"))
+    only = rows.groupBy("query", "key").agg(F.min("barred").alias("barred")).groupBy("query").agg(F.sum("barred").alias("history_only"))
+    out = cutoffs.select("query").join(own, "query", "left").join(only, "query", "left").na.fill(0, ["history_rows", "ineligible_rows", "history_only"])
+    for n, top in enumerate(tops):
+        same = same_sequences(current.where(F.col("rank") <= top), strict.where(F.col("rank") <= top))
+        names = [F.col("digest_a").alias("current_digest"), F.col("digest_b").alias("strict_digest")] if n == 0 else []
+        out = out.join(same.select("query", F.col("same").alias(f"same_top{top}"), *names), "query", "left")
+    return out.na.fill(True, [f"same_top{top}" for top in tops])  # neither ranking has a row
+
+
+def prompt_coverage(prompts: DataFrame, methods: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a prompt really shows of its targets, from its rendered text back to the entities.
+
+    ``prompts``: variant, instance, text. ``methods``: variant, instance, id, ordinal, signature, start_line, end_line, file, kind, name.
+    ``targets`` as in ``metrics.evaluate``. Blocks of the text are resolved to methods by the cascade of ``reports.resolve_blocks``;
+    only blocks that carry source count. Returns per variant and instance: rendered, with_source, target_count, matched, coverage,
+    hit, complete, tokens and digest of the prompt.
+    """
+    key = F.concat_ws("|", "variant", F.col("instance").cast("string")).alias("prompt")
+    texts = prompts.select("variant", "instance", key, "text")
+    blocks = reports.resolve_blocks(reports.rendered_blocks(texts, "prompt", "text"), methods.select(key, "signature", "start_line", "end_line", "id", "ordinal"), "prompt")
+    blocks = materialise(blocks, "prompt-blocks")
+    named = methods.select(key, "id", "file", "kind", "name")
+    shown = blocks.where("has_source = 1").join(named, ["prompt", "id"]).join(texts.drop("text"), "prompt")
+    shown = shown.select(F.col("variant").alias("approach"), "instance", (F.col("at") + 1).alias("rank"), "file", "kind", "name")
+    counts = blocks.groupBy("prompt").agg(F.count(F.lit(1)).alias("rendered"), F.count_if((F.col("has_source") == 1) & F.col("id").isNotNull()).alias("with_source"))
+    met = metrics.matches(shown, targets).groupBy(F.col("approach").alias("variant"), "instance").agg(F.count_distinct("target").alias("matched"))
+    wanted = targets.groupBy("instance").agg(F.count_distinct("target").alias("target_count"))
+    rows = texts.join(wanted, "instance").join(counts, "prompt", "left").join(met, ["variant", "instance"], "left").na.fill(0, ["rendered", "with_source", "matched"])
+    return rows.select(
+        "variant", "instance", "rendered", "with_source", "target_count", "matched", (F.col("matched") / F.col("target_count")).alias("coverage"), (F.col("matched") > 0).cast("int").alias("hit"),
+        (F.col("matched") == F.col("target_count")).cast("int").alias("complete"), token_proxy(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("digest"),
+    )
+
+
 def binding(windows: DataFrame, stated: DataFrame, query: str = "query") -> DataFrame:
     """Rendered windows against their stated SHA-256."""
     return windows.withColumn("actual", F.sha2("window", 256)).join(stated, query, "full_outer").withColumn("bound", F.coalesce(F.col("actual") == F.col("digest"), F.lit(False)))

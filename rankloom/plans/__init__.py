@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rankloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ["retrieval", "evaluation", "structure", "reports", "rules", "terms"]
+MODULES = ["retrieval", "evaluation", "structure", "reports", "rules", "terms", "audits"]
 
 for _name in MODULES:
     import_module(f"rankloom.plans.{_name}")
