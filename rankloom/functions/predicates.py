@@ -27,16 +27,16 @@ GENERIC_TARGETS = (
     "add append clear close compareto contains count equals format get hashcode lower now open platform put read remove set size tostring transform "
     "version write"
 ).split()
-TOP_LEVEL_DOMAINS = "com org net edu gov io dev ai fr".split()
-
-# Words of upkeep and of repair in commit messages, as patterns.
-MAINTENANCE_WORDS = (
-    r"pyupgrade pre-commit precommit black isort ruff flake8 pylint format(?:ting)? style lint whitespace typo spelling docstring sphinx warning codestyle "
-    r"D\d{3,4} B\d{3,4} SIM\d{3,4} RUF\d{3,4} E\d{3,4} W\d{3,4} F\d{3,4} dependabot bump changelog"
-).split() + ["release notes"]
-REPAIR_WORDS = (
-    r"fix(?:e[sd])? bug(?:fix)? error fail(?:ed|s|ure)? regression incorrect(?:ly)? wrong crash(?:es|ed)? exception broken repair resolve(?:[sd])? invalid"
-).split()
+
+# The patterns of addresses, and of commit messages that speak of upkeep and of repair.
+ADDRESS = r"(?i)(?:^|[\s<])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b|\b(?:https?://|www\.)?\w[\w.-]*\.(?:com|org|net|edu|gov|io|dev|ai|fr)\b"
+MAINTENANCE = (
+    r"(?i)\b(?:pyupgrade|pre-commit|precommit|black|isort|ruff|flake8|pylint|format(?:ting)?|style|lint|whitespace|typo|spelling|docstring|sphinx|warning|codestyle|"
+    r"D\d{3,4}|B\d{3,4}|SIM\d{3,4}|RUF\d{3,4}|E\d{3,4}|W\d{3,4}|F\d{3,4}|dependabot|bump|changelog|release notes)\b"
+)
+REPAIR = (
+    r"(?i)\b(?:fix(?:e[sd])?|bug(?:fix)?|error|fail(?:ed|s|ure)?|regression|incorrect(?:ly)?|wrong|crash(?:es|ed)?|exception|broken|repair|resolve(?:[sd])?|invalid)\b"
+)
 
 # What messages and answers of failed attempts say.
 NO_OP_ERRORS = ["no effective edit commands", "no changes were made"]
@@ -93,7 +93,6 @@ def has_test_word(name: Column, words: tuple[str, ...] = ("test", "tests", "e2e"
     return F.arrays_overlap(F.split(F.lower(F.coalesce(name, F.lit(""))), r" |_|/|\."), F.array(*map(F.lit, words)))
 
 
-ADDRESS = rf"(?i)(?:^|[\s<])[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b|\b(?:https?://|www\.)?\w[\w.-]*\.(?:{'|'.join(TOP_LEVEL_DOMAINS)})\b"
 TEST_PART = r"^(?i:test_)|^(?i:tests?)$|^test[A-Z]"
 
 
@@ -131,12 +130,12 @@ def _first_lines(message: Column, n: int) -> Column:
 
 def is_maintenance(message: Column) -> Column:
     """The first line speaks of upkeep: formatters, lint codes, style, spelling, bumps."""
-    return _first_lines(message, 1).rlike(rf"(?i)\b(?:{'|'.join(MAINTENANCE_WORDS)})\b")
+    return _first_lines(message, 1).rlike(MAINTENANCE)
 
 
 def is_repair(message: Column) -> Column:
     """One of the first three lines speaks of a repair."""
-    return _first_lines(message, 3).rlike(rf"(?i)\b(?:{'|'.join(REPAIR_WORDS)})\b")
+    return _first_lines(message, 3).rlike(REPAIR)
 
 
 def epoch(*candidates: Column) -> Column:

@@ -29,6 +29,9 @@ def _flags(*named: tuple[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(found, F.lit(False)), F.lit(name)) for name, found in named]), lambda f: f.isNotNull())
 
 
+# Fixed values below: the names of the flags, the patterns they stand for and the parameters they look at.
+
+
 def content_flags(text: Column, target: Column) -> Column:
     """What a lower-cased export says about its target (a number as text): references, links, traces, comments."""
     n = F.concat(F.lit(r"\Q"), target, F.lit(r"\E"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.context import materialise
+
 
 def rank_by(df: DataFrame, query: str | list[str], *order: Column | str, name: str = "rank") -> DataFrame:
     """Position (from 1) of each row within its query."""
@@ -140,3 +142,37 @@ def same_file_tail(anchors: DataFrame, pool: DataFrame, query: str = "query", ke
     gap = F.greatest(F.lit(0), F.col("a_start") - F.coalesce("end_line", "start_line"), F.col("start_line") - F.col("a_end"))
     best = near.withColumn("gap", gap).groupBy(query, key, "file", "start_line").agg(F.min("gap").alias("gap"))
     return rank_by(best, query, "gap", "file", "start_line", key)
+
+
+def same_file_top(anchors: DataFrame, pool: DataFrame, k: int, query: str = "query", key: str = "key", width: int = 64) -> DataFrame:
+    """The first ``k`` of ``same_file_tail`` for a pool that all queries share, without reading whole files per anchor.
+
+    Pool rows (key, file, start_line, end_line) stand in bins of lines, and anchors look into the bins around them. Queries that have
+    not found k rows within the width, nor all there are in their files, look again at eight times the width.
+    """
+    span = lambda df, *more: df.where("start_line IS NOT NULL").select(*more, key, "file", "start_line", F.coalesce("end_line", "start_line").alias("end_line")).distinct()
+    rows, left = materialise(span(pool), "tail-pool"), span(anchors, query)
+    known = materialise(anchors.select(query, key).distinct(), "tail-known")
+    files = left.select(query, "file").distinct()
+    sizes = files.join(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file").groupBy(query).agg(F.sum("n").alias("n"))
+    own = known.join(rows, key).join(files, [query, "file"], "left_semi").groupBy(query).agg(F.count(F.lit(1)).alias("own"))
+    there = materialise(sizes.join(own, query, "left").select(query, (F.col("n") - F.coalesce("own", F.lit(0))).alias("there")), "tail-there")
+    low, high = rows.unionByName(left.select(*rows.columns)).agg(F.min("start_line"), F.max("end_line")).first()
+    out = None
+    while True:
+        last = low is None or width >= high - low
+        near = left.withColumn("bin", F.explode(F.sequence(F.floor((F.col("start_line") - width) / width), F.floor((F.col("end_line") + width) / width))))
+        near = near.select(query, "file", "bin", F.col("start_line").alias("a_start"), F.col("end_line").alias("a_end"))
+        binned = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
+        gap = F.greatest(F.lit(0), F.col("a_start") - F.col("end_line"), F.col("start_line") - F.col("a_end"))
+        met = near.join(binned, ["file", "bin"]).withColumn("gap", gap).where(F.col("gap") <= width)
+        met = met.groupBy(query, key, "file", "start_line").agg(F.min("gap").alias("gap")).join(known, [query, key], "left_anti")
+        best = materialise(top_k(met, query, k, "gap", "file", "start_line", key), "tail-best")
+        found = there.join(best.groupBy(query).agg(F.count(F.lit(1)).alias("found")), query, "left").na.fill(0, ["found"])
+        done = found.where(F.lit(last) | (F.col("found") >= F.least(F.lit(k), F.col("there")))).select(query)
+        part = best.join(done, query, "left_semi")
+        out = part if out is None else out.unionByName(part)
+        left = left.join(done, query, "left_anti")
+        if last or left.isEmpty():
+            return out
+        width *= 8

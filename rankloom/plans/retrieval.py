@@ -310,5 +310,5 @@ def file_primary_order(spark, sf):
 def neighbor_tail(spark, sf):
     place = lambda df: df.withColumn("start_line", F.col("key")).withColumn("end_line", F.col("key"))
     anchors = place(with_file(lexical(spark, sf, 5), spark, sf)).select("query", "key", "file", "start_line", "end_line")
-    pool = place(corpus(spark, sf).select(F.col("doc_id").alias("key"), F.col("source").alias("file"))).join(anchors.select("query", "file").distinct(), "file")
-    return ranking.same_file_tail(anchors, pool).where("rank <= 20").select("query", "key", "file", "gap", "rank")
+    pool = place(corpus(spark, sf).select(F.col("doc_id").alias("key"), F.col("source").alias("file")))
+    return ranking.same_file_top(materialise(anchors, "anchors"), pool, 20).select("query", "key", "file", "gap", "rank")

@@ -88,7 +88,7 @@ FIRST_LINES = "array_to_string(string_split(regexp_replace(probe, '^\\s+|\\s+$',
 
 @query(
     f"""WITH {_words_sql(MESSAGE_WORDS)}, {_probes_sql(MESSAGE_FORMS)}
-    SELECT probe, regexp_matches({FIRST_LINES.format(1)}, '(?i)\\b({'|'.join(pr.MAINTENANCE_WORDS)})\\b') AS maintenance, regexp_matches({FIRST_LINES.format(3)}, '(?i)\\b({'|'.join(pr.REPAIR_WORDS)})\\b') AS repair FROM p"""
+    SELECT probe, regexp_matches({FIRST_LINES.format(1)}, '{pr.MAINTENANCE}') AS maintenance, regexp_matches({FIRST_LINES.format(3)}, '{pr.REPAIR}') AS repair FROM p"""
 )
 def commit_rules(spark, sf):
     probe = F.col("probe")

@@ -117,3 +117,21 @@ def test_suffix_and_substring_joins(spark):
     assert sorted((r.i, r.j) for r in joins.contains_match(a, b, "g", "path", "part").collect()) == holds
 
 
+def test_same_file_rows_near_anchors(spark):
+    from rankloom.operators import ranking
+
+    rnd = random.Random(9)
+    line = lambda: rnd.choice([rnd.randrange(50), rnd.randrange(5000), None])
+    pool = [(f"k{k}", f"f{rnd.randrange(3)}", s, None if s is None or k % 4 == 0 else s + rnd.randrange(300)) for k in range(150) for s in [line()]] + [("z", "lonely", 5, 9)]
+    anchors = [(q, k, f, s, e) for q in range(6) for k, f, s, e in rnd.sample(pool, 3)] + [(9, "z", "lonely", 5, 9), (10, "new", "f1", 100_000, None), (11, "no", "missing", 1, 2)]
+    a, p = spark.createDataFrame(anchors, "query int, key string, file string, start_line int, end_line int"), spark.createDataFrame(pool, "key string, file string, start_line int, end_line int")
+    every = ranking.same_file_tail(a.where("start_line IS NOT NULL"), p.where("start_line IS NOT NULL").join(a.select("query", "file").distinct(), "file")).join(a.select("query", "key"), ["query", "key"], "left_anti")
+    for k in (4, 1000):
+        # rows of keys that are anchors without a line stay out on both sides
+        want = {}
+        for r in sorted(every.collect(), key=lambda r: r["rank"]):
+            want.setdefault(r.query, []).append((r.key, r.gap))
+        got = {}
+        for r in ranking.same_file_top(a, p, k).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((r.key, r.gap))
+        assert got == {q: rows[:k] for q, rows in want.items()}
