@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,8 @@ def content_flags(text: Column, target: Column) -> Column:
 def metadata_flags(params: Column) -> Column:
     """Run parameters (a struct) that a valid export does not have."""
     return _flags(
-        ("uses_discussion_comments", F.coalesce(params["uses_discussion_comments"], F.lit(False))),
-        ("uses_embeddings", F.coalesce(params["uses_embeddings"], F.lit(False))),
+        ("uses_discussion_comments", F.coalesce(params["uses_discussion_comments"].cast("string"), F.lit("false")) != "false"),  # any value but false
+        ("uses_embeddings", F.coalesce(params["uses_embeddings"].cast("string"), F.lit("false")) != "false"),
         ("has_tunable_retrieval_parameters", F.size(F.coalesce(params["tunable_retrieval_parameters"], F.array().cast("array<string>"))) > 0),
     )
 
@@ -163,40 +165,82 @@ def digest_manifest(df: DataFrame, name: str, content: str) -> DataFrame:
     return df.select(name, F.length(F.col(content).cast("binary")).alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
-#: Characters of a passage's head that candidates share with it, at most.
-HEAD = 32
+#: Passages of at least ``LONG`` characters are looked up by a fingerprint of ``GRAM`` characters, shorter ones by their first ``SHORT``.
+LONG, GRAM, SHORT = 32, 12, 3
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, digest, window): the distinct substrings of the given sizes of every text."""
+def _gram_hashes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n = max(len(codes) - GRAM + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = h * _BASE + codes[k : k + n]
+    return (h ^ (h >> np.uint64(32))) * _MIX
+
+
+def winnowed(text: str) -> np.ndarray:
+    """Distinct fingerprints of a text: the least hash of every window of ``LONG`` characters, about one for eleven characters.
+
+    A text that holds a passage has its windows, so it has the least hash of each of them.
+    """
+    least, done, width = _gram_hashes(text), 1, LONG - GRAM + 1
+    if len(least) < width:
+        return np.empty(0, np.int64)
+    while done < width:
+        step = min(done, width - done)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        done += step
+    return np.unique(least).view(np.int64)
+
+
+def _prints(docs: DataFrame, heads: list[str] | None) -> DataFrame:
+    """(doc_id, digest, print): fingerprints of every text, and the hashes of its pieces among ``heads`` (none: of all its pieces)."""
+    wanted = None if heads is None else docs.sparkSession.sparkContext.broadcast(frozenset(heads))
+    rows = docs.select("doc_id", "digest", "text").where("text IS NOT NULL")
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["digest"], T.StructField("print", T.LongType()), T.StructField("piece", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, text in enumerate(b.column("text").to_pylist()):
-                found = list({text[i : i + n] for n in sizes for i in range(len(text) - n + 1)})
-                at = pa.array([k] * len(found), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("digest").take(at), pa.array(found, pa.string())], names=["doc_id", "digest", "window"])
+            for k, text in enumerate(b.column("text")):
+                text = text.as_py()
+                found = winnowed(text)
+                pieces: set[str] = set()
+                if wanted is None or wanted.value:
+                    for n in range(1, SHORT + 1):
+                        own = {text[i : i + n] for i in range(len(text) - n + 1)}
+                        pieces |= own if wanted is None else own & wanted.value
+                at = pa.array([k] * (len(found) + len(pieces)), pa.int32())
+                columns = [pa.array([*found.tolist(), *[None] * len(pieces)], pa.int64()), pa.array([None] * len(found) + sorted(pieces), pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("digest").take(at), *columns], names=["doc_id", "digest", "print", "piece"])
 
-    rows = docs.select("doc_id", "digest", "text").where("text IS NOT NULL")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["digest"], T.StructField("window", T.StringType())]))
+    return rows.mapInArrow(run, schema)
+
+
+@F.pandas_udf(T.LongType())
+def first_print(passage: pd.Series) -> pd.Series:
+    """The fingerprint of a passage's first window."""
+    return pd.Series([int(winnowed(p[:LONG])[0]) if len(p) >= LONG else None for p in passage], dtype="Int64")
 
 
 def contained_passages(docs: DataFrame, passages: DataFrame, most: int = 20_000, most_chars: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id) where a document holds the whole of a passage, of whatever length but 0.
 
-    Up to ``most`` passages of ``most_chars`` characters in all are tested one by one. Of more, a passage's head (as many
-    characters as the greatest power of two within its length and ``HEAD``) must be a window of the document: an equi-join
-    on hashes finds candidates, which are tested whole.
+    Up to ``most`` passages of ``most_chars`` characters in all are tested one by one. More are looked up: a text that holds a passage
+    has the fingerprint of the passage's first window among its own (``winnowed``), or, where the passage is shorter than a
+    window, its first characters as a piece. What meets is tested whole.
     """
     texts = passages.select("item_id", F.col("text").alias("passage")).where("length(passage) > 0")
     docs = docs.select("doc_id", "text")
     n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
     if n <= most and chars <= most_chars:
         return docs.join(F.broadcast(texts), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()
-    texts = texts.withColumn("size", F.least(F.lit(HEAD), F.expr("shiftleft(1, CAST(floor(log2(length(passage))) AS INT))")))
-    sizes = sorted(r[0] for r in texts.select("size").distinct().collect())
     docs = docs.withColumn("digest", F.xxhash64("text"))  # with the id, which can repeat or be null, it tells the documents
-    heads = texts.select(F.xxhash64(F.expr("left(passage, size)")).alias("head"), "item_id", "passage")
-    found = _windows(docs, sizes).select(F.col("doc_id").alias("id"), F.col("digest").alias("at"), F.xxhash64("window").alias("head")).join(heads, "head").drop("head").distinct()
+    brief = F.length("passage") < LONG
+    texts = texts.select("item_id", "passage", F.when(~brief, first_print("passage")).alias("print"), F.when(brief, F.substring("passage", 1, SHORT)).alias("piece"))
+    texts = materialise(texts, "passage-prints")
+    heads = [r[0] for r in texts.where("piece IS NOT NULL").select("piece").distinct().limit(most + 1).collect()]
+    prints = materialise(_prints(docs, heads if len(heads) <= most else None).select(F.col("doc_id").alias("id"), F.col("digest").alias("at"), "print", "piece"), "text-prints")
+    found = prints.join(texts, "print").select("id", "at", "item_id", "passage").unionByName(prints.join(texts, "piece").select("id", "at", "item_id", "passage")).distinct()
     same = docs["doc_id"].eqNullSafe(found["id"]) & (docs["digest"] == found["at"])
     return docs.join(found, same).where(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()

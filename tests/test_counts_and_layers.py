@@ -135,3 +135,25 @@ def test_same_file_rows_near_anchors(spark):
         for r in ranking.same_file_top(a, p, k).orderBy("query", "rank").collect():
             got.setdefault(r.query, []).append((r.key, r.gap))
         assert got == {q: rows[:k] for q, rows in want.items()}
+
+
+def test_fingerprints_of_many_passages(spark):
+    from rankloom.operators import audit
+
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefg é\U0001f600") for _ in range(n))
+    docs = [(k if k % 9 else None, text(rnd.randrange(900))) for k in range(60)] + [(70, None), (71, ""), (72, "a" * 500), (72, "a" * 31)]
+    held = []
+    for n in [1, 2, 3, 4, 20, 31, 32, 33, 60, 200] * 4:
+        own = rnd.choice([t for _, t in docs if t and len(t) > 250])
+        at = rnd.randrange(len(own) - n)
+        held.append(own[at : at + n])
+    passages = [*enumerate([*held, "a" * 31, "a" * 32, "a" * 33, text(40), text(5), "", None])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, p in passages if p and t and p in t}
+    for most in (10_000, 20, 0):  # one by one; pieces known to all tasks; all pieces
+        assert {tuple(r) for r in audit.contained_passages(*frames, most=most).collect()} == want
+    long_ = text(50_000)
+    assert len(audit.winnowed(long_)) < 0.1 * len(long_)
+    assert all(audit.winnowed(long_[k : k + 32])[0] in set(audit.winnowed(long_).tolist()) for k in range(0, 2000, 7))
+    assert len(audit.winnowed("short")) == 0
