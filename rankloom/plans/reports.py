@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.context import scratch
@@ -205,22 +206,44 @@ def ratio_and_mean(spark, sf):
     return metrics.ratio_and_mean(rows, ["l_returnflag"], "part", "l_quantity", "flag")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS brand, p_size AS n, p_size % 4 AS d FROM part)
+    SELECT p_partkey, 'class' AS kind, brand AS name, brand AS signature, 1 AS "start", (7 + d)::INT AS "end" FROM p
+    UNION ALL SELECT p_partkey, 'assignment', brand || '.size', brand || '.size = ' || n, (4 + d)::INT, (4 + d)::INT FROM p
+    UNION ALL SELECT p_partkey, 'function', brand || '.price', brand || '.price(self, n=' || n || ')', (6 + d)::INT, (7 + d)::INT FROM p
+    UNION ALL SELECT p_partkey, 'function', 'helper_' || p_partkey, 'helper_' || p_partkey || '(x)', (9 + d)::INT, (10 + d)::INT FROM p WHERE n % 3 > 0"""
+)
 def python_entities(spark, sf):
-    """Entities of generated modules, one per part brand: a parser cannot be written in SQL."""
-    brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
-    source = F.concat(F.lit("class "), brand, F.lit(":\n    size = 1\n\n    def price(self, n):\n        return helper(n)\n\ndef helper(n):\n    return n\n"))
-    files = table(spark, sf, "part").select("p_brand").distinct().select("p_brand", source.alias("content"))
-    return parsers.entities(files, ["p_brand"]).select("p_brand", "kind", "name", "signature", "start", "end")
+    """Entities of modules made of the parts' columns: a class with a docstring of some lines, a method, and a function that may be missing."""
+    brand, size, key = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    doc = F.concat(F.lit("    \'\'\'"), "p_name", F.lit("\n"), F.expr("repeat('    a line\n', p_size % 4)"), F.lit("    \'\'\'\n"))
+    helper = F.when(F.col("p_size") % 3 > 0, F.concat(F.when(F.col("p_size") % 2 == 1, "async ").otherwise(""), F.lit("def helper_"), key, F.lit("(x):\n    return x\n"))).otherwise("")
+    content = F.concat(F.lit("class "), brand, F.lit(":\n"), doc, F.lit("    size = "), size, F.lit("\n\n    def price(self, n="), size, F.lit("):\n        return n\n\n"), helper)
+    files = table(spark, sf, "part").select("p_partkey", content.alias("content"))
+    return parsers.entities(files, ["p_partkey"]).select("p_partkey", "kind", "name", "signature", "start", "end")
 
 
-@query()
+@query(
+    """WITH h AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)::INT AS hunk, (l_returnflag = 'R')::INT AS gone, (l_linestatus = 'O')::INT AS come FROM lineitem)
+    SELECT l_orderkey, 'f' || l_orderkey || '.py' AS file, hunk, ' ' AS op, 10 * hunk AS old_line, 10 * hunk AS new_line, 'part ' || l_partkey AS line FROM h
+    UNION ALL SELECT l_orderkey, 'f' || l_orderkey || '.py', hunk, '-', 10 * hunk + 1, NULL, 'supplier ' || l_suppkey FROM h WHERE gone = 1
+    UNION ALL SELECT l_orderkey, 'f' || l_orderkey || '.py', hunk, '+', 10 * hunk + 1 + gone, 10 * hunk + 1, 'quantity ' || l_quantity::BIGINT FROM h WHERE come = 1"""
+)
 def diff_lines(spark, sf):
-    """Lines of generated diffs, one per order."""
-    k = F.col("o_orderkey").cast("string")
-    patch = F.concat(F.lit("--- a/f"), k, F.lit(".py\n+++ b/f"), k, F.lit(".py\n@@ -3,2 +3,3 @@\n keep\n-old\n+new\n+more\n"))
-    df = table(spark, sf, "orders").select("o_orderkey", patch.alias("patch"))
-    return patches.patch_lines(df, "o_orderkey", "patch")
+    """Lines of one diff per order, with a hunk for each of its lines: what came back is taken out, what is open is put in."""
+    start, gone, come = F.format_string("%d", 10 * F.col("hunk")), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    size = lambda c: (1 + c.cast("int")).cast("string")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    rows = table(spark, sf, "lineitem").withColumn("hunk", F.row_number().over(order))
+    hunk = F.concat(
+        F.lit("@@ -"), start, F.lit(","), size(gone), F.lit(" +"), start, F.lit(","), size(come), F.lit(" @@\n part "), F.col("l_partkey").cast("string"), F.lit("\n"),
+        F.when(gone, F.concat(F.lit("-supplier "), F.col("l_suppkey").cast("string"), F.lit("\n"))).otherwise(""),
+        F.when(come, F.concat(F.lit("+quantity "), F.col("l_quantity").cast("long").cast("string"), F.lit("\n"))).otherwise(""),
+    )
+    whole = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk", hunk.alias("text")))), lambda x: x["text"]), "").alias("hunks"))
+    name = F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".py\n"))
+    diffs = whole.select("l_orderkey", F.concat(F.lit("--- a/"), name, F.lit("+++ b/"), name, "hunks").alias("patch"))
+    return patches.patch_lines(diffs, "l_orderkey", "patch")
 
 
 @query()

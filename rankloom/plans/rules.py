@@ -137,11 +137,11 @@ ERRORS = ["", "no hit", "No Changes were made", "x: NO EFFECTIVE edit commands",
 
 
 def _attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts by event: an answer, two messages and counts, picked by the event's number."""
-    n = F.col("event_id")
+    """Attempts by event: an answer, two messages and counts, picked by the event's user, value and type."""
+    n, tenths, type_ = F.col("user_id"), F.floor(F.col("value") * 10).cast("long"), F.length("event_type")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    errors = F.array(pick(ERRORS, n), pick(ERRORS, F.floor(n / len(ERRORS))))
-    return table(spark, sf, "events").select("event_id", pick(ANSWERS, F.floor(n / 3)).alias("answer"), errors.alias("errors"), (n % 5 == 0).cast("int").alias("applied"), (n % 2).cast("int").alias("processed"))
+    errors = F.array(pick(ERRORS, tenths), pick(ERRORS, n + type_))
+    return table(spark, sf, "events").select("event_id", pick(ANSWERS, n).alias("answer"), errors.alias("errors"), (tenths % 5 == 0).cast("int").alias("applied"), (type_ % 2).cast("int").alias("processed"))
 
 
 def _any_sql(column: str, markers: list[str]) -> str:
@@ -149,7 +149,7 @@ def _any_sql(column: str, markers: list[str]) -> str:
 
 
 @query(
-    f"""WITH a AS (SELECT event_id, [{sql_list(ANSWERS)}][(event_id // 3) % {len(ANSWERS)} + 1] AS answer, [{sql_list(ERRORS)}][event_id % {len(ERRORS)} + 1] AS e1, [{sql_list(ERRORS)}][(event_id // {len(ERRORS)}) % {len(ERRORS)} + 1] AS e2, event_id % 5 = 0 AS applied, event_id % 2 AS processed FROM events),
+    f"""WITH a AS (SELECT event_id, [{sql_list(ANSWERS)}][user_id % {len(ANSWERS)} + 1] AS answer, [{sql_list(ERRORS)}][floor(value * 10)::BIGINT % {len(ERRORS)} + 1] AS e1, [{sql_list(ERRORS)}][(user_id + length(event_type)) % {len(ERRORS)} + 1] AS e2, floor(value * 10)::BIGINT % 5 = 0 AS applied, length(event_type) % 2 AS processed FROM events),
     m AS (SELECT *, lower(array_to_string(list_filter([e1, e2], lambda e: e <> ''), ' | ')) AS said, lower(answer) || chr(10) || lower(array_to_string(list_filter([e1, e2], lambda e: e <> ''), ' | ')) AS whole FROM a)
     SELECT event_id, NOT applied AND ({_any_sql('said', pr.NO_OP_ERRORS)} OR contains(lower(answer), '<<<<<<< search') AND processed = 0) AS no_op, {_any_sql('whole', pr.CONTEXT_MARKERS)} AS needs_context, {_any_sql('whole', pr.REFUSAL_MARKERS)} AS refusal, {_any_sql("lower(e1 || chr(10) || e2)", pr.INFRASTRUCTURE_MARKERS)} AS infrastructure FROM m"""
 )

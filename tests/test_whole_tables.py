@@ -68,7 +68,7 @@ def test_fuzzy_best_over_all_parts(spark):
 
 
 def test_diffs_of_all_orders(spark):
-    assert ids(run(spark, "diff_lines"), "o_orderkey") == ids(spark.read.parquet(f"{SF}/orders.parquet"), "o_orderkey")
+    assert ids(run(spark, "diff_lines"), "l_orderkey") == ids(spark.read.parquet(f"{SF}/lineitem.parquet"), "l_orderkey")
 
 
 def test_signs_of_all_sources(spark):
