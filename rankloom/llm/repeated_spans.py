@@ -61,6 +61,8 @@ class Sizes:
     hot: int = 20_000
 
 
+#: Tasks that blocks, or buckets, are dealt to at most.
+MOST_TASKS = 20_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -453,8 +455,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
     parts = int(max(1, -(-total // sizes.range_bytes)))
     folder = scratch(spark, "blocks")
     judged = stash(write_blocks(docs, folder, parts, shape).groupBy("part").applyInArrow(lambda rows: _judge(rows, sizes.hot), _JUDGED), "judged-grams")
-    marked = judged.agg(F.sum("marked")).first()[0] or 0
-    buckets = int(max(1, -(-marked // sizes.bucket_grams)))
+    marked, blocks = judged.agg(F.sum("marked"), F.count_distinct("block")).first()
+    buckets = int(max(1, -(-(marked or 0) // sizes.bucket_grams)))
+    # small rows, much work: blocks and buckets are dealt to tasks by number, so that adaptive execution does not put them together
+    tasks, bucket_tasks = max(1, min(blocks, MOST_TASKS)), min(buckets, MOST_TASKS)
     id_field = docs.schema["doc_id"]
     low = T.StructField("low", T.ArrayType(id_field.dataType))
 
@@ -466,8 +470,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
 
     numbers = T.StructField("number", T.ArrayType(T.LongType()))
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("sides", T.BinaryType()), low, numbers, T.StructField("block", T.StringType())])
-    sent = judged.groupBy("block").applyInArrow(send, schema)
-    answers = stash(sent.groupBy("bucket").applyInArrow(_bucket(shape), "block string, number array<long>, places array<long>"), "later-windows")
+    sent = judged.repartition(tasks, "block").groupBy("block").applyInArrow(send, schema)
+    answers = stash(sent.repartition(bucket_tasks, "bucket").groupBy("bucket").applyInArrow(_bucket(shape), "block string, number array<long>, places array<long>"), "later-windows")
 
     def finish(rows: pa.Table) -> pa.Table:
         name = rows.column("block")[0].as_py()
@@ -492,7 +496,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
 
     out = T.StructType([id_field, *T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields])
     every = judged.select("block").distinct().selectExpr("block", "CAST(NULL AS array<long>) AS number", "CAST(NULL AS array<long>) AS places")
-    return answers.unionByName(every).groupBy("block").applyInArrow(finish, out)
+    return answers.unionByName(every).repartition(tasks, "block").groupBy("block").applyInArrow(finish, out)
 
 
 def removals(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()) -> DataFrame:
