@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.context import materialise
+
 
 def in_all(frames: list[DataFrame], key: str) -> DataFrame:
     """Keys that every table has."""
@@ -166,11 +168,46 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+def _pairs_of(texts: DataFrame, block: str, name: str) -> DataFrame:
+    """(block, text, gram, n): how often each pair of neighbouring characters stands in a text."""
+    places = F.when(F.length(name) > 1, F.sequence(F.lit(1), F.length(name) - 1)).otherwise(F.array().cast("array<int>"))
+    grams = texts.select(block, name, F.explode(F.transform(places, lambda i: F.substring(F.col(name), i, F.lit(2)))).alias("gram"))
+    return grams.groupBy(block, name, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _most_ratio(shared: Column, a: Column, b: Column) -> Column:
+    """The greatest sequence ratio that texts of lengths a and b with so many shared neighbour pairs can have.
+
+    A common subsequence of length m leaves at least 3 m - a - b - 1 of the pairs of neighbours together: every character that is not in it
+    parts at most two pairs of its own text, or one of the other's.
+    """
+    longest = F.least(F.floor((shared + a + b + 1) / 3), a, b)
+    return F.when(F.greatest(a, b) == 0, 1.0).otherwise(longest / F.greatest(a, b))
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.0) -> DataFrame:
-    """For each left text the right text of its block with the greatest sequence ratio; ties to the smaller text."""
-    scored = left.join(right, block).withColumn("ratio", sequence_ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
-    order = Window.partitionBy(block, a).orderBy(F.col("ratio").desc(), b)
-    return scored.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """(block, a, b, ratio): for each left text the right text of its block with the greatest sequence ratio; ties to the smaller text.
+
+    Pairs of neighbouring characters are counted by an equi-join and bound the ratio. The text with the best bound is compared first;
+    then only texts whose bound reaches what it gave, and of those that share no pair only lengths that can reach it. Nothing
+    that could be best is left out. Rows with a null text are.
+    """
+    asked = left.where(F.col(a).isNotNull()).select(block, a).distinct()
+    known = right.where(F.col(b).isNotNull()).select(block, b).distinct()
+    met = _pairs_of(asked, block, a).join(_pairs_of(known, block, b).withColumnRenamed("n", "m"), [block, "gram"])
+    shared = met.groupBy(block, a, b).agg(F.sum(F.least("n", "m")).alias("shared"))
+    shared = materialise(shared.withColumn("bound", _most_ratio(F.col("shared"), F.length(a), F.length(b))), "fuzzy-shared")
+    first = shared.groupBy(block, a).agg(F.min(F.struct((-F.col("bound")).alias("o"), F.col(b))).alias("f")).select(block, a, F.col(f"f.{b}").alias(b))
+    reached = asked.join(first.withColumn("reached", sequence_ratio(F.col(a), F.col(b))).drop(b), [block, a], "left")
+    reached = materialise(reached.withColumn("reached", F.greatest(F.coalesce("reached", F.lit(0.0)), F.lit(least))), "fuzzy-reached")
+    near = shared.join(reached, [block, a]).where(F.col("bound") >= F.col("reached")).select(block, a, b)
+    sized = known.withColumn("size", F.length(b))
+    sizes = sized.groupBy(block).agg(F.collect_set("size").alias("sizes"))  # distinct lengths of a block
+    fits = F.filter("sizes", lambda n: _most_ratio(F.lit(0), F.length(a), n) >= F.col("reached"))
+    apart = reached.join(sizes, block).select(block, a, F.explode(fits).alias("size")).join(sized, [block, "size"]).select(block, a, b).join(shared, [block, a, b], "left_anti")
+    scored = near.unionByName(apart).withColumn("ratio", sequence_ratio(F.col(a), F.col(b))).where(F.col("ratio") >= least)
+    best = scored.groupBy(block, a).agg(F.min(F.struct((-F.col("ratio")).alias("o"), F.col(b))).alias("f"))
+    return best.select(block, a, F.col(f"f.{b}").alias(b), (-F.col("f.o")).alias("ratio"))
 
 
 #: Least score of a resolved path, and what the same folder and a name that starts alike add (fixed values).

@@ -157,3 +157,25 @@ def test_fingerprints_of_many_passages(spark):
     assert len(audit.winnowed(long_)) < 0.1 * len(long_)
     assert all(audit.winnowed(long_[k : k + 32])[0] in set(audit.winnowed(long_).tolist()) for k in range(0, 2000, 7))
     assert len(audit.winnowed("short")) == 0
+
+
+def test_fuzzy_best_against_all_pairs(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcé ") for _ in range(rnd.randrange(0, 12)))
+    left, right = [(rnd.randrange(3), word()) for _ in range(60)] + [(0, None), (7, "alone")], [(rnd.randrange(3), word()) for _ in range(60)] + [(1, None), (2, "")]
+
+    def ratio(x, y):
+        rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if c == d else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1] / max(len(x), len(y)) if x or y else 1.0
+
+    for least in (0.0, 0.5, 0.9):
+        want = {}
+        for g, x in set(left):
+            scores = [(-ratio(x, y), y) for h, y in set(right) if h == g and x is not None and y is not None and ratio(x, y) >= least]
+            if scores:
+                want[g, x] = (min(scores)[1], -min(scores)[0])
+        got = joins.fuzzy_best(spark.createDataFrame(left, "g int, a string"), spark.createDataFrame(right, "g int, b string"), "g", "a", "b", least).collect()
+        assert {(r.g, r.a): (r.b, r.ratio) for r in got} == want
