@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.context import materialise
+from rankloom.context import materialise, spread
 from rankloom.functions.predicates import created_by, is_historical, visible_at
 from rankloom.functions.text import token_proxy
 from rankloom.operators import metrics, reports
@@ -231,7 +231,7 @@ def contained_passages(docs: DataFrame, passages: DataFrame, most: int = 20_000,
     window, its first characters as a piece. What meets is tested whole.
     """
     texts = passages.select("item_id", F.col("text").alias("passage")).where("length(passage) > 0")
-    docs = docs.select("doc_id", "text")
+    docs = spread(docs.select("doc_id", "text"))
     n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
     if n <= most and chars <= most_chars:
         return docs.join(F.broadcast(texts), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()

@@ -151,3 +151,43 @@ def fill_by_labels(base: DataFrame, more: DataFrame, limit: int, query: str = "q
         return pd.DataFrame(out, columns=[query, "file", "label", "rank"])
 
     return rows.groupBy(query).applyInPandas(run, f"{query} {kind[query]}, file string, label string, rank int")
+
+
+# Where type files live, and folders that are not looked into for roots and for files by their stem.
+SOURCE_ROOT, NO_ROOTS, NO_STEMS = "src/main/java", ".git .gradle .idea build dist node_modules out target test tests".split(), ".git build out target test tests".split()
+
+
+def _outside(path: Column, folders: list[str]) -> Column:
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, folders)))
+
+
+def type_files(names: DataFrame, files: DataFrame, group: str, extension: str = ".java") -> DataFrame:
+    """(group, name, kind, path): the files, or packages, that qualified names stand for.
+
+    ``names``: group, name. ``files``: group, path. In every source root of the group the longest prefix of a name that is a file's path
+    counts; names without a type part (one that starts with a capital, _ or $) may be folders as well. A name with a type part that no root
+    knows gives all files that are called like its last type. A group without roots is a root itself. All steps are equi-joins:
+    prefixes of a name are rows, and so are the folders of a file.
+    """
+    paths = files.select(group, "path").where("path IS NOT NULL").distinct()
+    root = F.regexp_extract("path", rf"^((?:[^/]+/)*?{SOURCE_ROOT})/", 1)
+    rooted = paths.withColumn("root", F.when((root != "") & _outside(root, NO_ROOTS), root).otherwise(""))
+    bare = rooted.groupBy(group).agg(F.max(F.col("root") != "").alias("has_roots"))
+    rooted = rooted.join(bare, group).where((F.col("root") != "") | ~F.col("has_roots")).withColumn("within", F.expr("CASE WHEN root = '' THEN path ELSE substring(path, length(root) + 2) END"))
+    asked = names.select(group, "name").where("name IS NOT NULL").distinct().withColumn("parts", F.filter(F.split("name", r"\."), lambda p: p != "")).where(F.size("parts") > 0)
+    asked = asked.withColumn("types", F.filter("parts", lambda p: p.rlike("^[A-Z_$]")))
+    steps = asked.select(group, "name", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(k.alias("k"), F.concat(F.array_join(F.slice("parts", F.lit(1), k), "/"), F.lit(extension)).alias("within")))).alias("s"))
+    hits = steps.select(group, "name", "s.k", "s.within").join(rooted, [group, "within"])
+    exact = hits.groupBy(group, "name", "root").agg(F.max_by("path", "k").alias("path")).select(group, "name", F.lit("file").alias("kind"), "path")
+    up = F.split("within", "/")
+    folders = rooted.select(group, "root", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(up) - 1, F.lit(1))), lambda k: F.when(F.size(up) > 1, F.array_join(F.slice(up, F.lit(1), k), "/")))).alias("folder"))
+    folders = folders.where("folder IS NOT NULL").distinct()
+    packages = asked.where(F.size("types") == 0).select(group, "name", F.array_join("parts", "/").alias("folder")).join(folders, [group, "folder"])
+    packages = packages.select(group, "name", F.lit("package").alias("kind"), F.when(F.col("root") == "", F.col("folder")).otherwise(F.concat_ws("/", "root", "folder")).alias("path"))
+    stem = F.substring_index(F.element_at("types", -1), "$", 1)
+    rest = asked.where(F.size("types") > 0).join(exact.select(group, "name").distinct(), [group, "name"], "left_anti").select(group, "name", stem.alias("stem"))
+    last = F.element_at(up, -1)
+    stems = rooted.where(F.endswith("path", F.lit(extension)) & _outside(F.array_join(F.slice(up, F.lit(1), F.size(up) - 1), "/"), NO_STEMS))
+    stems = stems.select(group, "path", F.substring(last, F.lit(1), F.length(last) - len(extension)).alias("stem"))
+    by_stem = rest.join(stems, [group, "stem"]).select(group, "name", F.lit("file").alias("kind"), "path")
+    return exact.unionByName(packages).unionByName(by_stem).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.context import materialise, scratch
-from rankloom.operators import audit, expectations, inverted_index
+from rankloom.operators import audit, expectations, inverted_index, linking
 from rankloom.plans.evaluation import EVAL_SQL, targets
 from rankloom.plans.registry import query
 from rankloom.plans.retrieval import bm25_sql, corpus, items, lexical, overlap, overlap_sql
@@ -131,3 +131,22 @@ def prompt_coverage(spark, sf):
         F.lit("function").alias("kind"), F.col("key").cast("string").alias("name"),
     )
     return audit.prompt_coverage(prompts, methods, targets(spark, sf)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(
+    """WITH w AS (SELECT *, lower(p_type) AS pkg, upper(left(string_split(p_name, ' ')[-1], 1)) || substr(string_split(p_name, ' ')[-1], 2) AS cls FROM part),
+    f AS (SELECT DISTINCT p_brand AS g, 'm' || (p_size % 3) || '/src/main/java' AS root, pkg, cls FROM w),
+    n AS (SELECT DISTINCT p_brand AS g, CASE p_partkey % 4 WHEN 0 THEN cls || '.make' WHEN 1 THEN 'org.' || pkg WHEN 2 THEN 'org.' || pkg || '.' || cls || '.make' ELSE 'org.none.' || cls || '$Inner' END AS name, CASE WHEN p_partkey % 4 IN (0, 3) THEN NULL ELSE pkg END AS pkg, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE cls END AS cls FROM w),
+    exact AS (SELECT g, name, 'file' AS kind, root || '/org/' || n.pkg || '/' || n.cls || '.java' AS path FROM n JOIN f USING (g, pkg, cls)),
+    packages AS (SELECT DISTINCT g, name, 'package' AS kind, root || '/org/' || pkg AS path FROM n JOIN f USING (g, pkg) WHERE n.cls IS NULL),
+    stems AS (SELECT g, name, 'file' AS kind, root || '/org/' || f.pkg || '/' || cls || '.java' AS path FROM n JOIN f USING (g, cls) WHERE (g, name) NOT IN (SELECT (g, name) FROM exact))
+    SELECT * FROM exact UNION SELECT * FROM packages UNION SELECT * FROM stems"""
+)
+def type_files(spark, sf):
+    """Types of a brand's modules, made of types and names of parts, against members, packages, simple and unknown names."""
+    part = table(spark, sf, "part").withColumn("pkg", F.lower("p_type")).withColumn("w", F.element_at(F.split("p_name", " "), -1))
+    part = part.withColumn("cls", F.concat(F.upper(F.substring("w", 1, 1)), F.expr("substring(w, 2)")))
+    files = part.select(F.col("p_brand").alias("g"), F.concat(F.lit("m"), (F.col("p_size") % 3).cast("string"), F.lit("/src/main/java/org/"), "pkg", F.lit("/"), "cls", F.lit(".java")).alias("path"))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat("cls", F.lit(".make"))).when(k == 1, F.concat(F.lit("org."), "pkg")).when(k == 2, F.concat(F.lit("org."), "pkg", F.lit("."), "cls", F.lit(".make"))).otherwise(F.concat(F.lit("org.none."), "cls", F.lit("$Inner")))
+    return linking.type_files(part.select(F.col("p_brand").alias("g"), name.alias("name")), files, "g")

@@ -117,3 +117,24 @@ def test_prompts_are_read_back(spark):
         ("v", 1): (3, 1, 2, 1, 1, 0), ("v", 2): (0, 0, 1, 0, 0, 0), ("w", 1): (1, 1, 2, 1, 1, 0),
     }
     assert all(r.tokens == math.ceil(len(t) / 4) for r in got for v, i, t in prompts if (v, i) == (r.variant, r.instance))
+
+
+def test_qualified_names_to_files(spark):
+    from rankloom.operators import linking
+
+    files = [
+        "a/src/main/java/org/x/Foo.java", "a/src/main/java/org/x/Foo/Bar.java", "b/src/main/java/org/x/Foo.java", "b/src/main/java/org/test/Only.java", "b/src/main/java/Top.java", "build/src/main/java/org/x/Foo.java",
+        "c/org/x/Lost.java", "b/src/main/java/org/y/Only.java", "b/src/main/java/org/y/readme.txt",
+    ]
+    names = ["org.x.Foo.Bar.baz", "org.x.Foo.run", "org.x", "Only.go", "q.Foo$In.m", "Lost", "org.y.readme", "", "..", "Top", "lower.case"]
+    df = spark.createDataFrame([("g", f) for f in files] + [("bare", "p/Q.java"), ("bare", "p/r/S.java")], "g string, path string")
+    asked = spark.createDataFrame([("g", n) for n in names] + [("bare", "p.Q.x"), ("bare", "p.r"), ("bare", "z.S")], "g string, name string")
+    got = {}
+    for r in linking.type_files(asked, df, "g").collect():
+        got.setdefault((r.g, r.name), set()).add((r.kind, r.path))
+    a, b = "a/src/main/java/", "b/src/main/java/"
+    assert got == {
+        ("g", "org.x.Foo.Bar.baz"): {("file", a + "org/x/Foo/Bar.java"), ("file", b + "org/x/Foo.java")}, ("g", "org.x.Foo.run"): {("file", a + "org/x/Foo.java"), ("file", b + "org/x/Foo.java")},
+        ("g", "org.x"): {("package", a + "org/x"), ("package", b + "org/x")}, ("g", "Only.go"): {("file", b + "org/y/Only.java")}, ("g", "q.Foo$In.m"): {("file", a + "org/x/Foo.java"), ("file", b + "org/x/Foo.java")},
+        ("g", "Top"): {("file", b + "Top.java")}, ("bare", "p.Q.x"): {("file", "p/Q.java")}, ("bare", "p.r"): {("package", "p/r")}, ("bare", "z.S"): {("file", "p/r/S.java")},
+    }
