@@ -111,19 +111,15 @@ def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = max(len(shared.value.queries), 1)
-        step = max(SCORE_CELLS // n, 1)
         held, names_of_pools = None, {}
-        for whole in batches:
-            for start in range(0, whole.num_rows, step):
-                part = whole.slice(start, step)
-                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
-                scores, ids = scored(batch), batch.column("doc_id")
-                rounded = np.where(scores > 0, np.round(scores, 6), -np.inf)
-                groups = [np.arange(batch.num_rows)] if pool is None else _groups(batch.column(pool).to_numpy(zero_copy_only=False))
-                for rows in groups:
-                    number = names_of_pools.setdefault(batch.column(pool)[int(rows[0])].as_py() if pool else None, len(names_of_pools))
-                    row, query = _candidates(rounded[rows], None, k)
-                    held = _keep_best(held, number * n + query, scores[rows[row], query], ids.take(pa.array(rows[row])), k)
+        for batch in _slices(batches, n):
+            scores, ids = scored(batch), batch.column("doc_id")
+            rounded = np.where(scores > 0, np.round(scores, 6), -np.inf)
+            groups = [np.arange(batch.num_rows)] if pool is None else _groups(batch.column(pool).to_numpy(zero_copy_only=False))
+            for rows in groups:
+                number = names_of_pools.setdefault(batch.column(pool)[int(rows[0])].as_py() if pool else None, len(names_of_pools))
+                row, query = _candidates(rounded[rows], None, k)
+                held = _keep_best(held, number * n + query, scores[rows[row], query], ids.take(pa.array(rows[row])), k)
         if held is not None:
             listed = list(names_of_pools)
             pools = [pa.array([listed[g] for g in (held[0] // n).tolist()], batch.column(pool).type)] if pool else []
@@ -134,6 +130,15 @@ def _best_of_chunks(docs: DataFrame, wanted: Wanted, k: int, pool: str | None, w
     return found.join(F.broadcast(names_of), "query_number").drop("query_number")  # one row per query of the broadcast
 
 
+def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that their scores for all queries fit ``SCORE_CELLS``."""
+    step = max(SCORE_CELLS // max(queries, 1), 1)
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            part = whole.slice(start, step)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
+
+
 def _groups(values: np.ndarray) -> list[np.ndarray]:
     places: dict = {}
     for k, v in enumerate(values.tolist()):
@@ -290,7 +295,7 @@ def _best_of_tasks(items: DataFrame, asked: Asked, k: int, open_files: dict | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, open_files = shared.value
         held = None
-        for batch in batches:
+        for batch in _slices(batches, len(asked.ids)):
             keys, vectors = batch.column("key"), batch.column("vector")
             files = batch.column("file").to_pylist() if open_files is not None else None
             for rows, at, scores in asked.scores(vectors):
@@ -358,7 +363,7 @@ def _file_maxima(items: DataFrame, asked: Asked) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
-        for batch in batches:
+        for batch in _slices(batches, len(shared.value.ids)):
             names = batch.column("file").to_pylist()
             for rows, at, scores in shared.value.scores(batch.column("vector")):
                 places = _groups(np.array([names[i] for i in rows.tolist()], object))
