@@ -446,6 +446,15 @@ def covered(block: Block, kept: dict[str, np.ndarray], number: np.ndarray, place
     return np.cumsum(depth[:-1], dtype=np.int16) > 0
 
 
+def _runs(gone: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes, which end with their document even where the next one begins marked."""
+    change = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    inner = bounds[1:-1]
+    inner = inner[(inner > 0) & (inner < len(gone))]
+    touching = inner[gone[inner] & gone[inner - 1]]
+    return np.union1d(np.flatnonzero(change == 1), touching), np.union1d(np.flatnonzero(change == -1), touching)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of each maximal removed run of bytes), kept (the bytes that stay), one row per row."""
     spark, shape = docs.sparkSession, Shape(length, sizes)
@@ -476,18 +485,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sizes: Sizes = Sizes()
     def finish(rows: pa.Table) -> pa.Table:
         name = rows.column("block")[0].as_py()
         block = _load(folder, name)
-        kept = {c: np.asarray(v.chunk(0).values) for c, v in zip(*(lambda t: (t.column_names, t.columns))(_unpack(folder, f"{name}-kept")), strict=True)}
+        stored = _unpack(folder, f"{name}-kept")
+        kept = {c: np.asarray(stored.column(c).chunk(0).values) for c in stored.column_names}
         number, places = (np.concatenate([np.empty(0, np.int64), *[np.asarray(x.values) for x in rows.column(c) if x.is_valid]]) for c in ("number", "places"))
         gone = covered(block, kept, number, places, shape)
-        edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+        starts, ends = _runs(gone, block.bounds)
+        owner = block.document(starts)
+        numbers = np.arange(len(block.rank))
+        lo, hi = np.searchsorted(owner, numbers, "left"), np.searchsorted(owner, numbers, "right")
         spans, left = [], []
-        cuts = block.bounds[1:-1]
-        # a run never goes on in the next document, but two runs may touch there
-        starts = np.union1d(np.flatnonzero(edges == 1), cuts[gone[np.minimum(cuts, max(len(gone) - 1, 0))] & (cuts < len(gone))] if len(gone) else cuts[:0])
-        ends = np.union1d(np.flatnonzero(edges == -1), cuts[(cuts > 0) & gone[np.maximum(cuts - 1, 0)]] if len(gone) else cuts[:0])
-        owner = block.document(starts) if len(starts) else starts
-        lo = np.searchsorted(owner, np.arange(len(block.rank)), "left")
-        hi = np.searchsorted(owner, np.arange(len(block.rank)), "right")
         for k, (a, b) in enumerate(zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True)):
             spans.append([{"start": int(s) - a, "end": int(e) - a} for s, e in zip(starts[lo[k] : hi[k]], ends[lo[k] : hi[k]], strict=True)])
             left.append(block.data[a:b][~gone[a:b]].tobytes() if hi[k] > lo[k] else block.data[a:b].tobytes())
