@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIMARY_SPLIT, PER_BAND, PER_FILE = 10, 4, 2
@@ -206,3 +206,44 @@ def balanced_shards(df: DataFrame, group: str, shards: int) -> dict[str, int]:
         out[r[group]] = at
         load[at] += r["count"]
     return out
+
+
+#: What is shown of the items of a breadth context by position, and of a retry's (fixed values).
+BREADTH_MODES, RETRY_MODES = ["primary", "secondary", "secondary", "secondary", "metadata", "metadata"], ["primary", "secondary", "secondary", "metadata"]
+FOCUS_ITEMS, RETRY_FILES, RETRY_PER_FILE = 4, 2, 3
+
+
+def _placed(df: DataFrame, query: str, modes: list[str] | None, *order: Column | str) -> DataFrame:
+    rows = df.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
+    return rows if modes is None else rows.withColumn("mode", F.element_at(F.array(*map(F.lit, modes)), F.least("position", F.lit(len(modes)))))
+
+
+def breadth_items(df: DataFrame, query: str = "query") -> DataFrame:
+    """The first item of each of the first six files (query, key, file, rank), with position and mode: many files, little of each."""
+    first = df.withColumn("nth", F.row_number().over(Window.partitionBy(query, "file").orderBy("rank"))).where("nth = 1").drop("nth")
+    return _placed(first, query, BREADTH_MODES, "rank").where(F.col("position") <= len(BREADTH_MODES))
+
+
+def focus_items(df: DataFrame, query: str = "query") -> DataFrame:
+    """The first file's first four candidates (its items, if none is one) and the first item of the next file, with position.
+
+    ``df``: query, key, file, rank, candidate. One file in depth and a look at another.
+    """
+    whole = Window.partitionBy(query)
+    rows = df.withColumn("lead", F.min_by("file", "rank").over(whole))
+    inside = F.col("file") == F.col("lead")
+    rows = rows.withColumn("any", F.max((inside & F.col("candidate")).cast("int")).over(whole) == 1)
+    usable = F.when(inside, F.col("candidate") | ~F.col("any")).otherwise(True)
+    side = inside.cast("int").alias("side")
+    rows = rows.where(usable).withColumn("other", 1 - side)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(query, "other").orderBy("rank")))
+    kept = rows.where((F.col("other") == 0) & (F.col("nth") <= FOCUS_ITEMS) | (F.col("other") == 1) & (F.col("nth") == 1))
+    return _placed(kept.drop("lead", "any", "nth"), query, None, "other", "rank").drop("other")
+
+
+def retry_items(df: DataFrame, targets: DataFrame, query: str = "query") -> DataFrame:
+    """At most three items of each of the first two files that an attempt named (query, file, place), with position and mode."""
+    named = targets.groupBy(query, "file").agg(F.min("place").alias("place"))
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy(query).orderBy("place", "file"))).where(F.col("n") <= RETRY_FILES).select(query, "file")
+    rows = df.join(named, [query, "file"]).withColumn("nth", F.row_number().over(Window.partitionBy(query, "file").orderBy("rank")))
+    return _placed(rows.where(F.col("nth") <= RETRY_PER_FILE).drop("nth"), query, RETRY_MODES, "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.context import materialise, scratch
-from rankloom.operators import audit, expectations, inverted_index, linking
+from rankloom.operators import audit, expectations, inverted_index, linking, packing
 from rankloom.plans.evaluation import EVAL_SQL, targets
 from rankloom.plans.registry import query
 from rankloom.plans.retrieval import bm25_sql, corpus, items, lexical, overlap, overlap_sql
@@ -150,3 +150,25 @@ def type_files(spark, sf):
     k = F.col("p_partkey") % 4
     name = F.when(k == 0, F.concat("cls", F.lit(".make"))).when(k == 1, F.concat(F.lit("org."), "pkg")).when(k == 2, F.concat(F.lit("org."), "pkg", F.lit("."), "cls", F.lit(".make"))).otherwise(F.concat(F.lit("org.none."), "cls", F.lit("$Inner")))
     return linking.type_files(part.select(F.col("p_brand").alias("g"), name.alias("name")), files, "g")
+
+
+@query(
+    f"""WITH {bm25_sql(40)}, r AS (SELECT query, key, rank, source AS file, key % 3 > 0 AS candidate FROM bm JOIN documents ON doc_id = key),
+    b AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query, file ORDER BY rank) AS nth FROM r) WHERE nth = 1),
+    l AS (SELECT *, file = arg_min(file, rank) OVER (PARTITION BY query) AS lead FROM r), u AS (SELECT *, bool_or(lead AND candidate) OVER (PARTITION BY query) AS held FROM l),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query, lead ORDER BY rank) AS nth FROM u WHERE NOT lead OR candidate OR NOT held),
+    f AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY lead DESC, rank) AS position FROM n WHERE lead AND nth <= 4 OR NOT lead AND nth = 1),
+    t AS (SELECT query, file, row_number() OVER (PARTITION BY query ORDER BY min(rank) DESC, file) AS n FROM r GROUP BY query, file),
+    y AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY rank) AS position FROM (SELECT r.*, row_number() OVER (PARTITION BY r.query, r.file ORDER BY rank) AS nth FROM r JOIN t ON r.query = t.query AND r.file = t.file WHERE n <= 2) WHERE nth <= 3)
+    SELECT 'breadth' AS builder, query, key, position::INT AS position, ['primary', 'secondary', 'secondary', 'secondary', 'metadata', 'metadata'][position] AS mode FROM b WHERE position <= 6
+    UNION ALL SELECT 'focus', query, key, position::INT, NULL FROM f
+    UNION ALL SELECT 'retry', query, key, position::INT, ['primary', 'secondary', 'secondary', 'metadata'][least(position, 4)] FROM y"""
+)
+def context_items(spark, sf):
+    """Items of three context builders over one ranking; a retry names its files from the last on."""
+    ranked = lexical(spark, sf, 40).join(corpus(spark, sf).select(F.col("doc_id").alias("key"), F.col("source").alias("file")), "key")
+    ranked = materialise(ranked.select("query", "key", "file", "rank", (F.col("key") % 3 > 0).alias("candidate")), "ranked")
+    named = ranked.groupBy("query", "file").agg((-F.min("rank")).alias("place"))
+    parts = {"breadth": packing.breadth_items(ranked), "focus": packing.focus_items(ranked).withColumn("mode", F.lit(None).cast("string")), "retry": packing.retry_items(ranked, named)}
+    parts = [df.select(F.lit(n).alias("builder"), "query", "key", "position", "mode") for n, df in parts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

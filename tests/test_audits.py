@@ -138,3 +138,16 @@ def test_qualified_names_to_files(spark):
         ("g", "org.x"): {("package", a + "org/x"), ("package", b + "org/x")}, ("g", "Only.go"): {("file", b + "org/y/Only.java")}, ("g", "q.Foo$In.m"): {("file", a + "org/x/Foo.java"), ("file", b + "org/x/Foo.java")},
         ("g", "Top"): {("file", b + "Top.java")}, ("bare", "p.Q.x"): {("file", "p/Q.java")}, ("bare", "p.r"): {("package", "p/r")}, ("bare", "z.S"): {("file", "p/r/S.java")},
     }
+
+
+def test_items_of_context_builders(spark):
+    from rankloom.operators import packing
+
+    rows = [(1, f"k{n}", f, n, c) for n, (f, c) in enumerate([("a", False), ("b", True), ("a", True), ("a", True), ("c", True), ("a", False), ("a", True), ("a", True), ("a", True), *[(x, True) for x in "defgh"]], 1)]
+    rows += [(2, "x", "a", 1, False), (2, "y", "a", 2, False)]
+    df = spark.createDataFrame(rows, "query int, key string, file string, rank int, candidate boolean")
+    order = lambda d, q: [(r.key, *([r.mode] if "mode" in d.columns else [])) for r in d.where(f"query = {q}").orderBy("position").collect()]
+    assert order(packing.breadth_items(df), 1) == [("k1", "primary"), ("k2", "secondary"), ("k5", "secondary"), ("k10", "secondary"), ("k11", "metadata"), ("k12", "metadata")]
+    assert order(packing.focus_items(df), 1) == [("k3",), ("k4",), ("k7",), ("k8",), ("k2",)] and order(packing.focus_items(df), 2) == [("x",), ("y",)]
+    named = spark.createDataFrame([(1, "c", 2), (1, "a", 1), (1, "d", 3), (1, "a", 9)], "query int, file string, place int")
+    assert order(packing.retry_items(df, named), 1) == [("k1", "primary"), ("k3", "secondary"), ("k4", "secondary"), ("k5", "metadata")]
