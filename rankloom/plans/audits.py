@@ -8,7 +8,7 @@ from rankloom.context import materialise, scratch
 from rankloom.operators import audit, expectations, inverted_index, linking, packing
 from rankloom.plans.evaluation import EVAL_SQL, targets
 from rankloom.plans.registry import query
-from rankloom.plans.retrieval import bm25_sql, corpus, items, lexical, overlap, overlap_sql
+from rankloom.plans.retrieval import bm25_sql, both, corpus, items, lexical, overlap_sql
 from rankloom.sources import provenance
 from rankloom.sources.tables import table
 
@@ -100,8 +100,9 @@ def temporal_provenance(spark, sf):
     ships = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("modified"))
     artifacts = table(spark, sf, "orders").join(ships, "o_orderkey").select(name(F.col("o_orderkey")).alias("artifact"), F.col("o_orderdate").alias("created"), "modified")
     cutoffs = items(spark, sf).select("query", F.expr("TIMESTAMP '1993-01-01 00:00:00' + make_dt_interval(CAST(query % 50 * 50 AS INT))").alias("cutoff"))
-    structural = overlap(spark, sf, 50).withColumn("nodes", F.when(F.col("key") % 3 == 0, F.array(name(F.col("key")))))
-    bm = materialise(lexical(spark, sf, 50).select("query", "key", "rank"), "lexical")
+    by_terms, by_overlap = both(spark, sf, 50)
+    structural = by_overlap.withColumn("nodes", F.when(F.col("key") % 3 == 0, F.array(name(F.col("key")))))
+    bm = materialise(by_terms.select("query", "key", "rank"), "lexical")
     return audit.temporal_provenance(structural, artifacts, cutoffs, [("lexical", bm)], [])
 
 
@@ -120,7 +121,7 @@ _BLOCK = "'- signature : ' || sig || chr(10) || '- start_line : ' || key || chr(
 def prompt_coverage(spark, sf):
     """Prompts of two rankings' first eight documents, every second one with its source, read back from their text."""
     docs = corpus(spark, sf).select(F.col("doc_id").alias("key"), F.col("source").alias("file"), F.trim(F.replace(F.element_at(F.split("text", "\n"), 1), F.lit("\r"), F.lit(""))).alias("signature"))
-    ranked = [df.where("rank <= 8").select(F.lit(n).alias("variant"), F.col("query").alias("instance"), "rank", "key") for n, df in (("lexical", lexical(spark, sf, 50)), ("overlap", overlap(spark, sf, 50)))]
+    ranked = [df.where("rank <= 8").select(F.lit(n).alias("variant"), F.col("query").alias("instance"), "rank", "key") for n, df in zip(("lexical", "overlap"), both(spark, sf, 50), strict=True)]
     shown = materialise(ranked[0].unionByName(ranked[1]).join(docs, "key"), "shown")
     authority = F.when(F.col("key") % 2 == 0, "- source_authority : base\n").otherwise("")
     block = F.concat(F.lit("- signature : "), "signature", F.lit("\n- start_line : "), F.col("key").cast("string"), F.lit("\n- end_line : "), (F.col("key") + 5).cast("string"), F.lit("\n"), authority)
