@@ -50,3 +50,24 @@ def test_an_evaluation_reads_what_is_written_once(spark, part):
     from rankloom.plans import evaluation
 
     assert "documents.parquet" not in plan(getattr(evaluation, part)(spark, SF))
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_most_similar_paths_against_all_pairs(spark, monkeypatch, few):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import joins
+
+    rnd = random.Random(5)
+    number = lambda: str(rnd.randrange(60)) + rnd.choice(["", "", ".html", "/"])
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(rnd.randrange(n)))
+    paths = {f"en/{number()}" for _ in range(60)} | {f"{word(3)}/{word(30)}" for _ in range(40)} | {"/".join(word(4) for _ in range(rnd.randrange(1, 7))) for _ in range(40)} | {"", "/", "x", "a/a/", "en//"}
+    rows = [(g, p) for g in (1, 2) for p in paths if g == 1 or rnd.random() < 0.2] + [(None, "x"), (1, None)]
+    files = spark.createDataFrame(rows, "g int, path string")
+    wanted = spark.createDataFrame([*rows, (1, "en/1234"), (2, "en/q/"), (1, "none/of/these/at/all/"), (3, "x")], "g int, wanted string")
+    monkeypatch.setattr(joins, "FEW_FILES", few)
+    every = wanted.distinct().where("wanted IS NOT NULL").join(files.where("path IS NOT NULL"), "g").withColumn("likeness", F.round(joins.path_similarity(F.col("wanted"), F.col("path")), 6))
+    every = every.withColumn("rank", F.row_number().over(Window.partitionBy("g", "wanted").orderBy(F.col("likeness").desc(), "path")))
+    for k in (1, 2, 4):
+        assert sorted(map(tuple, joins.fuzzy_paths(wanted, files, "g", k).collect())) == sorted(map(tuple, every.where(F.col("rank") <= k).collect()))
