@@ -39,6 +39,28 @@ def test_rankings_share_one_count_of_terms(spark):
         assert one(docs, asked, 3, counted=counted).collect() == one(docs, asked, 3).collect()
 
 
+def test_tasks_split_texts_as_columns_do(spark, monkeypatch):
+    """Texts go to tasks as they are, not as lists of tokens."""
+    from pyspark.sql import functions as F
+
+    from rankloom.functions import text as tx
+
+    rnd = random.Random(6)
+    pieces = ["camelCase", "HTTPServer2Go", "aB1C", "queries", "queryies", "Running", "thes", "s", "the", "_x9", "9lives", "İNG", "\u212aing", "ß", "été", "classes", " ", ".", "\n", "", "if", "ands"]
+    rows = [(k, "".join(rnd.choice(pieces) + rnd.choice(["", " "]) for _ in range(rnd.randrange(40)))) for k in range(120)] + [(200, None), (201, "")]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(pieces)), (2, "queries queries case İng")], "query long, text string")
+    monkeypatch.setattr(retrieval, "KNOWN_TOKENS", 7)
+    monkeypatch.setattr(retrieval, "COUNT_CHARACTERS", 50)
+    for tokens in (tx.identifier_tokens, tx.split_terms):
+        find, forms = tx.PLAIN[tokens]
+        want = {r.doc_id: r.t for r in docs.select("doc_id", tokens(F.col("text")).alias("t")).collect()}
+        assert {k: [f for t in find(text or "") for f in forms(t)] for k, text in rows} == want
+        counted = retrieval.counted_terms(docs, asked, tokens)
+        number = counted.wanted.terms
+        got = {r.doc_id: (r.length, dict(zip(r.terms, r.times, strict=True))) for r in counted.words.collect()}
+        assert got == {k: (len(t), {number[w]: t.count(w) for w in set(t) if w in number}) for k, t in want.items()}
+
+
 def test_terms_are_counted_in_slices(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (3, 0, 9, 2, 2, 1)])], names=["tokens"])
     monkeypatch.setattr(retrieval, "COUNT_TOKENS", 4)
