@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Ranges that one piece of a file's line map holds before it is split.
-PIECE = 256
+#: Ranges that one piece of a file's line map holds before it is split, and rows that leave a task together.
+PIECE, OUT_ROWS = 256, 10_000
 
 
 class LineMap:
@@ -89,24 +89,32 @@ def line_provenance(hunks: DataFrame) -> DataFrame:
     schema = T.StructType([rows.schema["file"], T.StructField("start_line", T.LongType()), T.StructField("end_line", T.LongType()), rows.schema["commit"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, lines, kinds = None, LineMap(), None
-
-        def out() -> pa.RecordBatch:
-            found = list(lines.ranges())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(found), kinds[0]), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], kinds[1])],
-                names=["file", "start_line", "end_line", "commit"],
-            )
+        file, lines, kinds, held = None, LineMap(), None, ([], [], [], [])
+
+        def out(whole: bool = False) -> Iterator[pa.RecordBatch]:
+            """The rows held, once they are many: most files have few."""
+            if len(held[0]) >= OUT_ROWS or whole and held[0]:
+                columns = [pa.array(c, t) for c, t in zip(held, (kinds[0], pa.int64(), pa.int64(), kinds[1]), strict=True)]
+                for c in held:
+                    c.clear()
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "start_line", "end_line", "commit"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for first, last, commit in lines.ranges():
+                for c, v in zip(held, (file, first, last, commit), strict=True):
+                    c.append(v)
+                yield from out()
 
         for b in batches:
             kinds = (b.schema.field("file").type, b.schema.field("commit").type)
             for name, _, commit, start, old, new in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if name != file:
                     if file is not None:
-                        yield out()
+                        yield from close()
                     file, lines = name, LineMap()
                 lines.replace(start or 1, old or 0, new or 0, commit)
         if file is not None:
-            yield out()
+            yield from close()
+            yield from out(True)
 
     return rows.mapInArrow(run, schema)
