@@ -1,10 +1,12 @@
 """What a query costs must grow no faster than its tables: texts are read once, tasks hold little, rows that only ties could need are not sent."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 
+from rankloom.functions.text import PLAIN, identifier_tokens
 from rankloom.operators import audit, inverted_index, projection, retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +41,33 @@ def test_rankings_share_one_count_of_terms(spark):
         assert one(docs, asked, 3, counted=counted).collect() == one(docs, asked, 3).collect()
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 1 << 21])
+def test_terms_are_counted_by_bytes_as_by_words(monkeypatch, stretch):
+    monkeypatch.setattr(retrieval, "COUNT_CHARACTERS", stretch)
+    rnd, (find, forms) = random.Random(3), PLAIN[identifier_tokens]
+    long = "abcdefgh%sabcdefgh"  # told by more than its first and last bytes and its length
+    for _ in range(60):
+        texts = [None if rnd.random() < 0.05 else "".join(rnd.choice("aAbB_19 éK\u212a\u0130ß.k") for _ in range(rnd.choice([0, 1, 5, 40, 200]))) for _ in range(rnd.randrange(12))]
+        texts.append(" ".join(long % rnd.choice(["", "x", "y", "xy", "9"]) for _ in range(3)))
+        wanted = retrieval.Wanted([(1, t, 1) for t in sorted({t for text in texts for t in find(text or "") if rnd.random() < 0.5} | {long % "x", long % "z"})])
+        got, want = retrieval.Identifiers(wanted.terms).counts(pa.array([*texts, "b"]).slice(0, len(texts))), wanted.split_counts(pa.array(texts), find, forms, {})
+        assert [p.tolist() for p in got] == [p.tolist() for p in want]
+    for terms, texts in (({}, ["a b", None]), ({"a": 0}, []), ({"a": 0}, ["", None])):
+        assert len(retrieval.Identifiers(terms).counts(pa.array(texts, pa.string()))[3]) == len(texts)
+
+
+def test_a_task_holds_no_list_of_words():
+    """What it holds of a text is a few times its characters."""
+    text = pa.array(["ab c " * 2_000_000])
+    tracemalloc.start()
+    try:
+        row, term, times, lengths = retrieval.Identifiers({"c": 0}).counts(text)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (row.tolist(), term.tolist(), times.tolist(), lengths.tolist()) == ([0], [0], [2_000_000], [4_000_000]) and held < 10 * 10_000_000
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_postings_are_listed_and_scored_in_tasks(spark, tmp_path, monkeypatch, small):
     """Neither a row for every word of a text nor one for every query and document is shuffled."""
