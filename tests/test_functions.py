@@ -115,3 +115,19 @@ def test_cutoff_truth_table(spark):
     got = {r.id: (r.s, r.l) for r in rows.select("id", strict.alias("s"), loose.alias("l")).collect()}
     assert got == {1: (True, True), 2: (False, True), 3: (False, False), 4: (False, True), 5: (False, False)}
     assert spark.range(1).select(pred.epoch(F.lit("nonsense"), F.lit("1970-01-01T00:01:00Z")).alias("e")).first().e == 60.0
+
+
+def test_whole_texts_are_compared_without_python(spark):
+    """The distance of whole texts costs too much in Python at size; strips of 16,384 rows and characters of two code units count."""
+    import random
+
+    rnd = random.Random(4)
+    word = lambda n, of="abcd": "".join(rnd.choices(of, k=n))
+    lengths = [0, 1, 63, 64, 65, 128, 300]
+    pairs = [(word(n, of), word(m, of)) for n in lengths for m in lengths for of in ("a", "abc", "ab😀é")]
+    pairs += [("same " + word(50) + " end", "same " + word(70) + " end"), (word(17_000), word(900, "abcdé😀")), (word(16_384), word(16_384)), (None, "x"), ("x", None)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", tx.levenshtein_similarity(F.col("a"), F.col("b")).alias("likeness"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        want = None if r.a is None or r.b is None else 1.0 if not r.a and not r.b else 1 - tx.edit_distance(r.a, r.b) / max(len(r.a), len(r.b))
+        assert r.likeness == want
