@@ -282,12 +282,16 @@ def fuzzy_paths(wanted: DataFrame, files: DataFrame, group: str, k: int = 3) ->
     nearer than any that needs one deletion more. Names that are not are compared with the files of their folder whose lengths can
     reach the k-th. Only paths with fewer than k files in their folder look at the rest of the group: paths that end with a separator are as like
     a file as the parts they share, and are looked up by them; others are compared with all. Repeated paths count once, nulls are left out.
+
+    All joins are sort-merge joins, in any session: tables written are small beside the names and sets that they are exploded to, so the planner
+    would take many times what it may for small enough to broadcast, and the driver's memory would grow with the input.
     """
+    merged = lambda df: df.hint("merge")
     name = lambda c: F.substring_index(c, "/", -1)
     split = lambda df, c: df.where(F.col(c).isNotNull() & F.col(group).isNotNull()).select(group, c).distinct().withColumn("folder", F.substring(F.col(c), F.lit(1), F.length(c) - F.length(name(F.col(c)))))
     known = materialise(split(files, "path").withColumn("file", name(F.col("path"))), "paths")
     sizes = known.groupBy(group, "folder").agg(F.count(F.lit(1)).alias("n"))
-    asked = split(wanted, "wanted").withColumn("name", name(F.col("wanted"))).join(sizes, [group, "folder"], "left").na.fill(0, ["n"])
+    asked = split(wanted, "wanted").withColumn("name", name(F.col("wanted"))).join(merged(sizes), [group, "folder"], "left").na.fill(0, ["n"])
     asked = materialise(asked, "wanted-paths")
     apart = F.levenshtein("name", "file") / F.greatest(F.length("name"), F.length("file"), F.lit(1))
 
@@ -301,18 +305,18 @@ def fuzzy_paths(wanted: DataFrame, files: DataFrame, group: str, k: int = 3) ->
         return kept.withColumn("likeness", like) if inside else kept
 
     out = [group, "wanted", "path", "likeness"]
-    left, found = asked.where((F.col("n") > FEW_FILES) & (F.col("name") != "")), [best(asked.where(F.col("n") <= FEW_FILES).join(known, [group, "folder"]))]
-    found.append(best(asked.where((F.col("n") > FEW_FILES) & (F.col("name") == "")).join(known, [group, "folder"])))
-    large = known.join(sizes.where(F.col("n") > FEW_FILES), [group, "folder"], "left_semi")
+    left, found = asked.where((F.col("n") > FEW_FILES) & (F.col("name") != "")), [best(asked.where(F.col("n") <= FEW_FILES).join(merged(known), [group, "folder"]))]
+    found.append(best(asked.where((F.col("n") > FEW_FILES) & (F.col("name") == "")).join(merged(known), [group, "folder"])))
+    large = known.join(merged(sizes.where(F.col("n") > FEW_FILES)), [group, "folder"], "left_semi")
     for round_ in range(1, DELETIONS + 1):
         keys = lambda c: _without(F.array(F.col(c))) if round_ == 1 else _without(_without(F.array(F.col(c))))  # noqa: E731, B023
         able = left if round_ == 1 else left.where(F.length("name") <= LONG_NAME)
         near = large if round_ == 1 else large.where(F.length("file") <= LONG_NAME + round_)
-        pairs = able.withColumn("key", F.explode(keys("name"))).join(near.withColumn("key", F.explode(keys("file"))), [group, "folder", "key"]).select(group, "wanted", "name", "path", "file").distinct()
+        pairs = able.withColumn("key", F.explode(keys("name"))).join(merged(near.withColumn("key", F.explode(keys("file")))), [group, "folder", "key"]).select(group, "wanted", "name", "path", "file").distinct()
         some = materialise(best(pairs), "near-names")
         kth = some.groupBy(group, "wanted").agg(F.max("apart").alias("reached"), F.count(F.lit(1)).alias("met")).where(F.col("met") >= k)
         size = F.length("name")
-        judged = left.drop("reached").join(kth, [group, "wanted"], "left")
+        judged = left.drop("reached").join(merged(kth), [group, "wanted"], "left")
         # a file that is not met takes at least one deletion more, and is at most so much longer
         done = F.coalesce(F.col("reached") < (round_ + 1) / (size + round_ + 1) - 1e-8, F.lit(False))
         judged = materialise(judged.select(group, "wanted", "folder", "name", "n", "reached", done.alias("done")), "judged-names")
@@ -322,19 +326,19 @@ def fuzzy_paths(wanted: DataFrame, files: DataFrame, group: str, k: int = 3) ->
     lengths = large.groupBy(group, "folder").agg(F.collect_set(F.length("file")).alias("lengths"))
     least = F.when(F.length("name") <= LONG_NAME, DELETIONS + 1).otherwise(2)
     fits = lambda m: F.coalesce(F.greatest(least, F.abs(m - F.length("name"))) / F.greatest(m, F.length("name")) <= F.col("reached") + 1e-8, F.lit(True))
-    sized = left.join(lengths, [group, "folder"]).withColumn("size", F.explode(F.filter("lengths", fits))).drop("lengths")
-    found.append(best(sized.join(large.withColumn("size", F.length("file")), [group, "folder", "size"])))
+    sized = left.join(merged(lengths), [group, "folder"]).withColumn("size", F.explode(F.filter("lengths", fits))).drop("lengths")
+    found.append(best(sized.join(merged(large.withColumn("size", F.length("file"))), [group, "folder", "size"])))
 
     alone = asked.where(F.col("n") < k)
     by_parts = (F.col("name") == "") & (F.size(F.split("wanted", "/")) <= FEW_PARTS)
     other = known.withColumnRenamed("folder", "at")
-    found.append(best(alone.where(~by_parts).join(other, group).where(F.col("at") != F.col("folder")), False))
+    found.append(best(alone.where(~by_parts).join(merged(other), group).where(F.col("at") != F.col("folder")), False))
     # of the files that share a set of parts, the first k can be among the best, and as many may be in the folder itself
     shared = other.where(F.size(F.split("path", "/")) <= FEW_PARTS).withColumn("key", F.explode(_shared_sets(F.col("path"))))
     order = Window.partitionBy(group, "key").orderBy("path")
     first = shared.withColumn("r", F.row_number().over(order)).where(F.col("r") < 2 * k).drop("r")
-    met = alone.where(by_parts).withColumn("key", F.explode(_shared_sets(F.col("wanted")))).join(first, [group, "key"]).where(F.col("at") != F.col("folder"))
-    deep = alone.where(by_parts).join(other.where(F.size(F.split("path", "/")) > FEW_PARTS), group).where(F.col("at") != F.col("folder"))
+    met = alone.where(by_parts).withColumn("key", F.explode(_shared_sets(F.col("wanted")))).join(merged(first), [group, "key"]).where(F.col("at") != F.col("folder"))
+    deep = alone.where(by_parts).join(merged(other.where(F.size(F.split("path", "/")) > FEW_PARTS)), group).where(F.col("at") != F.col("folder"))
     found += [best(met.select(group, "wanted", "name", "path", "file").distinct(), False), best(deep, False)]
     union = reduce(DataFrame.unionByName, [df.select(*out) for df in found]).distinct()
     return union.withColumn("rank", F.row_number().over(Window.partitionBy(group, "wanted").orderBy(F.col("likeness").desc(), "path"))).where(F.col("rank") <= k)

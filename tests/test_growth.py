@@ -199,3 +199,19 @@ def test_most_similar_paths_against_all_pairs(spark, monkeypatch, few):
     every = every.withColumn("rank", F.row_number().over(Window.partitionBy("g", "wanted").orderBy(F.col("likeness").desc(), "path")))
     for k in (1, 2, 4):
         assert sorted(map(tuple, joins.fuzzy_paths(wanted, files, "g", k).collect())) == sorted(map(tuple, every.where(F.col("rank") <= k).collect()))
+
+
+def test_most_similar_paths_broadcast_nothing(spark, monkeypatch):
+    """Tables grow with the input, and what is exploded from them is far larger than their files: none of it may go through the driver."""
+    from rankloom.operators import joins
+
+    monkeypatch.setattr(joins, "FEW_FILES", 3)
+    plans, write = [], joins.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(joins, "materialise", lambda df, name: plans.append(plan(df)) or write(df, name))
+    paths = [(1, f"en/{k}{end}") for k in range(20) for end in ("", ".html", "/")] + [(1, "a/b/c/d/e/f"), (1, "x")]
+    files = spark.createDataFrame(paths, "g int, path string")
+    best = joins.fuzzy_paths(files.withColumnRenamed("path", "wanted"), files, "g", 2)
+    assert best.count() == 2 * len(paths)
+    plans.append(plan(best))
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p or "CartesianProduct" in p]
